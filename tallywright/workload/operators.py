@@ -19,7 +19,7 @@ from tallywright.sources import read_files
 AS_OF = "2024-12-03"
 MONEY = "decimal(18,2)"
 PART_WORDS = ("ring", "bolt")
-TEXT_WORDS = ("river", "market")
+TEXT_WORDS = ("under", "Then")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -428,7 +428,7 @@ def _sql_share(source: str, col: str, where: str, total: str) -> str:
 
 
 _IN_PART_WORDS = "(p_name LIKE '%ring%' OR p_name LIKE '%bolt%')"
-_IN_TEXT_WORDS = "(text LIKE '%river%' OR text LIKE '%market%')"
+_IN_TEXT_WORDS = "(text LIKE '%under%' OR text LIKE '%Then%')"
 _ALL_COUNTS = "(SELECT CAST(SUM(num) AS BIGINT) FROM counts)"
 
 
@@ -582,25 +582,15 @@ ORACLE = {
         "large",
         "c_acctbal",
     ),
-    # The joined rows are counted per key here too: spelled out they would be
-    # the square of a third of the table.
-    "treatment_comparison_hot_key": """
-        WITH lines AS (
-            SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k, l_linenumber, l_linestatus
-            FROM lineitem
-        ), keyed AS (
-            SELECT k, COUNT(*) AS units, SUM(l_linenumber) AS outcomes,
-                   COUNT(*) FILTER (WHERE l_linestatus = 'F') AS positive,
-                   COUNT(*) FILTER (WHERE l_linestatus <> 'F') AS other
-            FROM lines GROUP BY k
-        )
-        SELECT 'treated' AS status, CAST(SUM(units * positive) AS BIGINT) AS num,
-               CAST(SUM(outcomes * positive) AS DOUBLE) / CAST(SUM(units * positive) AS DOUBLE) AS avg_outcome
-        FROM keyed
-        UNION ALL
-        SELECT 'untreated', CAST(SUM(units * other) AS BIGINT),
-               CAST(SUM(outcomes * other) AS DOUBLE) / CAST(SUM(units * other) AS DOUBLE)
-        FROM keyed""",
+    "treatment_comparison_hot_key": _sql_treatment(
+        "SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k, l_linenumber AS outcome FROM lineitem",
+        """SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k,
+                  CAST(l_linestatus = 'F' AS INTEGER) AS flag FROM lineitem""",
+        "k",
+        "k",
+        "flag",
+        "outcome",
+    ),
     "first_match_segment": """
         WITH users AS (
             SELECT user_id, COUNT(*) AS n_events,
