@@ -29,10 +29,12 @@ def as_column(col: ColumnOrName) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def as_date(value: DateLike) -> dt.date:
+def day_literal(value: DateLike) -> Column:
+    """A DATE literal; by way of text, as Python dates of early years do not convert."""
     if isinstance(value, dt.datetime):
         raise TypeError("a day is expected, not a timestamp")
-    return value if isinstance(value, dt.date) else dt.date.fromisoformat(value)
+    day = value if isinstance(value, dt.date) else dt.date.fromisoformat(value)
+    return F.lit(day.isoformat()).cast("date")
 
 
 # -- ordering ---------------------------------------------------------------
@@ -138,8 +140,8 @@ def within_days(col: ColumnOrName, first: DateLike, last: DateLike) -> Column:
     The bounds are half-open on the raw column: a timestamp on the last day is
     kept, and both bounds reach the Parquet scan.
     """
-    day_after = F.date_add(F.lit(as_date(last)), 1)
-    return (as_column(col) >= F.lit(as_date(first))) & (as_column(col) < day_after)
+    day_after = F.date_add(day_literal(last), 1)
+    return (as_column(col) >= day_literal(first)) & (as_column(col) < day_after)
 
 
 # -- text and cases ---------------------------------------------------------

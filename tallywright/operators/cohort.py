@@ -51,7 +51,7 @@ def repeat_cohorts(
     Rows count as events even where the date is NULL. Events without a user
     form one group that enters the means but not the number of users.
     """
-    today = F.current_date() if as_of is None else F.lit(S.as_date(as_of))
+    today = F.current_date() if as_of is None else S.day_literal(as_of)
     day = F.to_date(date_col)
     per_user = (
         events.groupBy(F.col(user_col).alias("user"))

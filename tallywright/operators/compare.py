@@ -4,7 +4,8 @@ Two of these are left joins whose right side may repeat a key, and whose result
 counts the joined rows. Either side may hold a large part of its rows under one
 key, so joining row by row could produce a number of pairs quadratic in the
 size of that group. Both sides are therefore first reduced to counts per key,
-and the number of pairs is obtained by multiplication.
+and the number of pairs is obtained by multiplication. A number of pairs beyond
+a bigint raises an error in ANSI mode, Spark's default.
 """
 
 from __future__ import annotations

@@ -267,12 +267,12 @@ def treatment_comparison_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def treatment_comparison_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One key holds a third of the rows on both sides."""
+    """One key holds a third of the rows on both sides; each unit row counts once."""
     lines = table(spark, sf_dir, "lineitem")
     hot = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_suppkey"))
     units = lines.select(hot.alias("k"), F.col("l_linenumber").alias("outcome"))
     treatment = lines.select(hot.alias("k"), (F.col("l_linestatus") == "F").cast("int").alias("flag"))
-    return op.treatment_comparison(units, treatment, "k", "flag", "outcome", count_as="num")
+    return op.treatment_comparison(units, treatment, "k", "flag", "outcome", dedup_right=True, count_as="num")
 
 
 # -- D5: first matching segment ---------------------------------------------
@@ -585,7 +585,7 @@ ORACLE = {
     "treatment_comparison_hot_key": _sql_treatment(
         "SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k, l_linenumber AS outcome FROM lineitem",
         """SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k,
-                  CAST(l_linestatus = 'F' AS INTEGER) AS flag FROM lineitem""",
+                  MAX(CAST(l_linestatus = 'F' AS INTEGER)) AS flag FROM lineitem GROUP BY 1""",
         "k",
         "k",
         "flag",

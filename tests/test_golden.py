@@ -1,0 +1,335 @@
+"""Published results of every report, from synthetic rows made to yield them."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+from functools import reduce
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywright.plans import donors, vacancies
+from tallywright.sources import BONUSES, DONATIONS, PLAN, USERS, vacancies_schema
+from tests.conftest import rows
+
+FULL_DAY = "Полный день"
+FULL_TIME = "Полная занятость"
+GRADES = {"Junior+ (1-3 years)": 1091, "Middle (3-6 years)": 555, "Junior (no experience)": 142, "Senior (6+ years)": 13}
+
+
+def spread(counts: dict, total: int, small: int = 20) -> list:
+    """The values with their counts, and small other groups up to `total`."""
+    values = [value for value, n in counts.items() for _ in range(n)]
+    rest = total - len(values)
+    return values + [f"other {i // small}" for i in range(rest)]
+
+
+def vacancy_frame(spark, **columns):
+    schema = vacancies_schema()
+    n = len(next(iter(columns.values())))
+    blank = [None] * n
+    data = list(zip(*[columns.get(field.name, blank) for field in schema], strict=True))
+    return spark.createDataFrame(data, schema)
+
+
+def test_salary_summary(spark):
+    low = [50, 398000, *[107698] * 97, 107753]
+    high = [25000, 497500, *[151655] * 97, 151636]
+    salaries = [*zip(low, high, strict=True), (None, None), (None, None)]
+    frame = vacancy_frame(
+        spark,
+        salary_from=[None if a is None else Decimal(a) for a, _ in salaries],
+        salary_to=[None if b is None else Decimal(b) for _, b in salaries],
+    )
+    result = vacancies.salary_summary(frame)
+    assert result.columns == [
+        "avg_salary_from",
+        "avg_salary_to",
+        "min_salary_from",
+        "max_salary_from",
+        "min_salary_to",
+        "max_salary_to",
+    ]
+    assert [str(value) for value in rows(result)[0]] == [
+        "109525.09",
+        "153846.71",
+        "50.0",
+        "398000.0",
+        "25000.0",
+        "497500.0",
+    ]
+
+
+AREAS = {"Москва": 1247, "Санкт-Петербург": 181, "Екатеринбург": 51, "Нижний Новгород": 33, "Новосибирск": 33}
+EMPLOYERS = {"СБЕР": 243, "WILDBERRIES": 43, "Ozon": 34, "Банк ВТБ (ПАО)": 28, "Т1": 26}
+EMPLOYMENTS = {FULL_TIME: 1764, "Стажировка": 16, "Частичная занятость": 16, "Проектная работа": 5}
+SCHEDULES = {FULL_DAY: 1441, "Удаленная работа": 310, "Гибкий график": 41, "Сменный график": 9}
+SKILLS = {None: 383, "Анализ данных": 312, "SQL": 161, "Документация": 89, "MS SQL": 87}
+
+
+@pytest.mark.parametrize(
+    ("report", "column", "counts"),
+    [
+        (vacancies.vacancies_by_area, "area", AREAS),
+        (vacancies.vacancies_by_employer, "employer", EMPLOYERS),
+        (vacancies.vacancies_by_employment, "employment", EMPLOYMENTS),
+        (vacancies.vacancies_by_schedule, "schedule", SCHEDULES),
+        (vacancies.vacancies_by_experience, "experience", GRADES),
+        (vacancies.skill_mentions, "key_skills_1", SKILLS),
+    ],
+)
+def test_frequencies(spark, report, column, counts):
+    result = report(vacancy_frame(spark, **{column: spread(counts, 1801)}))
+    assert result.columns == [column, "num_mention" if column == "key_skills_1" else "num_vacancies"]
+    found = rows(result)
+    assert found[: len(counts)] == list(counts.items())
+    assert sum(n for _, n in found) == 1801
+
+
+@pytest.fixture(scope="module")
+def titled(spark):
+    """Titles within grades: 1157 of 1801 hold a phrase, others hold it in lower case."""
+    matching = {
+        "Junior+ (1-3 years)": 751,
+        "Middle (3-6 years)": 296,
+        "Junior (no experience)": 105,
+        "Senior (6+ years)": 5,
+    }
+    names, grades = [], []
+    for grade, total in GRADES.items():
+        for i in range(total):
+            grades.append(grade)
+            if i < matching[grade]:
+                names.append("Ведущий Системный аналитик" if i % 3 else "Аналитик данных (SQL)")
+            else:
+                names.append("аналитик данных" if i % 2 else "Инженер")
+    return vacancy_frame(spark, name=names, experience=grades)
+
+
+def test_analyst_vacancy_count(titled):
+    assert rows(vacancies.analyst_vacancy_count(titled)) == [(1157,)]
+
+
+@pytest.mark.parametrize("denominator", [None, 1157])
+def test_analyst_grade_share(titled, denominator):
+    result = vacancies.analyst_grade_share(titled, denominator)
+    assert result.columns == ["experience", "num_vacancies", "percent_vacancies"]
+    assert rows(result) == [
+        ("Junior+ (1-3 years)", 751, Decimal("64.91")),
+        ("Middle (3-6 years)", 296, Decimal("25.58")),
+        ("Junior (no experience)", 105, Decimal("9.08")),
+        ("Senior (6+ years)", 5, Decimal("0.43")),
+    ]
+
+
+def test_analyst_workplaces(spark):
+    sizes = {"СБЕР": 103, "Банк ВТБ (ПАО)": 25, "Ozon": 18, "Т1": 3}
+    employers = [name for name, n in sizes.items() for _ in range(n)]
+    n = len(employers)
+    low = [Decimal(112000), *[None] * (n - 1)]
+    high = [Decimal(70000), Decimal(70000), Decimal(80000), *[None] * (n - 3)]
+    # A vacancy of the first employer whose title does not match must not count.
+    frame = vacancy_frame(
+        spark,
+        name=["Аналитик данных"] * n + ["Инженер"],
+        employer=[*employers, "СБЕР"],
+        employment=[FULL_TIME] * (n + 1),
+        schedule=[FULL_DAY] * (n + 1),
+        salary_from=[*low, Decimal(1)],
+        salary_to=[*high, Decimal(1)],
+    )
+    result = vacancies.analyst_workplaces(frame)
+    assert result.columns == [
+        "employer",
+        "num_vacancies",
+        "avg_salary_from",
+        "avg_salary_to",
+        "employment",
+        "schedule",
+    ]
+    assert rows(result)[:3] == [
+        ("СБЕР", 103, Decimal("112000.00"), Decimal("73333.33"), FULL_TIME, FULL_DAY),
+        ("Банк ВТБ (ПАО)", 25, None, None, FULL_TIME, FULL_DAY),
+        ("Ozon", 18, None, None, FULL_TIME, FULL_DAY),
+    ]
+
+
+def test_skill_mentions_all_slots(spark):
+    frame = vacancy_frame(
+        spark, key_skills_1=spread(SKILLS, 1801), key_skills_2=["SQL"] * 1801, soft_skills_1=[None, ""] + ["x"] * 1799
+    )
+    result = vacancies.skill_mentions_all_slots(frame)
+    assert result.columns == ["slot", "skill", "num_mention"]
+    found = {(slot, skill): n for slot, skill, n in rows(result)}
+    assert {skill: found["key_skills_1", skill] for skill in SKILLS} == SKILLS
+    assert found["key_skills_2", "SQL"] == 1801
+    assert found["soft_skills_1", None] == found["soft_skills_1", ""] == 1
+    assert found["key_skills_3", None] == found["soft_skills_2", None] == 1801
+
+
+def users_frame(spark, n, **columns):
+    """`n` users numbered from 0; columns are expressions of `id`."""
+    return spark.range(n).select(
+        "id",
+        *[columns.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in USERS.fields[1:]],
+    )
+
+
+def ladder(value_counts):
+    """Expression of `id` giving each value to so many ids in turn."""
+    expr, upto = None, 0
+    for value, n in value_counts[:-1]:
+        upto += n
+        arm = F.col("id") < upto
+        expr = F.when(arm, F.lit(value)) if expr is None else expr.when(arm, F.lit(value))
+    return expr.otherwise(F.lit(value_counts[-1][0]))
+
+
+def test_top_regions(spark):
+    published = [
+        (None, 100574),
+        ("Россия, Москва", 37819),
+        ("Россия, Санкт-Петербург", 13137),
+        ("Россия, Татарстан, Казань", 6610),
+        ("Украина, Киевская область, Киев", 3541),
+    ]
+    others = [(f"город {i}", 3500 - i) for i in range(10)]
+    groups = others + published
+    users = users_frame(spark, sum(n for _, n in groups), region=ladder(groups))
+    assert rows(donors.top_regions(users)) == published
+
+
+def test_donations_by_month(spark):
+    counts = {"2021-12-31": 40, "2022-01-31": 1977, "2022-02-01": 2109, "2022-03-15": 3002, "2023-12-31": 7}
+    counts["2024-01-01"] = 50
+    days = [dt.date.fromisoformat(day) for day, n in counts.items() for _ in range(n)]
+    frame = spark.createDataFrame([(i, i, day) for i, day in enumerate(days)], DONATIONS)
+    result = donors.donations_by_month(frame)
+    assert result.columns == ["month", "donation_count"]
+    assert rows(result) == [
+        (dt.date(2022, 1, 1), 1977),
+        (dt.date(2022, 2, 1), 2109),
+        (dt.date(2022, 3, 1), 3002),
+        (dt.date(2023, 12, 1), 7),
+    ]
+
+
+def test_most_active_donors(spark):
+    id_ = F.col("id")
+    amount = F.when(id_ == 235391, 361).when(id_ == 273317, 257).when(id_ == 211970, 236).otherwise(id_ % 200)
+    result = rows(donors.most_active_donors(users_frame(spark, 277599, confirmed_donations=amount)))
+    assert result[:3] == [(235391, 361), (273317, 257), (211970, 236)]
+    assert result[3:] == [(199 + 200 * i, 199) for i in range(7)]
+
+
+def test_bonus_effect(spark):
+    donated = ladder([(14, 18997), (13, 2111), (1, 135940), (0, 120551)])
+    users = users_frame(spark, 277599, confirmed_donations=donated)
+    # After the rewarded: rows with nothing, rows with NULL, and users without a row.
+    bonus = F.when(F.col("id") < 21108, 5).when(F.col("id") < 31108, 0)
+    bonuses = spark.range(41108).select(
+        F.col("id").alias("user_id"), bonus.cast(BONUSES["user_bonus_count"].dataType).alias("user_bonus_count")
+    )
+    result = donors.bonus_effect(users, bonuses)
+    assert result.columns == ["статус_бонусов", "количество_доноров", "среднее_количество_донаций"]
+    found = {status: (n, round(mean, 2)) for status, n, mean in rows(result)}
+    assert found == {"Получили бонусы": (21108, 13.90), "Не получали бонусы": (256491, 0.53)}
+
+
+def test_sign_in_networks(spark):
+    groups = [("vk", 127254), ("tg", 481), ("google", 14292), ("none", 100)]
+    donated = {"vk": 115801, "tg": 563, "google": 15435}
+    network = ladder(groups)
+    starts, total = {}, 0
+    for name, n in groups:
+        starts[name] = total
+        total += n
+    # Everybody gets the quotient, the first so many one more.
+    amount = F.lit(0)
+    for name, n in groups[:-1]:
+        each, more = divmod(donated[name], n)
+        amount = F.when(network == name, F.lit(each) + (F.col("id") < starts[name] + more).cast("int")).otherwise(amount)
+    users = users_frame(
+        spark,
+        total,
+        confirmed_donations=amount,
+        autho_vk=network == "vk",
+        autho_tg=network.isin("tg", "vk"),
+        autho_google=F.when(network != "none", network.isin("google", "tg", "vk")),
+    )
+    result = donors.sign_in_networks(users)
+    assert result.columns == ["социальная_сеть", "количество_доноров", "среднее_количество_донаций"]
+    found = {label: (n, round(mean, 2)) for label, n, mean in rows(result)}
+    assert found == {
+        "ВКонтакте": (127254, 0.91),
+        "Telegram": (481, 1.17),
+        "Google": (14292, 1.08),
+        "Без авторизации через соцсети": (100, 0.0),
+    }
+
+
+@pytest.fixture(scope="module")
+def ancient(spark):
+    users = [
+        (1, dt.date(201, 1, 1), 26, 663670),
+        (2, dt.date(207, 1, 1), 37, 661775),
+        (3, dt.date(208, 1, 1), 7, 660907),
+        (4, dt.date(214, 12, 31), 39, 658841),
+        (5, dt.date(1900, 1, 1), 7, 45136),
+        (6, dt.date(2020, 5, 5), 1, 0),
+    ]
+    days = [
+        (user, first + dt.timedelta(days=span if i == n - 1 else 0)) for user, first, n, span in users for i in range(n)
+    ]
+    return spark.createDataFrame([(i, user, day) for i, (user, day) in enumerate(days)], DONATIONS)
+
+
+@pytest.mark.parametrize("codegen", [True, False])
+def test_repeat_donor_cohorts(ancient, conf, codegen):
+    if not codegen:
+        conf(codegen__wholeStage="false", codegen__factoryMode="NO_CODEGEN")
+    result = donors.repeat_donor_cohorts(ancient, "2024-12-03")
+    assert result.columns == [
+        "first_donation_year",
+        "donation_frequency_group",
+        "donor_count",
+        "avg_donations_per_donor",
+        "avg_activity_duration_days",
+        "avg_days_between_donations",
+        "avg_years_since_first_donation",
+    ]
+    many = "6 и более донаций"
+    assert rows(result) == [
+        (201, many, 1, 26, 663670, 26546, 1823),
+        (207, many, 1, 37, 661775, 18382, 1817),
+        (208, many, 1, 7, 660907, 110151, 1816),
+        (214, many, 1, 39, 658841, 17337, 1809),
+        (1900, many, 1, 7, 45136, 7522, 124),
+    ]
+
+
+def test_plan_completion(spark):
+    parts = [("Безвозмездно", 22903, 4950), ("Платно", 3299, 429)]
+    plans, facts = [], []
+    offset = 0
+    for kind, total, met in parts:
+        ids = spark.range(offset, offset + total).select(F.col("id").alias("user_id"))
+        day = F.date_add(F.lit(dt.date(2023, 1, 1)), (F.col("user_id") % 300).cast("int"))
+        plans.append(ids.select("user_id", day.alias("donation_date"), F.lit(kind).alias("donation_type")))
+        done = F.col("user_id") < offset + met
+        facts.append(ids.select("user_id", F.when(done, day).otherwise(F.date_add(day, 1)).alias("donation_date")))
+        offset += total
+    plan = reduce(lambda left, right: left.unionByName(right), plans)
+    assert [f.dataType for f in plan.schema] == [f.dataType for f in PLAN]
+    result = donors.plan_completion(plan, facts[0].unionByName(facts[1]))
+    assert result.columns == [
+        "donation_type",
+        "total_planned_donations",
+        "completed_donations",
+        "completion_rate",
+    ]
+    assert sorted(rows(result)) == [
+        ("Безвозмездно", 22903, 4950, Decimal("21.61")),
+        ("Платно", 3299, 429, Decimal("13.00")),
+    ]
