@@ -39,45 +39,27 @@ def treatment_comparison(
     once per row. With `dedup_right` each unit row counts once, as treated if any
     of its treatment rows is positive.
 
-    Since only sums per key are needed, both sides go through one aggregation
-    on the key instead of a join: a single shuffle, combined on the map side,
-    with nothing sorted and nothing broadcast.
+    The join is one row to one row per key and keeps the partitioning of the two
+    aggregations, so it adds no shuffle to them.
     """
     unit_key, treatment_key = (on, on) if isinstance(on, str) else on
-    mean_as = mean_as or f"avg_{outcome}"
     positive = F.coalesce(F.col(flag_col) > 0, F.lit(False))
     # Integers are summed as `avg` sums them; decimals stay exact.
     is_decimal = isinstance(units.schema[outcome].dataType, T.DecimalType)
     value = F.col(outcome) if is_decimal else F.col(outcome).cast("double")
 
-    unit_rows = units.select(
-        F.col(unit_key).alias("key"),
-        F.lit(1).alias("units"),
-        value.alias("outcome"),
-        F.lit(0).alias("positive"),
-        F.lit(0).alias("other"),
+    per_key = units.groupBy(F.col(unit_key).alias("key")).agg(
+        F.count("*").alias("units"),
+        F.count(value).alias("outcomes"),
+        F.sum(value).alias("outcome_sum"),
     )
-    treatment_rows = treatment.where(F.col(treatment_key).isNotNull()).select(
-        F.col(treatment_key).alias("key"),
-        F.lit(0).alias("units"),
-        F.lit(None).cast(unit_rows.schema["outcome"].dataType).alias("outcome"),
-        positive.cast("int").alias("positive"),
-        (~positive).cast("int").alias("other"),
-    )
-    per_key = (
-        unit_rows.unionByName(treatment_rows)
-        .groupBy("key")
-        .agg(
-            F.sum("units").alias("units"),
-            F.count("outcome").alias("outcomes"),
-            F.sum("outcome").alias("outcome_sum"),
-            F.sum("positive").alias("positive"),
-            F.sum("other").alias("other"),
-        )
-        .where(F.col("units") > 0)
+    treated = (
+        treatment.where(F.col(treatment_key).isNotNull())
+        .groupBy(F.col(treatment_key).alias("key"))
+        .agg(F.count_if(positive).alias("positive"), F.count_if(~positive).alias("other"))
     )
     as_treated, as_untreated = _rows_per_unit(dedup_right)
-    weighed = per_key.select(
+    weighed = per_key.join(treated, "key", "left").select(
         "units",
         "outcomes",
         "outcome_sum",
@@ -99,7 +81,7 @@ def treatment_comparison(
         return F.struct(
             F.lit(label).alias(status_as),
             F.col(f"ids_{weight}").alias(count_as),
-            (F.col(f"outcome_sum_{weight}").cast("double") / n).alias(mean_as),
+            (F.col(f"outcome_sum_{weight}").cast("double") / n).alias(mean_as or f"avg_{outcome}"),
             F.col(f"units_{weight}").alias("joined_rows"),
         )
 
@@ -109,12 +91,11 @@ def treatment_comparison(
 
 def _rows_per_unit(dedup_right: bool) -> tuple[Column, Column]:
     """Joined rows, treated and untreated, that one unit row of a key yields."""
-    positive, other = F.col("positive"), F.col("other")
+    positive, other = F.coalesce("positive", F.lit(0)), F.coalesce("other", F.lit(1))
     if dedup_right:
-        treated = (positive > 0).cast("bigint")
+        treated = (positive > 0).cast("int")
         return treated, 1 - treated
-    unmatched = (positive + other) == 0
-    return positive, F.when(unmatched, F.lit(1)).otherwise(other)
+    return positive, other
 
 
 def first_match_segment(
