@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Iterable, Sequence
 from decimal import Decimal
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,7 @@ def contains_any(col: ColumnOrName, phrases: Iterable[str]) -> Column:
     tests = [as_column(col).contains(phrase) for phrase in phrases]
     if not tests:
         raise ValueError("at least one phrase is needed")
-    return reduce(lambda left, right: left | right, tests)
+    return reduce(or_, tests)
 
 
 def first_match(arms: Sequence[tuple[ColumnOrName, str]], default: str) -> Column:

@@ -11,6 +11,8 @@ a bigint raises an error in ANSI mode, Spark's default.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +80,16 @@ def treatment_comparison(
 
     def status_row(label: str, weight: str) -> Column:
         n = F.nullif(F.col(f"outcomes_{weight}"), F.lit(0))
-        return F.struct(
+        row = F.struct(
             F.lit(label).alias(status_as),
             F.col(f"ids_{weight}").alias(count_as),
             (F.col(f"outcome_sum_{weight}").cast("double") / n).alias(mean_as or f"avg_{outcome}"),
-            F.col(f"units_{weight}").alias("joined_rows"),
         )
+        # A status without joined rows has no row, as in any grouping.
+        return F.when(F.col(f"units_{weight}") > 0, row)
 
-    rows = F.array(status_row(labels[0], "w_treated"), status_row(labels[1], "w_untreated"))
-    return sums.select(F.inline(rows)).where(F.col("joined_rows") > 0).drop("joined_rows")
+    both = F.array(status_row(labels[0], "w_treated"), status_row(labels[1], "w_untreated"))
+    return sums.select(F.inline(F.array_compact(both)))
 
 
 def _rows_per_unit(dedup_right: bool) -> tuple[Column, Column]:
@@ -147,7 +150,8 @@ def plan_fulfilment(
 
     planned = plan.groupBy(*plan_keys, F.col(by).alias("by")).agg(F.count("*").alias("plan_rows"))
     met = F.lit(1).cast("bigint") if dedup_right else F.count("*")
-    done = actual.select(*actual_keys).dropna(subset=keys).groupBy(*keys).agg(met.alias("actual_rows"))
+    matchable = [F.col(right).isNotNull() for _, right in pairs]
+    done = actual.where(reduce(and_, matchable)).groupBy(*actual_keys).agg(met.alias("actual_rows"))
 
     pairs_made = F.col("plan_rows") * F.col("actual_rows")
     totals = (

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Set for every session. Sizes and partition counts are left to the cluster:
-# adaptive execution merges small shuffle partitions, so a large number there
-# costs little on small data.
+# Set for every session. Partition counts are left to the cluster: adaptive
+# execution merges small shuffle partitions, so a large number there costs
+# little on small data.
+#
+# A side of a join is broadcast only once its shuffle has been measured. The
+# estimate made before execution rests on compressed file sizes, and a few
+# megabytes of Parquet can hold a hundred million keys.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.ui.enabled": "false",
 }
 

@@ -6,6 +6,8 @@ dates in the types that the rounding and day rules need.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,9 +58,13 @@ PLAN = T.StructType(
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet files, with a declared schema where one is known."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """Parquet files; without a declared schema, that of the files, looked up once."""
+    return spark.read.schema(schema or _schema_of_files(spark, path)).parquet(path)
+
+
+@lru_cache(maxsize=256)
+def _schema_of_files(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.parquet(path).schema
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
