@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tallywright import operators as op
 from tallywright.functions.semantics import DateLike
@@ -38,13 +38,15 @@ def bonus_effect(users: DataFrame, bonuses: DataFrame, dedup_right: bool = False
     )
 
 
-def sign_in_networks(users: DataFrame) -> DataFrame:
+def sign_in_networks(users: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """All users by default; a predicate can keep, say, those who donated."""
     return op.first_match_segment(
         users,
         fixed.SIGN_IN_LABELS,
         fixed.NO_SIGN_IN,
         "id",
         "confirmed_donations",
+        predicate,
         segment_as=fixed.NETWORK,
         count_as=fixed.DONOR_COUNT,
         mean_as=fixed.MEAN_DONATIONS,

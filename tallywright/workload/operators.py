@@ -8,6 +8,8 @@ rounds in whole hundredths.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,14 @@ TEXT_WORDS = ("under", "Then")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_files(spark, f"{sf_dir}/{name}.parquet")
+    """A given table; these do not change, so the files' schema is looked up once."""
+    path = f"{sf_dir}/{name}.parquet"
+    return read_files(spark, path, _schema(spark, path))
+
+
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    return read_files(spark, path).schema
 
 
 def plain(df: DataFrame) -> DataFrame:
