@@ -8,10 +8,11 @@ from pyspark.sql import SparkSession
 # execution merges small shuffle partitions, so a large number there costs
 # little on small data.
 #
-# A side of a join is broadcast, or hashed within each task instead of sorted,
-# only once its shuffle has been measured; beyond the limits the join sorts and
-# merges, and spills. The estimate made before execution rests on compressed
-# file sizes, and a few megabytes of Parquet can hold a hundred million keys.
+# A side of a join is broadcast only once its shuffle has been measured; beyond
+# the limit the join sorts and merges, and spills. The estimate made before
+# execution rests on compressed file sizes, and a few megabytes of Parquet can
+# hold a hundred million keys. Hash joins within a task are left off as well:
+# they save the sort, but cannot spill when memory is short.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -20,7 +21,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.ui.enabled": "false",
 }
 

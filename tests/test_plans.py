@@ -136,18 +136,9 @@ def test_small_right_side_is_broadcast_once_measured(spark):
     assert "BroadcastHashJoin" in explain(df).split("Initial Plan")[0]
 
 
-def test_side_beyond_the_broadcast_limit_is_hashed_per_task(spark, conf):
-    conf(adaptive__autoBroadcastJoinThreshold="1b")
-    df = QUERIES["plan_fulfilment_lines"](spark, SF_DIR)
-    df.collect()
-    final = explain(df).split("Initial Plan")[0]
-    assert "ShuffledHashJoin" in final
-    assert "Broadcast" not in final
-
-
 @pytest.mark.parametrize("name", ["plan_fulfilment_lines", "treatment_comparison_hot_key"])
-def test_right_side_beyond_both_limits_is_sorted_and_merged(spark, conf, name):
-    conf(adaptive__autoBroadcastJoinThreshold="1b", adaptive__maxShuffledHashJoinLocalMapThreshold="0")
+def test_right_side_beyond_the_limit_is_sorted_and_merged(spark, conf, name):
+    conf(adaptive__autoBroadcastJoinThreshold="1b")
     df = QUERIES[name](spark, SF_DIR)
     df.collect()
     final = explain(df).split("Initial Plan")[0]

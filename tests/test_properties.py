@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 from collections import Counter
 from decimal import ROUND_HALF_UP, Decimal
@@ -161,3 +162,76 @@ def test_result_depends_neither_on_layout_nor_on_code_generation(spark, conf, ta
     assert sorted(rows(ALL[name](table)), key=str) == expected
     conf(ansi__enabled="false")
     assert sorted(rows(ALL[name](table)), key=str) == expected
+
+
+@pytest.fixture
+def dated(spark, rng):
+    start = dt.date(2019, 2, 25)
+    data = [
+        (i, skewed_key(rng, 150), rng.choice([None, *[start + dt.timedelta(days=rng.randrange(2200))] * 12]))
+        for i in range(900)
+    ]
+    return spark.createDataFrame(data, "id int, user int, day date")
+
+
+def full_years(since, until):
+    if since > until:
+        return -full_years(until, since)
+    return until.year - since.year - ((until.month, until.day) < (since.month, since.day))
+
+
+def mean(values):
+    kept = [value for value in values if value is not None]
+    return sum(kept) / len(kept) if kept else None
+
+
+def test_cohorts_equal_brute_force(dated):
+    as_of = dt.date(2022, 2, 28)  # before some first events
+    per_user = {}
+    for row in dated.collect():
+        per_user.setdefault(row.user, []).append(row.day)
+    groups = {}
+    for user, days in per_user.items():
+        n, known = len(days), [day for day in days if day is not None]
+        if n < 2:
+            continue
+        first, last = (min(known), max(known)) if known else (None, None)
+        span = (last - first).days if known else None
+        band = "2-3" if n <= 3 else "4-5" if n <= 5 else "6+"
+        key = (first.year if known else None, band)
+        gap = None if span is None else span // (n - 1)
+        groups.setdefault(key, []).append((user, n, span, gap, full_years(first, as_of) if known else None))
+    expected = [
+        (*key, sum(user is not None for user, *_ in users), *[mean(column) for column in list(zip(*users, strict=True))[1:]])
+        for key, users in groups.items()
+    ]
+    found = rows(op.repeat_cohorts(dated, "user", "day", as_of))
+    assert len(found) > 5
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert found == sorted(found, key=lambda row: (row[0] is None, row[0] or 0, row[1]))
+
+
+def test_volumes_equal_brute_force(dated):
+    first, last = dt.date(2020, 2, 29), dt.date(2021, 12, 31)
+    days = [row.day for row in dated.collect() if row.day is not None and first <= row.day <= last]
+    expected = sorted(Counter(day.replace(day=1) for day in days).items())
+    assert rows(op.monthly_volume(dated, "day", "id", first, last)) == expected
+
+
+def test_segments_equal_brute_force(table):
+    found = rows(op.first_match_segment(table, [(F.col("m") > 50, "high"), (F.col("k") == 0, "hot")], "no", "k", "m"))
+    groups = {}
+    for row in table.collect():
+        label = "high" if (row.m or 0) > 50 else "hot" if row.k == 0 else "no"
+        groups.setdefault(label, []).append(row)
+    expected = [
+        (label, sum(row.k is not None for row in group), mean([row.m for row in group]))
+        for label, group in groups.items()
+    ]
+    assert sorted(found) == sorted(expected)
+
+
+def test_summary_equals_brute_force(table):
+    known = [row.m for row in table.collect() if row.m is not None]
+    average = (Decimal(sum(known)) / len(known)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+    assert rows(op.numeric_summary(table, ["m"])) == [(average, min(known), max(known))]
