@@ -15,7 +15,12 @@ from tests.conftest import rows
 
 FULL_DAY = "Полный день"
 FULL_TIME = "Полная занятость"
-GRADES = {"Junior+ (1-3 years)": 1091, "Middle (3-6 years)": 555, "Junior (no experience)": 142, "Senior (6+ years)": 13}
+GRADES = {
+    "Junior+ (1-3 years)": 1091,
+    "Middle (3-6 years)": 555,
+    "Junior (no experience)": 142,
+    "Senior (6+ years)": 13,
+}
 
 
 def spread(counts: dict, total: int, small: int = 20) -> list:
@@ -249,7 +254,8 @@ def test_sign_in_networks(spark):
     amount = F.lit(0)
     for name, n in groups[:-1]:
         each, more = divmod(donated[name], n)
-        amount = F.when(network == name, F.lit(each) + (F.col("id") < starts[name] + more).cast("int")).otherwise(amount)
+        one_more = (F.col("id") < starts[name] + more).cast("int")
+        amount = F.when(network == name, F.lit(each) + one_more).otherwise(amount)
     users = users_frame(
         spark,
         total,

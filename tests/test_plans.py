@@ -89,7 +89,10 @@ def test_top_k_does_not_sort_everything(spark, name):
         ("treatment_comparison", ["doc_id,n_chars", "doc_id,quality"]),
         ("repeat_cohorts", ["o_custkey,o_orderdate"]),
         ("report_analyst_vacancy_count", ["p_name"]),
-        ("report_plan_completion", ["o_custkey,o_orderdate,o_orderstatus,o_totalprice", "o_custkey,o_orderdate,o_orderpriority"]),
+        (
+            "report_plan_completion",
+            ["o_custkey,o_orderdate,o_orderstatus,o_totalprice", "o_custkey,o_orderdate,o_orderpriority"],
+        ),
     ],
 )
 def test_only_needed_columns_are_read(spark, name, columns):
@@ -99,7 +102,10 @@ def test_only_needed_columns_are_read(spark, name, columns):
 @pytest.mark.parametrize(
     ("name", "filters"),
     [
-        ("monthly_volume", ["GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)", "LessThan(o_orderdate,1998-01-01T00:00)"]),
+        (
+            "monthly_volume",
+            ["GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)", "LessThan(o_orderdate,1998-01-01T00:00)"],
+        ),
         ("monthly_volume_ts", ["GreaterThanOrEqual(ts,2024-01-05T00:00)", "LessThan(ts,2024-01-21T00:00)"]),
         ("keyword_count", ["Or(StringContains(p_name,ring),StringContains(p_name,bolt))"]),
         ("segment_profile", ["Or(StringContains(p_name,ring),StringContains(p_name,bolt))"]),

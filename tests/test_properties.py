@@ -89,7 +89,10 @@ def test_profile_means(table):
 
 @pytest.fixture
 def sides(spark, rng):
-    left = [(skewed_key(rng, 30), rng.randrange(5), rng.choice("xyz"), rng.choice([None, rng.randrange(9)])) for _ in range(400)]
+    left = [
+        (skewed_key(rng, 30), rng.randrange(5), rng.choice("xyz"), rng.choice([None, rng.randrange(9)]))
+        for _ in range(400)
+    ]
     right = [(skewed_key(rng, 30), rng.choice([None, 0, 1, 2, 3, 4]), rng.choice([None, 0, 1])) for _ in range(300)]
     return (
         spark.createDataFrame(left, "k int, day int, kind string, m int"),
@@ -144,10 +147,14 @@ ALL = {
     "profile": lambda t: op.segment_profile(t, ["s", "k"], ["m"]),
     "top groups": lambda t: op.top_groups(t, "s", "id", 3),
     "top rows": lambda t: op.top_rows(t, "id", "m", 9),
-    "segment": lambda t: op.first_match_segment(t, [(F.col("m") > 50, "high"), (F.col("m") > 0, "low")], "no", "id", "m"),
+    "segment": lambda t: op.first_match_segment(
+        t, [(F.col("m") > 50, "high"), (F.col("m") > 0, "low")], "no", "id", "m"
+    ),
     "comparison": lambda t: op.treatment_comparison(t, t, "k", "m", "id"),
     "fulfilment": lambda t: op.plan_fulfilment(t, t.where("m > 0"), ["k", "m"], "s"),
-    "cohorts": lambda t: op.repeat_cohorts(t.withColumn("d", F.date_add(F.lit("2020-02-29").cast("date"), F.col("m"))), "k", "d", "2024-12-03"),
+    "cohorts": lambda t: op.repeat_cohorts(
+        t.select("k", F.date_add(F.lit("2020-02-29").cast("date"), F.col("m")).alias("d")), "k", "d", "2024-12-03"
+    ),
 }
 
 
@@ -201,10 +208,10 @@ def test_cohorts_equal_brute_force(dated):
         key = (first.year if known else None, band)
         gap = None if span is None else span // (n - 1)
         groups.setdefault(key, []).append((user, n, span, gap, full_years(first, as_of) if known else None))
-    expected = [
-        (*key, sum(user is not None for user, *_ in users), *[mean(column) for column in list(zip(*users, strict=True))[1:]])
-        for key, users in groups.items()
-    ]
+    expected = []
+    for key, users in groups.items():
+        ids, *columns = zip(*users, strict=True)
+        expected.append((*key, sum(user is not None for user in ids), *map(mean, columns)))
     found = rows(op.repeat_cohorts(dated, "user", "day", as_of))
     assert len(found) > 5
     assert sorted(found, key=str) == sorted(expected, key=str)

@@ -47,8 +47,9 @@ def test_reports_over_catalog_tables(spark):
 
 def test_partitioned_table_is_pruned_by_the_period(spark, tmp_path, capsys):
     path = str(tmp_path / "t")
-    days = spark.range(1200).select("id", F.date_add(F.lit("2021-06-01").cast("date"), F.col("id").cast("int")).alias("d"))
-    days.withColumn("donation_date", F.trunc("d", "month")).write.partitionBy("donation_date").parquet(path)
+    day = F.date_add(F.lit("2021-06-01").cast("date"), F.col("id").cast("int"))
+    months = spark.range(1200).withColumn("donation_date", F.trunc(day, "month"))
+    months.write.partitionBy("donation_date").parquet(path)
     result = donors.donations_by_month(read_files(spark, path))
     result.explain()
     plan = capsys.readouterr().out
