@@ -129,6 +129,7 @@ def plan_fulfilment(
     scale: int = 2,
     *,
     dedup_right: bool = False,
+    combine_plan: bool = True,
     planned_as: str = "planned",
     completed_as: str = "completed",
     rate_as: str = "completion_rate",
@@ -140,15 +141,22 @@ def plan_fulfilment(
     planned and as completed; one with a NULL in its key counts as planned. With
     `dedup_right` every plan row counts once.
 
-    The join itself is one row to one row per key, so Spark may choose either
-    algorithm, and broadcasts the right side only below its own size limit.
+    The join is one row to one row per key and `by`, so a key may hold any part
+    of the rows. The combined plan rows are shuffled once more to meet the other
+    side. `combine_plan=False` spares that shuffle: the result is the same, but
+    all plan rows of a key then go to one task, so it is for plans in which no
+    key is frequent.
     """
     pairs = [(name, name) if isinstance(name, str) else name for name in on]
     keys = [f"key_{i}" for i in range(len(pairs))]
     plan_keys = [F.col(left).alias(key) for (left, _), key in zip(pairs, keys, strict=True)]
     actual_keys = [F.col(right).alias(key) for (_, right), key in zip(pairs, keys, strict=True)]
 
-    planned = plan.groupBy(*plan_keys, F.col(by).alias("by")).agg(F.count("*").alias("plan_rows"))
+    planned = plan.select(*plan_keys, F.col(by).alias("by"))
+    if combine_plan:
+        planned = planned.groupBy(*keys, "by").agg(F.count("*").alias("plan_rows"))
+    else:
+        planned = planned.withColumn("plan_rows", F.lit(1).cast("bigint"))
     met = F.lit(1).cast("bigint") if dedup_right else F.count("*")
     matchable = [F.col(right).isNotNull() for _, right in pairs]
     done = actual.where(reduce(and_, matchable)).groupBy(*actual_keys).agg(met.alias("actual_rows"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright import operators as op
-from tallywright.functions import contains_any
+from tallywright.functions import contains_any, date_bucket
 from tallywright.sources import read_files
 
 AS_OF = "2024-12-03"
@@ -368,11 +368,22 @@ def plan_fulfilment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(op.plan_fulfilment(plan, actual, ["user_id", "day"], "kind", dedup_right=True))
 
 
+def plan_fulfilment_rare_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No key is frequent in the plan (a few lines per order and year), so its rows move once."""
+    plan = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), date_bucket("l_shipdate", "year").alias("year"), "l_returnflag"
+    )
+    actual = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), date_bucket("o_orderdate", "year").alias("year")
+    )
+    return plain(op.plan_fulfilment(plan, actual, ["id", "year"], "l_returnflag", combine_plan=False))
+
+
 def plan_fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large sides, and a supplier holding a third of the rows of both."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_suppkey")).alias("supplier"),
-        F.trunc("l_shipdate", "month").alias("month"),
+        date_bucket("l_shipdate").alias("month"),
         "l_linestatus",
         "l_linenumber",
     )
@@ -421,6 +432,7 @@ QUERIES = {
         repeat_cohorts_hot_user,
         plan_fulfilment,
         plan_fulfilment_dedup,
+        plan_fulfilment_rare_keys,
         plan_fulfilment_lines,
     )
 }
@@ -631,6 +643,12 @@ ORACLE = {
     ),
     "plan_fulfilment": _sql_fulfilment(_VIEW_PLAN, _PURCHASES.format(""), ("user_id", "day"), "kind"),
     "plan_fulfilment_dedup": _sql_fulfilment(_VIEW_PLAN, _PURCHASES.format("DISTINCT"), ("user_id", "day"), "kind"),
+    "plan_fulfilment_rare_keys": _sql_fulfilment(
+        "SELECT l_orderkey AS id, year(l_shipdate) AS year, l_returnflag FROM lineitem",
+        "SELECT o_orderkey AS id, year(o_orderdate) AS year FROM orders",
+        ("id", "year"),
+        "l_returnflag",
+    ),
     "plan_fulfilment_lines": _sql_fulfilment(
         _LINES.format("O"), _LINES.format("F"), ("supplier", "month"), "l_linenumber"
     ),

@@ -124,8 +124,9 @@ def test_deduplicated_comparison_counts_units_once(sides):
     assert found == {"treated": treated, "untreated": len(with_id) - treated}
 
 
+@pytest.mark.parametrize("combine", [False, True])
 @pytest.mark.parametrize("dedup", [False, True])
-def test_fulfilment_equals_the_join_row_by_row(sides, dedup):
+def test_fulfilment_equals_the_join_row_by_row(sides, dedup, combine):
     left, right = sides[0].collect(), sides[1].collect()
     actual = [(row.k, row.day) for row in right if row.k is not None and row.day is not None]
     met = Counter(set(actual) if dedup else actual)
@@ -135,7 +136,7 @@ def test_fulfilment_equals_the_join_row_by_row(sides, dedup):
         planned[row.kind] += n or 1
         completed[row.kind] += n
     expected = [(kind, planned[kind], completed[kind], half_up(completed[kind], planned[kind])) for kind in planned]
-    found = rows(op.plan_fulfilment(*sides, ["k", "day"], "kind", dedup_right=dedup))
+    found = rows(op.plan_fulfilment(*sides, ["k", "day"], "kind", dedup_right=dedup, combine_plan=combine))
     assert sorted(found) == sorted(expected)
     assert all(done <= total for _, total, done, _ in found)
 
