@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 
-# Set for every session. Partition counts are left to the cluster: adaptive
-# execution merges small shuffle partitions, so a large number there costs
-# little on small data.
+# Set for every session. The number of shuffle partitions depends on the data:
+# see `shuffle_partitions`.
 #
 # A side of a join is broadcast only once its shuffle has been measured; beyond
 # the limit the join sorts and merges, and spills. The estimate made before
@@ -25,13 +26,38 @@ SETTINGS = {
 }
 
 
+PARTITION_BYTES = 128 * 1024**2
+FEWEST_PARTITIONS = 200
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Partitions for a shuffle of this size, small enough to be held in memory.
+
+    Adaptive execution merges partitions but does not split those of an
+    aggregation, so the number must suit the largest shuffle; too many cost
+    little. A count or a sum shuffles about 30 bytes per task and group, and at
+    most per input row.
+    """
+    return max(FEWEST_PARTITIONS, math.ceil(shuffled_bytes / PARTITION_BYTES))
+
+
 def build_session(
-    app_name: str = "tallywright", master: str | None = None, settings: dict[str, str] | None = None
+    app_name: str = "tallywright",
+    master: str | None = None,
+    settings: dict[str, str] | None = None,
+    shuffled_bytes: int | None = None,
 ) -> SparkSession:
-    """Session for the reports; `settings` adds to or overrides the above."""
+    """Session for the reports; `settings` adds to or overrides the above.
+
+    With `shuffled_bytes`, the size of the largest shuffle expected, the number
+    of shuffle partitions is set for it; otherwise it is left to the cluster.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **(settings or {})}.items():
+    sized = {}
+    if shuffled_bytes is not None:
+        sized["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffled_bytes))
+    for key, value in {**SETTINGS, **sized, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
