@@ -456,7 +456,7 @@ _ALL_COUNTS = "(SELECT CAST(SUM(num) AS BIGINT) FROM counts)"
 def _sql_treatment(units: str, treatment: str, unit_key: str, treatment_key: str, flag: str, outcome: str) -> str:
     return f"""
         WITH units AS ({units}), treatment AS ({treatment})
-        SELECT CASE WHEN COALESCE(t.{flag}, 0) > 0 THEN 'treated' ELSE 'untreated' END AS status,
+        SELECT CASE WHEN t.{flag} > 0 THEN 'treated' ELSE 'untreated' END AS status,
                COUNT(u.{unit_key}) AS num,
                CAST(SUM(u.{outcome}) AS DOUBLE) / COUNT(u.{outcome}) AS avg_{outcome}
         FROM units u LEFT JOIN treatment t ON u.{unit_key} = t.{treatment_key}
@@ -487,13 +487,10 @@ def _sql_cohorts(source: str, user: str, day: str, band: str) -> str:
 
 
 def _sql_fulfilment(plan: str, actual: str, keys: tuple[str, str], by: str) -> str:
-    first, second = keys
     return f"""
-        WITH plan AS ({plan}), actual AS ({actual}), both_sides AS (
-            SELECT p.{by}, a.{first} AS met FROM plan p
-            LEFT JOIN actual a ON p.{first} = a.{first} AND p.{second} = a.{second}
-        ), counts AS (
-            SELECT {by}, COUNT(*) AS planned, COUNT(met) AS completed FROM both_sides GROUP BY {by}
+        WITH plan AS ({plan}), actual AS (SELECT *, 1 AS met FROM ({actual})), counts AS (
+            SELECT {by}, COUNT(*) AS planned, COUNT(met) AS completed
+            FROM plan LEFT JOIN actual USING ({', '.join(keys)}) GROUP BY {by}
         )
         SELECT {by}, planned, completed, {sql_percent('completed', 'planned')} AS completion_rate FROM counts"""
 
@@ -504,7 +501,7 @@ _VIEW_PLAN = """
 _PURCHASES = "SELECT {} user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'"
 _LINES = """
     SELECT CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_suppkey END AS supplier,
-           CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_linenumber
+           CAST(date_trunc('month', l_shipdate) AS DATE) AS month {}
     FROM lineitem WHERE l_linestatus = '{}'"""
 
 _PRICE, _QUANTITY = sql_cents("l_extendedprice"), sql_cents("l_quantity")
@@ -650,6 +647,6 @@ ORACLE = {
         "l_returnflag",
     ),
     "plan_fulfilment_lines": _sql_fulfilment(
-        _LINES.format("O"), _LINES.format("F"), ("supplier", "month"), "l_linenumber"
+        _LINES.format(", l_linenumber", "O"), _LINES.format("", "F"), ("supplier", "month"), "l_linenumber"
     ),
 }

@@ -231,10 +231,9 @@ ORACLE = {
     "report_most_active_donors": _sql("""
         SELECT id, confirmed_donations FROM users ORDER BY confirmed_donations DESC NULLS FIRST, id LIMIT 10"""),
     "report_bonus_effect": _sql(f"""
-        SELECT CASE WHEN COALESCE(b.user_bonus_count, 0) > 0 THEN '{_GOT}' ELSE '{_GOT_NOT}' END
-                   AS {fixed.BONUS_STATUS},
-               COUNT(u.id) AS {fixed.DONOR_COUNT}, AVG(u.confirmed_donations) AS {fixed.MEAN_DONATIONS}
-        FROM users u LEFT JOIN bonuses b ON u.id = b.user_id GROUP BY 1"""),
+        SELECT CASE WHEN user_bonus_count > 0 THEN '{_GOT}' ELSE '{_GOT_NOT}' END AS {fixed.BONUS_STATUS},
+               COUNT(id) AS {fixed.DONOR_COUNT}, AVG(confirmed_donations) AS {fixed.MEAN_DONATIONS}
+        FROM users LEFT JOIN bonuses ON user_id = id GROUP BY 1"""),
     "report_sign_in_networks": _sql(f"""
         SELECT CASE {_SIGN_IN_CASE} ELSE '{fixed.NO_SIGN_IN}' END AS {fixed.NETWORK},
                COUNT(id) AS {fixed.DONOR_COUNT}, AVG(confirmed_donations) AS {fixed.MEAN_DONATIONS}
@@ -256,8 +255,7 @@ ORACLE = {
         SELECT donation_type, total_planned_donations, completed_donations,
                {sql_percent('completed_donations', 'total_planned_donations')} AS completion_rate FROM counts""",
         """counts AS (
-            SELECT p.donation_type, COUNT(*) AS total_planned_donations, COUNT(a.user_id) AS completed_donations
-            FROM plan p LEFT JOIN donations a ON p.user_id = a.user_id AND p.donation_date = a.donation_date
-            GROUP BY p.donation_type)""",
+            SELECT donation_type, COUNT(*) AS total_planned_donations, COUNT(id) AS completed_donations
+            FROM plan LEFT JOIN donations USING (user_id, donation_date) GROUP BY donation_type)""",
     ),
 }
