@@ -7,7 +7,9 @@ import pytest
 from tallywright.session import SETTINGS, shuffle_partitions
 
 
-@pytest.mark.parametrize(("size", "partitions"), [(0, 200), (10**9, 200), (200 * 128 * 1024**2 + 1, 201), (10**13, 74506)])
+@pytest.mark.parametrize(
+    ("size", "partitions"), [(0, 200), (10**9, 200), (200 * 64 * 1024**2 + 1, 201), (10**13, 149012)]
+)
 def test_partitions_grow_with_the_shuffle(size, partitions):
     assert shuffle_partitions(size) == partitions
 
