@@ -9,9 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from tallywright.workload import operators, reports
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES = {**operators.QUERIES, **reports.QUERIES}
+ORACLE = {**operators.ORACLE, **reports.ORACLE}
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +39,8 @@ def table(columns, data):
 
 def test_every_query_has_its_sql():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.items() <= spark_entry.queries().items()
+    assert ORACLE.items() <= spark_entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -8,10 +8,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as spark_entry
+from tallywright.workload import operators, reports
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = spark_entry.queries()
+QUERIES = {**operators.QUERIES, **reports.QUERIES}
 
 FORBIDDEN = (
     "BatchEvalPython",
