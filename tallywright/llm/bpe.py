@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import col
+
 STATE_LIMIT = 250_000
 MEMO_LIMIT = 600_000
 MEMO_LENGTH = 64
@@ -316,7 +318,7 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
         values = np.concatenate(encoded) if encoded else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
-    return df.withColumn(ids_as, token_ids(F.col(text)))
+    return df.withColumn(ids_as, token_ids(col(text)))
 
 
 def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> DataFrame:
@@ -331,7 +333,7 @@ def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> D
         ends = np.cumsum(lengths)
         return pa.array([decoder.decode(values[e - n : e]) for e, n in zip(ends, lengths)], pa.string())
 
-    return df.withColumn(text_as, text_of(F.col(ids)))
+    return df.withColumn(text_as, text_of(col(ids)))
 
 
 def _items(scalar: pa.ListScalar):

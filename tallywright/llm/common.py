@@ -44,6 +44,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hidden(name: str) -> str:
     """A column name of the operators' own, which no input is expected to carry."""
     return f"__tw_{name}"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe
-from tallywright.llm.common import read
+from tallywright.llm import bpe, mixing, quality, sharding
+from tallywright.llm.common import read, word_count
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,42 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, "ids", ranks).select("doc_id", *bpe.digests(encoded))
 
 
-QUERIES = {run.__name__: run for run in (op1_byte_bpe,)}
+def op2_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into eight shards of near equal bytes."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    sized = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = sharding.shard_by_bytes(sized, ["doc_id", "text_crc32", "size"], "size", 8)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
+def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 1, 2, 3 of their sources in order."""
+    documents = read(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash")
+    )
+    mixed = mixing.mix(documents, "source", F.col("words"), ["doc_id", "text_hash"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of the rule cascade for every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(documents, "text").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op7_entropy_mix, op9_rule_cascade)}
 
 ORACLE: dict[str, str] = {}
