@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import col
+from tallywright.llm.common import col, ship_package
 
 STATE_LIMIT = 250_000
 MEMO_LIMIT = 600_000
@@ -308,6 +308,7 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
     rank file; its size is that of the vocabulary, so it is broadcast. Other
     columns are kept; one called `ids_as` is replaced.
     """
+    ship_package(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("array<int>")
@@ -323,6 +324,7 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
 
 def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> DataFrame:
     """`df` with the text of the token ids in column `ids`; NULL gives the empty text."""
+    ship_package(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("string")

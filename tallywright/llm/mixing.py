@@ -26,7 +26,7 @@ WEIGHTS = (1, 2, 3)
 STEPS = 40
 NEAR = 1e-9
 BINS = 65536
-FILLS = 4
+FILLS = 6
 EXACT = "decimal(38,9)"
 
 
@@ -186,19 +186,17 @@ def cuts(df: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
         .drop("owed", "before", "reached"),
         "mix_cuts",
     )
-    # Largest document without an extra copy that still fits, a few times over.
+    # One copy more of the largest document that still fits, a few times over.
     fills = F.array().cast("array<bigint>")
     state = state.withColumn("fills", fills)
-    later = _rated(df, state, cap).where(~_chosen() & (F.col("size") > 0) & F.col("priority").isNotNull())
-    least = stored(
-        later.groupBy("sid", "size").agg(F.min("place").alias("place"), F.count_if(F.lit(True)).alias("n")), "mix_later"
-    )
+    open_ = _rated(df, state, cap).where((F.col("size") > 0) & (F.col("whole") + _chosen().cast("int") < cap))
+    least = stored(open_.groupBy("sid", "size").agg(F.min("key").alias("key")), "mix_open")
     for _ in range(FILLS):
         fit = (
             least.join(state.select("sid", "left", "fills"), "sid")
-            .where((F.col("size") <= F.col("left")) & ~F.array_contains("fills", F.col("place")["key"]))
+            .where((F.col("size") <= F.col("left")) & ~F.array_contains("fills", F.col("key")))
             .groupBy("sid")
-            .agg(F.max_by(F.col("place")["key"], "size").alias("fill"), F.max("size").alias("fill_size"))
+            .agg(F.max_by("key", "size").alias("fill"), F.max("size").alias("fill_size"))
         )
         filled = (
             state.join(fit, "sid", "left")
@@ -215,7 +213,6 @@ def _chosen() -> Column:
         (F.col("bin") < F.col("cut_bin"))
         | (F.col("bin").isNotNull() & F.col("cut_bin").isNull())
         | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False)))
-        | F.array_contains("fills", F.col("key"))
     )
     return F.coalesce(chosen, F.lit(False))
 
@@ -249,7 +246,8 @@ def mix(
     sizes = stored(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "mix_sizes")
     plan = cuts(narrow, solve(sizes, weights, cap), cap)
     rated = _rated(sized, plan, cap)
-    copies = F.col("whole") + F.when(_chosen() & (F.col("whole") < cap), 1).otherwise(0)
+    filled = F.coalesce(F.array_contains("fills", F.col("key")), F.lit(False))
+    copies = F.least(F.col("whole") + _chosen().cast("int") + filled.cast("int"), F.lit(cap))
     return rated.select(
         *[F.col(hidden(f"in_{i}")).alias(name) for i, name in enumerate(kept)],
         F.col("size"),

@@ -91,6 +91,15 @@ def n_repeat_words(text: Column) -> Column:
     return bound(hashes, windows).cast("bigint")
 
 
+def n_same_words(text: Column) -> Column:
+    """Words that equal the word before them."""
+
+    def count(words: Column) -> Column:
+        return F.size(F.filter(words, lambda word, at: F.coalesce(word == F.get(words, at - 1), F.lit(False))))
+
+    return bound(F.filter(F.split(_text(text), BLANKS), lambda word: word != ""), count).cast("bigint")
+
+
 MEASURES: dict[str, Callable[[Column], Column]] = {
     "n_words": word_count,
     "word_chars": word_chars,
@@ -98,6 +107,7 @@ MEASURES: dict[str, Callable[[Column], Column]] = {
     "n_lines": n_lines,
     "n_dup_lines": n_dup_lines,
     "n_repeat_words": n_repeat_words,
+    "n_same_words": n_same_words,
 }
 
 Measure = Callable[[str], Column]
@@ -118,7 +128,8 @@ BASE = (
 RULES = (
     *BASE,
     Rule("symbols", lambda m: m("n_symbols") * 100 > m("n_words") * 10),
-    Rule("repeated_lines", lambda m: m("n_dup_lines") * 100 > m("n_lines") * 30),
+    Rule("repeated_lines", lambda m: (m("n_dup_lines") > 2) & (m("n_dup_lines") * 100 > m("n_lines") * 30)),
+    Rule("repeated_words", lambda m: m("n_same_words") * 100 > m("n_words") * 30),
     Rule("word_length", lambda m: (m("word_chars") < m("n_words") * 2) | (m("word_chars") > m("n_words") * 15)),
 )
 
@@ -190,7 +201,7 @@ def judge(df: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     base_failed = rejected_by(BASE, known).isNotNull()
     judged = measured.withColumns(
         {
-            **{name: known(name) for name in MEASURES if name != "n_lines"},
+            **{name: known(name) for name in MEASURES if name not in ("n_lines", "n_same_words")},
             "base_failed": base_failed,
             "kept": ~base_failed & rejected_by(ordered, known).isNull(),
         }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, mixing, quality, sharding
+from tallywright.llm import bpe, jaccard, mixing, quality, sharding
 from tallywright.llm.common import read, word_count
 
 
@@ -38,6 +38,11 @@ def op2_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a similarity of 0.75 or more."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3 of their sources in order."""
     documents = read(spark, sf_dir, "documents").select(
@@ -55,6 +60,6 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op7_entropy_mix, op9_rule_cascade)}
+QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op3_signature_join, op7_entropy_mix, op9_rule_cascade)}
 
 ORACLE: dict[str, str] = {}
