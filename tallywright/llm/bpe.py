@@ -15,6 +15,9 @@ time in proportion to its length.
 from __future__ import annotations
 
 import base64
+import re
+import sys
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, ship_package
 
-STATE_LIMIT = 250_000
-MEMO_LIMIT = 600_000
+STATE_LIMIT = 100_000
+MEMO_LIMIT = 400_000
 MEMO_LENGTH = 64
 NEVER = float("inf")
 
@@ -44,26 +47,37 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one piece in, token ids out.
 
-    A state holds the token emitted last and, for the end of what has been read
-    and for each earlier position where a longer token may still begin, the
-    bytes from there on and the tokens from the last emission up to there.
+    A state holds the token emitted last (-1 if none) and, for the end of what has
+    been read and for each earlier position where a longer token may still begin,
+    the trie node of the bytes from there on and the tokens from the last emission
+    up to there.
     """
 
     def __init__(self, ranks: dict[bytes, int], state_limit: int = STATE_LIMIT):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.state_limit = state_limit
-        self.prefixes = {token[:end] for token in ranks for end in range(1, len(token))}
+        # All tokens as a trie: (node, byte) -> node, where tokens end, and which nodes have children.
+        self._child: dict[int, int] = {}
+        self._ends: dict[int, int] = {}
+        self._inner: set[int] = set()
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self._inner.add(node)
+                node = self._child.setdefault(node << 8 | byte, len(self._child) + 1)
+            self._ends[node] = rank
+        self._base = max(self.token, default=0) + 1
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._start = self._id((None, ((b"", ()),)))
+        self._start = self._id((-1, ((0, ()),)))
 
     def _id(self, state: tuple) -> int:
         known = self._ids.get(state)
@@ -94,44 +108,39 @@ class Transducer:
 
     def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, starts = self._states[at]
-        ranks, prefixes, end = self.ranks, self.prefixes, bytes((byte,))
-        longer, chain_to_end = [], None
-        for suffix, tokens in starts:  # the longest first, the end of the last byte at last
-            suffix += end
+        child, ends, inner, fits = self._child.get, self._ends.get, self._inner, self._fits.get
+        longer: list[tuple[int, tuple[int, ...]]] = []
+        chain_to_end = None
+        for node, tokens in starts:  # the longest first, the end of the last byte at last
+            node = child(node << 8 | byte)
+            if node is None:
+                continue
             if chain_to_end is None:
-                token = ranks.get(suffix)
+                token = ends(node)
                 if token is not None:
                     previous = tokens[-1] if tokens else before
-                    fits = previous is None or self._fits.get((previous, token))
-                    if (self._fit(previous, token) if fits is None else fits) and self._reached(token):
+                    fit = fits(previous * self._base + token)
+                    if self._fit(previous, token) if fit is None else fit:
                         chain_to_end = (*tokens, token)
-            if suffix in prefixes:
-                longer.append((suffix, tokens))
+            if node in inner:
+                longer.append((node, tokens))
         if chain_to_end is None:
             raise ValueError("the vocabulary lacks a byte, or its merges are not in order")
-        longer.append((b"", chain_to_end))
+        longer.append((0, chain_to_end))
         # What all of them begin with is settled.
-        shortest = chain_to_end
+        agreed = longer[0][1]
         for _, tokens in longer:
-            if len(tokens) < len(shortest):
-                shortest = tokens
-        agreed, same = 0, True
-        for token in shortest:
-            for _, tokens in longer:
-                if tokens[agreed] != token:
-                    same = False
-                    break
-            if not same:
+            if not agreed:
                 break
-            agreed += 1
+            while tokens[: len(agreed)] != agreed:
+                agreed = agreed[:-1]
         if not agreed:
             return self._id((before, tuple(longer))), ()
-        rest = tuple([(suffix, tokens[agreed:]) for suffix, tokens in longer])
-        return self._id((shortest[agreed - 1], rest)), shortest[:agreed]
+        rest = tuple([(node, tokens[len(agreed) :]) for node, tokens in longer])
+        return self._id((agreed[-1], rest)), agreed
 
     def _reached(self, token: int) -> bool:
-        halves = self._parts.get(token)
-        return halves is not None or len(self.token[token]) == 1 or self._halves(token) is not None
+        return len(self.token[token]) == 1 or self._halves(token) is not None
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether merging `left` + `right` leaves the border between them alone.
@@ -141,12 +150,12 @@ class Transducer:
         its rank comes before the merges that would consume either; of equal
         ranks the one further left comes first.
         """
-        key = (left, right)
+        key = left * self._base + right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 4 * self.state_limit:
+            if len(self._fits) > 3 * self.state_limit:
                 self._fits.clear()
-            known = self._fits[key] = not self._crosses(left, right)
+            known = self._fits[key] = self._reached(right) and (left < 0 or not self._crosses(left, right))
         return known
 
     def _crosses(self, left: int, right: int) -> bool:
@@ -188,38 +197,35 @@ class Transducer:
         return self._parts[token]
 
 
+# The same pieces by the standard library's faster engine, which has no classes
+# by Unicode property: its letters are the letters and the numbers that are not
+# decimal digits, so texts with such numbers, or with the four separators that
+# only it takes for blanks, are left to the other one.
+PLAIN = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
+ODD = frozenset(
+    chr(c) for c in range(sys.maxunicode + 1) if 0x1C <= c < 0x20 or unicodedata.category(chr(c)) in ("No", "Nl")
+)
+
+
 class Encoder:
     """Texts to ids: pattern, transducer, and a bounded memory of what frequent pieces gave."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = MEMO_LIMIT):
         blank = r"\p{White_Space}"
-        self.pattern = regex.compile(pattern.replace(r"\s", blank).replace(r"\S", rf"[^{blank}]"))
-        # A space attaches to what follows unless it touches another blank.
-        self.uneven = regex.compile(rf"\A | \Z|{blank} | {blank}|[\x1c-\x1f]")
+        self.find = regex.compile(pattern.replace(r"\s", blank).replace(r"\S", rf"[^{blank}]")).findall
+        for whole, plain in PLAIN.items():
+            pattern = pattern.replace(whole + "+", plain + "+")
+        self.find_plain = self.find if r"\p" in pattern else re.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.memo_limit = memo_limit
-        self.memo = _Memo(self._encode_chunk)
-        self.pieces = _Memo(self._encode_piece)
-
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(chunk))))
-
-    def _encode_piece(self, piece: str) -> list[int]:
-        return self.transducer.encode(piece.encode())
+        self.pieces = _Memo(lambda piece: tuple(self.transducer.encode(piece.encode())))
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text. The pattern may be applied to parts cut before single spaces."""
-        if not text:
-            return np.empty(0, np.int32)
-        for memo in (self.memo, self.pieces):
-            if len(memo) > self.memo_limit:
-                memo.clear()
-        chunks = [text] if self.uneven.search(text) else text.split(" ")
-        if len(chunks) == 1:
-            parts = map(self.pieces.__getitem__, self.pattern.findall(text))
-        else:
-            parts = chain([self.memo[chunks[0]]], map(self.memo.__getitem__, [" " + chunk for chunk in chunks[1:]]))
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        """Ids of a whole text."""
+        if len(self.pieces) > self.memo_limit:
+            self.pieces.clear()
+        find = self.find_plain if ODD.isdisjoint(text) else self.find
+        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, find(text))), np.int32)
 
 
 class _Memo(dict):
@@ -330,16 +336,12 @@ def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> D
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
         decoder = _coder(Decoder, shipped.value)
-        values = lists.flatten().to_numpy(zero_copy_only=False)
-        lengths = np.array([len(x) if x is not None else 0 for x in map(_items, lists)], np.int64)
-        ends = np.cumsum(lengths)
-        return pa.array([decoder.decode(values[e - n : e]) for e, n in zip(ends, lengths)], pa.string())
-
-    return df.withColumn(text_as, text_of(col(ids)))
-
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        return pa.array([decoder.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
 
-def _items(scalar: pa.ListScalar):
-    return scalar.values if scalar.is_valid else None
+    # An expression between the two functions keeps a decode of what `encode`
+    # gives from being planned together with a second run of it.
+    return df.withColumn(text_as, text_of(F.coalesce(col(ids), F.array().cast("array<int>"))))
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list[Column]:
