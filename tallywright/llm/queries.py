@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, jaccard, mixing, quality, sharding
-from tallywright.llm.common import read, word_count
+from tallywright.llm import bpe, jaccard, mixing, pfor, quality, sharding, urls
+from tallywright.llm.common import new_table_path, read, word_count
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,29 @@ def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document, and describes what is read back."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    path = new_table_path(spark, "token_ids")
+    pfor.write_ids(read(spark, sf_dir, "documents"), path, definition, end_id=1)
+    return pfor.read_ids(spark, path).select(
+        "doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), pfor.ids_crc32()("ids").alias("ids_crc32")
+    )
+
+
+ALLOW = ("org/", "com/fr/")
+BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
+
+
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL by the longest of five rules."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, "url", ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3 of their sources in order."""
     documents = read(spark, sf_dir, "documents").select(
@@ -60,6 +83,6 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op3_signature_join, op7_entropy_mix, op9_rule_cascade)}
+QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op3_signature_join, op4_pfor_ids, op5_url_cascade, op7_entropy_mix, op9_rule_cascade)}
 
 ORACLE: dict[str, str] = {}
