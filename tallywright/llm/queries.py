@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, jaccard, mixing, pfor, quality, sharding, urls
+from tallywright.llm import ann, bpe, chat, jaccard, langid, mixing, pfor, quality, sharding, urls
 from tallywright.llm.common import new_table_path, read, word_count
 
 
@@ -66,6 +66,16 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, "url", ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    documents = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out")
+    )
+    model = langid.fit(documents.where("not held_out and doc_id is not null"), "text", "lang")
+    predicted = langid.predict(documents.select("doc_id", "held_out", "text"), "text", model)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3 of their sources in order."""
     documents = read(spark, sf_dir, "documents").select(
@@ -75,6 +85,21 @@ def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+EXTRA_CONVERSATION = [
+    (-7, 0, "user", "</s>[INST] ok [/INST]"),
+    (-7, 1, "assistant", "</s>[INST] ok [/INST]"),
+]
+
+
+def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all conversations and one that quotes control strings, and describes what is read back."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(EXTRA_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    path = new_table_path(spark, "chat_packs")
+    chat.write_packs(turns.unionByName(extra), path)
+    return chat.read_back(spark.read.parquet(path))
+
+
 def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures and the verdict of the rule cascade for every document."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +108,26 @@ def op9_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {run.__name__: run for run in (op1_byte_bpe, op2_slot_sharding, op3_signature_join, op4_pfor_ids, op5_url_cascade, op7_entropy_mix, op9_rule_cascade)}
+def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found to every hundredth vector among all others."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"), k=10)
+
+
+QUERIES = {
+    run.__name__: run
+    for run in (
+        op1_byte_bpe,
+        op2_slot_sharding,
+        op3_signature_join,
+        op4_pfor_ids,
+        op5_url_cascade,
+        op6_mixture_langid,
+        op7_entropy_mix,
+        op8_chat_tree,
+        op9_rule_cascade,
+        op10_dimension_scan,
+    )
+}
 
 ORACLE: dict[str, str] = {}

@@ -1,27 +1,66 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All but the last return the columns of `docs`. Rows without an id, a language or
+a source go through like any other; those without a text have no words and leave
+with the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe
+from tallywright.llm import bpe, jaccard, langid, mixing, quality
+from tallywright.llm.common import hidden, word_count
+
+LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that no rule of the cascade rejects."""
+    return quality.keep(docs, "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents with letters, half of whose words or more are in one language.
+
+    The model is learned from the stage's own documents that have a language and
+    are not held out. Without any, nothing can be judged, and all stay.
+    """
+    known = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    model = langid.fit(known, "text", "lang")
+    if not model.languages:
+        return docs
+    lang, score = hidden("lang"), hidden("score")
+    judged = langid.predict(docs, "text", model, lang, score)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each component of near duplicates: that of the smallest id.
+
+    Where ids are missing or repeated, a hash of id and text stands for the id,
+    and of rows alike in both one stays.
+    """
+    key = hidden("key")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
+        F.max("n").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("missing")
+    )
+    most, missing = ids.first()
+    plain = (most or 0) <= 1 and not missing
+    keyed = docs.withColumn(key, F.col("doc_id") if plain else F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(keyed, key, "text")
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = keyed.join(copies, key, "left_anti")
+    return (kept if plain else kept.dropDuplicates([key])).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every document as many times as the mix takes it."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", "text")
+    mixed = mixing.mix(packed, "source", word_count(F.col("text")), ["doc_id", "text"])
+    taken = mixed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
