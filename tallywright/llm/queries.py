@@ -130,4 +130,105 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"[x FOR x IN regexp_split_to_array({}, '[\x20\x09-\x0D]+') IF x <> '']"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LISTED = ", ".join(
+    [f"('{rule}', 'allow')" for rule in ALLOW] + [f"('{rule}', 'block')" for rule in BLOCK]
+)
+_CONTROL = "|".join(control.replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for control in chat.CONTROL)
+
+
+def _written_chars(text: str) -> str:
+    """Length of a text once its control strings are broken up: two more for each, one more for each escape."""
+    return (
+        f"(length({text}) + 2 * len(regexp_extract_all({text}, '{_CONTROL}'))"
+        f" + length({text}) - length(replace({text}, '{chat.ESCAPE}', '')))"
+    )
+
+
+# What SQL can express; the others are tested against brute force, exact round
+# trips, or held-out accuracy.
+ORACLE: dict[str, str] = {
+    "op3_signature_join": f"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+                ELSE [list_slice(words, i, i + 4) FOR i IN generate_series(1, len(words) - 4)] END) AS shingle
+            FROM split
+        ), sizes AS (
+            SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+        ), either_way AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT doc_id, doc_id AS seen FROM documents
+            UNION
+            SELECT reached.doc_id, l.b FROM reached JOIN either_way l ON l.a = reached.seen
+        )
+        SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, MIN(reached.seen) AS component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id""",
+    "op5_url_cascade": rf"""
+        WITH rules(rule, verdict) AS (VALUES {_LISTED}), parsed AS (
+            SELECT page_id,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), fitting AS (
+            SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM parsed JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+                AND starts_with(path, substr(rule, strpos(rule, '/')))
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parsed LEFT JOIN fitting USING (page_id)""",
+    "op8_chat_tree": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT * FROM (VALUES {", ".join(map(str, EXTRA_CONVERSATION))})
+        )
+        SELECT conv_id, COUNT(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(SUM(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(SUM({len(chat.START + chat.SEP + chat.END)} + {_written_chars("role")} + {_written_chars("text")})
+                    AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op9_rule_cascade": rf"""
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS words,
+                   [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, unnest(generate_series(1, len(words) - 7)) AS place, words FROM split WHERE len(words) > 7
+        ), twice AS (
+            SELECT doc_id, place FROM (SELECT doc_id, place, list_slice(words, place, place + 7) AS seen FROM windows)
+            QUALIFY COUNT(*) OVER (PARTITION BY doc_id, seen) > 1
+        ), covered AS (
+            SELECT doc_id, CAST(SUM(added) AS BIGINT) AS n FROM (
+                SELECT doc_id, least(8, coalesce(lead(place) OVER (PARTITION BY doc_id ORDER BY place) - place, 8)) AS added
+                FROM twice
+            ) GROUP BY doc_id
+        ), measured AS (
+            SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+                   len([1 FOR pair IN list_zip(words[2:], words[:-2]) IF pair[1] = pair[2]]) AS n_same_words
+            FROM split LEFT JOIN covered USING (doc_id)
+        ), failed AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (100 * n_symbols > 10 * n_words)
+               AND NOT (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)
+               AND NOT (100 * n_same_words > 30 * n_words)
+               AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+        FROM failed""",
+}
