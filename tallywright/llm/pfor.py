@@ -18,6 +18,7 @@ a lost task is written again as a whole.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -122,6 +123,11 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if n else int(x) for x, n in zip(known, null)], lengths, values
 
 
+# `str.split` also cuts at four separators that are no white space to Unicode.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 class WordTokens:
     """Ids of a text by a tokenizer that never joins what white space parts.
 
@@ -137,7 +143,7 @@ class WordTokens:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        parts = text.split()
+        parts = [part for part in WHITE.split(text) if part] if SEPARATORS.search(text) else text.split()
         memo = self.memo
         new = list({part for part in parts if part not in memo})
         if new:
@@ -159,8 +165,10 @@ _SEGMENTS = "part int, seq int, part_start bigint, n_tokens bigint, payload bina
 
 def _writer(definition, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokens.setdefault(hash(definition.value), None) or WordTokens(definition.value)
-        _tokens[hash(definition.value)] = coder
+        key = hash(definition.value)
+        if key not in _tokens:
+            _tokens[key] = WordTokens(definition.value)
+        coder = _tokens[key]
         part, seq, written, held = TaskContext.get().partitionId(), 0, 0, 0
         docs, ids = [], []
 
