@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, jaccard, langid, mixing, quality
-from tallywright.llm.common import hidden, word_count
+from tallywright.llm.common import col, hidden, word_count
 
 LEAST_SCORE = 0.5
 
@@ -52,12 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.near_duplicates(keyed, key, "text")
     copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = keyed.join(copies, key, "left_anti")
-    return (kept if plain else kept.dropDuplicates([key])).select(*docs.columns)
+    return (kept if plain else kept.dropDuplicates([key])).select(*[col(name) for name in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", "text")
+    packed = docs.select(F.struct(*[col(name) for name in docs.columns]).alias("row"), "source", "doc_id", "text")
     mixed = mixing.mix(packed, "source", word_count(F.col("text")), ["doc_id", "text"])
     taken = mixed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select("row.*")

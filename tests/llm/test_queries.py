@@ -1,0 +1,35 @@
+"""The registered queries against DuckDB, where SQL can express them."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as spark_entry
+from tallywright.llm import queries
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_all_are_registered():
+    names = spark_entry.queries().keys()
+    assert [f"op{n}" for n in range(1, 11)] == [name.split("_")[0] for name in queries.QUERIES]
+    assert {*queries.QUERIES, "pipeline"} <= names
+    assert queries.ORACLE.keys() <= names
+
+
+@pytest.mark.parametrize("name", queries.ORACLE)
+def test_query_matches_sql(spark, name):
+    duck = duckdb.connect()
+    for file in os.listdir(SF_DIR):
+        duck.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF_DIR}/{file}'")
+    result = queries.QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(queries.ORACLE[name])
+    columns = [column[0] for column in cursor.description]
+    assert sorted(result.columns) == sorted(columns)
+    expected = [dict(zip(columns, row)) for row in cursor.fetchall()]
+    assert sorted(map(repr, (sorted(row.asDict().items()) for row in result.collect()))) == sorted(
+        map(repr, (sorted(row.items()) for row in expected))
+    )
