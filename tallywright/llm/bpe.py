@@ -19,7 +19,7 @@ import gc
 import re
 import sys
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, ship_package
 
-STATE_LIMIT = 100_000
-MEMO_LIMIT = 400_000
+STATE_LIMIT = 200_000
+MEMO_LIMIT = 350_000
 MEMO_LENGTH = 64
 NEVER = float("inf")
 
@@ -75,45 +75,51 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
+        # A state is one flat tuple: the token before, then node and tokens of
+        # each start. A step is kept by state and byte; if it emits, the number
+        # of the next state is complemented and the tokens are kept beside it.
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
-        self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._start = self._id((-1, ((0, ()),)))
+        self._next: dict[int, int] = {}
+        self._emits: dict[int, tuple[int, ...]] = {}
+        self._start = self._id((-1, 0, ()))
 
     def _id(self, state: tuple) -> int:
         known = self._ids.get(state)
         if known is None:
             known = self._ids[state] = len(self._states)
             self._states.append(state)
-            self._next.append({})
         return known
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self._states) > self.state_limit:
             self._forget()
         out: list[int] = []
-        at, steps = self._start, self._next
+        at, step, emits = self._start, self._next.get, self._emits
         for byte in piece:
-            step = steps[at].get(byte)
-            if step is None:
+            key = at << 8 | byte
+            to = step(key)
+            if to is None:
                 if len(self._states) > 2 * self.state_limit:  # within one very long piece
                     state = self._states[at]
                     self._forget()
-                    at, steps = self._id(state), self._next
-                step = steps[at][byte] = self._step(at, byte)
-            at = step[0]
-            if step[1]:
-                out += step[1]
-        out += self._states[at][1][-1][1]
+                    key, step, emits = self._id(state) << 8 | byte, self._next.get, self._emits
+                to = self._step(key)
+            if to < 0:
+                out += emits[key]
+                to = ~to
+            at = to
+        out += self._states[at][-1]
         return out
 
-    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, starts = self._states[at]
+    def _step(self, key: int) -> int:
+        state, byte = self._states[key >> 8], key & 255
+        before = state[0]
         child, ends, inner, fits = self._child.get, self._ends.get, self._inner, self._fits.get
-        longer: list[tuple[int, tuple[int, ...]]] = []
+        longer: list = [before]
         chain_to_end = None
-        for node, tokens in starts:  # the longest first, the end of the last byte at last
-            node = child(node << 8 | byte)
+        for i in range(1, len(state), 2):  # the longest first, the end of the last byte at last
+            node, tokens = child(state[i] << 8 | byte), state[i + 1]
             if node is None:
                 continue
             if chain_to_end is None:
@@ -124,21 +130,28 @@ class Transducer:
                     if self._fit(previous, token) if fit is None else fit:
                         chain_to_end = (*tokens, token)
             if node in inner:
-                longer.append((node, tokens))
+                longer.append(node)
+                longer.append(tokens)
         if chain_to_end is None:
             raise ValueError("the vocabulary lacks a byte, or its merges are not in order")
-        longer.append((0, chain_to_end))
+        longer.append(0)
+        longer.append(chain_to_end)
         # What all of them begin with is settled.
-        agreed = longer[0][1]
-        for _, tokens in longer:
+        agreed = longer[2]
+        for i in range(4, len(longer), 2):
             if not agreed:
                 break
-            while tokens[: len(agreed)] != agreed:
+            while longer[i][: len(agreed)] != agreed:
                 agreed = agreed[:-1]
         if not agreed:
-            return self._id((before, tuple(longer))), ()
-        rest = tuple([(node, tokens[len(agreed) :]) for node, tokens in longer])
-        return self._id((agreed[-1], rest)), agreed
+            to = self._next[key] = self._id(tuple(longer))
+            return to
+        longer[0] = agreed[-1]
+        for i in range(2, len(longer), 2):
+            longer[i] = longer[i][len(agreed) :]
+        self._emits[key] = agreed
+        to = self._next[key] = ~self._id(tuple(longer))
+        return to
 
     def _reached(self, token: int) -> bool:
         return len(self.token[token]) == 1 or self._halves(token) is not None
@@ -154,7 +167,7 @@ class Transducer:
         key = left * self._base + right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 3 * self.state_limit:
+            if len(self._fits) > 2 * self.state_limit:
                 self._fits.clear()
             known = self._fits[key] = self._reached(right) and (left < 0 or not self._crosses(left, right))
         return known
@@ -219,14 +232,18 @@ class Encoder:
         self.find_plain = self.find if r"\p" in pattern else re.compile(pattern).findall
         self.transducer = Transducer(ranks)
         self.memo_limit = memo_limit
-        self.pieces = _Memo(lambda piece: tuple(self.transducer.encode(piece.encode())))
+        self.pieces = _Memo(lambda piece: array("i", self.transducer.encode(piece.encode())).tobytes())
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
+        return np.frombuffer(self.encode_bytes(text), np.intc)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The same as C integers."""
         if len(self.pieces) > self.memo_limit:
             self.pieces.clear()
         find = self.find_plain if ODD.isdisjoint(text) else self.find
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, find(text))), np.int32)
+        return b"".join(map(self.pieces.__getitem__, find(text)))
 
 
 class _Memo(dict):
@@ -321,15 +338,17 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
     @F.arrow_udf("array<int>")
     def token_ids(texts: pa.Array) -> pa.Array:
         encoder = _coder(Encoder, shipped.value, pattern)
+        values, ends = array("i"), array("i", [0])
         # The tables hold no cycles, and looking for some took a third of the time.
         gc.disable()
         try:
-            encoded = [encoder.encode(value.as_py() or "") for value in texts]
+            for text_ in texts:
+                values.frombytes(encoder.encode_bytes(text_.as_py() or ""))
+                ends.append(len(values))
         finally:
             gc.enable()
-        offsets = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
-        values = np.concatenate(encoded) if encoded else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        flat = pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return df.withColumn(ids_as, token_ids(col(text)))
 
@@ -343,7 +362,11 @@ def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> D
     def text_of(lists: pa.Array) -> pa.Array:
         decoder = _coder(Decoder, shipped.value)
         values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
-        return pa.array([decoder.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
+        out, ends = bytearray(), array("i", [0])
+        for begin, end in zip(offsets, offsets[1:]):
+            out += decoder.decode(values[begin:end]).encode()
+            ends.append(len(out))
+        return pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
     # An expression between the two functions keeps a decode of what `encode`
     # gives from being planned together with a second run of it.
