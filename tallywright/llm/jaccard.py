@@ -1,10 +1,12 @@
 """Near duplicates: a join on word n-grams by Jaccard similarity, with signature trees.
 
 Texts become sets of 64-bit shingle hashes; equal sets form one class. Two sets
-as similar as asked for share one of their rarest shingles: with them in one
-global order, the first `n - need + 1` of each must meet, where `need` is the
-smallest overlap a set of n can be linked with. Classes that share such a
-shingle are put into one block. Blocks leave out no link and hold little else.
+as similar as asked for share some of their rarest shingles: with all shingles
+in one global order, the first `n - need + SHARED` of each must have `SHARED` in
+common, where `need` is the smallest overlap a set of n can be linked with. Where
+few classes have a shingle among their rarest, their pairs are counted; pairs
+that meet often enough, and all classes that share a shingle many have, are put
+into one block. Blocks leave out no link and hold little else.
 
 Within a block the classes are the leaves of a signature tree. A node holds the
 OR of their shingle bitmaps, the range of their sizes, and the most shingles
@@ -34,6 +36,8 @@ SKETCH_BLOCK = 1 << 15
 FILTER_BITS = 22
 BLOCK_SHINGLES = 4_000_000
 MEMO_LIMIT = 400_000
+SHARED = 8
+FEW = 8
 LEAF = 16
 FANOUT = 4
 
@@ -145,49 +149,94 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def shared(n, percent: int = PERCENT):
+    """How many of their rarest shingles a set of n and any it is linked with have in common."""
+    return np.minimum(SHARED, -(-percent * n // 100))
+
+
 def _rarest(words: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rarest shingles of each set, once per task and set."""
         shingler, counts, seen = Shingler(words), np.frombuffer(sketch.value, np.uint16), set()
         for batch in batches:
-            tokens, owners = [], []
+            tokens, owners, sizes = [], [], []
             for text in _texts(batch):
                 found = shingler.shingles(text)
-                if not len(found) or (fp := fingerprint(found)) in seen:
+                n = len(found)
+                if not n or (fp := fingerprint(found)) in seen:
                     continue
                 seen.add(fp)
                 order = np.argsort(counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                first = found[order[: len(found) - need(len(found), percent) + 1]]
+                first = found[order[: n - need(n, percent) + int(shared(n, percent))]]
                 tokens.append(first.view(np.int64))
                 owners.append(np.full(len(first), fp, np.int64))
+                sizes.append(np.full(len(first), n, np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], names=["token", "fp"]
+                    [pa.array(np.concatenate(part)) for part in (tokens, owners, sizes)], names=["token", "fp", "n"]
                 )
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by token and owner: each owner is linked to the first of its token."""
-    token, leader, done = None, None, set()
-    for batch in batches:
-        tokens, owners = batch.column("token").to_numpy(), batch.column("fp").to_numpy()
-        if not len(tokens):
-            continue
-        begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        leaders = owners[begins]
-        if token == tokens[0]:
-            leaders[0] = leader
-        led = np.repeat(leaders, np.diff(np.r_[begins, len(tokens)]))
-        token, leader = tokens[-1], led[-1]
-        differ = led != owners
-        pairs = set(zip(led[differ].tolist(), owners[differ].tolist())) - done
-        if pairs:
-            done = pairs if len(done) > 500_000 else done | pairs
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"]
-            )
+def _meetings(percent: int):
+    def pairs(owners: np.ndarray, sizes: np.ndarray, begins: np.ndarray, lengths: np.ndarray):
+        """Pairs of similar size within runs of few, and of each with the first of its run in longer ones."""
+        out = []
+        for length in range(2, FEW + 1):
+            at = begins[lengths == length]
+            for i in range(length):
+                for j in range(i + 1, length):
+                    n, m = sizes[at + i], sizes[at + j]
+                    near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                    enough = shared(np.minimum(n, m)[near], percent)
+                    out.append((owners[at + i][near], owners[at + j][near], enough, np.ones(near.sum(), np.int64)))
+        for begin, length in zip(begins[lengths > FEW], lengths[lengths > FEW]):
+            rest = owners[begin + 1 : begin + length]
+            out.append(stars(owners[begin], rest))
+        return out
+
+    def stars(first: int, rest: np.ndarray):
+        return np.full(len(rest), first), rest, np.ones(len(rest), np.int64), np.full(len(rest), SHARED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token and owner. The last run of a batch waits for the next; a long one leaves its first."""
+        waiting = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        long_token, long_first = None, None
+        for batch in (*batches, None):
+            if batch is None:
+                tokens, owners, sizes = waiting
+            else:
+                own = [batch.column(name).to_numpy().astype(np.int64) for name in ("token", "fp", "n")]
+                tokens, owners, sizes = (np.concatenate(both) for both in zip(waiting, own))
+            out = []
+            if len(tokens):
+                repeated = np.r_[False, (tokens[1:] == tokens[:-1]) & (owners[1:] == owners[:-1])]
+                tokens, owners, sizes = tokens[~repeated], owners[~repeated], sizes[~repeated]
+                if long_token is not None:
+                    same = tokens == long_token
+                    out.append(stars(long_first, owners[same & (owners != long_first)]))
+                    tokens, owners, sizes = tokens[~same], owners[~same], sizes[~same]
+                    if len(tokens):
+                        long_token = None
+            if len(tokens):
+                begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                lengths = np.diff(np.r_[begins, len(tokens)])
+                end = len(tokens) if batch is None else begins[-1]
+                whole = begins < end
+                if len(tokens) - end > FEW:
+                    long_token, long_first = tokens[-1], owners[end]
+                    out.append(stars(long_first, owners[end + 1 :]))
+                    tokens = tokens[:end]
+                out += pairs(owners, sizes, begins[whole], lengths[whole])
+                waiting = [tokens[end:], owners[end : len(tokens)], sizes[end : len(tokens)]]
+            else:
+                waiting = [tokens, owners, sizes]
+            if out:
+                columns = [np.concatenate(part).astype(np.int64) for part in zip(*out)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "enough", "met"])
+
+    return run
 
 
 def _sets(words: int, wanted):
@@ -439,9 +488,14 @@ def near_duplicates(
         sketch[at : at + SKETCH_BLOCK] = np.frombuffer(row["counts"], np.uint16)
     counts = spark.sparkContext.broadcast(sketch.tobytes())
 
-    rarest = texts.mapInArrow(_rarest(words, percent, counts), "token bigint, fp bigint")
-    neighbours = rarest.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_neighbours, "a bigint, b bigint")
-    blocks = components(neighbours)
+    rarest = texts.mapInArrow(_rarest(words, percent, counts), "token bigint, fp bigint, n int")
+    meetings = rarest.repartition("token").sortWithinPartitions("token", "fp")
+    counted = (
+        meetings.mapInArrow(_meetings(percent), "a bigint, b bigint, enough bigint, met bigint")
+        .groupBy("a", "b")
+        .agg(F.min("enough").alias("enough"), F.sum("met").alias("met"))
+    )
+    blocks = components(counted.where("met >= enough").select("a", "b"))
 
     sizes = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"))
     members = stored(blocks.select(F.col("node").alias("fp"), "root").join(sizes, "fp"), "block_members")
