@@ -23,13 +23,28 @@ ColumnOrName = Column | str
 # Units for which `trunc` yields a DATE; any other word makes it yield NULL.
 BUCKET_UNITS = ("year", "quarter", "month", "week")
 
-_COUNT_TYPE = "decimal(20,0)"
+# Whole numbers of any size that sums and products of counts can reach.
+WHOLE = "decimal(38,0)"
 
 
 def as_column(col: ColumnOrName) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def data_type(df: DataFrame, col: ColumnOrName) -> T.DataType:
+    """Type of a column, found as Spark finds it: in any letter case where names ignore it."""
+    return df.select(as_column(col)).schema[0].dataType
+
+
+def distinct_names(names: Iterable[str]) -> None:
+    """Raises unless the output columns can be told apart, letter case aside."""
+    seen = set()
+    for name in names:
+        if name.lower() in seen:
+            raise ValueError(f"two output columns would be called {name!r}")
+        seen.add(name.lower())
+
+
 def day_literal(value: DateLike) -> Column:
     """A DATE literal; by way of text, as Python dates of early years do not convert."""
     if isinstance(value, dt.datetime):
@@ -63,20 +78,50 @@ def whole_div(part: ColumnOrName, by: ColumnOrName) -> Column:
     return F.call_function("div", as_column(part), F.nullif(as_column(by), F.lit(0)))
 
 
-def percent(part: ColumnOrName, total: ColumnOrName, scale: int = 2) -> Column:
+def shifted(whole: Column, digits: int) -> Column:
+    """A whole number divided by a power of ten, exactly."""
+    if not digits:
+        return whole.cast(WHOLE)
+    # These two precisions make a product of 38 digits that keeps its scale.
+    unit = F.lit(Decimal(1).scaleb(-digits)).cast(f"decimal({digits},{digits})")
+    return whole.cast(f"decimal({37 - digits},0)") * unit
+
+
+def rounded_quotient(part: Column, by: Column, scale: int) -> Column:
+    """`part` / `by`, whole numbers, rounded once and half away from zero; NULL for a zero divisor.
+
+    Done by quotient and remainder: a decimal division would round first.
+    """
+    by = F.nullif(by.cast(WHOLE), F.lit(0).cast(WHOLE))
+    size = F.abs(part.cast(WHOLE) * F.lit(Decimal(10**scale)))
+    rest = size % by
+    whole = ((size - rest) / by).cast(WHOLE) + F.when(rest * 2 >= by, 1).otherwise(0)
+    return shifted(F.when(part < 0, -whole).otherwise(whole), scale)
+
+
+def percent(part: ColumnOrName, total: ColumnOrName | int | Decimal, scale: int = 2) -> Column:
     """`part` as a percentage of `total`, rounded half away from zero.
 
-    Both are counts. The division is done in decimals with 14 fractional
-    digits, so the rounding is not disturbed by binary fractions.
+    `part` is a count. `total` is a count, too, or a positive literal, which may
+    have a fraction.
     """
-    share = as_column(part).cast(_COUNT_TYPE) * F.lit(Decimal(100)) / as_column(total).cast(_COUNT_TYPE)
-    return F.round(share, scale)
+    part = as_column(part).cast(WHOLE)
+    if isinstance(total, int | Decimal):
+        if total <= 0:
+            raise ValueError("the denominator must be positive")
+        over, under = Decimal(total).as_integer_ratio()
+        return rounded_quotient(part * F.lit(Decimal(100 * under)), F.lit(Decimal(over)), scale)
+    return rounded_quotient(part * F.lit(Decimal(100)), as_column(total), scale)
 
 
-def exact(df: DataFrame, name: str) -> Column:
-    """Column `name` in a type whose sum is exact: integers become decimals."""
-    kind = df.schema[name].dataType
-    return F.col(name).cast(_COUNT_TYPE) if isinstance(kind, T.IntegralType) else F.col(name)
+def unscaled(df: DataFrame, col: ColumnOrName) -> tuple[Column, int]:
+    """Aggregate: exact sum in units of the last digit, and how many digits that are."""
+    kind = data_type(df, col)
+    if isinstance(kind, T.IntegralType):
+        return F.sum(as_column(col).cast("decimal(20,0)")).cast(WHOLE), 0
+    if not isinstance(kind, T.DecimalType):
+        raise TypeError(f"an exact mean needs integers or decimals, not {kind.simpleString()}; cast to a decimal first")
+    return (F.sum(as_column(col)) * F.lit(Decimal(10**kind.scale))).cast(WHOLE), kind.scale
 
 
 def mean(df: DataFrame, name: str) -> Column:
@@ -84,20 +129,20 @@ def mean(df: DataFrame, name: str) -> Column:
 
     `avg` of a decimal stops four digits after its input; this does not.
     """
-    if isinstance(df.schema[name].dataType, T.DecimalType):
+    if isinstance(data_type(df, name), T.DecimalType):
         return F.sum(name).cast("double") / F.nullif(F.count(name), F.lit(0))
     return F.avg(name)
 
 
 def rounded_mean(df: DataFrame, name: str, scale: int = 2) -> Column:
-    """Aggregate: mean of `name` over its non-NULL rows, rounded.
+    """Aggregate: mean of `name` over its non-NULL rows, rounded half away from zero, once.
 
-    Sum over count keeps at least twelve fractional digits for the usual
-    decimal types, whereas `avg` keeps four more than its input and would round
-    twice. A group without any value gives NULL.
+    For integers and decimals; means of binary fractions depend on the order of
+    the rows. A group without any value gives NULL.
     """
-    value = exact(df, name)
-    return F.round(F.sum(value) / F.nullif(F.count(value), F.lit(0)), scale)
+    total, digits = unscaled(df, name)
+    count = F.count(as_column(name)).cast(WHOLE) * F.lit(Decimal(10**digits))
+    return rounded_quotient(total, count, scale)
 
 
 # -- dates ------------------------------------------------------------------
@@ -150,6 +195,8 @@ def within_days(col: ColumnOrName, first: DateLike, last: DateLike) -> Column:
 
 def contains_any(col: ColumnOrName, phrases: Iterable[str]) -> Column:
     """True if the text holds at least one phrase, letter case included."""
+    if isinstance(phrases, str):
+        raise TypeError("a list of phrases is expected, not a single text")
     tests = [as_column(col).contains(phrase) for phrase in phrases]
     if not tests:
         raise ValueError("at least one phrase is needed")

@@ -48,9 +48,17 @@ def repeat_cohorts(
     years from the first event to `as_of` (today if not given). Per cohort: the
     number of users and the means of those four.
 
+    The bands must follow each other without a gap from `min_events` on;
+    `other_band` is what lies above them.
+
     Rows count as events even where the date is NULL. Events without a user
     form one group that enters the means but not the number of users.
     """
+    above = min_events
+    for low, high, label in bands:
+        if not low <= above <= high + 1:
+            raise ValueError(f"no band holds {above} events, which come before the band {label!r}")
+        above = high + 1
     today = F.current_date() if as_of is None else S.day_literal(as_of)
     day = F.to_date(date_col)
     per_user = (

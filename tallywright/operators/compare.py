@@ -4,8 +4,8 @@ Two of these are left joins whose right side may repeat a key, and whose result
 counts the joined rows. Either side may hold a large part of its rows under one
 key, so joining row by row could produce a number of pairs quadratic in the
 size of that group. Both sides are therefore first reduced to counts per key,
-and the number of pairs is obtained by multiplication. A number of pairs beyond
-a bigint raises an error in ANSI mode, Spark's default.
+and the number of pairs is obtained by multiplication, in whole decimals of 38
+digits: a bigint ends where both sides hold three billion rows of one key.
 """
 
 from __future__ import annotations
@@ -46,14 +46,19 @@ def treatment_comparison(
     """
     unit_key, treatment_key = (on, on) if isinstance(on, str) else on
     positive = F.coalesce(F.col(flag_col) > 0, F.lit(False))
-    # Integers are summed as `avg` sums them; decimals stay exact.
-    is_decimal = isinstance(units.schema[outcome].dataType, T.DecimalType)
-    value = F.col(outcome) if is_decimal else F.col(outcome).cast("double")
+    S.distinct_names([status_as, count_as, mean_as or f"avg_{outcome}"])
+    # Integers are summed as `avg` sums them. Decimals are summed and weighed in
+    # units of their last digit: a product of decimals may lose digits.
+    if isinstance(S.data_type(units, outcome), T.DecimalType):
+        value_sum, digits = S.unscaled(units, outcome)
+        number = S.WHOLE
+    else:
+        value_sum, digits, number = F.sum(F.col(outcome).cast("double")), None, "double"
 
     per_key = units.groupBy(F.col(unit_key).alias("key")).agg(
         F.count("*").alias("units"),
-        F.count(value).alias("outcomes"),
-        F.sum(value).alias("outcome_sum"),
+        F.count(outcome).alias("outcomes"),
+        value_sum.alias("outcome_sum"),
     )
     treated = (
         treatment.where(F.col(treatment_key).isNotNull())
@@ -72,18 +77,20 @@ def treatment_comparison(
     sums = weighed.agg(
         *[
             # A sum of no matching rows must not turn an infinite outcome into NaN.
-            F.sum(F.when(F.col(weight) > 0, F.col(part) * F.col(weight))).alias(f"{part}_{weight}")
+            F.sum(F.when(F.col(weight) > 0, F.col(part).cast(kind) * F.col(weight).cast(kind))).alias(f"{part}_{weight}")
             for weight in ("w_treated", "w_untreated")
-            for part in ("units", "ids", "outcomes", "outcome_sum")
+            for part, kind in (("units", S.WHOLE), ("ids", S.WHOLE), ("outcomes", S.WHOLE), ("outcome_sum", number))
         ]
     )
 
     def status_row(label: str, weight: str) -> Column:
-        n = F.nullif(F.col(f"outcomes_{weight}"), F.lit(0))
+        n = F.nullif(F.col(f"outcomes_{weight}").cast("double"), F.lit(0.0))
+        total = F.col(f"outcome_sum_{weight}")
+        total = total if digits is None else S.shifted(total, digits)
         row = F.struct(
             F.lit(label).alias(status_as),
             F.col(f"ids_{weight}").alias(count_as),
-            (F.col(f"outcome_sum_{weight}").cast("double") / n).alias(mean_as or f"avg_{outcome}"),
+            (total.cast("double") / n).alias(mean_as or f"avg_{outcome}"),
         )
         # A status without joined rows has no row, as in any grouping.
         return F.when(F.col(f"units_{weight}") > 0, row)
@@ -129,7 +136,6 @@ def plan_fulfilment(
     scale: int = 2,
     *,
     dedup_right: bool = False,
-    combine_plan: bool = True,
     planned_as: str = "planned",
     completed_as: str = "completed",
     rate_as: str = "completion_rate",
@@ -141,33 +147,43 @@ def plan_fulfilment(
     planned and as completed; one with a NULL in its key counts as planned. With
     `dedup_right` every plan row counts once.
 
-    The join is one row to one row per key and `by`, so a key may hold any part
-    of the rows. The combined plan rows are shuffled once more to meet the other
-    side. `combine_plan=False` spares that shuffle: the result is the same, but
-    all plan rows of a key then go to one task, so it is for plans in which no
-    key is frequent.
+    The join is one row to one row per key and `by`. The other side is dealt to the join by an exchange of its
+    own, not left where its aggregation put it, so that adaptive execution may
+    split a key whose many values of `by` would otherwise fall to one task.
     """
     pairs = [(name, name) if isinstance(name, str) else name for name in on]
+    S.distinct_names([by, planned_as, completed_as, rate_as])
     keys = [f"key_{i}" for i in range(len(pairs))]
     plan_keys = [F.col(left).alias(key) for (left, _), key in zip(pairs, keys, strict=True)]
     actual_keys = [F.col(right).alias(key) for (_, right), key in zip(pairs, keys, strict=True)]
 
-    planned = plan.select(*plan_keys, F.col(by).alias("by"))
-    if combine_plan:
-        planned = planned.groupBy(*keys, "by").agg(F.count("*").alias("plan_rows"))
-    else:
-        planned = planned.withColumn("plan_rows", F.lit(1).cast("bigint"))
+    whole_key = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    # Rows without a whole key meet nothing; they are dealt by what they are grouped by.
+    spread = F.when(whole_key, F.lit(0).cast("bigint")).otherwise(F.xxhash64("by"))
+    planned = plan.select(*plan_keys, F.col(by).alias("by")).groupBy(*keys, "by").agg(F.count("*").alias("plan_rows"))
+    planned = planned.withColumn("spread", spread)
     met = F.lit(1).cast("bigint") if dedup_right else F.count("*")
-    matchable = [F.col(right).isNotNull() for _, right in pairs]
-    done = actual.where(reduce(and_, matchable)).groupBy(*actual_keys).agg(met.alias("actual_rows"))
-
-    pairs_made = F.col("plan_rows") * F.col("actual_rows")
-    totals = (
-        planned.join(done, keys, "left")
-        .groupBy(F.col("by").alias(by))
-        .agg(
-            F.sum(F.coalesce(pairs_made, F.col("plan_rows"))).alias(planned_as),
-            F.sum(F.coalesce(pairs_made, F.lit(0))).alias(completed_as),
-        )
+    matchable = reduce(and_, [F.col(right).isNotNull() for _, right in pairs])
+    # The digest depends on the keys alone, so there is one row per key; but rows
+    # dealt by both are not where a join on the keys needs them.
+    keyed = actual.where(matchable).select(*actual_keys).withColumn("digest", F.xxhash64(*keys))
+    done = keyed.groupBy(*keys, "digest").agg(met.alias("actual_rows")).drop("digest")
+    # Always 0; a literal would be taken out of the join keys.
+    done = done.withColumn("spread", F.least(F.col("actual_rows"), F.lit(0)).cast("bigint"))
+
+    plan_rows = F.col("plan_rows").cast(S.WHOLE)
+    pairs_made = (plan_rows * F.col("actual_rows").cast(S.WHOLE)).cast(S.WHOLE)
+    joined = planned.join(done, [*keys, "spread"], "left").select(
+        "by",
+        F.coalesce(pairs_made, plan_rows).alias("planned"),
+        F.coalesce(pairs_made, F.lit(0).cast(S.WHOLE)).alias("completed"),
+    )
+    totals = joined.groupBy("by").agg(
+        F.sum("planned").alias("planned"), F.sum("completed").alias("completed")
+    )
+    return totals.select(
+        F.col("by").alias(by),
+        F.col("planned").alias(planned_as),
+        F.col("completed").alias(completed_as),
+        S.percent("completed", F.col("planned"), scale).alias(rate_as),
     )
-    return totals.withColumn(rate_as, S.percent(completed_as, planned_as, scale))

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import semantics as S
 
+# Columns go by these names until the end: a key may be called like a result.
+_KEY, _SLOT, _COUNT, _TOTAL, _SHARE = "_key", "_slot", "_count", "_total", "_share"
+
 
 def category_frequency(
     df: DataFrame,
@@ -24,8 +27,10 @@ def category_frequency(
     sort: bool = True,
 ) -> DataFrame:
     """Rows per value of `by`, most frequent first. NULL is a value, and so is ''."""
-    counts = _kept(df, predicate).groupBy(by).agg(F.count("*").alias(count_as))
-    return _most_frequent_first(counts, count_as, [by]) if sort else counts
+    S.distinct_names([by, count_as])
+    counts = _kept(df, predicate).groupBy(F.col(by).alias(_KEY)).agg(F.count("*").alias(_COUNT))
+    ordered = _most_frequent_first(counts, [_KEY]) if sort else counts
+    return ordered.select(F.col(_KEY).alias(by), F.col(_COUNT).alias(count_as))
 
 
 def keyword_count(df: DataFrame, text_col: str, phrases: Iterable[str], *, count_as: str = "count") -> DataFrame:
@@ -50,15 +55,14 @@ def category_share(
     the counts for it, so the input is scanned once, and no window pulls all
     groups into one task. A literal `denominator` replaces the total.
     """
-    if denominator is not None and denominator == 0:
-        raise ValueError("denominator must not be zero")
-    counts = _kept(df, predicate).groupBy(by).agg(F.count("*").alias(count_as))
+    S.distinct_names([by, count_as, percent_as])
+    counts = _kept(df, predicate).groupBy(F.col(by).alias(_KEY)).agg(F.count("*").alias(_COUNT))
+    total = counts.agg(F.sum(_COUNT)).scalar() if denominator is None else denominator
     if denominator is None:
-        total = counts.agg(F.sum(count_as)).scalar()
-    else:
-        total = F.lit(denominator)
-    shares = counts.withColumn(percent_as, S.percent(count_as, total, scale))
-    return _most_frequent_first(shares, count_as, [by]) if sort else shares
+        counts, total = counts.withColumn(_TOTAL, total), F.col(_TOTAL)
+    shares = counts.withColumn(_SHARE, S.percent(_COUNT, total, scale))
+    ordered = _most_frequent_first(shares, [_KEY]) if sort else shares
+    return ordered.select(F.col(_KEY).alias(by), F.col(_COUNT).alias(count_as), F.col(_SHARE).alias(percent_as))
 
 
 def slot_frequency(
@@ -75,9 +79,13 @@ def slot_frequency(
     The columns must have one type. A blank slot counts as a value, as it does
     in `category_frequency`.
     """
-    long_form = df.select(*slots).unpivot([], list(slots), slot_as, value_as)
-    counts = long_form.groupBy(slot_as, value_as).agg(F.count("*").alias(count_as))
-    return _most_frequent_first(counts, count_as, [slot_as, value_as]) if sort else counts
+    S.distinct_names([slot_as, value_as, count_as])
+    long_form = df.select(*slots).unpivot([], list(slots), _SLOT, _KEY)
+    counts = long_form.groupBy(_SLOT, _KEY).agg(F.count("*").alias(_COUNT))
+    ordered = _most_frequent_first(counts, [_SLOT, _KEY]) if sort else counts
+    return ordered.select(
+        F.col(_SLOT).alias(slot_as), F.col(_KEY).alias(value_as), F.col(_COUNT).alias(count_as)
+    )
 
 
 def top_groups(df: DataFrame, by: str, count_col: str, k: int, *, count_as: str = "count") -> DataFrame:
@@ -86,13 +94,15 @@ def top_groups(df: DataFrame, by: str, count_col: str, k: int, *, count_as: str
     Ties at the last place go to the smallest key. Every task keeps `k` rows
     only; there is no global sort.
     """
-    counts = df.groupBy(by).agg(F.count(count_col).alias(count_as))
-    return _most_frequent_first(counts, count_as, [by]).limit(k)
+    S.distinct_names([by, count_as])
+    counts = df.groupBy(F.col(by).alias(_KEY)).agg(F.count(count_col).alias(_COUNT))
+    top = _most_frequent_first(counts, [_KEY]).limit(k)
+    return top.select(F.col(_KEY).alias(by), F.col(_COUNT).alias(count_as))
 
 
 def _kept(df: DataFrame, predicate: Column | None) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 
 
-def _most_frequent_first(counts: DataFrame, measure: str, keys: Sequence[str]) -> DataFrame:
-    return counts.orderBy(S.largest_first(measure), *[S.smallest_first(key) for key in keys])
+def _most_frequent_first(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return counts.orderBy(S.largest_first(_COUNT), *[S.smallest_first(key) for key in keys])

@@ -35,14 +35,20 @@ def segment_profile(
 
     A segment whose measure is NULL throughout keeps its row, with a NULL mean.
     """
+    means = [f"avg_{measure}" for measure in measures]
+    S.distinct_names([*keys, count_as, *means])
     kept = df if predicate is None else df.where(predicate)
-    profile = kept.groupBy(*keys).agg(
-        F.count("*").alias(count_as),
-        *[S.rounded_mean(df, measure, scale).alias(f"avg_{measure}") for measure in measures],
+    # By private names until the end: a key may be called like a result.
+    own_keys = [f"_key_{i}" for i in range(len(keys))]
+    own_means = [f"_mean_{i}" for i in range(len(measures))]
+    profile = kept.groupBy(*[F.col(key).alias(own) for key, own in zip(keys, own_keys, strict=True)]).agg(
+        F.count("*").alias("_count"),
+        *[S.rounded_mean(df, m, scale).alias(own) for m, own in zip(measures, own_means, strict=True)],
     )
-    if not sort:
-        return profile
-    return profile.orderBy(S.largest_first(count_as), *[S.smallest_first(key) for key in keys])
+    if sort:
+        profile = profile.orderBy(S.largest_first("_count"), *[S.smallest_first(own) for own in own_keys])
+    names = zip([*own_keys, "_count", *own_means], [*keys, count_as, *means], strict=True)
+    return profile.select(*[F.col(own).alias(name) for own, name in names])
 
 
 def top_rows(df: DataFrame, id_col: str, measure: str, k: int) -> DataFrame:

@@ -31,6 +31,9 @@ SETTINGS = {
 
 PARTITION_BYTES = 64 * 1024**2
 FEWEST_PARTITIONS = 200
+# Enough for 256 GB in one shuffle; beyond that, give `shuffled_bytes`.
+MANY_PARTITIONS = 4096
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def shuffle_partitions(shuffled_bytes: int) -> int:
@@ -53,7 +56,9 @@ def build_session(
     """Session for the reports; `settings` adds to or overrides the above.
 
     With `shuffled_bytes`, the size of the largest shuffle expected, the number
-    of shuffle partitions is set for it; otherwise it is left to the cluster.
+    of shuffle partitions is set for it. Otherwise, and unless `settings` has a
+    number, shuffles start with many partitions and adaptive execution merges
+    those that turn out small.
     """
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
@@ -61,6 +66,8 @@ def build_session(
     sized = {}
     if shuffled_bytes is not None:
         sized["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffled_bytes))
+    elif not {"spark.sql.shuffle.partitions", INITIAL_PARTITIONS} & set(settings or {}):
+        sized[INITIAL_PARTITIONS] = str(MANY_PARTITIONS)
     for key, value in {**SETTINGS, **sized, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -5,7 +5,8 @@ from tallywright.sources.tables import (
     USERS,
     read_files,
     read_table,
+    read_vacancies,
     vacancies_schema,
 )
 
-__all__ = ["BONUSES", "DONATIONS", "PLAN", "USERS", "read_files", "read_table", "vacancies_schema"]
+__all__ = ["BONUSES", "DONATIONS", "PLAN", "USERS", "read_files", "read_table", "read_vacancies", "vacancies_schema"]

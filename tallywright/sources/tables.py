@@ -6,6 +6,9 @@ dates in the types that the rounding and day rules need.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -13,13 +16,19 @@ MONEY = T.DecimalType(12, 1)
 SIGN_IN_FLAGS = ("autho_vk", "autho_ok", "autho_tg", "autho_yandex", "autho_google")
 
 
-def vacancies_schema(key_slots: int = 3, soft_slots: int = 2) -> T.StructType:
-    """One row per vacancy; the number of skill columns depends on the extract."""
+SKILL_KINDS = ("key_skills", "soft_skills")
+
+
+def vacancies_schema(key_slots: int, soft_slots: int) -> T.StructType:
+    """One row per vacancy; the number of skill columns depends on the extract.
+
+    `read_vacancies` finds it in the files.
+    """
     schema = T.StructType()
     for name in ("name", "area", "employer", "employment", "schedule", "experience"):
         schema.add(name, T.StringType())
     schema.add("salary_from", MONEY).add("salary_to", MONEY)
-    for kind, slots in (("key_skills", key_slots), ("soft_skills", soft_slots)):
+    for kind, slots in zip(SKILL_KINDS, (key_slots, soft_slots), strict=True):
         for slot in range(1, slots + 1):
             schema.add(f"{kind}_{slot}", T.StringType())
     return schema
@@ -56,9 +65,34 @@ PLAN = T.StructType(
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet files, with a declared schema where one is known."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """Parquet files, with a declared schema where one is known.
+
+    Raises if the files lack a column of the schema, which would be read as NULL
+    throughout, or hold more skill columns than it has, which would be left out.
+    """
+    if schema is None:
+        return spark.read.parquet(path)
+    present = {name.lower() for name in spark.read.parquet(path).columns}
+    declared = {name.lower() for name in schema.names}
+    missing = sorted(declared - present)
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    if declared & {f"{kind}_1" for kind in SKILL_KINDS}:
+        more = sorted(present.intersection(_skill_columns(present)) - declared)
+        if more:
+            raise ValueError(f"{path} has skill columns beyond the schema: {', '.join(more)}")
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_vacancies(spark: SparkSession, path: str) -> DataFrame:
+    """Vacancies with as many skill columns as the files have."""
+    skills = _skill_columns(name.lower() for name in spark.read.parquet(path).columns)
+    key_slots, soft_slots = (sum(name.startswith(kind) for name in skills) for kind in SKILL_KINDS)
+    return read_files(spark, path, vacancies_schema(key_slots, soft_slots))
+
+
+def _skill_columns(names: Iterable[str]) -> list[str]:
+    return [name for name in names if re.fullmatch(rf"({'|'.join(SKILL_KINDS)})_\d+", name)]
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

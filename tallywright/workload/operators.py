@@ -8,9 +8,9 @@ rounds in whole hundredths.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,31 +20,25 @@ from tallywright.sources import read_files
 
 AS_OF = "2024-12-03"
 MONEY = "decimal(18,2)"
+TINY = Decimal("0.0000000003")
 PART_WORDS = ("ring", "bolt")
 TEXT_WORDS = ("under", "Then")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; these do not change, so the files' schema is looked up once."""
-    path = f"{sf_dir}/{name}.parquet"
-    return read_files(spark, path, _schema(spark, path))
+    """A given table, with the schema of its files."""
+    return read_files(spark, f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=256)
-def _schema(spark: SparkSession, path: str) -> T.StructType:
-    return read_files(spark, path).schema
+def plain(df: DataFrame) -> DataFrame:
+    """Whole decimals (numbers of pairs) as bigints, other decimals as doubles, everything else unchanged."""
 
+    def simple(field: T.StructField) -> Column:
+        if not isinstance(field.dataType, T.DecimalType):
+            return F.col(field.name)
+        return F.col(field.name).cast("double" if field.dataType.scale else "bigint").alias(field.name)
 
-def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, everything else unchanged."""
-    return df.select(
-        *[
-            F.col(field.name).cast("double").alias(field.name)
-            if isinstance(field.dataType, T.DecimalType)
-            else F.col(field.name)
-            for field in df.schema
-        ]
-    )
+    return df.select(*map(simple, df.schema))
 
 
 def sql_mean(cents: str) -> str:
@@ -243,14 +237,8 @@ def top_rows_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def treatment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.treatment_comparison(
-        table(spark, sf_dir, "documents"),
-        table(spark, sf_dir, "labels"),
-        "doc_id",
-        "quality",
-        "n_chars",
-        count_as="num",
-    )
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return plain(op.treatment_comparison(documents, labels, "doc_id", "quality", "n_chars", count_as="num"))
 
 
 def _customers_and_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -265,14 +253,22 @@ def _customers_and_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
 def treatment_comparison_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many treatment rows per unit: each one counts."""
     customer, orders = _customers_and_orders(spark, sf_dir)
-    return op.treatment_comparison(customer, orders, ("c_custkey", "o_custkey"), "large", "c_acctbal", count_as="num")
+    on = ("c_custkey", "o_custkey")
+    return plain(op.treatment_comparison(customer, orders, on, "large", "c_acctbal", count_as="num"))
 
 
 def treatment_comparison_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, orders = _customers_and_orders(spark, sf_dir)
-    return op.treatment_comparison(
-        customer, orders, ("c_custkey", "o_custkey"), "large", "c_acctbal", dedup_right=True, count_as="num"
-    )
+    on = ("c_custkey", "o_custkey")
+    compared = op.treatment_comparison(customer, orders, on, "large", "c_acctbal", dedup_right=True, count_as="num")
+    return plain(compared)
+
+
+def treatment_comparison_small_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of ten decimals, most of them zeros, weighed by several treatment rows."""
+    customer, orders = _customers_and_orders(spark, sf_dir)
+    tiny = customer.select("c_custkey", (F.col("c_custkey").cast("decimal(20,10)") * TINY).cast("decimal(20,10)").alias("m"))
+    return plain(op.treatment_comparison(tiny, orders, ("c_custkey", "o_custkey"), "large", "m", count_as="num"))
 
 
 def treatment_comparison_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +277,7 @@ def treatment_comparison_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_suppkey"))
     units = lines.select(hot.alias("k"), F.col("l_linenumber").alias("outcome"))
     treatment = lines.select(hot.alias("k"), (F.col("l_linestatus") == "F").cast("int").alias("flag"))
-    return op.treatment_comparison(units, treatment, "k", "flag", "outcome", dedup_right=True, count_as="num")
+    return plain(op.treatment_comparison(units, treatment, "k", "flag", "outcome", dedup_right=True, count_as="num"))
 
 
 # -- D5: first matching segment ---------------------------------------------
@@ -365,22 +361,23 @@ def plan_fulfilment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_fulfilment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, actual = _events_plan(spark, sf_dir)
-    return plain(op.plan_fulfilment(plan, actual, ["user_id", "day"], "kind", dedup_right=True))
+    fulfilled = op.plan_fulfilment(plan, actual, ["user_id", "day"], "kind", dedup_right=True)
+    return plain(fulfilled)
 
 
 def plan_fulfilment_rare_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No key is frequent in the plan (a few lines per order and year), so its rows move once."""
+    """No key is frequent in the plan: a few lines per order and year."""
     plan = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"), date_bucket("l_shipdate", "year").alias("year"), "l_returnflag"
     )
     actual = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), date_bucket("o_orderdate", "year").alias("year")
     )
-    return plain(op.plan_fulfilment(plan, actual, ["id", "year"], "l_returnflag", combine_plan=False))
+    return plain(op.plan_fulfilment(plan, actual, ["id", "year"], "l_returnflag"))
 
 
 def plan_fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large sides, and a supplier holding a third of the rows of both."""
+    """Large sides, and a third of the rows of both without a supplier, which never match."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_suppkey")).alias("supplier"),
         date_bucket("l_shipdate").alias("month"),
@@ -392,6 +389,36 @@ def plan_fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(op.plan_fulfilment(plan, actual, ["supplier", "month"], "l_linenumber"))
 
 
+def plan_fulfilment_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One supplier holds a third of the rows of both sides, matches, and has many values of `by`."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_suppkey")).alias("supplier"),
+        "l_linestatus",
+        F.pmod("l_orderkey", F.lit(1000)).alias("order_group"),
+    )
+    plan, actual = lines.where(F.col("l_linestatus") == "O"), lines.where(F.col("l_linestatus") == "F")
+    return plain(op.plan_fulfilment(plan, actual, ["supplier"], "order_group"))
+
+
+# -- keys that are called like results ---------------------------------------
+
+
+def top_groups_key_called_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("count"), "c_custkey")
+    return op.top_groups(customer, "count", "c_custkey", 5, count_as="num")
+
+
+def category_share_key_called_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_type").alias("percent"))
+    return plain(op.category_share(part, "percent", count_as="num", percent_as="share"))
+
+
+def plan_fulfilment_group_called_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, actual = _events_plan(spark, sf_dir)
+    plan = plan.withColumnRenamed("kind", "completion_rate")
+    return plain(op.plan_fulfilment(plan, actual, ["user_id", "day"], "completion_rate", rate_as="rate"))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -425,6 +452,7 @@ QUERIES = {
         treatment_comparison,
         treatment_comparison_fanout,
         treatment_comparison_dedup,
+        treatment_comparison_small_units,
         treatment_comparison_hot_key,
         first_match_segment,
         first_match_segment_lines,
@@ -434,6 +462,10 @@ QUERIES = {
         plan_fulfilment_dedup,
         plan_fulfilment_rare_keys,
         plan_fulfilment_lines,
+        plan_fulfilment_hot_key,
+        top_groups_key_called_count,
+        category_share_key_called_percent,
+        plan_fulfilment_group_called_rate,
     )
 }
 
@@ -600,6 +632,14 @@ ORACLE = {
         "large",
         "c_acctbal",
     ),
+    "treatment_comparison_small_units": _sql_treatment(
+        f"SELECT c_custkey, CAST(c_custkey * {TINY:f} AS DECIMAL(20,10)) AS m FROM customer",
+        _LARGE_ORDERS,
+        "c_custkey",
+        "o_custkey",
+        "large",
+        "m",
+    ),
     "treatment_comparison_hot_key": _sql_treatment(
         "SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k, l_linenumber AS outcome FROM lineitem",
         """SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS k,
@@ -649,4 +689,28 @@ ORACLE = {
     "plan_fulfilment_lines": _sql_fulfilment(
         _LINES.format(", l_linenumber", "O"), _LINES.format("", "F"), ("supplier", "month"), "l_linenumber"
     ),
+    "plan_fulfilment_hot_key": f"""
+        WITH lines AS (
+            SELECT CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_suppkey END AS supplier, l_linestatus,
+                   l_orderkey % 1000 AS order_group
+            FROM lineitem
+        ), plan AS (
+            SELECT supplier, order_group, COUNT(*) AS n FROM lines WHERE l_linestatus = 'O' GROUP BY ALL
+        ), actual AS (
+            SELECT supplier, COUNT(*) AS met FROM lines WHERE l_linestatus = 'F' GROUP BY ALL
+        ), counts AS (
+            SELECT order_group, CAST(SUM(n * coalesce(met, 1)) AS BIGINT) AS planned,
+                   CAST(SUM(n * coalesce(met, 0)) AS BIGINT) AS completed
+            FROM plan LEFT JOIN actual USING (supplier) GROUP BY order_group
+        )
+        SELECT order_group, planned, completed, {sql_percent('completed', 'planned')} AS completion_rate FROM counts""",
+    "top_groups_key_called_count": """
+        SELECT c_nationkey AS "count", COUNT(c_custkey) AS num FROM customer GROUP BY c_nationkey
+        ORDER BY num DESC, c_nationkey LIMIT 5""",
+    "category_share_key_called_percent": f"""
+        WITH counts AS (SELECT p_type AS percent, COUNT(*) AS num FROM part GROUP BY p_type)
+        SELECT percent, num, {sql_percent('num', _ALL_COUNTS)} AS share FROM counts""",
+    "plan_fulfilment_group_called_rate": f"""
+        SELECT kind AS completion_rate, planned, completed, completion_rate AS rate
+        FROM ({_sql_fulfilment(_VIEW_PLAN, _PURCHASES.format(""), ("user_id", "day"), "kind")})""",
 }

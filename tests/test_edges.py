@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
+from fractions import Fraction
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -384,3 +386,96 @@ def test_large_groups_do_not_produce_pairs(spark):
     assert rows(fulfilled) == [("a", 10**10, 10**10, Decimal("100.00"))]
     compared = op.treatment_comparison(many, many.select("user", "m"), "user", "m", "m")
     assert rows(compared) == [("treated", 10**10, 1.0)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_pairs_beyond_a_bigint(spark, conf, ansi):
+    """Counts of a hot key above three billion on both sides, put in as combined rows."""
+    conf(ansi__enabled=ansi)
+    n = 3_100_000_000
+    assert one(spark, F.lit(n).cast(fn.semantics.WHOLE) * F.lit(n).cast(fn.semantics.WHOLE)) == n * n
+    side = spark.range(1).select(F.lit(1).alias("k"), F.lit("a").alias("kind"), F.lit(Decimal("1.5")).alias("m"))
+    many = reduce(lambda df, _: df.unionAll(df), range(8), side)  # 256 rows, 65536 pairs
+    assert rows(op.plan_fulfilment(many, many, ["k"], "kind")) == [("a", 65536, 65536, Decimal("100.00"))]
+    assert one(spark, fn.percent(F.lit(Decimal(n * n)), F.lit(Decimal(n * n)))) == Decimal("100.00")
+    assert one(spark, fn.percent(F.lit(Decimal(n * n // 3)), F.lit(Decimal(n * n)))) == Decimal("33.33")
+
+
+def test_small_decimal_outcomes_keep_their_digits(spark):
+    for kind, values in (("decimal(20,10)", ["0.0000000001", "0.0000000002"]), ("decimal(38,18)", ["1.234567890123456789"])):
+        units = spark.createDataFrame([(1, Decimal(v)) for v in values], f"id int, m {kind}")
+        treatment = spark.createDataFrame([(1, 1)] * 3, "id int, flag int")
+        [(_, count, mean)] = rows(op.treatment_comparison(units, treatment, "id", "flag", "m"))
+        assert count == 3 * len(values)
+        assert mean == pytest.approx(float(sum(Fraction(v) for v in values) / len(values)), rel=1e-15)
+
+
+def test_results_may_be_called_like_keys(spark):
+    frame = spark.createDataFrame([(1, "x")] * 7 + [(9, "x")] * 3, "count int, id string")
+    assert rows(op.top_groups(frame, "count", "id", 1, count_as="n")) == [(1, 7)]
+    shares = op.category_share(frame.withColumnRenamed("count", "percent"), "percent", percent_as="share")
+    assert rows(shares) == [(1, 7, Decimal("70.00")), (9, 3, Decimal("30.00"))]
+    profile = op.segment_profile(frame, ["count"], ["count"], count_as="n")
+    assert rows(profile) == [(1, 7, Decimal("1.00")), (9, 3, Decimal("9.00"))]
+    for call in (
+        lambda: op.top_groups(frame, "count", "id", 1),
+        lambda: op.category_frequency(frame, "count"),
+        lambda: op.category_share(frame, "count"),
+        lambda: op.slot_frequency(frame, ["id"], value_as="COUNT"),
+        lambda: op.segment_profile(frame, ["count"], []),
+        lambda: op.plan_fulfilment(frame, frame, ["id"], "completion_rate"),
+        lambda: op.treatment_comparison(frame, frame, "id", "count", "count", count_as="status"),
+    ):
+        with pytest.raises(ValueError, match="two output columns"):
+            call()
+
+
+def test_binary_fractions_have_no_exact_mean(spark):
+    frame = spark.createDataFrame([(0.1,)], "m double")
+    with pytest.raises(TypeError, match="decimal"):
+        op.numeric_summary(frame, ["m"])
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "scale", "expected"),
+    [
+        ("decimal(38,2)", ["1.00", "2.00", "2.00"], 8, "1.66666667"),
+        ("decimal(4,2)", ["-0.01", "-0.02"], 2, "-0.02"),
+        ("decimal(4,2)", ["0.01", "0.02"], 2, "0.02"),
+        ("bigint", [2**62, 2**62, 2**62 + 1], 0, str(2**62)),
+        ("int", [1, 2], 0, "2"),
+    ],
+)
+def test_means_round_once(spark, kind, values, scale, expected):
+    frame = spark.createDataFrame([(Decimal(v) if "decimal" in kind else v,) for v in values], f"m {kind}")
+    assert rows(frame.agg(fn.rounded_mean(frame, "m", scale)))[0][0] == Decimal(expected)
+
+
+def test_percent_of_odd_totals(spark):
+    part, total = 2315800000011, 4000000000019
+    assert one(spark, fn.percent(F.lit(part), F.lit(total))) == Decimal("57.89")
+    assert one(spark, fn.percent(F.lit(5), Decimal("2.5"))) == Decimal("200.00")
+    assert one(spark, fn.percent(F.lit(1), Decimal("0.4"))) == Decimal("250.00")
+    assert one(spark, fn.percent(F.lit(1), F.lit(0))) is None
+    with pytest.raises(ValueError, match="positive"):
+        fn.percent(F.lit(1), 0)
+
+
+def test_column_names_in_another_letter_case(spark):
+    frame = spark.createDataFrame([(Decimal("1.50"), 1)], "Salary decimal(4,2), Id int")
+    assert rows(op.numeric_summary(frame, ["salary"])) == [(Decimal("1.50"),) * 3]
+    assert rows(op.treatment_comparison(frame, frame, "id", "ID", "salary")) == [("treated", 1, 1.5)]
+
+
+def test_a_single_text_is_no_list_of_phrases(spark):
+    frame = spark.createDataFrame([("gold",)], "name string")
+    with pytest.raises(TypeError):
+        op.keyword_count(frame, "name", "ring")
+
+
+def test_bands_must_reach_down_to_the_fewest_events(spark):
+    frame = spark.createDataFrame([(1, None)], "u int, d date")
+    with pytest.raises(ValueError, match="no band"):
+        op.repeat_cohorts(frame, "u", "d", min_events=1)
+    with pytest.raises(ValueError, match="no band"):
+        op.repeat_cohorts(frame, "u", "d", bands=((2, 3, "2-3"), (5, 6, "5-6")))

@@ -31,7 +31,7 @@ def spread(counts: dict, total: int, small: int = 20) -> list:
 
 
 def vacancy_frame(spark, **columns):
-    schema = vacancies_schema()
+    schema = vacancies_schema(3, 2)
     n = len(next(iter(columns.values())))
     blank = [None] * n
     data = list(zip(*[columns.get(field.name, blank) for field in schema], strict=True))

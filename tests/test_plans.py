@@ -7,7 +7,9 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallywright.operators import plan_fulfilment
 from tallywright.workload import operators, reports
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -57,10 +59,10 @@ def test_plan_stays_distributed(spark, name):
             assert re.search(r"HashAggregate\(keys=\[\]", below)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - {"plan_fulfilment_rare_keys"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_grouping_combines_before_its_shuffle(spark, name):
     """Below every hash shuffle lies a partial aggregate, or a finished one that is to be joined."""
-    lines = plan_of(spark, name).splitlines()
+    lines = [line for line in plan_of(spark, name).splitlines() if " AS spread#" not in line]
     for line, below in zip(lines, lines[1:], strict=False):
         if "Exchange hashpartitioning" in line:
             assert "HashAggregate" in below
@@ -135,10 +137,36 @@ def test_one_shuffle_per_side_of_the_comparison(spark):
     assert "SortMergeJoin" in plan
 
 
-def test_plan_without_frequent_keys_is_shuffled_once(spark):
-    """Plan, fact and result, against the plan twice."""
-    assert plan_of(spark, "plan_fulfilment_rare_keys").count("Exchange hashpartitioning(") == 3
-    assert plan_of(spark, "plan_fulfilment").count("Exchange hashpartitioning(") == 4
+def test_both_sides_of_the_fulfilment_are_dealt_to_the_join(spark):
+    """Plan and fact are combined, then dealt by the keys; the result adds one."""
+    plan = plan_of(spark, "plan_fulfilment")
+    assert plan.count("Exchange hashpartitioning(") == 5
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_hot_key_of_the_plan_is_split(spark, conf, tmp_path, nulls):
+    """A third of the plan under one key, with many values of `by`, is joined in several tasks; NULLs are spread."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(None if nulls else -1).cast("bigint")).otherwise(F.col("id") % 5000)
+    for name, many in (("plan", 120_000), ("fact", 40_000)):
+        spark.range(many).select(key.alias("k"), F.concat(F.lit("some longer label "), "id").alias("by")).write.parquet(
+            str(tmp_path / name)
+        )
+    conf(
+        shuffle__partitions="20",
+        adaptive__advisoryPartitionSizeInBytes="32k",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="64k",
+        adaptive__skewJoin__skewedPartitionFactor="1.5",
+        adaptive__coalescePartitions__enabled="false",
+        adaptive__autoBroadcastJoinThreshold="-1",
+    )
+    plan, fact = (spark.read.parquet(str(tmp_path / name)) for name in ("plan", "fact"))
+    df = plan_fulfilment(plan, fact, ["k"], "by")
+    found = df.collect()
+    final = explain(df).split("Initial Plan")[0]
+    assert ("SortMergeJoin(skew=true)" in final) != nulls
+    assert len(found) == 120_000
+    hot = [row for row in found if int(row["by"].split()[-1]) % 3 == 0]
+    assert {row["completed"] for row in hot} == ({0} if nulls else {13_334})
 
 
 def test_small_right_side_is_broadcast_once_measured(spark):

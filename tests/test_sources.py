@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.plans import donors, vacancies
-from tallywright.sources import BONUSES, DONATIONS, PLAN, USERS, read_files, read_table, vacancies_schema
+from tallywright.sources import BONUSES, DONATIONS, PLAN, USERS, read_files, read_table, read_vacancies, vacancies_schema
+from tallywright.workload.operators import table
 from tests.conftest import rows
 
 
@@ -25,7 +26,7 @@ def test_declared_schema_gives_money_as_decimals():
     ]
 
 
-@pytest.mark.parametrize("schema", [USERS, DONATIONS, BONUSES, PLAN, vacancies_schema()])
+@pytest.mark.parametrize("schema", [USERS, DONATIONS, BONUSES, PLAN, vacancies_schema(3, 2)])
 def test_files_with_a_declared_schema(spark, tmp_path, schema):
     path = str(tmp_path / "t")
     spark.createDataFrame([], schema).write.parquet(path)
@@ -64,3 +65,31 @@ def test_skill_slots_are_found_by_name(spark):
         ("key_skills_1", "SQL", 1),
         ("soft_skills_1", "x", 1),
     ]
+
+
+def skills_file(spark, path, key_slots, soft_slots):
+    schema = vacancies_schema(key_slots, soft_slots)
+    names = [name for name in schema.names if "skills" in name]
+    spark.createDataFrame([(*[None] * (len(schema) - len(names)), *names)], schema).write.parquet(path)
+    return names
+
+
+def test_every_skill_slot_of_a_file_is_read(spark, tmp_path):
+    names = skills_file(spark, str(tmp_path / "t"), 5, 3)
+    mentions = vacancies.skill_mentions_all_slots(read_vacancies(spark, str(tmp_path / "t")))
+    assert sorted(rows(mentions)) == sorted((name, name, 1) for name in names)
+    with pytest.raises(ValueError, match="key_skills_4, key_skills_5, soft_skills_3"):
+        read_files(spark, str(tmp_path / "t"), vacancies_schema(3, 2))
+
+
+def test_missing_columns_are_noticed(spark, tmp_path):
+    spark.createDataFrame([("a",)], "name string").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no column .*salary_from"):
+        read_files(spark, str(tmp_path / "t"), vacancies_schema(1, 1))
+
+
+def test_rewritten_files_are_read_with_their_own_schema(spark, tmp_path):
+    path = str(tmp_path / "region.parquet")
+    for name in ("first", "second"):
+        spark.createDataFrame([(1,)], f"{name} int").write.mode("overwrite").parquet(path)
+        assert rows(table(spark, str(tmp_path), "region").select(name)) == [(1,)]
