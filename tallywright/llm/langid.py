@@ -11,10 +11,7 @@ proportion in that set, and the proportion is its score.
 
 from __future__ import annotations
 
-import re
-import uuid
-import zlib
-from collections import Counter
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,34 +25,85 @@ from tallywright.llm.common import col, ship_package
 UNKNOWN = "und"
 TRAINING_ROWS = 20_000
 BUCKET_BITS = 15
-ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MOST_LANGUAGES = 4
-STEPS = 8
+STEPS = 6
 PENALTY = 6.0
-MEMO_LIMIT = 300_000
-BATCH_WORDS = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+CHARS = 400_000
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's letter n-grams, its ends marked."""
-    marked = f" {word} "
-    return [
-        zlib.crc32(marked[at : at + order].encode()) >> (32 - BUCKET_BITS)
-        for order in ORDERS
-        for at in range(len(marked) - order + 1)
-    ]
+class _Letters:
+    """Which code points are letters; worked out once per process."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+        return cls.table[codes]
+
+
+def _bucket(order: int, *codes: np.ndarray) -> np.ndarray:
+    mixed = np.full(len(codes[0]), order, np.uint32)
+    for code in codes:
+        mixed = (mixed ^ code) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+    return mixed >> np.uint32(32 - BUCKET_BITS)
+
+
+def grams(text: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each letter three buckets, of itself, with the one before, and with both neighbours; where words
+    begin among the letters; and where in the text.
+
+    Letters are lower-cased; whatever else there is ends a word, and all of it counts as the same.
+    """
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
+    letter = _Letters.of(codes)
+    codes = np.where(letter, codes, np.uint32(32))
+    at = np.flatnonzero(letter)
+    here, before = codes[at], codes[at - 1]
+    buckets = [_bucket(1, here), _bucket(2, before, here), _bucket(3, before, here, codes[at + 1])]
+    begins = np.flatnonzero(~letter[at - 1])
+    return buckets, begins, at[begins] - 1
+
+
+def _joined(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Lower-cased texts in strings of bounded length, with their places and where each begins; long ones in parts."""
+    held, places, size = [], [], 0
+    for place, text in enumerate(texts):
+        text = text.lower() if text else ""
+        while text:
+            end = len(text)
+            if end > CHARS:  # at the last blank, if there is one
+                end = max(text.rfind(" ", 0, CHARS), text.rfind("\n", 0, CHARS)) + 1 or CHARS
+            held.append(text[:end])
+            places.append(place)
+            size += end + 1
+            text = text[end:]
+            if size >= CHARS:
+                yield _join(held, places)
+                held, places, size = [], [], 0
+    if held:
+        yield _join(held, places)
+
+
+def _join(held: list[str], places: list[int]) -> tuple[str, np.ndarray, np.ndarray]:
+    begins = np.cumsum([0, *[len(part) + 1 for part in held[:-1]]])
+    return "\n".join(held), np.array(places), begins
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams per language in this task's training texts."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        texts = batch.column("text").to_pylist()
+        for lang in sorted(set(langs)):
             table = counts.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
-                np.add.at(table, grams(word), n)
+            for text, _, _ in _joined([texts[at] for at in np.flatnonzero(langs == lang)]):
+                for buckets in grams(text)[0]:
+                    table += np.bincount(buckets, minlength=1 << BUCKET_BITS)
     yield _tables(counts)
 
 
@@ -104,39 +152,16 @@ def fit(df: DataFrame, text: str, lang: str, training_rows: int = TRAINING_ROWS)
     return Model(languages, np.log(counts / counts.sum(0)).astype(np.float32))
 
 
-class Words:
-    """Words by number, with the log likelihood of each in every language; number 0 has no letter."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers = {"": 0}
-        self.table = np.zeros((1 << 12, len(self.model.languages)), np.float32)
-
-    def number(self, chunk: str) -> int:
-        known = self.numbers.get(chunk)
-        if known is not None:
-            return known
-        buckets = [bucket for word in LETTERS.findall(chunk.lower()) for bucket in grams(word)]
-        if not buckets:
-            self.numbers[chunk] = 0
-            return 0
-        number = self.numbers[chunk] = len(self.numbers)
-        if number >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[number] = self.model.log_probability[buckets].sum(0)
-        return number
-
-    def numbered(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        numbers = self.numbers
-        try:
-            found = np.fromiter(map(numbers.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            found = np.fromiter(map(self.number, chunks), np.int64, len(chunks))
-        return found[found > 0]
+def word_likelihoods(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of texts, ascending, and the log likelihood of each of their words in every language."""
+    for text, places, begins in _joined(texts):
+        buckets, words, at = grams(text)
+        if len(words):
+            table = model.log_probability
+            letters = table[buckets[0]]
+            letters += table[buckets[1]]
+            letters += table[buckets[2]]
+            yield places[np.searchsorted(begins, at, "right") - 1], np.add.reduceat(letters, words, axis=0)
 
 
 def infer(likelihood: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,73 +171,93 @@ def infer(likelihood: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     document's words follow each other, and `lengths`, none of them 0, are their
     numbers.
     """
-    docs, languages = len(lengths), likelihood.shape[1]
+    languages, docs = likelihood.shape[1], len(lengths)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    owner = np.repeat(np.arange(docs), lengths)
+    single = np.add.reduceat(likelihood, starts, axis=0, dtype=np.float64).T
+    best = single.argmax(0)
+    found, share = best.copy(), np.ones(docs)
+    if languages == 1:
+        return found, share
     top = likelihood.max(1)
-    ratio = np.exp(likelihood - top[:, None])
-    base = np.add.reduceat(top.astype(np.float64), starts)
-    single = np.add.reduceat(likelihood.astype(np.float64), starts)
-    allowed = np.ones((docs, languages), bool)
+    # A row per language from here on.
+    ratio = np.exp((likelihood - top[:, None]).T)
+    base = np.add.reduceat(top, starts, dtype=np.float64)
+    allowed = np.ones((languages, docs), bool)
     if languages > MOST_LANGUAGES:
-        allowed &= single >= np.sort(single, 1)[:, -MOST_LANGUAGES][:, None]
-    best_value = np.full(docs, -np.inf)
-    best_share = np.zeros((docs, languages))
-    share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(min(languages, MOST_LANGUAGES)):
-        for _ in range(STEPS):
-            weighed = ratio * share.astype(np.float32)[owner]
-            weighed /= weighed.sum(1, keepdims=True)
-            share = np.add.reduceat(weighed, starts, dtype=np.float64) / lengths[:, None]
-            share = np.where(allowed, np.maximum(share, 1e-12), 0)
-            share /= share.sum(1, keepdims=True)
-        fit_ = np.log((ratio * share.astype(np.float32)[owner]).sum(1, dtype=np.float64))
-        value = base + np.add.reduceat(fit_, starts) - PENALTY * allowed.sum(1)
-        better = value >= best_value
-        best_value = np.where(better, value, best_value)
-        best_share[better] = share[better]
-        smallest = np.where(allowed, share, np.inf).argmin(1)
-        several = allowed.sum(1) > 1
-        allowed[several, smallest[several]] = False
-        share = np.where(allowed, share, 0)
-        share /= share.sum(1, keepdims=True)
-    found = best_share.argmax(1)
-    return found, best_share[np.arange(docs), found]
-
-
-def _classify(model: Model, words: Words, texts: list) -> tuple[list[str], list[float]]:
+        allowed &= single >= np.sort(single, 0)[-MOST_LANGUAGES]
+    whole, value = _mixture(ratio, starts, lengths, allowed)
+    # The whole set fits best before the penalty. If it is not better than one
+    # language by the penalty for a second, no other set is.
+    open_ = np.flatnonzero(base + value - single[best, np.arange(docs)] > PENALTY)
+    if len(open_):
+        part = np.isin(np.repeat(np.arange(docs), lengths), open_)
+        found[open_], share[open_] = _best_set(
+            ratio[:, part], base[open_], lengths[open_], allowed[:, open_], whole[:, open_], value[open_]
+        )
+    return found, share
+
+
+def _mixture(ratio, starts, lengths, allowed) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of the allowed languages by expectation-maximisation, and the log likelihood they give."""
+    share = allowed / allowed.sum(0)
+    for _ in range(STEPS):
+        weighed = ratio * np.repeat(share.astype(np.float32), lengths, axis=1)
+        weighed /= weighed.sum(0)
+        share = np.add.reduceat(weighed, starts, axis=1, dtype=np.float64) / lengths
+        share = np.where(allowed, np.maximum(share, 1e-12), 0)
+        share /= share.sum(0)
+    fit_ = np.log((ratio * np.repeat(share.astype(np.float32), lengths, axis=1)).sum(0))
+    return share, np.add.reduceat(fit_, starts, dtype=np.float64)
+
+
+def _best_set(ratio, base, lengths, allowed, share, value) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves out the language with the smallest proportion, step by step, and keeps the best set."""
+    docs = np.arange(len(lengths))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    best_value, best_share = base + value - PENALTY * allowed.sum(0), share
+    allowed = allowed.copy()
+    while (allowed.sum(0) > 1).any():
+        smallest = np.where(allowed, share, np.inf).argmin(0)
+        several = allowed.sum(0) > 1
+        allowed[smallest[several], docs[several]] = False
+        share, value = _mixture(ratio, starts, lengths, allowed)
+        penalised = base + value - PENALTY * allowed.sum(0)
+        better = penalised >= best_value
+        best_value = np.where(better, penalised, best_value)
+        best_share = np.where(better, share, best_share)
+    found = best_share.argmax(0)
+    return found, best_share[found, docs]
+
+
+def _classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Languages and scores, worked out for many documents at a time."""
     languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    held, places, size = [], [], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def flush() -> None:
-        nonlocal held, places, size
-        if held:
-            likelihood = words.table[np.concatenate(held)]
-            found, share = infer(likelihood, np.array([len(part) for part in held]))
-            for place, lang, score in zip(places, found.tolist(), share.tolist()):
-                languages[place], scores[place] = model.languages[lang], min(1.0, score)
-        held, places, size = [], [], 0
+    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        owners = np.concatenate([owner for owner, _ in parts])
+        places, lengths = np.unique(owners, return_counts=True)
+        found, share = infer(np.concatenate([likelihood for _, likelihood in parts]), lengths)
+        for place, lang, score in zip(places.tolist(), found.tolist(), share.tolist()):
+            languages[place], scores[place] = model.languages[lang], min(1.0, score)
 
     if not model.languages:
         return languages, scores
-    for place, text in enumerate(texts):
-        part = words.numbered(text) if text else ()
-        if len(part):
-            held.append(part)
-            places.append(place)
-            size += len(part)
-        if size >= BATCH_WORDS or len(words.numbers) > MEMO_LIMIT:
-            flush()
-            if len(words.numbers) > MEMO_LIMIT:
-                words.clear()
-    flush()
+    for owners, likelihood in word_likelihoods(model, texts):
+        # The last text may go on in the next part.
+        last = np.searchsorted(owners, owners[-1])
+        if last:
+            flush([*held, (owners[:last], likelihood[:last])])
+            held = []
+        elif held and held[-1][0][-1] != owners[0]:
+            flush(held)
+            held = []
+        held.append((owners[last:], likelihood[last:]))
+    if held:
+        flush(held)
     return languages, scores
 
 
-_words: dict[str, Words] = {}
-
-
 def predict(df: DataFrame, text: str, model: Model, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """`df` with the predicted language and the share of the text's words that is in it.
 
@@ -224,15 +269,10 @@ def predict(df: DataFrame, text: str, model: Model, lang_as: str = "lang_pred",
     """
     ship_package(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast((model.languages, model.log_probability))
-    key = uuid.uuid4().hex  # a worker keeps the words of one model
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def guess(texts: pa.Array) -> pa.Array:
-        if key not in _words:
-            _words.clear()
-            _words[key] = Words(Model(*shipped.value))
-        words = _words[key]
-        languages, scores = _classify(words.model, words, texts.to_pylist())
+        languages, scores = _classify(Model(*shipped.value), texts.to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"]
         )
