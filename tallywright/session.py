@@ -47,6 +47,15 @@ def shuffle_partitions(shuffled_bytes: int) -> int:
     return max(FEWEST_PARTITIONS, math.ceil(shuffled_bytes / PARTITION_BYTES))
 
 
+def default_partitions(shuffled_bytes: int | None, settings: dict[str, str]) -> dict[str, str]:
+    """The setting that decides on the number of shuffle partitions."""
+    if shuffled_bytes is not None:
+        return {"spark.sql.shuffle.partitions": str(shuffle_partitions(shuffled_bytes))}
+    if {"spark.sql.shuffle.partitions", INITIAL_PARTITIONS} & settings.keys():
+        return {}
+    return {INITIAL_PARTITIONS: str(MANY_PARTITIONS)}
+
+
 def build_session(
     app_name: str = "tallywright",
     master: str | None = None,
@@ -63,11 +72,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    sized = {}
-    if shuffled_bytes is not None:
-        sized["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffled_bytes))
-    elif not {"spark.sql.shuffle.partitions", INITIAL_PARTITIONS} & set(settings or {}):
-        sized[INITIAL_PARTITIONS] = str(MANY_PARTITIONS)
+    sized = default_partitions(shuffled_bytes, settings or {})
     for key, value in {**SETTINGS, **sized, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
