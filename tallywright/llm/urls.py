@@ -118,7 +118,7 @@ def build_cascade(universe: DataFrame) -> list[Filter]:
     """Filters that tell the listed keys of `universe` (`h`, `listed`) from all others in it.
 
     A filter's size follows from the keys it holds, and is bounded by `MAX_BITS`;
-    more listed keys than that must be looked up by a join (see `judge`).
+    more listed keys than that raise an OverflowError.
     """
     ship_package(universe.sparkSession)
     held, rest = universe.where("listed").select("h"), universe.where("not listed").select("h")
@@ -163,7 +163,8 @@ def judge(
     lists the block. Without a fitting rule `rule` is NULL and the verdict is
     `otherwise`, as for a URL that is NULL or has no `://`. Repeated rows are
     judged alike, an empty table gives no rows, and columns of `df` called like
-    the new ones are replaced. Rules beyond `MAX_BITS` raise an error.
+    the new ones are replaced. Where more rules occur in the corpus than a filter
+    of `MAX_BITS` holds, keys are looked up by a join.
     """
     spark = df.sparkSession
     rules = {"allow": list(allow), "block": list(block)}
@@ -175,28 +176,46 @@ def judge(
         .withColumn(hashes, F.transform(F.col(keys), lambda key: F.xxhash64(key)))
     )
     universe = stored(parsed.select(F.explode(keys).alias("key")).distinct().select("key", F.xxhash64("key").alias("h")), "url_keys")
+    best = hidden("best")
+    try:
+        known = _by_cascade(parsed, universe, rules, keys, hashes, best)
+    except OverflowError:
+        known = _by_join(parsed, rules, keys, best)
+    hit = F.col(best)
+    verdict = F.when(hit.isNull(), otherwise).when(hit["block"], "block").otherwise("allow")
+    return known.withColumns({"rule": hit["key"], "verdict": verdict}).drop(best, keys, hashes)
+
+
+def _table(parsed: DataFrame, some: Sequence[str]) -> DataFrame:
+    return parsed.sparkSession.createDataFrame([(rule,) for rule in some], "rule string")
+
+
+def _by_cascade(
+    parsed: DataFrame, universe: DataFrame, rules: dict[str, list[str]], keys: str, hashes: str, best: str
+) -> DataFrame:
+    """`parsed` with the longest listed key of each row, looked up in one cascade per list."""
     found = {}
     for name, some in rules.items():
-        text = spark.createDataFrame([(rule,) for rule in some], "rule string")
-        marked = universe.join(text, F.col("key") == F.col("rule"), "left").select(
+        marked = universe.join(_table(parsed, some), F.col("key") == F.col("rule"), "left").select(
             "h", F.col("rule").isNotNull().alias("listed")
         )
-        cascade = spark.sparkContext.broadcast(build_cascade(stored(marked, "url_universe")))
-        found[name] = _lookup(cascade)(F.col(hashes))
-    looked_up = parsed.withColumns({hidden(name): look for name, look in found.items()})
-    hits = F.filter(
-        F.arrays_zip(F.col(keys).alias("key"), F.col(hidden("allow")).alias("allow"), F.col(hidden("block")).alias("block")),
-        lambda hit: hit["allow"] | hit["block"],
-    )
-    ranked = F.transform(hits, lambda hit: F.struct(F.length(hit["key"]).alias("n"), hit["key"].alias("key"), hit["block"].alias("block")))
-    best = hidden("best")
-    return (
-        looked_up.withColumn(best, F.array_max(ranked))
-        .withColumns(
-            {
-                "rule": F.col(best)["key"],
-                "verdict": F.when(F.col(best).isNull(), otherwise).when(F.col(best)["block"], "block").otherwise("allow"),
-            }
-        )
-        .drop(best, keys, hashes, hidden("allow"), hidden("block"))
-    )
+        cascade = build_cascade(stored(marked, "url_universe"))
+        found[hidden(name)] = _lookup(parsed.sparkSession.sparkContext.broadcast(cascade))(F.col(hashes))
+    allow, block = F.col(hidden("allow")).alias("allow"), F.col(hidden("block")).alias("block")
+    hits = F.filter(F.arrays_zip(F.col(keys).alias("key"), allow, block), lambda hit: hit["allow"] | hit["block"])
+    ranked = F.transform(hits, lambda hit: _ranked(hit["key"], hit["block"]))
+    return parsed.withColumns(found).withColumn(best, F.array_max(ranked)).drop(*found)
+
+
+def _by_join(parsed: DataFrame, rules: dict[str, list[str]], keys: str, best: str) -> DataFrame:
+    """The same where the lists are too long for filters of bounded size."""
+    row = hidden("row")
+    numbered = stored(parsed.withColumn(row, F.monotonically_increasing_id()), "url_rows")
+    listed_ = [_table(parsed, some).distinct().withColumn("block", F.lit(name == "block")) for name, some in rules.items()]
+    hits = numbered.select(row, F.explode(keys).alias("rule")).join(listed_[0].unionAll(listed_[1]), "rule")
+    longest = hits.groupBy(row).agg(F.max(_ranked(F.col("rule"), F.col("block"))).alias(best))
+    return numbered.join(longest, row, "left").drop(row)
+
+
+def _ranked(key: Column, block: Column) -> Column:
+    return F.struct(F.length(key).alias("n"), key.alias("key"), block.alias("block"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tallywright.llm import queries, urls
 
@@ -68,7 +69,9 @@ def test_no_rule_is_met(spark):
     check(urls.judge(frame, "url", ["org/"], ["com/"]).collect(), given, ["org/"], ["com/"])
 
 
-def test_many_rules_need_several_levels(spark):
+@pytest.mark.parametrize("bits", [urls.MAX_BITS, 64])
+def test_many_rules_need_several_levels_or_a_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(urls, "MAX_BITS", bits)
     rnd = random.Random(3)
     hosts = [f"h{i}.example.{rnd.choice(['com', 'net'])}" for i in range(3000)]
     given = [(i, f"https://{host}/{rnd.choice('abc')}/{i}") for i, host in enumerate(hosts)]
