@@ -17,11 +17,14 @@ a lost task is written again as a whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -128,34 +131,71 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it can be seen."""
+    seen = [byte for byte in range(256) if 0x21 <= byte <= 0x7E or 0xA1 <= byte <= 0xAC or byte >= 0xAE]
+    others = {byte: 256 + at for at, byte in enumerate(byte for byte in range(256) if byte not in seen)}
+    return [chr(others.get(byte, byte)) for byte in range(256)]
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 class WordTokens:
     """Ids of a text by a tokenizer that never joins what white space parts.
 
     Texts are cut at white space and each part's ids are remembered, up to a
-    limit; parts not met yet are given to the library together.
+    limit; parts not met yet are given to the library together. As the tokenizer
+    lower-cases and takes full stops and commas for pieces of their own, a run of
+    letters is looked up in lower case and without those after it.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, memo_limit: int = MEMO_LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.merges = self.library.model
+        self.memo_limit = memo_limit
+        self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.uint32).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit integers."""
         parts = [part for part in WHITE.split(text) if part] if SEPARATORS.search(text) else text.split()
-        memo = self.memo
-        new = list({part for part in parts if part not in memo})
-        if new:
-            if len(memo) > MEMO_LIMIT:
-                memo.clear()
-                new = list(set(parts))
-            for part, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                memo[part] = tuple(coded.ids)
-        out: list[int] = []
+        try:
+            return b"".join(map(self.memo.__getitem__, parts))
+        except KeyError:
+            if len(self.memo) > self.memo_limit:
+                self.memo.clear()
+            self._learn(set(parts).difference(self.memo))
+            return b"".join(map(self.memo.__getitem__, parts))
+
+    def _learn(self, parts: set[str]) -> None:
+        memo, split, wanted = self.memo, [], set()
         for part in parts:
-            out += memo[part]
-        return out
+            word = part.rstrip(".,")
+            after = part[len(word) :]
+            lower = normalize("NFC", word).lower()
+            # Two capitals whose lower case depends on what is around them, or is two characters.
+            if lower.isalpha() and word.isalpha() and "Σ" not in word and "İ" not in word:
+                split.append((part, lower, after))
+                if after and after not in memo:
+                    wanted.add(after)
+            else:
+                wanted.add(part)
+        new = list(wanted)
+        for part, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            memo[part] = array("I", coded.ids).tobytes()
+        for part, word, after in split:
+            ids = memo.get(word)
+            if ids is None:
+                # One run of letters is one piece, so only the library's merges are left to do.
+                piece = word if word.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, word.encode()))
+                ids = memo[word] = array("I", [token.id for token in self.merges.tokenize(piece)]).tobytes()
+            memo[part] = ids + memo[after] if after else ids
 
 
 _tokens: dict[int, WordTokens] = {}
@@ -170,7 +210,7 @@ def _writer(definition, end_id: int, segment_ids: int):
             _tokens[key] = WordTokens(definition.value)
         coder = _tokens[key]
         part, seq, written, held = TaskContext.get().partitionId(), 0, 0, 0
-        docs, ids = [], []
+        docs, ids, end = [], [], array("I", [end_id]).tobytes()
 
         def flush():
             return pa.RecordBatch.from_arrays(
@@ -184,9 +224,10 @@ def _writer(definition, end_id: int, segment_ids: int):
                 names=["part", "seq", "part_start", "n_tokens", "payload"],
             )
 
+        gc.disable()  # nothing here holds cycles, and looking for some takes long
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                coded = np.array([*coder.encode(text.as_py() or ""), end_id], np.uint32)
+                coded = np.frombuffer(coder.encode_bytes(text.as_py() or "") + end, np.uint32)
                 docs.append(doc_id)
                 ids.append(coded)
                 held += len(coded)
@@ -195,6 +236,7 @@ def _writer(definition, end_id: int, segment_ids: int):
                     seq, written, held, docs, ids = seq + 1, written + held, 0, [], []
         if docs:
             yield flush()
+        gc.enable()
 
     return run
 
