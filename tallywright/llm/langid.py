@@ -29,6 +29,7 @@ SMOOTHING = 0.5
 MOST_LANGUAGES = 4
 STEPS = 6
 PENALTY = 6.0
+FLOOR = np.float32(-50)
 CHARS = 400_000
 
 
@@ -179,8 +180,8 @@ def infer(likelihood: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     if languages == 1:
         return found, share
     top = likelihood.max(1)
-    # A row per language from here on.
-    ratio = np.exp((likelihood - top[:, None]).T)
+    # A row per language from here on. The floor keeps every word possible in every language.
+    ratio = np.exp(np.maximum(likelihood - top[:, None], FLOOR).T)
     base = np.add.reduceat(top, starts, dtype=np.float64)
     allowed = np.ones((languages, docs), bool)
     if languages > MOST_LANGUAGES:
