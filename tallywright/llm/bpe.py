@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, ship_package
 
-STATE_LIMIT = 200_000
-MEMO_LIMIT = 350_000
+STATE_LIMIT = 150_000
+MEMO_LIMIT = 300_000
 MEMO_LENGTH = 64
 NEVER = float("inf")
 
@@ -95,8 +95,10 @@ class Transducer:
         if len(self._states) > self.state_limit:
             self._forget()
         out: list[int] = []
+        if not piece:
+            return out
         at, step, emits = self._start, self._next.get, self._emits
-        for byte in piece:
+        for byte in piece[:-1]:
             key = at << 8 | byte
             to = step(key)
             if to is None:
@@ -109,33 +111,42 @@ class Transducer:
                 out += emits[key]
                 to = ~to
             at = to
-        out += self._states[at][-1]
+        key = at << 8 | piece[-1]
+        to = step(key)
+        if to is None:  # no state is made for where a piece ends
+            out += self._to_end(self._states[at], piece[-1])
+        else:
+            if to < 0:
+                out += emits[key]
+                to = ~to
+            out += self._states[to][-1]
         return out
 
+    def _to_end(self, state: tuple, byte: int) -> tuple[int, ...]:
+        """Tokens from the last emission to the end of this byte: the one last token that fits, and those before it."""
+        before, child, ends, fits = state[0], self._child.get, self._ends.get, self._fits.get
+        for i in range(1, len(state), 2):
+            node, tokens = child(state[i] << 8 | byte), state[i + 1]
+            token = None if node is None else ends(node)
+            if token is not None:
+                previous = tokens[-1] if tokens else before
+                fit = fits(previous * self._base + token)
+                if self._fit(previous, token) if fit is None else fit:
+                    return (*tokens, token)
+        raise ValueError("the vocabulary lacks a byte, or its merges are not in order")
+
     def _step(self, key: int) -> int:
         state, byte = self._states[key >> 8], key & 255
         before = state[0]
-        child, ends, inner, fits = self._child.get, self._ends.get, self._inner, self._fits.get
+        child, inner = self._child.get, self._inner
         longer: list = [before]
-        chain_to_end = None
         for i in range(1, len(state), 2):  # the longest first, the end of the last byte at last
-            node, tokens = child(state[i] << 8 | byte), state[i + 1]
-            if node is None:
-                continue
-            if chain_to_end is None:
-                token = ends(node)
-                if token is not None:
-                    previous = tokens[-1] if tokens else before
-                    fit = fits(previous * self._base + token)
-                    if self._fit(previous, token) if fit is None else fit:
-                        chain_to_end = (*tokens, token)
+            node = child(state[i] << 8 | byte)
             if node in inner:
                 longer.append(node)
-                longer.append(tokens)
-        if chain_to_end is None:
-            raise ValueError("the vocabulary lacks a byte, or its merges are not in order")
+                longer.append(state[i + 1])
         longer.append(0)
-        longer.append(chain_to_end)
+        longer.append(self._to_end(state, byte))
         # What all of them begin with is settled.
         agreed = longer[2]
         for i in range(4, len(longer), 2):
