@@ -13,6 +13,7 @@ from tallywright.plans import donors, vacancies
 from tallywright.sources import BONUSES, DONATIONS, PLAN, USERS, vacancies_schema
 from tests.conftest import rows
 
+# Fixed values, here and in the tests below: labels and numbers of the published results.
 FULL_DAY = "Полный день"
 FULL_TIME = "Полная занятость"
 GRADES = {
