@@ -20,6 +20,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, ship_package
 
-STATE_LIMIT = 150_000
-MEMO_LIMIT = 300_000
+STATE_LIMIT = 400_000
+MEMO_LIMIT = 900_000
 MEMO_LENGTH = 64
 NEVER = float("inf")
 
@@ -178,7 +179,7 @@ class Transducer:
         key = left * self._base + right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2 * self.state_limit:
+            if len(self._fits) > self.state_limit:
                 self._fits.clear()
             known = self._fits[key] = self._reached(right) and (left < 0 or not self._crosses(left, right))
         return known
@@ -226,10 +227,15 @@ class Transducer:
 # by Unicode property: its letters are the letters and the numbers that are not
 # decimal digits, so texts with such numbers, or with the four separators that
 # only it takes for blanks, are left to the other one.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 PLAIN = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
-ODD = frozenset(
-    chr(c) for c in range(sys.maxunicode + 1) if 0x1C <= c < 0x20 or unicodedata.category(chr(c)) in ("No", "Nl")
-)
+
+
+@cache
+def odd_characters() -> frozenset[str]:
+    return frozenset(
+        chr(c) for c in range(sys.maxunicode + 1) if 0x1C <= c < 0x20 or unicodedata.category(chr(c)) in ("No", "Nl")
+    )
 
 
 class Encoder:
@@ -241,6 +247,7 @@ class Encoder:
         for whole, plain in PLAIN.items():
             pattern = pattern.replace(whole + "+", plain + "+")
         self.find_plain = self.find if r"\p" in pattern else re.compile(pattern).findall
+        self.odd = odd_characters()
         self.transducer = Transducer(ranks)
         self.memo_limit = memo_limit
         self.pieces = _Memo(lambda piece: array("i", self.transducer.encode(piece.encode())).tobytes())
@@ -253,7 +260,8 @@ class Encoder:
         """The same as C integers."""
         if len(self.pieces) > self.memo_limit:
             self.pieces.clear()
-        find = self.find_plain if ODD.isdisjoint(text) else self.find
+        plain = text.isascii() and not SEPARATORS.search(text) or self.odd.isdisjoint(text)
+        find = self.find_plain if plain else self.find
         return b"".join(map(self.pieces.__getitem__, find(text)))
 
 
