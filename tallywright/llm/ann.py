@@ -30,6 +30,8 @@ BLOCK_DIMS = 16
 CHUNK = 8192
 QUERY_CHUNK = 2048
 CONFIDENCE = 2.1
+# Rounding of the rotation, as a part of the query's squared length: copies of a query are never abandoned.
+ROUNDING = 1e-9
 SEED = 11
 
 
@@ -232,6 +234,7 @@ def _scan(shipped, k: int):
 def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, k) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of the candidates within `within`, by distance, then id."""
     dims = len(query)
+    rounding = ROUNDING * float(query @ query)
     alive = np.flatnonzero(ids != query_id)
     partial = np.zeros(len(alive))
     for at, block in blocks:
@@ -242,7 +245,7 @@ def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, k) -> tup
             # Without a threshold yet, the k that look nearest give one.
             first = alive[np.argpartition(partial, k - 1)[:k]]
             within = float(np.sqrt(((vectors[first] - query) ** 2).sum(1).max()))
-        stays = partial * (dims / seen) <= (within * slack) ** 2
+        stays = partial * (dims / seen) <= (within * slack) ** 2 + rounding
         alive, partial = alive[stays], partial[stays]
     distances = np.sqrt(((vectors[alive] - query) ** 2).sum(1))
     order = np.lexsort((ids[alive], distances))[:k]

@@ -68,6 +68,16 @@ def test_third_of_the_rows_are_one_vector(spark, monkeypatch):
     assert got[300] == [(3 * at, 0.0) for at in range(10)]
 
 
+def test_copies_beyond_the_sample(spark):
+    """The first threshold is 0, as the sample holds ten copies; the smallest ids are outside of it."""
+    random = np.random.default_rng(6)
+    copy = random.standard_normal(64).tolist()
+    rows = [(i, copy if i % 3 == 0 else random.standard_normal(64).tolist()) for i in range(6000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = found(ann.search(ann.build(frame, training_rows=300), frame.where("vec_id % 1500 = 0")))
+    assert got == {query: [(3 * at, 0.0) for at in range(11) if 3 * at != query][:10] for query in (0, 1500, 3000, 4500)}
+
+
 def test_fewer_than_ten(spark):
     rows = [(100 * i, [float(i), 1.0]) for i in range(4)]
     frame = spark.createDataFrame(rows, SCHEMA)
