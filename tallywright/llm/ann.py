@@ -30,6 +30,8 @@ BLOCK_DIMS = 16
 CHUNK = 8192
 QUERY_CHUNK = 2048
 CONFIDENCE = 2.1
+MOST_SAMPLED = 4096
+SAMPLED_OF = 16
 # Rounding of the rotation, as a part of the query's squared length: copies of a query are never abandoned.
 ROUNDING = 1e-9
 SEED = 11
@@ -51,7 +53,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """What fits in memory: centroids, list sizes, rotation, and a sample for first thresholds."""
+    """What fits in memory: centroids, list sizes, rotation, and a sample, with its lists, for first thresholds."""
 
     path: str
     dims: int
@@ -60,6 +62,7 @@ class Index:
     sizes: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
+    sample_lists: np.ndarray
 
     @property
     def chunks(self) -> np.ndarray:
@@ -126,8 +129,14 @@ def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", trai
     sizes = np.zeros(len(centroids), np.int64)
     for row in spark.read.parquet(path).groupBy("list").count().collect():  # one per list
         sizes[row["list"]] = row["count"]
-    keep = slice(0, 4096)
-    return Index(path, dims, centroids, rotation, sizes, ids[order][keep], sample[keep])
+    # A small part of the table, with the lists as they were written.
+    keep = slice(0, min(MOST_SAMPLED, total // SAMPLED_OF))
+    kept = spark.createDataFrame([(at,) for at in sorted(set(ids[order][keep].tolist()))], "vec_id bigint")
+    known = spark.read.parquet(path).select("list", "vec_id", "vector").join(F.broadcast(kept), "vec_id").toArrow()
+    known = known.sort_by([("vec_id", "ascending"), ("list", "ascending")])
+    sample_ids, once = np.unique(known.column("vec_id").to_numpy(), return_index=True)
+    sample, sample_lists = _stack(known.column("vector"), dims)[once], known.column("list").to_numpy()[once]
+    return Index(path, dims, centroids, rotation, sizes, sample_ids, sample, sample_lists)
 
 
 def _assign(shipped):
@@ -153,7 +162,7 @@ def _assign(shipped):
 
 def _probe(shipped, k: int, probed: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per query the lists to scan, and a distance within which k vectors are known to lie."""
+        """Per query the lists to scan, a distance within which k vectors are known to lie, and these."""
         index: Index = shipped.value
         lists = len(index.centroids)
         wanted = min(lists, max(LEAST_PROBED, int(np.ceil(probed * lists))))
@@ -162,41 +171,26 @@ def _probe(shipped, k: int, probed: float):
             order = _nearest(vectors, index.centroids, lists)
             out: list[tuple] = []
             for query, vector, near in zip(ids.tolist(), vectors, order):
-                others = np.sort(np.sqrt(((index.sample - vector) ** 2).sum(1))[index.sample_ids != query])
-                within = float(others[k - 1]) if len(others) >= k else float("inf")
-                # At least so many lists, and enough for k other vectors.
+                others = np.flatnonzero(index.sample_ids != query)
+                far = np.sqrt(((index.sample[others] - vector) ** 2).sum(1))
+                first = np.argsort(far, kind="stable")[:k]
+                within, known = float("inf"), others[:0]
+                if len(first) == k:
+                    within, known = float(far[first[-1]]), others[first]
+                # At least so many lists, enough for k other vectors, and those of the vectors known.
                 enough = int(np.searchsorted(np.cumsum(index.sizes[near]), k + 1)) + 1
-                out += [(int(at), query, vector.tobytes(), within) for at in near[: max(wanted, enough)]]
+                probes = near[: max(wanted, enough)].tolist()
+                probes += sorted(set(index.sample_lists[known].tolist()) - set(probes))
+                out += [(at, query, vector.tobytes(), within, index.sample_ids[known].tolist()) for at in probes]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row[0] for row in out], pa.int32()),
                     pa.array([row[1] for row in out], pa.int64()),
                     pa.array([row[2] for row in out], pa.binary()),
                     pa.array([row[3] for row in out], pa.float64()),
+                    pa.array([row[4] for row in out], pa.list_(pa.int64())),
                 ],
-                names=["list", "query_id", "query", "within"],
-            )
-
-    return run
-
-
-def _sampled(shipped, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k nearest of the sample, which gave the first thresholds."""
-        index: Index = shipped.value
-        for batch in batches:
-            out: list[tuple] = []
-            for query, vector in zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("vector"), index.dims)):
-                others = index.sample_ids != query
-                ids, far = index.sample_ids[others], np.sqrt(((index.sample[others] - vector) ** 2).sum(1))
-                out += [(query, int(ids[at]), float(far[at])) for at in np.lexsort((ids, far))[:k]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row[0] for row in out], pa.int64()),
-                    pa.array([row[1] for row in out], pa.int64()),
-                    pa.array([row[2] for row in out], pa.float64()),
-                ],
-                names=["query_id", "vec_id", "score"],
+                names=["list", "query_id", "query", "within", "known"],
             )
 
     return run
@@ -216,9 +210,10 @@ def _scan(shipped, k: int):
             blocks = [
                 (at, _stack(candidates.column(f"b{at}"), min(BLOCK_DIMS, dims - at))) for at in range(0, dims, BLOCK_DIMS)
             ]
-            for query_id, raw, within in zip(*(queries.column(name).to_pylist() for name in ("query_id", "query", "within"))):
+            wanted = ("query_id", "query", "within", "known")
+            for query_id, raw, within, known in zip(*(queries.column(name).to_pylist() for name in wanted)):
                 query = np.frombuffer(raw, np.float64)
-                near, far = nearest_in(ids, vectors, blocks, query_id, query, query @ rotation, within, k)
+                near, far = nearest_in(ids, vectors, blocks, query_id, query, query @ rotation, within, known, k)
                 found += [(query_id, int(i), float(d)) for i, d in zip(near, far)]
         return pa.table(
             {
@@ -231,12 +226,17 @@ def _scan(shipped, k: int):
     return run
 
 
-def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, k) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of the candidates within `within`, by distance, then id."""
+def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, known, k) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the candidates within `within`, by distance, then id.
+
+    The ids in `known`, which gave that threshold, are never abandoned: without
+    them there might be fewer than k in all parts together.
+    """
     dims = len(query)
     rounding = ROUNDING * float(query @ query)
     alive = np.flatnonzero(ids != query_id)
     partial = np.zeros(len(alive))
+    kept = np.isin(ids, known)
     for at, block in blocks:
         seen = at + block.shape[1]
         partial = partial + ((block[alive] - rotated[at:seen]) ** 2).sum(1)
@@ -245,7 +245,8 @@ def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, k) -> tup
             # Without a threshold yet, the k that look nearest give one.
             first = alive[np.argpartition(partial, k - 1)[:k]]
             within = float(np.sqrt(((vectors[first] - query) ** 2).sum(1).max()))
-        stays = partial * (dims / seen) <= (within * slack) ** 2 + rounding
+            kept[first] = True
+        stays = kept[alive] | (partial * (dims / seen) <= (within * slack) ** 2 + rounding)
         alive, partial = alive[stays], partial[stays]
     distances = np.sqrt(((vectors[alive] - query) ** 2).sum(1))
     order = np.lexsort((ids[alive], distances))[:k]
@@ -255,9 +256,10 @@ def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, k) -> tup
 def search(index: Index | None, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", probed: float = PROBED) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` of the k nearest found to every usable query, itself left out.
 
-    Ties go to the smaller id. The nearest of the sample are candidates, too: they
-    give the first threshold, within which k vectors are known to lie. Each query scans `probed` of the lists, at least
-    `LEAST_PROBED`, and more if these hold fewer than k other vectors. Large lists
+    Ties go to the smaller id. The k nearest of the sample give the first threshold,
+    within which k vectors are known to lie; all rows come from the scan. Each query
+    scans `probed` of the lists, at least `LEAST_PROBED`, more if these hold fewer
+    than k other vectors, and the lists of the vectors known to lie near. Large lists
     are scanned in parts, by hash of the vector's id, and so are many queries of
     one list; every part gives k candidates at most, whose best are the result.
     """
@@ -268,7 +270,7 @@ def search(index: Index | None, queries: DataFrame, k: int = 10, vec_id: str = "
     shipped = spark.sparkContext.broadcast(index)
     wanted = queries.select(col(vec_id).cast("bigint").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
     wanted = wanted.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), index.dims))
-    schema = "list int, query_id bigint, query binary, within double"
+    schema = "list int, query_id bigint, query binary, within double, known array<bigint>"
     probes = wanted.mapInArrow(_probe(shipped, k, probed), schema)
     many = wanted.count() * max(probed, min(1.0, LEAST_PROBED / len(index.centroids)))
     query_parts = max(1, int(many / QUERY_CHUNK / 4))
@@ -290,7 +292,6 @@ def search(index: Index | None, queries: DataFrame, k: int = 10, vec_id: str = "
         .cogroup(dealt.groupBy(*key))
         .applyInArrow(_scan(rotated, k), "query_id bigint, vec_id bigint, score double")
     )
-    sampled = wanted.mapInArrow(_sampled(shipped, k), found.schema)
-    both = found.unionAll(sampled).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # ids may be repeated
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

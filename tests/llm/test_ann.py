@@ -78,6 +78,20 @@ def test_copies_beyond_the_sample(spark):
     assert got == {query: [(3 * at, 0.0) for at in range(11) if 3 * at != query][:10] for query in (0, 1500, 3000, 4500)}
 
 
+def test_all_rows_come_from_the_scan(spark, monkeypatch):
+    """On a table as small as the sample once was, where the rows found are those of the scan, too."""
+    random = np.random.default_rng(7)
+    rows = [(i, random.standard_normal(24).tolist()) for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index = ann.build(frame)
+    assert len(index.sample) <= len(rows) / 10
+    monkeypatch.setattr(ann, "LEAST_PROBED", 1)
+    got = found(ann.search(index, frame.where("vec_id % 100 = 0"), probed=0.01))
+    assert all(len(near) == 10 for near in got.values())
+    monkeypatch.setattr(ann, "nearest_in", lambda ids, *_: (ids[:0], np.zeros(0)))
+    assert ann.search(index, frame.where("vec_id % 100 = 0")).collect() == []
+
+
 def test_fewer_than_ten(spark):
     rows = [(100 * i, [float(i), 1.0]) for i in range(4)]
     frame = spark.createDataFrame(rows, SCHEMA)
