@@ -16,8 +16,11 @@ escape character, which is itself escaped, so that they can be restored.
 from __future__ import annotations
 
 import hashlib
+import os
+import pickle
 import re
-from collections.abc import Iterator, Sequence
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -62,25 +65,94 @@ def parse_turn(written: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
-def _turns(value) -> list[tuple[str, str]]:
-    return [(turn["role"] or "", turn["text"] or "") for turn in value]
-
-
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per conversation what it is sorted by: digests of its beginnings, and of the whole."""
+class _Conversation:
+    """One conversation while its turns go by. Pieces as long as a pack are put by in a file, whatever its length."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id = conv_id
+        self.digest = hashlib.sha256()
+        self.path: list[bytes] = []
+        self.turns: list[tuple[str, str]] = []
+        self.chars = self.written = self.pieces = 0
+        self.file = None
+
+    def add(self, role: str, text: str) -> None:
+        self.digest.update(b"%d %d " % (len(role.encode()), len(text.encode())) + role.encode() + text.encode())
+        if len(self.path) < PATH_TURNS:
+            self.path.append(self.digest.digest()[:8])
+        self.turns.append((role, text))
+        self.chars += len(START + SEP + END) + len(role) + len(text)
+        if self.chars >= PACK_CHARS:
+            self._put_by()
+
+    def _put_by(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        pickle.dump(self.turns, self.file)
+        self.written += sum(len(format_turn(*turn)[0]) for turn in self.turns)
+        self.pieces += 1
+        self.turns, self.chars = [], 0
+
+    def rows(self) -> Iterator[tuple]:
+        """Its pieces, each with what the conversation is sorted by: digests of its beginnings, and of the whole.
+
+        Written characters are given for conversations longer than a piece only.
+        """
+        path = b"".join([*self.path, self.digest.digest()[:8]])
+        if self.file is None:
+            yield self.conv_id, path, None, 0, True, self.turns
+            return
+        if self.turns:
+            self._put_by()
+        with self.file:
+            self.file.seek(0)
+            for piece in range(self.pieces):
+                yield self.conv_id, path, self.written, piece, piece == self.pieces - 1, pickle.load(self.file)
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    held = None
     for batch in batches:
-        paths = []
-        for value in batch.column("turns").to_pylist():
-            digest, path = hashlib.sha256(), []
-            for role, text in _turns(value):
-                digest.update(b"%d %d " % (len(role.encode()), len(text.encode())) + role.encode() + text.encode())
-                if len(path) < PATH_TURNS:
-                    path.append(digest.digest()[:8])
-            path.append(digest.digest()[:8])
-            paths.append(b"".join(path))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("conv_id"), batch.column("turns"), pa.array(paths, pa.binary())], names=["conv_id", "turns", "path"]
-        )
+        for conv_id, role, text in zip(*(batch.column(name).to_pylist() for name in ("conv_id", "role", "text"))):
+            if held is None or held.conv_id != conv_id:
+                if held is not None:
+                    yield from held.rows()
+                held = _Conversation(conv_id)
+            held.add(role or "", text or "")
+    if held is not None:
+        yield from held.rows()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by conversation and turn; pieces go out in batches of bounded length."""
+    out, chars = [], 0
+    for row in _conversations(batches):
+        out.append(row)
+        chars += sum(len(role) + len(text) for role, text in row[-1]) + len(row[1])
+        if chars >= PACK_CHARS:
+            yield _piece_batch(out)
+            out, chars = [], 0
+    if out:
+        yield _piece_batch(out)
+
+
+_PIECES = "conv_id bigint, path binary, chars bigint, piece bigint, last boolean, roles array<string>, texts array<string>"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    conv_ids, paths, chars, pieces, lasts, turns = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(conv_ids, pa.int64()),
+            pa.array(paths, pa.binary()),
+            pa.array(chars, pa.int64()),
+            pa.array(pieces, pa.int64()),
+            pa.array(lasts, pa.bool_()),
+            pa.array([[role for role, _ in said] for said in turns], pa.list_(pa.string())),
+            pa.array([[text for _, text in said] for said in turns], pa.list_(pa.string())),
+        ],
+        names=["conv_id", "path", "chars", "piece", "last", "roles", "texts"],
+    )
 
 
 _INTERVALS = "array<struct<from: bigint, to: bigint>>"
@@ -108,7 +180,11 @@ _ARROW_NODES = pa.schema(
 
 
 class Pack:
-    """Nodes of one pack in depth-first order; the stack leads to the last conversation's end."""
+    """Nodes of one pack in depth-first order; the stack leads to the last conversation's end.
+
+    A conversation longer than a pack fills it. As its length is known before, the
+    ends of all open nodes are, too, and what is complete can be taken by `ready`.
+    """
 
     def __init__(self, name: str, loss_roles: Sequence[str]):
         self.name = name
@@ -116,20 +192,38 @@ class Pack:
         self.nodes: list[dict] = []
         self.stack: list[tuple[tuple[str, str], dict]] = []
         self.length = 0
+        self.opened = 0
         self.conversations = 0
-
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]]) -> None:
-        shared = 0
-        for (turn, _), wanted in zip(self.stack, turns):
-            if turn != wanted:
-                break
-            shared += 1
-        self._close(shared)
-        for turn in turns[shared:]:
+        # Turns that the conversation shares with the one before, until it leaves it.
+        self.shared: int | None = 0
+        self.end: int | None = None
+
+    def add(self, turns: Iterable[tuple[str, str]], chars: int | None = None) -> None:
+        """More turns of a conversation; `chars` are its written characters if it is longer than a pack."""
+        for turn in turns:
+            if self.shared is not None:
+                if self.shared < len(self.stack) and self.stack[self.shared][0] == turn:
+                    self.shared += 1
+                    continue
+                self._leave(chars)
             self._open(turn)
+
+    def finish(self, conv_id: int | None) -> None:
+        if self.shared is not None:
+            self._leave(None)
+        self.shared = 0
         self.stack[-1][1]["conv_ids"].append(conv_id)
         self.conversations += 1
 
+    def _leave(self, chars: int | None) -> None:
+        self._close(self.shared)
+        self.shared = None
+        if chars is not None:
+            above = self.stack[-1][1] if self.stack else {"position": 0, "start": 0, "end": 0}
+            self.end = self.length + chars - (above["position"] + above["end"] - above["start"])
+            for _, node in self.stack:
+                node["subtree_end"] = self.end
+
     def _open(self, turn: tuple[str, str]) -> None:
         written, text_from, text_to = format_turn(*turn)
         loss = turn[0] in self.loss_roles
@@ -143,12 +237,12 @@ class Pack:
                 attends.append({"from": above["start"], "to": above["end"]})
         node = {
             "pack": self.name,
-            "seq": len(self.nodes),
+            "seq": self.opened,
             "parent": None if above is None else above["seq"],
-            "depth": len(self.stack),
+            "depth": 0 if above is None else above["depth"] + 1,
             "start": self.length,
             "end": self.length + len(written),
-            "subtree_end": None,
+            "subtree_end": self.end,
             "position": 0 if above is None else above["position"] + above["end"] - above["start"],
             "attends": attends,
             "written": written,
@@ -157,7 +251,10 @@ class Pack:
             "conv_ids": [],
         }
         self.length = node["end"]
+        self.opened += 1
         self.nodes.append(node)
+        if self.end is not None:
+            self.stack.clear()
         self.stack.append((turn, node))
 
     def _close(self, depth: int) -> None:
@@ -168,6 +265,11 @@ class Pack:
     def full(self) -> bool:
         return self.length >= PACK_CHARS or self.conversations >= PACK_CONVERSATIONS
 
+    def ready(self) -> pa.RecordBatch:
+        """All nodes but the last, once no other conversation can come."""
+        done, self.nodes = self.nodes[:-1], self.nodes[-1:]
+        return pa.RecordBatch.from_pylist(done, schema=_ARROW_NODES)
+
     def batch(self) -> pa.RecordBatch:
         self._close(0)
         return pa.RecordBatch.from_pylist(self.nodes, schema=_ARROW_NODES)
@@ -178,9 +280,16 @@ def _packer(loss_roles: Sequence[str]):
         part, made = TaskContext.get().partitionId(), 0
         pack = Pack(f"{part}-{made}", loss_roles)
         for batch in batches:
-            for conv_id, value in zip(batch.column("conv_id").to_pylist(), batch.column("turns")):
-                pack.add(conv_id, _turns(value.as_py()))
-                if pack.full():
+            for at in range(batch.num_rows):
+                conv_id, chars, last, roles, texts = (
+                    batch.column(name)[at].as_py() for name in ("conv_id", "chars", "last", "roles", "texts")
+                )
+                pack.add(zip(roles, texts), chars)
+                if pack.end is not None:
+                    yield pack.ready()
+                if last:
+                    pack.finish(conv_id)
+                if last and pack.full():
                     yield pack.batch()
                     made += 1
                     pack = Pack(f"{part}-{made}", loss_roles)
@@ -203,22 +312,23 @@ def write_packs(
 
     Turns follow `turn`, then role and text where turns repeat, NULLs first. NULL
     roles and texts are written as empty ones; rows without a `conv_id` are one
-    conversation. One conversation is held in memory at a time, as one text is
-    elsewhere; packs are bounded but for the conversation that fills them. An
-    empty table writes no packs.
+    conversation. A conversation of any length goes by in pieces of about a pack's
+    characters; only its turns' texts are each held as a whole, and its pack is
+    written piece by piece. An empty table writes no packs.
     """
     ship_package(df.sparkSession)
     rows = df.select(
         col(conv_id).cast("bigint").alias("conv_id"),
-        F.struct(col(turn).alias("turn"), col(role).alias("role"), col(text).alias("text")).alias("turn"),
+        col(turn).alias("turn"),
+        col(role).alias("role"),
+        col(text).alias("text"),
     )
-    conversations = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    listed = conversations.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    turns = "array<struct<role: string, text: string>>"
-    sorted_ = listed.mapInArrow(_paths, f"conv_id bigint, turns {turns}, path binary")
+    said = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    pieces = said.select("conv_id", "role", "text").mapInArrow(_pieces, _PIECES)
     # Equal conversations may be many, so their ids share in the order.
-    dealt = sorted_.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    dealt.select("conv_id", "turns").mapInArrow(_packer(tuple(loss_roles)), _NODES).write.parquet(path)
+    dealt = pieces.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id", "piece")
+    packed = dealt.select("conv_id", "chars", "last", "roles", "texts")
+    packed.mapInArrow(_packer(tuple(loss_roles)), _NODES).write.parquet(path)
 
 
 _BACK = pa.schema(
@@ -254,6 +364,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 masked = unescape(node["written"][node["loss_from"] : node["loss_to"]])
                 loss_chars += len(masked)
                 loss_sha.update(masked.encode())
+            # What ends with this node is needed no longer, so that a long chain takes no memory.
+            while stack and stack[-1][0] == node["subtree_end"]:
+                stack.pop()
             stack.append((node["subtree_end"], turns + 1, sha, loss_chars, loss_sha, chars + len(node["written"])))
             _, turns, sha, loss_chars, loss_sha, chars = stack[-1]
             out += [

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,6 +119,24 @@ def test_many_equal_conversations(spark, tmp_path, monkeypatch):
     assert packs.count() <= 2 * 4 * packs.rdd.getNumPartitions() + 8
 
 
+def test_long_conversation_goes_by_in_pieces(spark, tmp_path):
+    """Without an id, beside others that begin alike; none of its turns is written or held with all others."""
+    long = [(None, at, ("user", "assistant")[at % 2], f"{at if at > 2 else ''} </s>" + "x" * 400) for at in range(8000)]
+    rows = [*long, *((i, at, role, text) for i in range(5) for _, at, role, text in long[: i + 1])]
+    frame = spark.createDataFrame(rows, TURNS)
+    sizes = []
+    for batch in chat._pieces(iter([pa.RecordBatch.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), row)) for row in long])])):
+        sizes += [sum(map(len, texts)) for texts in batch.column("texts").to_pylist()]
+    assert len(sizes) == 4 and max(sizes) <= chat.PACK_CHARS
+    chat.write_packs(frame.repartition(3), str(tmp_path / "packs"))
+    packs = spark.read.parquet(str(tmp_path / "packs"))
+    assert found(chat.read_back(packs)) == expected(rows)
+    ends = packs.where("size(conv_ids) > 0 and conv_ids[0] is null").selectExpr("pack", "end", "depth").collect()
+    assert [row["depth"] for row in ends] == [7999]
+    tail = packs.where(f"pack = '{ends[0]['pack']}' and depth > 10").selectExpr("min(subtree_end) = max(subtree_end)", "max(subtree_end)")
+    assert [tuple(row) for row in tail.collect()] == [(True, ends[0]["end"])]
+
+
 @pytest.mark.parametrize("turns", [1, chat.PATH_TURNS + 5])
 def test_query(spark, turns):
     rows = [tuple(row) for row in spark.read.parquet(f"{SF_DIR}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
