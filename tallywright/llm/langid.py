@@ -3,7 +3,7 @@
 Each language has probabilities of letter n-grams within words. A document is
 taken for a mixture: every word was drawn from one of the languages, in unknown
 proportions. Expectation-maximisation estimates the proportions. Starting with
-the likeliest languages of a document, the one with the smallest proportion is
+all languages, those without a proportion and then the one with the smallest are
 left out step by step, and of these sets the one with the best likelihood less a
 penalty per language is chosen. The answer is the language with the largest
 proportion in that set, and the proportion is its score.
@@ -26,8 +26,9 @@ UNKNOWN = "und"
 TRAINING_ROWS = 20_000
 BUCKET_BITS = 15
 SMOOTHING = 0.5
-MOST_LANGUAGES = 4
-STEPS = 6
+TOLERANCE = 1e-3
+STEPS = 200
+GONE = 1e-6
 PENALTY = 6.0
 FLOOR = np.float32(-50)
 CHARS = 400_000
@@ -184,8 +185,6 @@ def infer(likelihood: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     ratio = np.exp(np.maximum(likelihood - top[:, None], FLOOR).T)
     base = np.add.reduceat(top, starts, dtype=np.float64)
     allowed = np.ones((languages, docs), bool)
-    if languages > MOST_LANGUAGES:
-        allowed &= single >= np.sort(single, 0)[-MOST_LANGUAGES]
     whole, value = _mixture(ratio, starts, lengths, allowed)
     # The whole set fits best before the penalty. If it is not better than one
     # language by the penalty for a second, no other set is.
@@ -199,20 +198,37 @@ def infer(likelihood: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _mixture(ratio, starts, lengths, allowed) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the allowed languages by expectation-maximisation, and the log likelihood they give."""
+    """Proportions of the allowed languages by expectation-maximisation, and the log likelihood they give.
+
+    A document is done when a step gains less than `TOLERANCE`, whatever the others need.
+    """
+    docs = len(lengths)
     share = allowed / allowed.sum(0)
-    for _ in range(STEPS):
-        weighed = ratio * np.repeat(share.astype(np.float32), lengths, axis=1)
-        weighed /= weighed.sum(0)
-        share = np.add.reduceat(weighed, starts, axis=1, dtype=np.float64) / lengths
-        share = np.where(allowed, np.maximum(share, 1e-12), 0)
-        share /= share.sum(0)
-    fit_ = np.log((ratio * np.repeat(share.astype(np.float32), lengths, axis=1)).sum(0))
-    return share, np.add.reduceat(fit_, starts, dtype=np.float64)
+    value = np.empty(docs)
+    open_, last = np.arange(docs), np.full(docs, -np.inf)
+    for step in range(STEPS + 1):
+        weighed = ratio * np.repeat(share[:, open_].astype(np.float32), lengths, axis=1)
+        total = weighed.sum(0)
+        value[open_] = np.add.reduceat(np.log(total), starts, dtype=np.float64)
+        more = (value[open_] - last >= TOLERANCE) & (allowed[:, open_].sum(0) > 1)
+        if step == STEPS or not more.any():
+            break
+        new = np.add.reduceat(weighed / total, starts, axis=1, dtype=np.float64) / lengths
+        new = np.where(allowed[:, open_], np.maximum(new, 1e-12), 0)
+        share[:, open_[more]] = (new / new.sum(0))[:, more]
+        last = value[open_]
+        if not more.all():
+            words = np.repeat(more, lengths)
+            ratio, open_, lengths, last = ratio[:, words], open_[more], lengths[more], last[more]
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    return share, value
 
 
 def _best_set(ratio, base, lengths, allowed, share, value) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves out the language with the smallest proportion, step by step, and keeps the best set."""
+    """Leaves out the language with the smallest proportion, step by step, and keeps the best set.
+
+    Languages whose proportion has gone to nothing are left out all at once.
+    """
     docs = np.arange(len(lengths))
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     best_value, best_share = base + value - PENALTY * allowed.sum(0), share
@@ -221,6 +237,7 @@ def _best_set(ratio, base, lengths, allowed, share, value) -> tuple[np.ndarray,
         smallest = np.where(allowed, share, np.inf).argmin(0)
         several = allowed.sum(0) > 1
         allowed[smallest[several], docs[several]] = False
+        allowed &= (share > GONE) | ~several
         share, value = _mixture(ratio, starts, lengths, allowed)
         penalised = base + value - PENALTY * allowed.sum(0)
         better = penalised >= best_value

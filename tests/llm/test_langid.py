@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -25,6 +26,38 @@ def test_a_few_stray_words_do_not_add_a_language():
     assert langid.infer(likelihood, np.array([52]))[1].tolist() == [1.0]
 
 
+def _brute(words):
+    """The best of all sets of languages, by many steps of expectation-maximisation each."""
+    best = (-np.inf,)
+    for size in range(1, words.shape[1] + 1):
+        for chosen in itertools.combinations(range(words.shape[1]), size):
+            likelihood = np.exp(words[:, chosen].astype(np.float64))
+            share = np.full(size, 1 / size)
+            for _ in range(300):
+                weighed = likelihood * share
+                share = (weighed / weighed.sum(1, keepdims=True)).mean(0)
+            value = np.log((likelihood * share).sum(1)).sum() - langid.PENALTY * size
+            best = max(best, (value, chosen[share.argmax()], share.max()))
+    return best[1:]
+
+
+def test_more_than_four_languages_in_a_document():
+    """The words of the fifth and sixth are not given to the likeliest four."""
+    random = np.random.default_rng(9)
+    documents = []
+    for shares in ([0.35, 0.2, 0.15, 0.12, 0.1, 0.08, 0], [0.45, 0.15, 0.1, 0.1, 0.1, 0.1, 0], [0.9, 0.1, 0, 0, 0, 0, 0]):
+        for _ in range(2):
+            spoken = random.choice(7, 300, p=shares)
+            words = random.normal(-9, 1, (300, 7))
+            words[np.arange(300), spoken] += 5
+            documents.append(words.astype(np.float32))
+    found, share = langid.infer(np.concatenate(documents), np.full(len(documents), 300))
+    for at, words in enumerate(documents):
+        lang, score = _brute(words)
+        assert found[at] == lang
+        assert abs(share[at] - score) < 0.005
+
+
 def test_held_out_accuracy(spark):
     known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     rows = queries.op6_mixture_langid(spark, SF_DIR).collect()
