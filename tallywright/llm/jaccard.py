@@ -409,20 +409,21 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     )
 
 
-def _blocks(members: DataFrame, shingles_per_block: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(members: DataFrame, percent: int, shingles_per_block: int) -> tuple[DataFrame, DataFrame]:
     """The blocks in which to compare a class (`fp`, `n`, `root`): whole ones, and pairs of parts of large ones.
 
     A block beyond the limit is cut into parts by size class and hash; every part
     is compared with itself and with those of the same and the next size class,
     outside of which no set is similar. Each comparison is a block of its own.
     """
+    ratio = 100 / min(percent, PERCENT)  # no two similar sets differ more in size
     weights = members.groupBy("root").agg(F.sum("n").alias("weight"))
     weighed = members.join(weights, "root")
     whole = weighed.where(F.col("weight") <= shingles_per_block).select(
         "fp", F.col("root").cast("string").alias("block"), F.lit(-1).alias("side")
     )
     large = weighed.where(F.col("weight") > shingles_per_block).withColumn(
-        "band", F.floor(F.log(F.col("n") + 0.0) / F.log(F.lit(100 / PERCENT))).cast("int")
+        "band", F.floor(F.log(F.col("n") + 0.0) / F.log(F.lit(ratio))).cast("int")
     )
     parts = large.groupBy("root", "band").agg(F.ceil(F.sum("n") / shingles_per_block).cast("int").alias("parts"))
     near = parts.alias("p").join(parts.alias("q"), F.expr("p.root = q.root and q.band between p.band - 2 and p.band + 2"))
@@ -507,7 +508,7 @@ def near_duplicates(
         wanted[row["word"]] = row["bits"]
     shipped = spark.sparkContext.broadcast(wanted.tobytes())
 
-    whole, split = _blocks(members, shingles_per_block)
+    whole, split = _blocks(members, percent, shingles_per_block)
     placed = stored(whole.unionAll(split), "block_places")
     sets = texts.mapInArrow(_sets(words, shipped), "fp bigint, shingles binary")
     dealt = sets.join(placed, "fp").repartition("block").sortWithinPartitions("block")

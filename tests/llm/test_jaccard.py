@@ -51,6 +51,15 @@ def test_other_sizes_and_thresholds(spark):
     assert found(jaccard.near_duplicates(frame, words=2, percent=50)) == helpers.near_duplicates(docs, 2, 50)
 
 
+def test_size_bands_follow_the_threshold(spark):
+    """Two linked sets of 5 and 10 shingles in a block that is cut into parts by size."""
+    docs = [(1, "a b c d e"), (2, "a b c d e f g h i j"), (3, "k l m n o p q r s t"), (4, "k l m n o")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for percent in (50, 100):
+        result = found(jaccard.near_duplicates(frame, words=1, percent=percent, shingles_per_block=7))
+        assert result == helpers.near_duplicates(docs, 1, percent)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_finds_every_link(seed):
     rnd = np.random.default_rng(seed)
