@@ -37,9 +37,10 @@ _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(ESCAPE + "(.)", re.DOTALL)
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*)" + re.escape(END), re.DOTALL)
 
-PATH_TURNS = 32
 PACK_CHARS = 1 << 20
 PACK_CONVERSATIONS = 4096
+# As many turns as can be shared: a pack that is open is shorter than this many empty ones.
+PATH_TURNS = PACK_CHARS // len(START + SEP + END) + 1
 
 
 def escape(text: str) -> str:

@@ -119,6 +119,15 @@ def test_many_equal_conversations(spark, tmp_path, monkeypatch):
     assert packs.count() <= 2 * 4 * packs.rdd.getNumPartitions() + 8
 
 
+def test_many_shared_turns_are_written_once(spark, tmp_path):
+    """Beyond 60 turns that all share, some share more."""
+    rows = [(i, at, "user", f"t{at}" if at < 60 else f"g{i % 3}" if at == 60 else f"c{i}") for i in range(40) for at in range(62)]
+    chat.write_packs(spark.createDataFrame(rows, TURNS), str(tmp_path / "packs"))
+    packs = spark.read.parquet(str(tmp_path / "packs"))
+    assert packs.groupBy("pack", "parent", "written").count().where("count > 1").count() == 0
+    assert found(chat.read_back(packs)) == expected(rows)
+
+
 def test_long_conversation_goes_by_in_pieces(spark, tmp_path):
     """Without an id, beside others that begin alike; none of its turns is written or held with all others."""
     long = [(None, at, ("user", "assistant")[at % 2], f"{at if at > 2 else ''} </s>" + "x" * 400) for at in range(8000)]
