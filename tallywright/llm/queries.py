@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, bpe, chat, jaccard, langid, mixing, pfor, quality, sharding, urls
+from tallywright.llm import ann, bpe, centroids, chat, jaccard, langid, mixing, pfor, quality, sharding, urls
 from tallywright.llm.common import new_table_path, read, word_count
 
 
@@ -114,6 +114,11 @@ def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds of centroids in whole numbers."""
+    return centroids.described(spark, centroids.cluster(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -127,6 +132,7 @@ QUERIES = {
         op8_chat_tree,
         op9_rule_cascade,
         op10_dimension_scan,
+        op13_lookup_clusters,
     )
 }
 
@@ -146,6 +152,46 @@ def _written_chars(text: str) -> str:
     )
 
 
+def _sql_clusters(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after the other, over one row per vector and dimension."""
+
+    def nearest(at: int) -> str:
+        return f"""near_{at} AS MATERIALIZED (
+            SELECT rid, c, distance FROM (
+                SELECT rid, c, CAST(SUM((v - x) * (v - x)) AS BIGINT) AS distance
+                FROM long JOIN c_{at} USING (d) GROUP BY rid, c
+            ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1
+        )"""
+
+    steps = [
+        f"""{nearest(at)}, c_{at + 1} AS MATERIALIZED (
+            SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+                SELECT c, d, SUM(v) AS s, COUNT(*) AS n FROM long JOIN near_{at} USING (rid) GROUP BY c, d
+            ) UNION ALL SELECT c, d, x FROM c_{at} WHERE c NOT IN (SELECT c FROM near_{at})
+        )"""
+        for at in range(rounds)
+    ]
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = {centroids.DIMS}
+              AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {centroids.DIMS}
+        ), long AS MATERIALIZED (
+            SELECT rid, d, CAST(floor({centroids.SCALE} * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS v
+            FROM kept, generate_series(1, {centroids.DIMS}) AS dims(d)
+        ), c_0 AS MATERIALIZED (
+            SELECT place - 1 AS c, d, v AS x FROM long JOIN (
+                SELECT rid, row_number() OVER (ORDER BY sha256('{centroids.SEED}' || vec_id)) AS place FROM kept
+            ) USING (rid) WHERE place <= {centroids.CLUSTERS}
+        ), {", ".join(steps)}, {nearest(rounds)}, digests AS (
+            SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c_{rounds} GROUP BY c
+        )
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance,
+               CAST(SUM(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(SUM(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM near_{rounds} JOIN kept USING (rid) JOIN digests USING (c)"""
+
+
 # What SQL can express; the others are tested against brute force, exact round
 # trips, or held-out accuracy.
 ORACLE: dict[str, str] = {
@@ -231,4 +277,5 @@ ORACLE: dict[str, str] = {
                AND NOT (100 * n_same_words > 30 * n_words)
                AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
         FROM failed""",
+    "op13_lookup_clusters": _sql_clusters(),
 }

@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = spark_entry.queries().keys()
-    assert [f"op{n}" for n in range(1, 11)] == [name.split("_")[0] for name in queries.QUERIES]
+    assert [f"op{n}" for n in range(1, 14)] == [name.split("_")[0] for name in queries.QUERIES]
     assert {*queries.QUERIES, "pipeline"} <= names
     assert queries.ORACLE.keys() <= names
 
