@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, bpe, centroids, chat, jaccard, langid, mixing, pfor, quality, sharding, urls
+from tallywright.llm import ann, bpe, centroids, chat, jaccard, langid, mixing, pfor, quality, repair, sharding, urls
 from tallywright.llm.common import new_table_path, read, word_count
 
 
@@ -114,6 +114,12 @@ def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations and describes their cheapest repair."""
+    damaged = repair.damage(read(spark, sf_dir, "conversations"))
+    return repair.audits(repair.repair(damaged, dropped=F.col("dropped")))
+
+
 def op13_lookup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster after ten rounds of centroids in whole numbers."""
     return centroids.described(spark, centroids.cluster(read(spark, sf_dir, "embeddings")))
@@ -132,6 +138,7 @@ QUERIES = {
         op8_chat_tree,
         op9_rule_cascade,
         op10_dimension_scan,
+        op12_audit_repair,
         op13_lookup_clusters,
     )
 }
@@ -192,6 +199,89 @@ def _sql_clusters(rounds: int = centroids.ROUNDS) -> str:
         FROM near_{rounds} JOIN kept USING (rid) JOIN digests USING (c)"""
 
 
+def _sql_repair() -> str:
+    """Row after row, the cheapest edits for each of four places, as whole strings with the repaired lines."""
+
+    def after(source: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+        changed = f"{{'c': {source}.c + {cost}, 'a': {source}.a || '{letter}', 'o': {source}.o || {line}}}"
+        return f"CASE WHEN {source} IS NOT NULL AND {when} THEN {changed} END"
+
+    def turn(source: str, role: str) -> list[str]:
+        kept = after(source, "truncated", "K", "chr(10) || role || ':' || text", f"stays AND initial = '{role[0]}'")
+        given = f"chr(10) || '{role}:' || text"
+        return [kept, after(source, "truncated + 2", "R", given, f"stays AND initial <> '{role[0]}'")]
+
+    def inserted(source: str, role: str) -> str:
+        return after(source, "2", "I", f"chr(10) || '{role}:'")
+
+    deleted = [after(f"s{at}", "3", "D") for at in range(4)]
+    to_user = [deleted[2]] + [way for at in (0, 1, 3) for way in turn(f"s{at}", "user")]
+    to_assistant = [deleted[3], *turn("s2", "assistant")]
+    to_system = [deleted[1], after("s0", "truncated", "K", "chr(10) || role || ':' || text", "stays AND initial = 's'")]
+    empty_user = ", ".join(inserted(f"r{at}", "user") for at in (0, 1, 3))
+    return rf"""
+        WITH RECURSIVE bytes(i) AS (
+            SELECT CAST(0 AS BIGINT) UNION ALL SELECT i + 1 FROM bytes WHERE i < 255
+        ), crc_table AS (
+            SELECT list(v ORDER BY i) AS tab FROM (
+                SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y:
+                       CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM bytes
+            )
+        ), keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations
+        ), hit AS (
+            SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(key, '')]),
+                   lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS hit
+            FROM keyed, crc_table
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                   CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS again
+            FROM hit WHERE hit <> 0
+        ), numbered AS (
+            SELECT *, left(role, 1) AS initial, row_number() OVER in_order AS place, lag(left(role, 1)) OVER in_order AS before,
+                   NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS repeated,
+                   NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut
+            FROM damaged WINDOW in_order AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)
+        ), judged AS (
+            SELECT *, NOT blank AND repeated AS duplicate, NOT (blank OR repeated) AS stays,
+                   CASE WHEN NOT (blank OR repeated) AND cut THEN 1 ELSE 0 END AS truncated FROM numbered
+        ), beginning AS (
+            SELECT {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS s0,
+                   {{'c': CAST(2 AS BIGINT), 'a': 'I', 'o': chr(10) || 'user:'}} AS s2,
+                   {{'c': CAST(4 AS BIGINT), 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3
+        ), repairs AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS place, s0, CASE WHEN false THEN s0 END AS s1, s2, s3
+            FROM (SELECT DISTINCT conv_id FROM conversations), beginning
+            UNION ALL
+            SELECT conv_id, place, r0 AS s0, r1 AS s1, n2 AS s2, list_min([r3, {inserted('n2', 'assistant')}]) AS s3 FROM (
+                SELECT *, list_min([r2, {empty_user}]) AS n2 FROM (
+                    SELECT repairs.conv_id, judged.place, {deleted[0]} AS r0, list_min([{", ".join(to_system)}]) AS r1,
+                           list_min([{", ".join(to_user)}]) AS r2, list_min([{", ".join(to_assistant)}]) AS r3
+                    FROM repairs JOIN judged ON judged.conv_id IS NOT DISTINCT FROM repairs.conv_id AND judged.place = repairs.place + 1
+                )
+            )
+        ), ended AS (
+            SELECT conv_id, list_min([s0, s3]) AS way FROM repairs
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1
+        ), faults AS (
+            SELECT conv_id, coalesce(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT_IF(blank) AS blank,
+                   COUNT_IF(duplicate) AS duplicate, SUM(truncated) AS truncated,
+                   COUNT_IF(before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id
+        )
+        SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, way.c AS cost, way.a AS audit,
+               sha256(substr(way.o, 2)) AS repaired_sha256
+        FROM ended e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 # What SQL can express; the others are tested against brute force, exact round
 # trips, or held-out accuracy.
 ORACLE: dict[str, str] = {
@@ -277,5 +367,6 @@ ORACLE: dict[str, str] = {
                AND NOT (100 * n_same_words > 30 * n_words)
                AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
         FROM failed""",
+    "op12_audit_repair": _sql_repair(),
     "op13_lookup_clusters": _sql_clusters(),
 }
