@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, bpe, centroids, chat, jaccard, langid, mixing, pfor, quality, repair, sharding, urls
+from tallywright.llm import ann, bpe, centroids, chat, jaccard, langid, minhash, mixing, pfor, quality, repair, sharding, urls
 from tallywright.llm.common import new_table_path, read, word_count
 
 
@@ -114,6 +114,11 @@ def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build(vectors), vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles have a similarity of 0.85 or more."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages all conversations and describes their cheapest repair."""
     damaged = repair.damage(read(spark, sf_dir, "conversations"))
@@ -138,6 +143,7 @@ QUERIES = {
         op8_chat_tree,
         op9_rule_cascade,
         op10_dimension_scan,
+        op11_superminhash,
         op12_audit_repair,
         op13_lookup_clusters,
     )
@@ -159,6 +165,33 @@ def _written_chars(text: str) -> str:
     )
 
 
+def _sql_near_duplicates(words: int, percent: int, more: str = "") -> str:
+    return f"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {words} THEN [words]
+                ELSE [list_slice(words, i, i + {words - 1}) FOR i IN generate_series(1, len(words) - {words - 1})] END) AS shingle
+            FROM split
+        ), sizes AS (
+            SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * shared.n >= {percent} * (x.n + y.n - shared.n)
+        ), either_way AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT doc_id, doc_id AS seen FROM documents
+            UNION
+            SELECT reached.doc_id, l.b FROM reached JOIN either_way l ON l.a = reached.seen
+        )
+        SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, MIN(reached.seen) AS component_id{more}
+        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id"""
+
+
 def _sql_clusters(rounds: int = centroids.ROUNDS) -> str:
     """The rounds one after the other, over one row per vector and dimension."""
 
@@ -285,30 +318,7 @@ def _sql_repair() -> str:
 # What SQL can express; the others are tested against brute force, exact round
 # trips, or held-out accuracy.
 ORACLE: dict[str, str] = {
-    "op3_signature_join": f"""
-        WITH RECURSIVE split AS (
-            SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents
-        ), shingles AS (
-            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
-                ELSE [list_slice(words, i, i + 4) FOR i IN generate_series(1, len(words) - 4)] END) AS shingle
-            FROM split
-        ), sizes AS (
-            SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id
-        ), shared AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS n
-            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
-        ), links AS (
-            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-            WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
-        ), either_way AS (
-            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-        ), reached AS (
-            SELECT doc_id, doc_id AS seen FROM documents
-            UNION
-            SELECT reached.doc_id, l.b FROM reached JOIN either_way l ON l.a = reached.seen
-        )
-        SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, MIN(reached.seen) AS component_id
-        FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id""",
+    "op3_signature_join": _sql_near_duplicates(jaccard.WORDS, jaccard.PERCENT),
     "op5_url_cascade": rf"""
         WITH rules(rule, verdict) AS (VALUES {_LISTED}), parsed AS (
             SELECT page_id,
@@ -367,6 +377,9 @@ ORACLE: dict[str, str] = {
                AND NOT (100 * n_same_words > 30 * n_words)
                AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
         FROM failed""",
+    "op11_superminhash": _sql_near_duplicates(
+        minhash.WORDS, minhash.PERCENT, ", d.doc_id = MIN(reached.seen) AS kept"
+    ),
     "op12_audit_repair": _sql_repair(),
     "op13_lookup_clusters": _sql_clusters(),
 }
