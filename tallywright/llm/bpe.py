@@ -8,8 +8,8 @@ last token of the prefix that ends there. A token is emitted as soon as all
 those positions agree on it, so the lookahead is bounded by the longest token.
 A state is what has been read since the last emission, with the token emitted
 last; states and transitions are made when first met, and dropped together when
-their number passes a limit, so memory is bounded and one very long piece costs
-time in proportion to its length.
+they take more bytes than a limit, so memory is bounded and one very long piece
+costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -30,9 +30,15 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, ship_package
 
-STATE_LIMIT = 400_000
-MEMO_LIMIT = 900_000
+# Memory of a worker beside the vocabulary itself, in bytes as counted below.
+STATE_BYTES = 48 << 20
+MEMO_BYTES = 32 << 20
 MEMO_LENGTH = 64
+FITS = 1 << 20
+SPREAD = 0x9E3779B1  # multiplied with a pair, it sets the middle bits by all lower ones
+UNREADABLE = "the vocabulary lacks a byte, or its merges are not in order"
+# What a dictionary's entry, a tuple and a number take, about.
+ENTRY, TUPLE, NUMBER = 80, 56, 32
 NEVER = float("inf")
 
 
@@ -55,10 +61,10 @@ class Transducer:
     up to there.
     """
 
-    def __init__(self, ranks: dict[bytes, int], state_limit: int = STATE_LIMIT):
+    def __init__(self, ranks: dict[bytes, int], state_bytes: int = STATE_BYTES):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.state_limit = state_limit
+        self.state_bytes = state_bytes
         # All tokens as a trie: (node, byte) -> node, where tokens end, and which nodes have children.
         self._child: dict[int, int] = {}
         self._ends: dict[int, int] = {}
@@ -71,8 +77,8 @@ class Transducer:
             self._ends[node] = rank
         self._base = max(self.token, default=0) + 1
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
-        self._fits: dict[int, bool] = {}
+        # Which tokens fit after which: a table of fixed size, where a later pair takes an earlier one's place.
+        self._fits = array("q", [-1]) * FITS
         self._forget()
 
     def _forget(self) -> None:
@@ -83,6 +89,8 @@ class Transducer:
         self._states: list[tuple] = []
         self._next: dict[int, int] = {}
         self._emits: dict[int, tuple[int, ...]] = {}
+        self._spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
+        self.held = 0
         self._start = self._id((-1, 0, ()))
 
     def _id(self, state: tuple) -> int:
@@ -90,10 +98,11 @@ class Transducer:
         if known is None:
             known = self._ids[state] = len(self._states)
             self._states.append(state)
+            self.held += ENTRY + TUPLE + NUMBER * len(state)
         return known
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self._states) > self.state_limit:
+        if self.held > self.state_bytes:
             self._forget()
         out: list[int] = []
         if not piece:
@@ -103,7 +112,7 @@ class Transducer:
             key = at << 8 | byte
             to = step(key)
             if to is None:
-                if len(self._states) > 2 * self.state_limit:  # within one very long piece
+                if self.held > 2 * self.state_bytes:  # within one very long piece
                     state = self._states[at]
                     self._forget()
                     key, step, emits = self._id(state) << 8 | byte, self._next.get, self._emits
@@ -125,29 +134,36 @@ class Transducer:
 
     def _to_end(self, state: tuple, byte: int) -> tuple[int, ...]:
         """Tokens from the last emission to the end of this byte: the one last token that fits, and those before it."""
-        before, child, ends, fits = state[0], self._child.get, self._ends.get, self._fits.get
+        before, child, ends = state[0], self._child.get, self._ends.get
         for i in range(1, len(state), 2):
-            node, tokens = child(state[i] << 8 | byte), state[i + 1]
-            token = None if node is None else ends(node)
-            if token is not None:
-                previous = tokens[-1] if tokens else before
-                fit = fits(previous * self._base + token)
-                if self._fit(previous, token) if fit is None else fit:
+            node = child(state[i] << 8 | byte)
+            if node is not None:
+                token, tokens = ends(node), state[i + 1]
+                if token is not None and self._fit(tokens[-1] if tokens else before, token):
                     return (*tokens, token)
-        raise ValueError("the vocabulary lacks a byte, or its merges are not in order")
+        raise ValueError(UNREADABLE)
 
     def _step(self, key: int) -> int:
         state, byte = self._states[key >> 8], key & 255
-        before = state[0]
-        child, inner = self._child.get, self._inner
+        before, child, ends, inner = state[0], self._child.get, self._ends.get, self._inner
         longer: list = [before]
+        last = None
         for i in range(1, len(state), 2):  # the longest first, the end of the last byte at last
             node = child(state[i] << 8 | byte)
+            if node is None:
+                continue
+            tokens = state[i + 1]
+            if last is None:
+                token = ends(node)
+                if token is not None and self._fit(tokens[-1] if tokens else before, token):
+                    last = (*tokens, token)
             if node in inner:
                 longer.append(node)
-                longer.append(state[i + 1])
+                longer.append(tokens)
+        if last is None:
+            raise ValueError(UNREADABLE)
         longer.append(0)
-        longer.append(self._to_end(state, byte))
+        longer.append(last)
         # What all of them begin with is settled.
         agreed = longer[2]
         for i in range(4, len(longer), 2):
@@ -155,6 +171,7 @@ class Transducer:
                 break
             while longer[i][: len(agreed)] != agreed:
                 agreed = agreed[:-1]
+        self.held += ENTRY + NUMBER
         if not agreed:
             to = self._next[key] = self._id(tuple(longer))
             return to
@@ -162,6 +179,7 @@ class Transducer:
         for i in range(2, len(longer), 2):
             longer[i] = longer[i][len(agreed) :]
         self._emits[key] = agreed
+        self.held += ENTRY + TUPLE + NUMBER * len(agreed)
         to = self._next[key] = ~self._id(tuple(longer))
         return to
 
@@ -176,13 +194,13 @@ class Transducer:
         its rank comes before the merges that would consume either; of equal
         ranks the one further left comes first.
         """
-        key = left * self._base + right
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > self.state_limit:
-                self._fits.clear()
-            known = self._fits[key] = self._reached(right) and (left < 0 or not self._crosses(left, right))
-        return known
+        key = left * self._base + right + self._base  # from 0, as `left` may be -1
+        place = (key * SPREAD >> 20) & (FITS - 1)
+        known = self._fits[place]
+        if known >> 1 != key:
+            fits = self._reached(right) and (left < 0 or not self._crosses(left, right))
+            self._fits[place] = known = key << 1 | fits
+        return known & 1 == 1
 
     def _crosses(self, left: int, right: int) -> bool:
         rank_of = self.ranks.get
@@ -207,6 +225,7 @@ class Transducer:
                     break
                 until, part = part, halves[1 if right_edge else 0]
             self._spines[key] = spine
+            self.held += ENTRY + TUPLE + TUPLE * len(spine)
         return spine
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -241,7 +260,7 @@ def odd_characters() -> frozenset[str]:
 class Encoder:
     """Texts to ids: pattern, transducer, and a bounded memory of what frequent pieces gave."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = MEMO_LIMIT):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_bytes: int = MEMO_BYTES):
         blank = r"\p{White_Space}"
         self.find = regex.compile(pattern.replace(r"\s", blank).replace(r"\S", rf"[^{blank}]")).findall
         for whole, plain in PLAIN.items():
@@ -249,7 +268,7 @@ class Encoder:
         self.find_plain = self.find if r"\p" in pattern else re.compile(pattern).findall
         self.odd = odd_characters()
         self.transducer = Transducer(ranks)
-        self.memo_limit = memo_limit
+        self.memo_bytes = memo_bytes
         self.pieces = _Memo(lambda piece: array("i", self.transducer.encode(piece.encode())).tobytes())
 
     def encode(self, text: str) -> np.ndarray:
@@ -258,24 +277,38 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The same as C integers."""
-        if len(self.pieces) > self.memo_limit:
-            self.pieces.clear()
         plain = text.isascii() and not SEPARATORS.search(text) or self.odd.isdisjoint(text)
         find = self.find_plain if plain else self.find
-        return b"".join(map(self.pieces.__getitem__, find(text)))
+        coded = b"".join(map(self.pieces.__getitem__, find(text)))
+        if 2 * self.pieces.held > self.memo_bytes:
+            self.pieces = self.pieces.renewed()
+        return coded
 
 
 class _Memo(dict):
-    """Remembers short keys only; long ones are worked out each time."""
+    """Remembers short keys only; long ones are worked out each time.
+
+    Once the entries take half the memory allowed, they become the old ones of a
+    new memory. Old entries that are met again move over, the others go with the
+    next change.
+    """
 
-    def __init__(self, make):
+    def __init__(self, make, old: dict | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.old, self.held = make, {} if old is None else old, 0
+
+    def renewed(self) -> _Memo:
+        self.old = {}
+        return _Memo(self.make, self)
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= MEMO_LENGTH:
-            self[key] = value
+        value = dict.get(self.old, key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMO_LENGTH:
+                return value
+        self[key] = value
+        self.held += ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
         return value
 
 

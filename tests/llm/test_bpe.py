@@ -35,11 +35,21 @@ def test_long_pieces_and_blanks(text):
 
 
 def test_states_are_dropped_and_made_again():
-    small = bpe.Transducer(RANKS, state_limit=20)
+    small = bpe.Transducer(RANKS, state_bytes=4000)
     for word in ("internationalization", "antidisestablishmentarianism", "x" * 300, "ehtlinorsa" * 40):
         assert small.encode(word.encode()) == LIBRARY.encode_ordinary(word)
 
 
+def test_memory_is_bounded_and_renewed():
+    small = bpe.Encoder(RANKS, public_tokenizers.PATTERN, memo_bytes=20_000)
+    small.transducer.state_bytes = 20_000
+    for at in range(300):
+        text = " ".join(f"word{at * 7 % 300} again{i}" for i in range(20))
+        assert small.encode(text).tolist() == LIBRARY.encode_ordinary(text)
+        assert small.pieces.held + getattr(small.pieces.old, "held", 0) < 3 * 20_000
+        assert small.transducer.held < 2 * 20_000
+
+
 def test_a_token_no_merge_reaches_is_never_given():
     ranks = {bytes((i,)): i for i in range(256)} | {b"ab": 256, b"bcd": 257}  # b"bc" and b"cd" are missing
     assert bpe.Transducer(ranks).encode(b"bcdab") == [98, 99, 100, 256]
