@@ -21,7 +21,6 @@ import gc
 import os
 import re
 import struct
-import zlib
 from array import array
 from collections.abc import Iterator
 from unicodedata import normalize
@@ -177,15 +176,19 @@ class WordTokens:
         memo, split, wanted = self.memo, [], set()
         for part in parts:
             word = part.rstrip(".,")
-            after = part[len(word) :]
-            lower = normalize("NFC", word).lower()
-            # Two capitals whose lower case depends on what is around them, or is two characters.
-            if lower.isalpha() and word.isalpha() and "Σ" not in word and "İ" not in word:
-                split.append((part, lower, after))
-                if after and after not in memo:
-                    wanted.add(after)
+            if word.isascii():
+                letters, lower = word.isalpha(), word.lower()
             else:
+                lower = normalize("NFC", word).lower()
+                # Two capitals whose lower case depends on what is around them, or is two characters.
+                letters = lower.isalpha() and word.isalpha() and "Σ" not in word and "İ" not in word
+            if not letters:
                 wanted.add(part)
+                continue
+            after = part[len(word) :]
+            split.append((part, lower, after))
+            if after and after not in memo:
+                wanted.add(after)
         new = list(wanted)
         for part, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             memo[part] = array("I", coded.ids).tobytes()
@@ -266,26 +269,30 @@ def write_ids(
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each segment, their ids as little-endian unsigned 32-bit integers."""
     for batch in batches:
         for part, begin, raw in zip(
             batch.column("part").to_pylist(), batch.column("part_start").to_pylist(), batch.column("payload")
         ):
             docs, lengths, values = read_segment(raw.as_py())
             ends = np.cumsum(lengths, dtype=np.int64)
-            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            offsets = np.concatenate(([0], 4 * ends)).astype(np.int64)
+            coded = pa.Array.from_buffers(
+                pa.large_binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype("<u4", copy=False))]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, pa.int64()),
                     pa.array(np.full(len(docs), part, np.int32)),
                     pa.array(begin + ends - lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int32))),
+                    coded.cast(pa.binary()),
                 ],
-                names=["doc_id", "part", "at", "ids"],
+                names=["doc_id", "part", "at", "coded"],
             )
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """`doc_id`, `start` (ids of all documents before it), `ids` of what `write_ids` wrote."""
+def read_coded(spark: SparkSession, path: str) -> DataFrame:
+    """`doc_id`, `start` (ids of all documents before it), `coded` (its ids as little-endian unsigned 32-bit integers)."""
     ship_package(spark)
     segments = spark.read.schema(_SEGMENTS).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -294,18 +301,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         F.col("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
     rows = segments.select("part", "part_start", "payload").mapInArrow(
-        _read, "doc_id bigint, part int, at bigint, ids array<int>"
+        _read, "doc_id bigint, part int, at bigint, coded binary"
     )
-    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
+    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "coded")
 
 
-def ids_crc32():
-    """Column function: unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """`doc_id`, `start` (ids of all documents before it), `ids` of what `write_ids` wrote."""
 
-    @F.arrow_udf("bigint")
-    def crc(lists: pa.Array) -> pa.Array:
-        values = lists.values.to_numpy(zero_copy_only=False).astype("<i4")
-        offsets = lists.offsets.to_pylist()
-        return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.int64())
+    @F.arrow_udf("array<int>")
+    def numbers(coded: pa.Array) -> pa.Array:
+        lists = [np.frombuffer(own.as_py(), "<u4").view(np.int32) for own in coded]
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32)))
 
-    return crc
+    return read_coded(spark, path).select("doc_id", "start", numbers("coded").alias("ids"))

@@ -51,9 +51,8 @@ def op4_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         definition = file.read()
     path = new_table_path(spark, "token_ids")
     pfor.write_ids(read(spark, sf_dir, "documents"), path, definition, end_id=1)
-    return pfor.read_ids(spark, path).select(
-        "doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), pfor.ids_crc32()("ids").alias("ids_crc32")
-    )
+    n_tokens = (F.octet_length("coded") / 4).cast("bigint").alias("n_tokens")
+    return pfor.read_coded(spark, path).select("doc_id", "start", n_tokens, F.crc32("coded").alias("ids_crc32"))
 
 
 ALLOW = ("org/", "com/fr/")
