@@ -17,11 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
-    It is the one the cluster names in `spark.checkpoint.dir`. A folder of this
-    machine is made only where none is named, as in tests.
+    It is the one the cluster names in `spark.checkpoint.dir`. Where none is
+    named, a folder of this machine is made if all of Spark runs on it, as in
+    tests; elsewhere that is an error, as rows would be lost.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -60,10 +63,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs its running tasks, not this table.
     """
-    spark = df.sparkSession
-    path = new_table_path(spark, name)
+    return stored_at(df, new_table_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of its own, from `new_table_path`, to be deleted by `forget`."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `stored_at` wrote and nothing will read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm.classes import SEEN_LIMIT, classes_of, digest, groups_of, short
 from tallywright.llm.common import col, ship_package, stored
 from tallywright.llm.links import components
 
@@ -33,7 +34,10 @@ WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 21
 SKETCH_BLOCK = 1 << 15
-FILTER_BITS = 22
+# A filter has eight bits or more for each wanted class, up to 32 MB.
+FILTER_BITS = range(16, 29)
+# Rows of at most some 40 bytes: the places of classes are sent to all executors up to this many.
+SENT_ROWS = 200_000
 BLOCK_SHINGLES = 4_000_000
 MEMO_LIMIT = 400_000
 SHARED = 8
@@ -81,13 +85,6 @@ class _WordHashes(dict):
         return value
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """Identity of a set as a signed 64-bit number, from its size and two sums over it."""
-    first = int(shingles.sum())
-    second = int(_mixed(shingles ^ _U(0xA5A5A5A5A5A5A5A5)).sum())
-    return xxhash.xxh3_64_intdigest(b"%d %d %d" % (len(shingles), first, second)) - (1 << 63)
-
-
 def need(n: int, percent: int = PERCENT) -> int:
     """Smallest overlap with which a set of n can be linked to any other."""
     return -(-percent * n // 100)
@@ -97,7 +94,7 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-_DOCS = "doc_id bigint, n bigint, fp bigint, part int, counts binary"
+_DOCS = "doc_id bigint, tag binary, n bigint, fp binary, part int, counts binary"
 
 
 def _scan(words: int):
@@ -111,26 +108,27 @@ def _scan(words: int):
                 found = shingler.shingles(text)
                 np.add.at(counts, (found >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(len(found))
-                prints.append(fingerprint(found) if len(found) else None)
+                prints.append(digest(found) if len(found) else None)
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("tag").cast(pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    pa.array(prints, pa.int64()),
+                    pa.array(prints, pa.binary()),
                     none.cast(pa.int32()),
                     none.cast(pa.binary()),
                 ],
-                names=["doc_id", "n", "fp", "part", "counts"],
+                names=["doc_id", "tag", "n", "fp", "part", "counts"],
             )
         counts = np.minimum(counts, 65535).astype(np.uint16)
         for part in range(0, len(counts), SKETCH_BLOCK):
             block = counts[part : part + SKETCH_BLOCK]
             if block.any():
-                empty = pa.nulls(1).cast(pa.int64())
+                number, bytes_ = pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [empty, empty, empty, pa.array([part // SKETCH_BLOCK], pa.int32()), pa.array([block.tobytes()])],
-                    names=["doc_id", "n", "fp", "part", "counts"],
+                    [number, bytes_, number, bytes_, pa.array([part // SKETCH_BLOCK], pa.int32()), pa.array([block.tobytes()])],
+                    names=["doc_id", "tag", "n", "fp", "part", "counts"],
                 )
 
     return run
@@ -156,15 +154,17 @@ def shared(n, percent: int = PERCENT):
 
 def _rarest(words: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rarest shingles of each set, once per task and set."""
+        """The rarest shingles of each set, about once per task and set."""
         shingler, counts, seen = Shingler(words), np.frombuffer(sketch.value, np.uint16), set()
         for batch in batches:
             tokens, owners, sizes = [], [], []
             for text in _texts(batch):
                 found = shingler.shingles(text)
                 n = len(found)
-                if not n or (fp := fingerprint(found)) in seen:
+                if not n or (fp := short(digest(found))) in seen:
                     continue
+                if len(seen) >= SEEN_LIMIT:
+                    seen.clear()
                 seen.add(fp)
                 order = np.argsort(counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 first = found[order[: n - need(n, percent) + int(shared(n, percent))]]
@@ -241,31 +241,34 @@ def _meetings(percent: int):
 
 def _sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole sets of the classes that may be wanted, once per task and set."""
+        """Whole sets of the classes that may be wanted, about once per task and set."""
         shingler, seen = Shingler(words), set()
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
+        mask = len(bits) - 1
         for batch in batches:
-            prints, sets = [], []
+            sets: dict[bytes, bytes] = {}
             for text in _texts(batch):
                 found = shingler.shingles(text)
                 if not len(found):
                     continue
-                fp = fingerprint(found)
-                if bits[fp & ((1 << FILTER_BITS) - 1)] and fp not in seen:
+                fp = digest(found)
+                if bits[short(fp) & mask] and fp not in seen:
+                    if len(seen) >= SEEN_LIMIT:
+                        seen.clear()
                     seen.add(fp)
-                    prints.append(fp)
-                    sets.append(found.tobytes())
-                if len(prints) == 256:
-                    yield _set_batch(prints, sets)
-                    prints, sets = [], []
-            if prints:
-                yield _set_batch(prints, sets)
+                    sets[fp] = found.tobytes()
+                if len(sets) == 256:
+                    yield _set_batch(sets)
+                    sets = {}
+            if sets:
+                yield _set_batch(sets)
 
     return run
 
 
-def _set_batch(prints: list[int], sets: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+def _set_batch(sets: dict[bytes, bytes]) -> pa.RecordBatch:
+    columns = [pa.array(map(short, sets), pa.int64()), pa.array(sets.keys(), pa.binary()), pa.array(sets.values(), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["fp", "whole_fp", "shingles"])
 
 
 class SignatureTree:
@@ -375,7 +378,7 @@ class SignatureTree:
 
 
 def _links(percent: int):
-    def block(rows: dict[int, tuple[bytes, int]]) -> Iterator[tuple[int, int]]:
+    def block(rows: dict[bytes, tuple[bytes, int]]) -> Iterator[tuple[bytes, bytes]]:
         prints = sorted(rows)
         sets = [np.frombuffer(rows[fp][0], np.uint64) for fp in prints]
         first = SignatureTree(sets, [rows[fp][1] for fp in prints], percent).linked()
@@ -385,7 +388,7 @@ def _links(percent: int):
         """Rows come sorted by block, whose size is bounded; each is held once."""
         key, rows, found = None, {}, []
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("block", "fp", "shingles", "side")]
+            columns = [batch.column(name).to_pylist() for name in ("block", "whole_fp", "shingles", "side")]
             for at, fp, shingles, side in zip(*columns):
                 if at != key:
                     if len(rows) > 1:
@@ -403,10 +406,8 @@ def _links(percent: int):
     return run
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(a) for a, _ in pairs], pa.int64()), pa.array([int(b) for _, b in pairs], pa.int64())], names=["a", "b"]
-    )
+def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ends, pa.binary()) for ends in zip(*pairs)], names=["a", "b"])
 
 
 def _blocks(members: DataFrame, percent: int, shingles_per_block: int) -> tuple[DataFrame, DataFrame]:
@@ -464,6 +465,7 @@ def near_duplicates(
     words: int = WORDS,
     percent: int = PERCENT,
     shingles_per_block: int = BLOCK_SHINGLES,
+    sent_rows: int = SENT_ROWS,
 ) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` for every row of `df`.
 
@@ -472,14 +474,36 @@ def near_duplicates(
     without words, or NULL, has no shingles, is linked with nothing and is its
     own component. A row with a NULL id is linked like any other, but never
     names a component that has an id. Repeated rows each give a row. An empty
-    table gives no rows. Sets are told apart by size and a 64-bit digest.
+    table gives no rows. Sets are told apart by a 128-bit digest.
+    """
+    found = groups(df, doc_id, text, None, words, percent, shingles_per_block, sent_rows)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def groups(
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    tag: str | None = None,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    shingles_per_block: int = BLOCK_SHINGLES,
+    sent_rows: int = SENT_ROWS,
+) -> DataFrame:
+    """The same with all that is known: `doc_id`, `tag`, `n`, `fp`, `component_id`, `root`, `first` for every row.
+
+    `tag` is a binary column of `df` that goes along, by which rows may be found
+    again; `fp` is the identity of the set, NULL without words. `root` tells
+    components apart where ids cannot; `first` is true in rows of the class that a
+    component is named after.
     """
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
+    tags = F.lit(None).cast("binary") if tag is None else col(tag)
+    docs = df.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"), tags.alias("tag"))
     texts = docs.select("text")
     scanned = stored(docs.mapInArrow(_scan(words), _DOCS), "shingle_scan")
-    rows = scanned.where("part is null").select("doc_id", "n", "fp")
+    rows = scanned.where("part is null").select("doc_id", "tag", "n", "fp")
 
     # How often the shingles of each hash range occur: a table of fixed size.
     summed = scanned.where("part is not null").select("part", "counts").repartition("part")
@@ -498,29 +522,27 @@ def near_duplicates(
     )
     blocks = components(counted.where("met >= enough").select("a", "b"))
 
-    sizes = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"))
+    classes = classes_of(rows, "shingle_classes")
+    # By the first half of their identity; two classes that share it share a place.
+    sizes = classes.select(F.col("owner").alias("fp"), "n")
     members = stored(blocks.select(F.col("node").alias("fp"), "root").join(sizes, "fp"), "block_members")
-    words_of_filter = members.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("bit")).groupBy(
+    bits = min(max((8 * members.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[-1])
+    words_of_filter = members.select(F.col("fp").bitwiseAND(F.lit((1 << bits) - 1)).alias("bit")).groupBy(
         F.expr("cast(bit div 64 as int)").alias("word")
     ).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    wanted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    wanted = np.zeros(1 << (bits - 6), np.int64)
     for row in words_of_filter.collect():  # at most as many rows as the filter has words
         wanted[row["word"]] = row["bits"]
     shipped = spark.sparkContext.broadcast(wanted.tobytes())
 
     whole, split = _blocks(members, percent, shingles_per_block)
-    placed = stored(whole.unionAll(split), "block_places")
-    sets = texts.mapInArrow(_sets(words, shipped), "fp bigint, shingles binary")
-    dealt = sets.join(placed, "fp").repartition("block").sortWithinPartitions("block")
+    placed = stored(whole.unionAll(split).distinct(), "block_places")
+    # Sets are dealt once, to their blocks, where the places are few enough to be
+    # sent to all; else they first meet their places.
+    places = F.broadcast(placed) if placed.count() <= sent_rows else placed
+    sets = texts.mapInArrow(_sets(words, shipped), "fp bigint, whole_fp binary, shingles binary")
+    dealt = sets.join(places, "fp").repartition("block").sortWithinPartitions("block")
     pairs = stored(
-        dealt.select("block", "fp", "shingles", "side").mapInArrow(_links(percent), "a bigint, b bigint"), "set_links"
-    )
-    linked = components(pairs).select(F.col("node").alias("fp"), F.col("root").alias("label"))
-
-    labelled = rows.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "label", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        dealt.select("block", "whole_fp", "shingles", "side").mapInArrow(_links(percent), "a binary, b binary"), "set_links"
     )
+    return groups_of(rows, classes, pairs.distinct(), "shingle_groups")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import stored
+from tallywright.llm.common import forget, new_table_path, stored_at
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     minimum per node and a join with it; no node's neighbours are gathered, so a
     node with very many costs no more per edge than any other.
     """
-    current = stored(
+    spark = edges.sparkSession
+    first = (
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "links",
+        .distinct()
     )
+    path = new_table_path(spark, "links")
+    current = stored_at(first, path)
     mark = _mark(current)
     while mark[0]:
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,7 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         )
         smallest = larger.groupBy("a").agg(F.min("b").alias("m"))
         smaller = larger.join(smallest, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = stored(smaller.unionAll(smallest.select("a", F.col("m").alias("b"))).distinct(), "links")
+        after = smaller.unionAll(smallest.select("a", F.col("m").alias("b"))).distinct()
+        before, path = path, new_table_path(spark, "links")
+        current = stored_at(after, path)
+        forget(spark, before)
         before, mark = mark, _mark(current)
         if mark == before:
             break

@@ -24,15 +24,14 @@ the margin of 0.2 less often than that.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm.classes import SEEN_LIMIT, classes_of, digest, groups_of, short, short_column
 from tallywright.llm.common import col, ship_package, stored
 from tallywright.llm.jaccard import Shingler, _blocks, _mixed
 from tallywright.llm.links import components
@@ -46,7 +45,6 @@ FEW = 8
 MARGIN = 0.2
 BLOCK_SHINGLES = 4_000_000
 CHUNK = 1 << 15
-SEEN_LIMIT = 100_000
 # Rows of at most some 40 bytes: the places of classes are sent to all executors up to this many.
 SENT_ROWS = 200_000
 FILTER_BITS = range(16, 29)
@@ -120,16 +118,6 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return _mixed(out)
 
 
-def digest(shingles: np.ndarray) -> bytes:
-    """Identity of a set: 128 bits over its shingles in order."""
-    return xxhash.xxh3_128_digest(shingles.tobytes())
-
-
-def short(fp: bytes) -> int:
-    """The first 64 bits of an identity, signed: enough to meet by, not to be told apart by."""
-    return int.from_bytes(fp[:8], "big", signed=True)
-
-
 def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
@@ -345,25 +333,6 @@ def _verified(percent: int, size: int):
     return run
 
 
-# A class as one number: the smallest id it is known by, then bits of its
-# identity. Classes without any id come after all others. The smallest number of
-# a group therefore tells the smallest id of the group.
-NODE = "decimal(38,0)"
-_UNIT = Decimal(1 << 62)
-_NO_ID = Decimal(1 << 63)
-
-
-def _node(least: Column, owner: Column) -> Column:
-    known = F.coalesce(least.cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
-    return (known * F.lit(_UNIT).cast("decimal(19,0)") + F.shiftrightunsigned(owner, 2)).cast(NODE)
-
-
-def _least_id(node: Column) -> Column:
-    unit = F.lit(_UNIT).cast("decimal(19,0)")
-    known = ((node - F.pmod(node, unit)) / unit).cast("decimal(20,0)")
-    return F.when(known < F.lit(_NO_ID).cast("decimal(20,0)"), known.cast("bigint"))
-
-
 def near_duplicates(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -391,17 +360,10 @@ def near_duplicates(
     scanned = stored(docs.mapInArrow(_scan(words, size, band), _SCAN), "minhash_scan")
     rows = scanned.select("doc_id", "n", "fp")
 
-    owner = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
-    classes = stored(
-        rows.where("fp is not null")
-        .groupBy("fp")
-        .agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
-        .select("fp", owner.alias("owner"), "least", "n", _node(F.col("least"), owner).alias("node")),
-        "minhash_classes",
-    )
+    classes = classes_of(rows, "minhash_classes")
 
     # Classes that may be similar, by the bands they share, in blocks.
-    banded = scanned.where("bands is not null").select(owner.alias("owner"), F.explode("bands").alias("token"))
+    banded = scanned.where("bands is not null").select(short_column().alias("owner"), F.explode("bands").alias("token"))
     meetings = banded.repartition("token").sortWithinPartitions("token", "owner")
     counted = meetings.mapInArrow(_met(bands_shared), "a bigint, b bigint, met bigint").groupBy("a", "b").agg(F.sum("met").alias("met"))
     near = components(counted.where(F.col("met") >= bands_shared).select("a", "b"))
@@ -420,20 +382,6 @@ def near_duplicates(
     found = dealt.select("block", "fp", "shingles", "side").mapInArrow(_verified(percent, size), "a binary, b binary")
     pairs = stored(found.distinct(), "minhash_links")
 
-    # Links between classes, then the smallest id of each group, by its smallest number.
-    numbers = classes.select("fp", "node")
-    numbered = (
-        pairs.join(numbers.select(F.col("fp").alias("a"), F.col("node").alias("node_a")), "a")
-        .join(numbers.select(F.col("fp").alias("b"), F.col("node").alias("node_b")), "b")
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    )
-    grouped = components(numbered).select("node", "root")
-    named = stored(
-        classes.join(grouped, "node", "left").select("fp", _least_id(F.coalesce("root", "node")).alias("component_id")),
-        "minhash_groups",
-    )
-    linked = rows.where("fp is not null").join(named, "fp").select("doc_id", "n", "component_id")
-    alone = rows.where("fp is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone).select(
+    return groups_of(rows, classes, pairs, "minhash_groups").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )

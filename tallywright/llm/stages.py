@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, jaccard, langid, mixing, quality
-from tallywright.llm.common import col, hidden, word_count
+from tallywright.llm.common import col, hidden, stored, word_count
 
 LEAST_SCORE = 0.5
 
@@ -39,20 +39,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: that of the smallest id.
 
-    Where ids are missing or repeated, a hash of id and text stands for the id,
-    and of rows alike in both one stays.
+    A row is known by a 128-bit digest of its id and text. Of several rows under
+    the smallest id, or of a component without ids, the one with the smallest
+    digest stays, and of rows alike in both one. Rows without words all stay.
     """
-    key = hidden("key")
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
-        F.max("n").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("missing")
+    tag = hidden("tag")
+    written = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    tagged = docs.withColumn(tag, F.unhex(F.md5(written.cast("binary"))))
+    found = stored(jaccard.groups(tagged, "doc_id", "text", tag).where("n > 0"), "near_duplicates")
+    named = found.where(F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = (
+        named.groupBy("root", "tag")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("root")
+        .agg(F.min(F.struct("tag", "rows")).alias("least"))
+        .select(F.col("least.tag").alias(tag), "least.rows")
     )
-    most, missing = ids.first()
-    plain = (most or 0) <= 1 and not missing
-    keyed = docs.withColumn(key, F.col("doc_id") if plain else F.xxhash64("doc_id", "text"))
-    found = jaccard.near_duplicates(keyed, key, "text")
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = keyed.join(copies, key, "left_anti")
-    return (kept if plain else kept.dropDuplicates([key])).select(*[col(name) for name in docs.columns])
+    chosen = stored(chosen, "near_duplicates_chosen")
+    copies = found.select(F.col("tag").alias(tag)).distinct().join(chosen, tag, "left_anti")
+    kept = tagged.join(copies, tag, "left_anti")
+    repeated = chosen.where("rows > 1").select(tag)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, tag, "left_semi").dropDuplicates([tag])
+        kept = kept.join(repeated, tag, "left_anti").unionAll(once)
+    return kept.select(*[col(name) for name in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,19 @@ def test_run(spark):
     first = corpus_pipeline.run(spark, SF_DIR)
     assert first.count() > 0
     assert sorted(map(repr, first.collect())) == sorted(map(repr, corpus_pipeline.run(spark, SF_DIR).collect()))
+
+
+def test_repeated_ids_change_no_other_group(spark):
+    """Ten groups of four copies keep the same documents whether or not another row repeats an id, and alike rows leave one."""
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    texts = [" ".join(f"g{g}w{i}" for i in range(30)) for g in range(10)]
+    rows = [(i, texts[i // 4], "en", "s", 1) for i in range(40)]
+    more = [(39, "quite another text of more than five words", "en", "s", 1)] + [rows[8]] * 20 + [(None, texts[3], "en", "s", 1)]
+    more += [(None, "only rows without any id here", "en", "s", 1), (None, "Only rows without any id here", "en", "s", 1)]
+
+    def kept(rows):
+        return Counter(r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, helpers.DOCUMENTS), SF_DIR).collect())
+
+    plain = Counter(range(0, 40, 4))
+    assert kept(rows) == plain
+    assert kept(rows + more) == plain + Counter([39, None])
