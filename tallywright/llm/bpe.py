@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import col, ship_package
 
 # Memory of a worker beside the vocabulary itself, in bytes as counted below.
-STATE_BYTES = 48 << 20
-MEMO_BYTES = 32 << 20
+STATE_BYTES = 40 << 20
+MEMO_BYTES = 60 << 20
 MEMO_LENGTH = 64
+# Steps after a new one that are not kept.
+UNKEPT = 48
 FITS = 1 << 20
 SPREAD = 0x9E3779B1  # multiplied with a pair, it sets the middle bits by all lower ones
 UNREADABLE = "the vocabulary lacks a byte, or its merges are not in order"
@@ -107,24 +109,40 @@ class Transducer:
         out: list[int] = []
         if not piece:
             return out
-        at, step, emits = self._start, self._next.get, self._emits
-        for byte in piece[:-1]:
-            key = at << 8 | byte
-            to = step(key)
-            if to is None:
-                if self.held > 2 * self.state_bytes:  # within one very long piece
-                    state = self._states[at]
-                    self._forget()
-                    key, step, emits = self._id(state) << 8 | byte, self._next.get, self._emits
-                to = self._step(key)
-            if to < 0:
-                out += emits[key]
-                to = ~to
-            at = to
-        key = at << 8 | piece[-1]
+        at, step, emits, last = self._start, self._next.get, self._emits, len(piece) - 1
+        begin = 0
+        while True:
+            for place in range(begin, last):
+                key = at << 8 | piece[place]
+                to = step(key)
+                if to is None:
+                    break
+                if to < 0:
+                    out += emits[key]
+                    to = ~to
+                at = to
+            else:
+                break
+            # One more step is kept. What follows is worked out without keeping it, as most
+            # pieces end soon and rarely come again; what does grows by a step each time.
+            state = self._states[at]
+            if self.held > 2 * self.state_bytes:  # within one very long piece
+                self._forget()
+                step, emits = self._next.get, self._emits
+                key = self._id(state) << 8 | piece[place]
+            agreed, state = self._kept_step(key, state)
+            out += agreed
+            begin = min(last, place + 1 + UNKEPT)
+            for place in range(place + 1, begin):
+                agreed, state = self._step(state, piece[place])
+                out += agreed
+            if begin == last:
+                return out + list(self._to_end(state, piece[last]))
+            at = self._id(state)
+        key = at << 8 | piece[last]
         to = step(key)
         if to is None:  # no state is made for where a piece ends
-            out += self._to_end(self._states[at], piece[-1])
+            out += self._to_end(self._states[at], piece[last])
         else:
             if to < 0:
                 out += emits[key]
@@ -143,8 +161,20 @@ class Transducer:
                     return (*tokens, token)
         raise ValueError(UNREADABLE)
 
-    def _step(self, key: int) -> int:
-        state, byte = self._states[key >> 8], key & 255
+    def _kept_step(self, key: int, state: tuple) -> tuple[tuple[int, ...], tuple]:
+        """The step of a known state, remembered."""
+        agreed, after = self._step(state, key & 255)
+        to = self._id(after)
+        self.held += ENTRY + NUMBER
+        if agreed:
+            self._emits[key] = agreed
+            self.held += ENTRY + TUPLE + NUMBER * len(agreed)
+            to = ~to
+        self._next[key] = to
+        return agreed, after
+
+    def _step(self, state: tuple, byte: int) -> tuple[tuple[int, ...], tuple]:
+        """The tokens that one more byte settles, and the state after it."""
         before, child, ends, inner = state[0], self._child.get, self._ends.get, self._inner
         longer: list = [before]
         last = None
@@ -171,17 +201,12 @@ class Transducer:
                 break
             while longer[i][: len(agreed)] != agreed:
                 agreed = agreed[:-1]
-        self.held += ENTRY + NUMBER
         if not agreed:
-            to = self._next[key] = self._id(tuple(longer))
-            return to
+            return agreed, tuple(longer)
         longer[0] = agreed[-1]
         for i in range(2, len(longer), 2):
             longer[i] = longer[i][len(agreed) :]
-        self._emits[key] = agreed
-        self.held += ENTRY + TUPLE + NUMBER * len(agreed)
-        to = self._next[key] = ~self._id(tuple(longer))
-        return to
+        return agreed, tuple(longer)
 
     def _reached(self, token: int) -> bool:
         return len(self.token[token]) == 1 or self._halves(token) is not None
