@@ -6,21 +6,26 @@ from tallywright.operators.frequency import (
     keyword_count,
     slot_frequency,
     top_groups,
+    top_groups_pruned,
 )
+from tallywright.operators.reduction import key_count, reduce_to_keys
 from tallywright.operators.summary import numeric_summary, segment_profile, top_rows
 
 __all__ = [
     "category_frequency",
     "category_share",
     "first_match_segment",
+    "key_count",
     "keyword_count",
     "monthly_volume",
     "numeric_summary",
     "plan_fulfilment",
+    "reduce_to_keys",
     "repeat_cohorts",
     "segment_profile",
     "slot_frequency",
     "top_groups",
+    "top_groups_pruned",
     "top_rows",
     "treatment_comparison",
 ]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions import semantics as S
+from tallywright.operators.reduction import reduce_to_keys
 
 
 def treatment_comparison(
@@ -136,6 +137,8 @@ def plan_fulfilment(
     scale: int = 2,
     *,
     dedup_right: bool = False,
+    planned_keys: int | None = None,
+    co_located: bool = False,
     planned_as: str = "planned",
     completed_as: str = "completed",
     rate_as: str = "completion_rate",
@@ -150,6 +153,12 @@ def plan_fulfilment(
     The join is one row to one row per key and `by`. The other side is dealt to the join by an exchange of its
     own, not left where its aggregation put it, so that adaptive execution may
     split a key whose many values of `by` would otherwise fall to one task.
+
+    With `planned_keys`, about how many keys the plan has (`key_count` finds out),
+    actual rows that meet no plan row are left out by a filter before they are
+    shuffled: worth it where most of them do not. With `co_located` both sides
+    are joined where they lie: on tables bucketed alike by the keys, nothing is
+    shuffled before the join; a hot key is then one task.
     """
     pairs = [(name, name) if isinstance(name, str) else name for name in on]
     S.distinct_names([by, planned_as, completed_as, rate_as])
@@ -158,22 +167,30 @@ def plan_fulfilment(
     actual_keys = [F.col(right).alias(key) for (_, right), key in zip(pairs, keys, strict=True)]
 
     whole_key = reduce(and_, [F.col(key).isNotNull() for key in keys])
-    # Rows without a whole key meet nothing; they are dealt by what they are grouped by.
-    spread = F.when(whole_key, F.lit(0).cast("bigint")).otherwise(F.xxhash64("by"))
     planned = plan.select(*plan_keys, F.col(by).alias("by")).groupBy(*keys, "by").agg(F.count("*").alias("plan_rows"))
-    planned = planned.withColumn("spread", spread)
     met = F.lit(1).cast("bigint") if dedup_right else F.count("*")
-    matchable = reduce(and_, [F.col(right).isNotNull() for _, right in pairs])
-    # The digest depends on the keys alone, so there is one row per key; but rows
-    # dealt by both are not where a join on the keys needs them.
-    keyed = actual.where(matchable).select(*actual_keys).withColumn("digest", F.xxhash64(*keys))
-    done = keyed.groupBy(*keys, "digest").agg(met.alias("actual_rows")).drop("digest")
-    # Always 0; a literal would be taken out of the join keys.
-    done = done.withColumn("spread", F.least(F.col("actual_rows"), F.lit(0)).cast("bigint"))
+    if planned_keys is None:
+        matchable = actual.where(reduce(and_, [F.col(right).isNotNull() for _, right in pairs]))
+    else:
+        matchable = reduce_to_keys(actual, plan, [(right, left) for left, right in pairs], planned_keys)
+    keyed = matchable.select(*actual_keys)
+    if co_located:
+        done, join_keys = keyed.groupBy(*keys).agg(met.alias("actual_rows")), keys
+    else:
+        # Rows without a whole key meet nothing; they are dealt by what they are grouped by.
+        spread = F.when(whole_key, F.lit(0).cast("bigint")).otherwise(F.xxhash64("by"))
+        planned = planned.withColumn("spread", spread)
+        # The digest depends on the keys alone, so there is one row per key; but rows
+        # dealt by both are not where a join on the keys needs them.
+        digested = keyed.withColumn("digest", F.xxhash64(*keys))
+        done = digested.groupBy(*keys, "digest").agg(met.alias("actual_rows")).drop("digest")
+        # Always 0; a literal would be taken out of the join keys.
+        done = done.withColumn("spread", F.least(F.col("actual_rows"), F.lit(0)).cast("bigint"))
+        join_keys = [*keys, "spread"]
 
     plan_rows = F.col("plan_rows").cast(S.WHOLE)
     pairs_made = (plan_rows * F.col("actual_rows").cast(S.WHOLE)).cast(S.WHOLE)
-    joined = planned.join(done, [*keys, "spread"], "left").select(
+    joined = planned.join(done, join_keys, "left").select(
         "by",
         F.coalesce(pairs_made, plan_rows).alias("planned"),
         F.coalesce(pairs_made, F.lit(0).cast(S.WHOLE)).alias("completed"),

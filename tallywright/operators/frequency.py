@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 from tallywright.functions import semantics as S
 
 # Columns go by these names until the end: a key may be called like a result.
-_KEY, _SLOT, _COUNT, _TOTAL, _SHARE = "_key", "_slot", "_count", "_total", "_share"
+_KEY, _SLOT, _COUNT, _TOTAL, _SHARE, _BUCKET = "_key", "_slot", "_count", "_total", "_share", "_bucket"
+
+# Buckets of a pruning round, which are a table of so many rows, and how many of
+# the fullest ones are looked into for a bound.
+PRUNING_BUCKETS = 1 << 16
+LOOKED_INTO = 4
 
 
 def category_frequency(
@@ -100,6 +105,55 @@ def top_groups(df: DataFrame, by: str, count_col: str, k: int, *, count_as: str
     return top.select(F.col(_KEY).alias(by), F.col(_COUNT).alias(count_as))
 
 
+def top_groups_pruned(
+    df: DataFrame,
+    by: str,
+    count_col: str,
+    k: int,
+    *,
+    rounds: int = 2,
+    buckets: int = PRUNING_BUCKETS,
+    count_as: str = "count",
+) -> DataFrame:
+    """What `top_groups` gives, without shuffling groups that cannot be among the first `k`.
+
+    For tables with very many groups of which a few are large. In each round
+    the groups are dealt into `buckets` by a hash of their own, and rows are
+    counted per bucket: no group is larger than its bucket. The groups of the
+    fullest buckets are counted exactly, and the `k`-th of them bounds the `k`-th
+    of all from below; rows of emptier buckets than that go no further. What is
+    left is counted exactly, so the result is that of `top_groups` on any data; a
+    round costs two scans, which flat data do not repay.
+
+    A task sends at most one row per bucket. The counts per bucket are broadcast:
+    `buckets` rows at most, which is all that is ever sent to every task.
+    """
+    S.distinct_names([by, count_as])
+    left = df.select(F.col(by).alias(_KEY), F.col(count_col).alias(_COUNT))
+    for seed in range(rounds):
+        left = _reachable(left, k, seed, buckets)
+    counts = left.groupBy(_KEY).agg(F.count(_COUNT).alias(_COUNT))
+    top = _most_frequent_first(counts, [_KEY]).limit(k)
+    return top.select(F.col(_KEY).alias(by), F.col(_COUNT).alias(count_as))
+
+
+def _reachable(rows: DataFrame, k: int, seed: int, buckets: int) -> DataFrame:
+    """The rows whose bucket is at least as full as the `k`-th group known so far is large."""
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(_KEY)), F.lit(buckets)).cast("int").alias(_BUCKET)
+    totals = rows.groupBy(bucket).agg(F.count(_COUNT).alias(_TOTAL))
+    fullest = totals.orderBy(F.desc(_TOTAL), _BUCKET).limit(max(k, 1) * LOOKED_INTO)
+    known = _in_buckets(rows, bucket, fullest).groupBy(_KEY).agg(F.count(_COUNT).alias(_COUNT))
+    best = known.orderBy(F.desc(_COUNT)).limit(k)
+    # With fewer than k groups known nothing is bounded.
+    bound = best.agg(F.when(F.count("*") == k, F.min(_COUNT)).otherwise(F.lit(0))).scalar()
+    return _in_buckets(rows, bucket, totals.where(F.col(_TOTAL) >= bound))
+
+
+def _in_buckets(rows: DataFrame, bucket: Column, chosen: DataFrame) -> DataFrame:
+    dealt = rows.withColumn("_own", bucket)
+    return dealt.join(F.broadcast(chosen.select(_BUCKET)), dealt["_own"] == chosen[_BUCKET], "left_semi").drop("_own")
+
+
 def _kept(df: DataFrame, predicate: Column | None) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 

@@ -7,6 +7,17 @@ from tallywright.sources.tables import (
     read_table,
     read_vacancies,
     vacancies_schema,
+    write_bucketed,
 )
 
-__all__ = ["BONUSES", "DONATIONS", "PLAN", "USERS", "read_files", "read_table", "read_vacancies", "vacancies_schema"]
+__all__ = [
+    "BONUSES",
+    "DONATIONS",
+    "PLAN",
+    "USERS",
+    "read_files",
+    "read_table",
+    "read_vacancies",
+    "vacancies_schema",
+    "write_bucketed",
+]

@@ -7,7 +7,7 @@ dates in the types that the rounding and day rules need.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -98,3 +98,25 @@ def _skill_columns(names: Iterable[str]) -> list[str]:
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table by its (schema-qualified) name."""
     return spark.table(name)
+
+
+def write_bucketed(df: DataFrame, name: str, by: str | Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Writes a catalog table in `buckets` by the hash of its key, sorted by it, and reads it.
+
+    Two tables bucketed alike by the columns they are joined or grouped on need
+    no shuffle for that: the rows of a key already lie in one file. The number
+    of buckets must be the same on both sides, and suit the larger one; a bucket
+    is read by one task, so aim at some 200 MB each. Rows are dealt to the writers
+    by the same hash first, so that every bucket is one file.
+
+    With `path` the files lie there, and dropping the table leaves them; otherwise
+    they lie in the warehouse. An existing table of the name is an error.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    if buckets < 1 or not keys:
+        raise ValueError("at least one bucket and one key are needed")
+    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return read_table(df.sparkSession, name)

@@ -8,6 +8,7 @@ rounds in whole hundredths.
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from tallywright import operators as op
 from tallywright.functions import contains_any, date_bucket
-from tallywright.sources import read_files
+from tallywright.sources import read_files, write_bucketed
 
 AS_OF = "2024-12-03"
 MONEY = "decimal(18,2)"
@@ -400,6 +401,66 @@ def plan_fulfilment_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(op.plan_fulfilment(plan, actual, ["supplier"], "order_group"))
 
 
+# -- reduced, bucketed and pruned forms ---------------------------------------
+
+
+def _few_planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One order in a hundred is planned; every line is a fact."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_returnflag")
+    return lines.where(F.col("id") % 100 == 0), lines.select("id")
+
+
+def plan_fulfilment_few_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that meet no plan are filtered out before they are shuffled."""
+    plan, actual = _few_planned(spark, sf_dir)
+    keys = op.key_count(plan, ["id"])
+    return plain(op.plan_fulfilment(plan, actual, ["id"], "l_returnflag", planned_keys=keys))
+
+
+def bucketed(df: DataFrame, by: str, buckets: int = 8) -> DataFrame:
+    """A copy in the catalog, in buckets by a key."""
+    return write_bucketed(df, f"tallywright_{uuid.uuid4().hex}", by, buckets)
+
+
+def treatment_comparison_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides lie in buckets by the key: neither is shuffled."""
+    customers, orders = _customers_and_orders(spark, sf_dir)
+    return plain(
+        op.treatment_comparison(
+            bucketed(customers, "c_custkey"),
+            bucketed(orders, "o_custkey"),
+            ("c_custkey", "o_custkey"),
+            "large",
+            "c_acctbal",
+            count_as="num",
+        )
+    )
+
+
+def plan_fulfilment_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for plan and fact; a NULL key lies in a bucket like any other."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_suppkey")).alias("supplier"),
+        "l_linestatus",
+        "l_linenumber",
+    )
+    plan = bucketed(lines.where(F.col("l_linestatus") == "O").select("supplier", "l_linenumber"), "supplier")
+    actual = bucketed(lines.where(F.col("l_linestatus") == "F").select("supplier"), "supplier")
+    return plain(op.plan_fulfilment(plan, actual, ["supplier"], "l_linenumber", co_located=True))
+
+
+def top_groups_pruned_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows in ten groups, the others in many small ones."""
+    key = F.when(F.col("l_partkey") % 3 == 0, F.lit(-1) - F.col("l_linenumber")).otherwise(F.col("l_orderkey"))
+    keyed = table(spark, sf_dir, "lineitem").select(key.alias("k"), "l_partkey")
+    return op.top_groups_pruned(keyed, "k", "l_partkey", 5, count_as="num")
+
+
+def top_groups_pruned_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing can be pruned, and many groups tie."""
+    return op.top_groups_pruned(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 5, buckets=64, count_as="num")
+
+
 # -- keys that are called like results ---------------------------------------
 
 
@@ -463,6 +524,11 @@ QUERIES = {
         plan_fulfilment_rare_keys,
         plan_fulfilment_lines,
         plan_fulfilment_hot_key,
+        plan_fulfilment_few_planned,
+        treatment_comparison_bucketed,
+        plan_fulfilment_bucketed,
+        top_groups_pruned_skewed,
+        top_groups_pruned_flat,
         top_groups_key_called_count,
         category_share_key_called_percent,
         plan_fulfilment_group_called_rate,
@@ -601,6 +667,37 @@ ORACLE = {
     "top_groups": """
         SELECT c_nationkey, COUNT(c_custkey) AS num FROM customer GROUP BY c_nationkey
         ORDER BY num DESC, c_nationkey LIMIT 5""",
+    "plan_fulfilment_few_planned": _sql_fulfilment(
+        "SELECT l_orderkey AS id, l_returnflag FROM lineitem WHERE l_orderkey % 100 = 0",
+        "SELECT l_orderkey AS id FROM lineitem",
+        ("id",),
+        "l_returnflag",
+    ),
+    "treatment_comparison_bucketed": _sql_treatment(
+        _CUSTOMERS, _LARGE_ORDERS, "c_custkey", "o_custkey", "large", "c_acctbal"
+    ),
+    "plan_fulfilment_bucketed": """
+        WITH lines AS (
+            SELECT CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_suppkey END AS supplier, l_linestatus, l_linenumber
+            FROM lineitem
+        ), plan AS (
+            SELECT supplier, l_linenumber, COUNT(*) AS n FROM lines WHERE l_linestatus = 'O' GROUP BY ALL
+        ), actual AS (
+            SELECT supplier, COUNT(*) AS met FROM lines WHERE l_linestatus = 'F' GROUP BY ALL
+        ), counts AS (
+            SELECT l_linenumber, CAST(SUM(n * coalesce(met, 1)) AS BIGINT) AS planned,
+                   CAST(SUM(n * coalesce(met, 0)) AS BIGINT) AS completed
+            FROM plan LEFT JOIN actual USING (supplier) GROUP BY l_linenumber
+        )
+        SELECT l_linenumber, planned, completed, """
+    + sql_percent("completed", "planned")
+    + """ AS completion_rate FROM counts""",
+    "top_groups_pruned_skewed": """
+        SELECT CASE WHEN l_partkey % 3 = 0 THEN -1 - l_linenumber ELSE l_orderkey END AS k, COUNT(l_partkey) AS num
+        FROM lineitem GROUP BY 1 ORDER BY num DESC, k LIMIT 5""",
+    "top_groups_pruned_flat": """
+        SELECT l_orderkey, COUNT(l_partkey) AS num FROM lineitem GROUP BY l_orderkey
+        ORDER BY num DESC, l_orderkey LIMIT 5""",
     "top_groups_many_keys": """
         SELECT l_orderkey, COUNT(l_partkey) AS num FROM lineitem GROUP BY l_orderkey
         ORDER BY num DESC, l_orderkey LIMIT 5""",

@@ -1,0 +1,142 @@
+"""Forms of the operators for large data: reduced joins, bucketed tables, pruned groups."""
+
+from __future__ import annotations
+
+import re
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywright import operators as op
+from tallywright.operators import frequency, reduction
+from tallywright.sources import write_bucketed
+from tests.conftest import rows
+from tests.test_plans import explain, plan_of
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+# -- reduction by the keys of the other side -----------------------------------
+
+
+def test_nothing_that_meets_a_key_is_lost_and_little_else_passes(spark):
+    facts = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.col("id").cast("string").alias("v"))
+    keys = spark.range(500).select((F.col("id") * 100).cast("int").alias("p"))
+    kept = op.reduce_to_keys(facts, keys, [("k", "p")], op.key_count(keys, ["p"]))
+    assert kept.columns == facts.columns
+    matching = facts.where(F.col("k") % 100 == 0)
+    assert kept.intersectAll(matching).count() == matching.count() == 2000
+    assert kept.count() < 2000 + 0.02 * 200_000
+
+
+@pytest.mark.parametrize("expected", [1, 3000, 10**7])
+def test_any_size_of_filter_is_right(spark, expected):
+    """Too small, fitting and far too many keys to broadcast a filter for."""
+    facts = spark.range(9000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("k"), (F.col("id") % 5).alias("by"))
+    plan = facts.where("k % 3 = 0 or k is null")
+    plain = op.plan_fulfilment(plan, facts, ["k"], "by")
+    reduced = op.plan_fulfilment(plan, facts, ["k"], "by", planned_keys=expected)
+    assert ("Broadcast" in explain(reduced)) == (reduction.blocks_for(expected) is not None)
+    assert sorted(rows(plain)) == sorted(rows(reduced))
+
+
+def test_keys_of_several_columns_and_types(spark):
+    """Hashes are taken in the type the join compares in; NULL meets nothing."""
+    left = spark.createDataFrame(
+        [(1, "a", 1.0), (2, "b", -0.0), (3, None, 2.0), (None, "d", 3.0), (4, "e", float("nan"))], "i bigint, s string, d double"
+    )
+    right = spark.createDataFrame([(1, "a", 1.0), (2, "b", 0.0), (3, None, 2.0), (4, "e", float("nan"))], "j int, t string, f float")
+    on = [("i", "j"), ("s", "t"), ("d", "f")]
+    kept = op.reduce_to_keys(left, right, on, 4)
+    assert sorted(row["i"] for row in kept.collect()) == [1, 2, 4]
+
+
+def test_facts_are_filtered_before_their_shuffle(spark):
+    """Below the facts' exchange lies the join with the filter, which is the only thing broadcast."""
+    plan = plan_of(spark, "plan_fulfilment_few_planned")
+    facts = plan[plan.index("SortMergeJoin") :]
+    assert plan.count("BroadcastHashJoin") == plan.count("BroadcastExchange") == 1
+    assert re.search(r"Exchange hashpartitioning\(key_0[^\n]*\n(?:[^\n]*HashAggregate[^\n]*\n|[^\n]*Project[^\n]*\n)+[^\n]*BroadcastHashJoin", facts)
+
+
+def test_names_like_the_filters_own(spark):
+    frame = spark.range(10).select("id", F.col("id").alias("_own"), F.lit(1).alias("_word"))
+    assert op.reduce_to_keys(frame, spark.range(3), ["id"], 3).where("id < 3").count() == 3
+
+
+# -- bucketed tables -----------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("bucketed", "plain"),
+    [("treatment_comparison_bucketed", "treatment_comparison_fanout"), ("plan_fulfilment_bucketed", None)],
+)
+def test_no_exchange_below_the_join(spark, conf, bucketed, plain):
+    plan = plan_of(spark, bucketed)
+    at = plan.index("SortMergeJoin")
+    assert "Exchange" not in plan[at:]
+    assert plan[at:].count("Bucketed: true") == 2
+    if plain is not None:
+        assert "Exchange" in plan_of(spark, plain)[at:]
+
+
+def test_bucketed_fulfilment_is_the_plain_one(spark):
+    plan = spark.range(3000).select(F.when(F.col("id") % 11 > 0, F.col("id") % 90).alias("k"), (F.col("id") % 4).alias("by"))
+    actual = spark.range(500).select((F.col("id") % 70).alias("k"))
+    name = f"t{uuid.uuid4().hex}"
+    own = [write_bucketed(df, f"{name}_{i}", "k", 5) for i, df in enumerate((plan, actual))]
+    for dedup in (False, True):
+        there = op.plan_fulfilment(*own, ["k"], "by", co_located=True, dedup_right=dedup)
+        assert sorted(rows(there)) == sorted(rows(op.plan_fulfilment(plan, actual, ["k"], "by", dedup_right=dedup)))
+
+
+def test_buckets_are_one_file_each_and_checked(spark, tmp_path):
+    name = f"t{uuid.uuid4().hex}"
+    path = tmp_path / "own"
+    written = write_bucketed(spark.range(1000).repartition(7), name, "id", 4, str(path))
+    assert written.count() == 1000
+    assert len(list(path.glob("*.parquet"))) == 4
+    with pytest.raises(ValueError, match="bucket"):
+        write_bucketed(spark.range(3), name + "x", "id", 0)
+    with pytest.raises(Exception, match="already exists"):
+        write_bucketed(spark.range(3), name, "id", 4)
+
+
+# -- pruned top groups ---------------------------------------------------------
+
+
+def skewed(spark, n=100_000):
+    """A few large groups among very many of one row."""
+    key = F.when(F.col("id") % 3 == 0, F.col("id") % 8).otherwise(F.col("id") + 1000)
+    return spark.range(n).select(key.alias("k"), F.col("id").alias("v"))
+
+
+@pytest.mark.parametrize("buckets", [16, 1024])
+@pytest.mark.parametrize("k", [1, 3, 9, 100])
+def test_pruned_is_the_plain_top(spark, k, buckets):
+    frame = skewed(spark, 20_000)
+    assert rows(op.top_groups_pruned(frame, "k", "v", k, buckets=buckets)) == rows(op.top_groups(frame, "k", "v", k))
+
+
+def test_little_is_left_to_shuffle_on_skewed_data(spark):
+    frame = skewed(spark).select(F.col("k").alias("_key"), F.col("v").alias("_count"))
+    left = frame
+    for seed in range(2):
+        left = frequency._reachable(left, 5, seed, 4096)
+    groups, kept = frame.select("_key").distinct().count(), left.select("_key").distinct().count()
+    assert groups > 60_000 and kept < 100
+
+
+def test_flat_ties_nulls_and_few_groups(spark):
+    flat = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    assert rows(op.top_groups_pruned(flat, "k", "v", 4)) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    odd = spark.createDataFrame([(None, 1)] * 5 + [("", 1)] * 4 + [("x", None)] * 9 + [("y", 1)], "k string, v int")
+    for k in (1, 2, 4, 9):
+        assert rows(op.top_groups_pruned(odd, "k", "v", k)) == rows(op.top_groups(odd, "k", "v", k))
+    assert rows(op.top_groups_pruned(odd.limit(0), "k", "v", 3)) == []
+
+
+def test_pruned_keys_called_like_its_own(spark):
+    frame = spark.range(30).select((F.col("id") % 4).alias("_bucket"), F.col("id").alias("_own"))
+    assert rows(op.top_groups_pruned(frame, "_bucket", "_own", 2, count_as="_count")) == [(0, 8), (1, 8)]
