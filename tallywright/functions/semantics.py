@@ -190,6 +190,23 @@ def within_days(col: ColumnOrName, first: DateLike, last: DateLike) -> Column:
     return (as_column(col) >= day_literal(first)) & (as_column(col) < day_after)
 
 
+def within_months(year_col: ColumnOrName, month_col: ColumnOrName, first: DateLike, last: DateLike) -> Column:
+    """True for the years and months that hold any day from `first` to `last`.
+
+    Uses the two columns alone, so on columns that a table's folders are laid out
+    by it decides which folders are read.
+    """
+
+    def month_number(day: DateLike) -> int:
+        if isinstance(day, dt.datetime):
+            raise TypeError("a day is expected, not a timestamp")
+        own = day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
+        return own.year * 12 + own.month
+
+    number = as_column(year_col).cast("int") * 12 + as_column(month_col).cast("int")
+    return number.between(month_number(first), month_number(last))
+
+
 # -- text and cases ---------------------------------------------------------
 
 

@@ -1,4 +1,12 @@
-from tallywright.operators.cohort import monthly_volume, repeat_cohorts
+from tallywright.operators.cohort import (
+    ACTIVITY,
+    add_events,
+    cohorts,
+    merged_activity,
+    monthly_volume,
+    repeat_cohorts,
+    user_activity,
+)
 from tallywright.operators.compare import first_match_segment, plan_fulfilment, treatment_comparison
 from tallywright.operators.frequency import (
     category_frequency,
@@ -12,11 +20,15 @@ from tallywright.operators.reduction import key_count, reduce_to_keys
 from tallywright.operators.summary import numeric_summary, segment_profile, top_rows
 
 __all__ = [
+    "ACTIVITY",
+    "add_events",
     "category_frequency",
     "category_share",
+    "cohorts",
     "first_match_segment",
     "key_count",
     "keyword_count",
+    "merged_activity",
     "monthly_volume",
     "numeric_summary",
     "plan_fulfilment",
@@ -28,4 +40,5 @@ __all__ = [
     "top_groups_pruned",
     "top_rows",
     "treatment_comparison",
+    "user_activity",
 ]

@@ -9,12 +9,15 @@ from tallywright.sources.tables import (
     vacancies_schema,
     write_bucketed,
 )
+from tallywright.sources.versions import VersionedTable, new_folder
 
 __all__ = [
     "BONUSES",
     "DONATIONS",
     "PLAN",
     "USERS",
+    "VersionedTable",
+    "new_folder",
     "read_files",
     "read_table",
     "read_vacancies",

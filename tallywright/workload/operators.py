@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright import operators as op
+from tallywright import streaming
 from tallywright.functions import contains_any, date_bucket
-from tallywright.sources import read_files, write_bucketed
+from tallywright.sources import VersionedTable, new_folder, read_files, write_bucketed
 
 AS_OF = "2024-12-03"
 MONEY = "decimal(18,2)"
@@ -461,6 +462,61 @@ def top_groups_pruned_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_groups_pruned(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 5, buckets=64, count_as="num")
 
 
+# -- kept up to date: streams, increments, folders by month --------------------
+
+
+def _arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _saved(spark: SparkSession, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream has counted once it has seen all files there are."""
+    path = new_folder(spark, "stream")
+    streaming.save_updates(counts, f"{path}/counts", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return streaming.latest(spark, f"{path}/counts", keys, "num")
+
+
+def stream_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _arriving(spark, sf_dir, "events")
+    return _saved(spark, streaming.frequency(events, "event_type", count_as="num"), ["event_type"])
+
+
+def stream_monthly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days counted as they come; months from the days."""
+    events = _arriving(spark, sf_dir, "events")
+    days = _saved(spark, streaming.daily_volume(events, "ts", "event_id", count_as="num"), ["day"])
+    return streaming.volume_of_days(days, "2024-01-05", "2024-01-20", count="num", count_as="num")
+
+
+def repeat_cohorts_by_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activity per customer, merged year by year."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    state = VersionedTable(spark, new_folder(spark, "activity"), op.ACTIVITY)
+    first, last = orders.agg(F.year(F.min("o_orderdate")), F.year(F.max("o_orderdate"))).first()
+    for year in range(first, last + 1):
+        op.add_events(state, str(year), orders.where(F.year("o_orderdate") == year), "o_custkey", "o_orderdate")
+    return op.cohorts(state.read(), AS_OF)
+
+
+def monthly_volume_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy in folders by year and month, of which only those of the range are read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    path = new_folder(spark, "orders_by_month")
+    dated = orders.withColumns({"year": F.year("o_orderdate"), "month_of_year": F.month("o_orderdate")})
+    dated.repartition("year", "month_of_year").write.partitionBy("year", "month_of_year").parquet(path)
+    return op.monthly_volume(
+        read_files(spark, path),
+        "o_orderdate",
+        "o_orderkey",
+        "1996-02-10",
+        "1997-03-31",
+        partitioned_by=("year", "month_of_year"),
+        count_as="num",
+    )
+
+
 # -- keys that are called like results ---------------------------------------
 
 
@@ -529,6 +585,10 @@ QUERIES = {
         plan_fulfilment_bucketed,
         top_groups_pruned_skewed,
         top_groups_pruned_flat,
+        stream_frequency,
+        stream_monthly_volume,
+        repeat_cohorts_by_increments,
+        monthly_volume_partitioned,
         top_groups_key_called_count,
         category_share_key_called_percent,
         plan_fulfilment_group_called_rate,
@@ -698,6 +758,13 @@ ORACLE = {
     "top_groups_pruned_flat": """
         SELECT l_orderkey, COUNT(l_partkey) AS num FROM lineitem GROUP BY l_orderkey
         ORDER BY num DESC, l_orderkey LIMIT 5""",
+    "stream_frequency": "SELECT event_type, COUNT(*) AS num FROM events GROUP BY event_type",
+    "stream_monthly_volume": """
+        SELECT CAST(date_trunc('month', ts) AS DATE) AS month, COUNT(event_id) AS num FROM events
+        WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1 ORDER BY 1""",
+    "monthly_volume_partitioned": """
+        SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(o_orderkey) AS num FROM orders
+        WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-10' AND DATE '1997-03-31' GROUP BY 1 ORDER BY 1""",
     "top_groups_many_keys": """
         SELECT l_orderkey, COUNT(l_partkey) AS num FROM lineitem GROUP BY l_orderkey
         ORDER BY num DESC, l_orderkey LIMIT 5""",
@@ -811,3 +878,4 @@ ORACLE = {
         SELECT kind AS completion_rate, planned, completed, completion_rate AS rate
         FROM ({_sql_fulfilment(_VIEW_PLAN, _PURCHASES.format(""), ("user_id", "day"), "kind")})""",
 }
+ORACLE["repeat_cohorts_by_increments"] = ORACLE["repeat_cohorts"]
