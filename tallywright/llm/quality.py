@@ -4,19 +4,23 @@ A rule rejects a document by measures of its text. Rules differ in cost and in
 how many documents they reject, so both are estimated on a sample, and the rules
 are put in the order of rejections per cost, each counted among what the rules
 before it leave. A document meets the next rule only if the one before has let
-it pass. The order changes the time, never the verdict.
+it pass, and a measure is worked out when the first rule asks for it; it is then
+handed on, with what it was made of, to the rules after. The order changes the
+time, never the verdict.
+
+Costs are counted, not timed: passes over characters and words, weighted by how
+long a pass takes, so that the same table gives the same order in every run.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import WORD, col, hidden, stored, word_count
+from tallywright.llm.common import WORD, col, hidden
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -33,41 +37,48 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def word_chars(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.regexp_replace(_text(text), BLANKS, "")).cast("bigint")
+def _words(text: Column, measure: Measure) -> Column:
+    return F.filter(F.split(_text(text), BLANKS), lambda word: word != "")
 
 
-def n_symbols(text: Column) -> Column:
-    return F.regexp_count(_text(text), F.lit(SYMBOLS)).cast("bigint")
+def _lines(text: Column, measure: Measure) -> Column:
+    return F.filter(F.split(_text(text), "\n"), lambda line: line.rlike(WORD))
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(_text(text), "\n"), lambda line: line.rlike(WORD))
+def n_words(text: Column, measure: Measure) -> Column:
+    return F.size(measure("words")).cast("bigint")
+
+
+def word_chars(text: Column, measure: Measure) -> Column:
+    """Code points in words."""
+    return F.length(F.array_join(measure("words"), "")).cast("bigint")
 
 
-def n_lines(text: Column) -> Column:
+def n_symbols(text: Column, measure: Measure) -> Column:
+    return F.regexp_count(_text(text), F.lit(SYMBOLS)).cast("bigint")
+
+
+def n_lines(text: Column, measure: Measure) -> Column:
     """Lines with a word."""
-    return F.size(_lines(text)).cast("bigint")
+    return F.size(measure("lines")).cast("bigint")
 
 
-def n_dup_lines(text: Column) -> Column:
+def n_dup_lines(text: Column, measure: Measure) -> Column:
     """Lines with a word that equal an earlier line."""
-    return bound(_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
+    return (F.size(measure("lines")) - F.size(F.array_distinct(measure("lines")))).cast("bigint")
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(text: Column, measure: Measure) -> Column:
     """Words that lie in a window of eight words which the text has twice or more.
 
     Windows are compared by 64-bit hashes of their words' 64-bit hashes. Only
     texts with a repeated window pay for the sort that finds their places.
     """
-    words = F.filter(F.split(_text(text), BLANKS), lambda word: word != "")
-    hashes = F.transform(words, lambda word: F.xxhash64(word))
+    hashes = F.transform(measure("words"), lambda word: F.xxhash64(word))
 
     def windows(hashed: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashed) - (WINDOW - 1))
-        every = F.transform(starts, lambda start: F.xxhash64(F.slice(hashed, start, F.lit(WINDOW))))
+        starts = F.sequence(F.lit(0), F.size(hashed) - WINDOW)
+        every = F.transform(starts, lambda start: F.xxhash64(*[F.get(hashed, start + i) for i in range(WINDOW)]))
         return F.when(F.size(hashed) > WINDOW, bound(every, repeated)).otherwise(F.lit(0))
 
     def repeated(every: Column) -> Column:
@@ -91,26 +102,38 @@ def n_repeat_words(text: Column) -> Column:
     return bound(hashes, windows).cast("bigint")
 
 
-def n_same_words(text: Column) -> Column:
+def n_same_words(text: Column, measure: Measure) -> Column:
     """Words that equal the word before them."""
+    words = measure("words")
+    return F.size(F.filter(words, lambda word, at: F.coalesce(word == F.get(words, at - 1), F.lit(False)))).cast("bigint")
 
-    def count(words: Column) -> Column:
-        return F.size(F.filter(words, lambda word, at: F.coalesce(word == F.get(words, at - 1), F.lit(False))))
 
-    return bound(F.filter(F.split(_text(text), BLANKS), lambda word: word != ""), count).cast("bigint")
+Measure = Callable[[str], Column]
 
 
-MEASURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": word_count,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
-    "n_same_words": n_same_words,
+@dataclass(frozen=True)
+class Made:
+    """How a measure is made of the text and of other measures, and what that costs per character and per word."""
+
+    of: Callable[[Column, Measure], Column]
+    needs: tuple[str, ...]
+    per_char: float
+    per_word: float
+
+
+# Costs in passes over the characters of a text by a regular expression.
+MEASURES: dict[str, Made] = {
+    "words": Made(_words, (), 1.0, 0.5),
+    "lines": Made(_lines, (), 0.5, 0.0),
+    "n_words": Made(n_words, ("words",), 0.0, 0.01),
+    "word_chars": Made(word_chars, ("words",), 0.1, 0.2),
+    "n_symbols": Made(n_symbols, (), 1.0, 0.0),
+    "n_lines": Made(n_lines, ("lines",), 0.0, 0.01),
+    "n_dup_lines": Made(n_dup_lines, ("lines",), 0.2, 0.0),
+    "n_repeat_words": Made(n_repeat_words, ("words",), 0.2, 8.0),
+    "n_same_words": Made(n_same_words, ("words",), 0.0, 2.0),
 }
-
-Measure = Callable[[str], Column]
+RETURNED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -120,6 +143,17 @@ class Rule:
     name: str
     rejects: Callable[[Measure], Column]
 
+    def asks_for(self) -> list[str]:
+        """The measures it looks at, in order."""
+        asked: list[str] = []
+
+        def noted(name: str) -> Column:
+            asked.append(name)
+            return F.lit(1)
+
+        self.rejects(noted)
+        return list(dict.fromkeys(asked))
+
 
 BASE = (
     Rule("few_words", lambda m: m("n_words") < 20),
@@ -134,53 +168,81 @@ RULES = (
 )
 
 
-def of_text(text: str) -> Measure:
-    """Measures worked out from the text where a rule asks for them."""
-    return lambda name: MEASURES[name](col(text))
+def _missing(names: Sequence[str], known: Sequence[str]) -> list[str]:
+    """What has to be worked out for these measures, each after what it is made of."""
+    out: list[str] = []
+    for name in names:
+        for own in [*_missing(MEASURES[name].needs, [*known, *out]), name]:
+            if own not in known and own not in out:
+                out.append(own)
+    return out
+
+
+def measured(text: Column, names: Sequence[str], known: dict[str, Column], then: Callable[[dict[str, Column]], Column]) -> Column:
+    """`then` of the known measures and `names`; each that is missing is worked out once per row."""
+    missing = _missing(names, list(known))
+    if not missing:
+        return then(known)
+    first = missing[0]
+    value = MEASURES[first].of(text, lambda name: known[name])
+    return bound(value, lambda own: measured(text, names, {**known, first: own}, then))
 
 
 def order_rules(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, as estimated on about `sample_rows` documents."""
+    """The rules by rejections per cost, as estimated on about `sample_rows` documents, picked by a hash of the text.
+
+    A rule costs what it adds to the measures that rules before it have asked for.
+    """
     total = df.count()
     if not total:
         return list(rules)
-    share = min(1.0, 1.2 * sample_rows / total)
-    sample = stored(df.select(col(text).alias("text")).sample(share, seed=7).limit(sample_rows), "rule_sample")
-    measure = of_text("text")
-    tests = {rule.name: F.coalesce(rule.rejects(measure), F.lit(False)) for rule in rules}
-
-    def seconds(test: Column) -> float:
-        start = time.perf_counter()
-        sample.agg(F.count_if(test)).collect()
-        return time.perf_counter() - start
-
-    seconds(F.lit(True))
-    cost = {name: min(seconds(test) for _ in range(2)) for name, test in tests.items()}
+    texts = df.select(col(text).alias("text"))
+    if total > sample_rows:
+        share = int(sample_rows / total * (1 << 40))
+        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share)
+
+    def verdicts(known: dict[str, Column]) -> Column:
+        tests = [F.coalesce(rule.rejects(lambda name: known[name]), F.lit(False)).alias(rule.name) for rule in rules]
+        return F.struct(*tests, known["n_words"].alias(hidden("words")))
+
+    names = [*dict.fromkeys(name for rule in rules for name in rule.asks_for()), "n_words"]
+    judged = texts.select(
+        measured(F.col("text"), names, {}, verdicts).alias("v"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    )
     # How many documents each combination of rules rejects; there are few combinations.
     met = [
-        (row["n"], {name for name in tests if row[name]})
-        for row in sample.select(*[test.alias(name) for name, test in tests.items()])
-        .groupBy(*tests)
-        .agg(F.count("*").alias("n"))
+        (row["n"], row["chars"], row["words"], {rule.name for rule in rules if row[rule.name]})
+        for row in judged.groupBy(*[F.col("v")[rule.name].alias(rule.name) for rule in rules])
+        .agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum(F.col("v")[hidden("words")]).alias("words"))
         .collect()
     ]
-    ordered, left = [], list(rules)
+    ordered, left, known = [], list(rules), []
+
+    def gain(rule: Rule) -> float:
+        made = [MEASURES[name] for name in _missing(rule.asks_for(), known)]
+        cost = sum(m.per_char * chars + m.per_word * words for _, chars, words, _ in met for m in made)
+        return sum(n for n, _, _, by in met if rule.name in by) / (cost + 0.01 * sum(n for n, *_ in met) + 1e-9)
+
     while left:
-        gain = {rule.name: sum(n for n, by in met if rule.name in by) / cost[rule.name] for rule in left}
-        best = max(left, key=lambda rule: gain[rule.name])
+        best = max(left, key=gain)
         ordered.append(best)
         left.remove(best)
-        met = [(n, by) for n, by in met if best.name not in by]
+        known += _missing(best.asks_for(), known)
+        met = [own for own in met if best.name not in own[3]]
     return ordered
 
 
-def rejected_by(ordered: Sequence[Rule], measure: Measure) -> Column:
-    """Name of the first rule that rejects, NULL if none does; later rules are not worked out."""
-    first, *others = [(F.coalesce(rule.rejects(measure), F.lit(False)), F.lit(rule.name)) for rule in ordered]
-    case = F.when(*first)
-    for test, name in others:
-        case = case.when(test, name)
-    return case
+def rejected_by(ordered: Sequence[Rule], text: Column, known: dict[str, Column] | None = None) -> Column:
+    """Name of the first rule that rejects, NULL if none does; later rules and their measures are not worked out."""
+    if not ordered:
+        return F.lit(None).cast("string")
+    rule, *others = ordered
+
+    def judged(now: dict[str, Column]) -> Column:
+        test = F.coalesce(rule.rejects(lambda name: now[name]), F.lit(False))
+        return F.when(test, F.lit(rule.name)).otherwise(rejected_by(others, text, now))
+
+    return measured(text, rule.asks_for(), known or {}, judged)
 
 
 def keep(df: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -190,20 +252,22 @@ def keep(df: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     without rows gives none. Equal rows meet the same verdict.
     """
     ordered = order_rules(df, text, rules)
-    return df.where(rejected_by(ordered, of_text(text)).isNull())
+    return df.where(rejected_by(ordered, col(text)).isNull())
 
 
 def judge(df: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """`df` with the base measures, `base_failed` and `kept`; columns of these names are replaced."""
+    """`df` with the base measures, `base_failed` and `kept`; columns of these names are replaced.
+
+    The measures returned are worked out for every row; those that only rules ask
+    for, where a rule is reached that does.
+    """
     ordered = order_rules(df, text, rules)
-    measured = df.withColumns({hidden(name): measure(col(text)) for name, measure in MEASURES.items()})
-    known: Measure = lambda name: F.col(hidden(name))
-    base_failed = rejected_by(BASE, known).isNotNull()
-    judged = measured.withColumns(
-        {
-            **{name: known(name) for name in MEASURES if name not in ("n_lines", "n_same_words")},
-            "base_failed": base_failed,
-            "kept": ~base_failed & rejected_by(ordered, known).isNull(),
-        }
-    )
-    return judged.drop(*[hidden(name) for name in MEASURES])
+
+    def verdict(known: dict[str, Column]) -> Column:
+        failed = rejected_by(BASE, col(text), known).isNotNull()
+        passed = F.when(failed, F.lit(False)).otherwise(rejected_by(ordered, col(text), known).isNull())
+        return F.struct(*[known[name].alias(name) for name in RETURNED], failed.alias("base_failed"), passed.alias("kept"))
+
+    found = hidden("verdict")
+    judged = df.withColumn(found, measured(col(text), RETURNED, {}, verdict))
+    return judged.withColumns({name: F.col(found)[name] for name in (*RETURNED, "base_failed", "kept")}).drop(found)

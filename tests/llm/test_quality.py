@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallywright.llm import quality, queries
 from tests.llm.helpers import edge_documents, measures, no_documents
 
@@ -38,16 +41,39 @@ def test_query(spark):
 
 def test_order_changes_no_verdict(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    measure = quality.of_text("text")
+    text = F.col("text")
     verdicts = [
-        docs.select(quality.rejected_by(order, measure).isNull().alias("kept")).collect()
+        docs.select(quality.rejected_by(order, text).isNull().alias("kept")).collect()
         for order in (quality.RULES, quality.RULES[::-1])
     ]
     assert verdicts[0] == verdicts[1]
-    kept = docs.where(quality.rejected_by(quality.RULES, measure).isNull())
+    kept = docs.where(quality.rejected_by(quality.RULES, text).isNull())
     assert sorted(quality.keep(docs, "text").collect()) == sorted(kept.collect())
 
 
+def test_later_rules_are_not_worked_out(spark):
+    """A rule that cannot be evaluated hurts only documents that reach it, and so does its measure."""
+    rules = (quality.Rule("few", lambda m: m("n_words") < 5), quality.Rule("never", lambda m: F.raise_error(F.concat(F.lit("reached "), m("n_lines")))))
+    frame = spark.createDataFrame([("a b",), (None,), ("c",)], "text string")
+    assert [r[0] for r in frame.select(quality.rejected_by(rules, F.col("text"))).collect()] == ["few"] * 3
+    with pytest.raises(Exception, match="reached 2"):
+        spark.createDataFrame([("a b c\nd e f",)], "text string").select(quality.rejected_by(rules, F.col("text"))).collect()
+
+
+def test_every_measure_is_written_once(spark, capsys):
+    """The chain splits a text into words and lines once each, however many rules ask for them."""
+    frame = spark.createDataFrame([("a b",)], "text string")
+    frame.select(quality.rejected_by(quality.RULES, F.col("text")).alias("by")).explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1].split("\n\n")[0]
+    assert plan.count("split(") == 2
+
+
+def test_the_order_is_the_same_in_every_run(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    orders = {tuple(r.name for r in quality.order_rules(docs.repartition(n), "text", sample_rows=300)) for n in (1, 3, 8)}
+    assert len(orders) == 1
+
+
 def test_cheap_rules_that_reject_come_first(spark):
     docs = spark.range(3000).selectExpr("IF(id % 2 = 0, 'few', concat_ws(' ', transform(sequence(1, 300), x -> concat('w', x * id)))) AS text")
     ordered = quality.order_rules(docs, "text")
