@@ -4,32 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywright.sources import new_folder
+
 # The words of every operator here: runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is the one the cluster names in `spark.checkpoint.dir`. Where none is
-    named, a folder of this machine is made if all of Spark runs on it, as in
-    tests; elsewhere that is an error, as rows would be lost.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 _shipped: set[str] = set()
 
 
@@ -55,7 +40,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallywright/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -95,3 +80,32 @@ def hidden(name: str) -> str:
 def word_count(text: Column) -> Column:
     """Number of words; NULL counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def numbered_repeats(df: DataFrame, key: Column, number: str) -> DataFrame:
+    """`df` with `number`: 0, 1, … among the rows alike in `key`, 0 for a row that is alone.
+
+    Only rows that have others like them are numbered. They are counted per task
+    of the scan and key, so a key that a large part of the rows share is spread
+    over as many groups as there are tasks; which row gets which number depends
+    on the layout, which numbers there are does not. `df` must give the same rows
+    in the same tasks each time, as scans of files do.
+    """
+    own, part, place = hidden("repeat_key"), hidden("repeat_part"), hidden("repeat_place")
+    keyed = df.withColumn(own, key)
+    counted = stored(keyed.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own), "repeated_keys")
+    if counted.isEmpty():
+        return df.withColumn(number, F.lit(0).cast("bigint"))
+    placed = keyed.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()})
+    many = placed.join(counted, own, "left_semi")
+    in_part = Window.partitionBy(own, part).orderBy(place)
+    before = Window.partitionBy(own).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # A row per key and task of the scan.
+    first = many.groupBy(own, part).agg(F.count("*").alias("n")).select(
+        own, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(hidden("repeat_first"))
+    )
+    local = many.withColumn(number, F.row_number().over(in_part) - 1).join(first, [own, part])
+    many = local.withColumn(number, (F.col(number) + F.col(hidden("repeat_first"))).cast("bigint"))
+    alone = placed.join(counted, own, "left_anti").withColumn(number, F.lit(0).cast("bigint"))
+    names = [*[col(name) for name in df.columns], F.col(number)]
+    return alone.select(*names).unionAll(many.select(*names))

@@ -12,7 +12,7 @@ proportion in that set, and the proportion is its score.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,18 +132,42 @@ class Model:
     log_probability: np.ndarray
 
 
-def fit(df: DataFrame, text: str, lang: str, training_rows: int = TRAINING_ROWS) -> Model:
-    """A model from about `training_rows` rows that have a text and a language, picked by a hash of the text.
+def equal_parts(sizes: Sequence[int], total: int) -> list[float]:
+    """What each takes of `total`: all of the smaller ones, and of the larger ones as much as is equal."""
+    parts, left = [0.0] * len(sizes), float(total)
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for done, at in enumerate(order):
+        parts[at] = min(sizes[at], left / (len(order) - done))
+        left -= parts[at]
+    return parts
 
-    The model has a fixed number of figures per language. Without any such row
-    it knows no language.
+
+def fit(
+    df: DataFrame, text: str, lang: str, training_rows: int = TRAINING_ROWS, key: Sequence[str] = ()
+) -> Model:
+    """A model from about `training_rows` rows that have a text and a language, as many of each language.
+
+    Every language that any row has is learned: each gives an equal part of the
+    rows, and all of them where it has fewer. Rows are picked by a hash of the
+    text and of the columns in `key`, which tell rows with equal texts apart; rows
+    alike in all of that are picked together. The model has a fixed number of
+    figures per language. Without any such row it knows no language.
     """
     ship_package(df.sparkSession)
-    rows = df.select(col(text).alias("text"), col(lang).alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    if total > training_rows:
-        share = int(training_rows / total * (1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("training"), "text"), F.lit(1 << 30)) < share)
+    draw = F.pmod(F.xxhash64(F.lit("training"), col(text), *[col(name) for name in key]), F.lit(1 << 30))
+    rows = df.select(col(text).alias("text"), col(lang).alias("lang"), draw.alias("draw"))
+    rows = rows.where("text is not null and lang is not null")
+    # A row per language: how many rows it has, and the first that would be picked.
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
+    if sum(row["n"] for row in known) > training_rows:
+        limits = [
+            (row["lang"], max(row["first"], min(1 << 30, int(part / row["n"] * (1 << 30)))))
+            for row, part in zip(known, equal_parts([row["n"] for row in known], training_rows))
+        ]
+        limited = df.sparkSession.createDataFrame(limits, "lang string, most bigint")
+        rows = rows.join(F.broadcast(limited), "lang").where("draw <= most").select("text", "lang")
+    else:
+        rows = rows.select("text", "lang")
     schema = "lang string, counts binary"
     counted = rows.mapInArrow(_count, schema).repartition("lang").mapInArrow(_add, schema)
     tables = {row["lang"]: np.frombuffer(row["counts"], np.int64) for row in counted.collect()}  # one per language

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.llm.common import col, hidden, stored
+from tallywright.llm.common import col, hidden, numbered_repeats, stored
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -228,7 +228,8 @@ def mix(
     """`df` with `size`, `source_size`, `target`, `copies` and `taken`.
 
     `size` are the words of a row (NULL: none) and `key` the columns that tell
-    rows apart: rows alike in source, size and key are taken alike. A NULL source
+    rows apart. Rows alike in source and key are numbered, and each number is
+    taken or not by itself, so any number of them meets the target. A NULL source
     is a source of its own, after all others. Copies are between 0 and `cap`, so
     `taken`, copies times size, stays within `cap` times the size. The result
     depends on the rows only. An empty table gives no rows; columns called like
@@ -236,11 +237,14 @@ def mix(
     """
     names = ("size", "source_size", "target", "copies", "taken")
     kept = [name for name in df.columns if name not in names]
-    sized = df.select(
+    repeat, cols = hidden("repeat"), [col(name) for name in key]
+    numbered = numbered_repeats(df, F.xxhash64(col(source), *cols), repeat)
+    told_apart = F.when(F.col(repeat) == 0, F.xxhash64(*cols)).otherwise(F.xxhash64(*cols, F.col(repeat)))
+    sized = numbered.select(
         *[col(name).alias(hidden(f"in_{i}")) for i, name in enumerate(kept)],
         col(source).alias("source"),
         F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64(*[col(name) for name in key]).alias("key"),
+        told_apart.alias("key"),
     )
     narrow = stored(sized.select("source", "size", "key"), "mix_rows")
     sizes = stored(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "mix_sizes")

@@ -70,7 +70,7 @@ def op6_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out")
     )
-    model = langid.fit(documents.where("not held_out and doc_id is not null"), "text", "lang")
+    model = langid.fit(documents.where("not held_out and doc_id is not null"), "text", "lang", key=["doc_id"])
     predicted = langid.predict(documents.select("doc_id", "held_out", "text"), "text", model)
     return predicted.select("doc_id", "held_out", "lang_pred", "score")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.llm.common import col, hidden, new_table_path, stored
+from tallywright.llm.common import col, hidden, new_table_path, numbered_repeats, stored
 
 SLOTS = 4096
 TOLERANCE = 0.0005
@@ -79,7 +79,8 @@ def shard_by_bytes(
     """`df` with `shard` and `slot`, the row's place in its shard, such that shards are near equal in `size`.
 
     `key` are the columns whose hash picks the virtual slot (kept as
-    `virtual_slot`); rows alike in all of them share one. NULLs are hashed like
+    `virtual_slot`); rows alike in all of them are numbered, and their number is
+    hashed as well, so that any number of them is spread. NULLs are hashed like
     any value, and a NULL size weighs nothing. Places count from 0 without gaps
     and follow the key within a slot. An empty table gives no rows. Input
     columns called like the new ones are replaced.
@@ -87,7 +88,11 @@ def shard_by_bytes(
     spark = df.sparkSession
     path = path or new_table_path(spark, "slot_map")
     at, first = hidden("virtual_slot"), hidden("first")
-    slotted = stored(df.withColumn(at, slot_of([col(name) for name in key], slots)), "slotted")
+    # Rows alike are told apart by a number, or they would all lie in one slot.
+    repeat, cols = hidden("repeat"), [col(name) for name in key]
+    numbered = numbered_repeats(df, F.xxhash64(*cols), repeat)
+    slot = F.when(F.col(repeat) == 0, slot_of(cols, slots)).otherwise(slot_of([*cols, F.col(repeat)], slots))
+    slotted = stored(numbered.withColumn(at, slot).drop(repeat), "slotted")
     stats = slotted.groupBy(F.col(at).alias("slot")).agg(
         F.coalesce(F.sum(col(size)), F.lit(0)).alias("bytes"), F.count("*").alias("rows")
     )

@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are not held out. Without any, nothing can be judged, and all stay.
     """
     known = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    model = langid.fit(known, "text", "lang")
+    model = langid.fit(known, "text", "lang", key=["doc_id"])
     if not model.languages:
         return docs
     lang, score = hidden("lang"), hidden("score")

@@ -94,3 +94,18 @@ def test_nothing_to_learn_from(spark):
 def test_training_takes_a_bounded_part(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert langid.fit(docs, "text", "lang", training_rows=300).languages == ("de", "en", "es", "fr")
+
+
+def test_every_language_is_learned(spark):
+    """Most labelled rows are one text; a rare language has a single row."""
+    rows = spark.range(12_000).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id = 5 THEN 'zzz qqq zzq' WHEN id % 3 > 0 THEN 'always the same text' ELSE concat('andere worte ', id) END AS text",
+        "CASE WHEN id = 5 THEN 'rare' WHEN id % 3 > 0 THEN 'xx' ELSE 'yy' END AS lang",
+    )
+    for key in ([], ["doc_id"]):
+        model = langid.fit(rows, "text", "lang", training_rows=600, key=key)
+        assert model.languages == ("rare", "xx", "yy")
+    frame = spark.createDataFrame([("the same text always",), ("andere worte",)], "text string")
+    assert [r["lang_pred"] for r in langid.predict(frame, "text", model).collect()] == ["xx", "yy"]
+    assert langid.equal_parts([10, 500, 3, 900], 100) == [10, 43.5, 3, 43.5]

@@ -68,6 +68,19 @@ def test_one_source_holds_a_third_and_most_are_small(spark):
     check(mixing.mix(rows, "source", F.col("words"), ["doc_id"]).collect(), near=0.001)
 
 
+def test_rows_alike_meet_the_target(spark):
+    """A third of a source's rows are one row, and all of another's; reruns and layouts agree."""
+    rows = spark.range(0, 9000, 1, 5).selectExpr(
+        "IF(id % 3 = 0 OR id % 2 = 0, NULL, id) AS doc_id",
+        "IF(id % 2 = 0, 'alike', 'mixed') AS source",
+        "CAST(IF(id % 3 = 0 OR id % 2 = 0, 10, 5 + id % 9) AS BIGINT) AS words",
+    )
+    mixed = mixing.mix(rows, "source", F.col("words"), ["doc_id"]).collect()
+    check(mixed, near=0.01)
+    again = mixing.mix(rows.coalesce(2), "source", F.col("words"), ["doc_id"]).collect()
+    assert sorted(map(repr, mixed)) == sorted(map(repr, again))
+
+
 def test_odd_and_empty_tables(spark):
     frame = edge_documents(spark, extra=True)
     rows = mixing.mix(frame, "source", word_count(F.col("text")), ["doc_id", "text"]).collect()

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -55,6 +55,19 @@ def test_odd_and_empty_tables(spark):
     assert sharding.shard_by_bytes(empty, ["doc_id"], "bytes", 3).collect() == []
 
 
+def test_rows_alike_are_spread(spark):
+    """A third of the rows are one row, and some more repeat; shards are as equal as without."""
+    alike = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.floor(F.col("id") / 4))
+    docs = spark.range(0, 30_000, 1, 7).select(F.when(F.col("id") % 3 > 0, alike).alias("doc_id"), F.lit(5).cast("bigint").alias("bytes"))
+    rows = sharding.shard_by_bytes(docs, ["doc_id", "bytes"], "bytes", 7).collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(rows) == 30_000 and max(sizes.values()) <= 1.01 * min(sizes.values())
+    slots = defaultdict(list)
+    for row in rows:
+        slots[row["shard"]].append(row["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
 def test_both_versions_of_the_map_are_kept(spark, tmp_path):
     docs = spark.range(1000).withColumn("bytes", F.col("id") * F.col("id"))
     path = str(tmp_path / "map")
