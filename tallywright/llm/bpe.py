@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import col, ship_package
+from tallywright.llm.common import col, kept_in_worker, ship_package
 
 # Memory of a worker beside the vocabulary itself, in bytes as counted below.
 STATE_BYTES = 40 << 20
@@ -302,7 +302,7 @@ class Encoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The same as C integers."""
-        plain = text.isascii() and not SEPARATORS.search(text) or self.odd.isdisjoint(text)
+        plain = text.isascii() and not SEPARATORS.search(text) or self.odd.isdisjoint(set(text))
         find = self.find_plain if plain else self.find
         coded = b"".join(map(self.pieces.__getitem__, find(text)))
         if 2 * self.pieces.held > self.memo_bytes:
@@ -391,15 +391,13 @@ class Decoder:
         return "".join(out)
 
 
-_made: dict[tuple, Encoder | Decoder] = {}
-
-
 def _coder(kind: type, raw: bytes, *more):
     """One coder per Python worker and vocabulary."""
+    made = kept_in_worker("bpe")
     key = (kind, hash(raw), *more)
-    if key not in _made:
-        _made[key] = kind(parse_ranks(raw), *more)
-    return _made[key]
+    if key not in made:
+        made[key] = kind(parse_ranks(raw), *more)
+    return made[key]
 
 
 def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "ids") -> DataFrame:

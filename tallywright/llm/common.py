@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -15,6 +16,22 @@ from tallywright.sources import new_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_kept_by: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task, such as a tokenizer and what it has met.
+
+    Workers are used by one operator after the other; a task of another one has
+    them forget it, so that a worker never holds the memories of two.
+    """
+    for other, kept in _kept_by.items():
+        if other != owner and kept:
+            kept.clear()
+            gc.collect()  # a tokenizer and its memory refer to each other
+    return _kept_by.setdefault(owner, {})
+
+
 _shipped: set[str] = set()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.classes import SEEN_LIMIT, classes_of, digest, groups_of, short
-from tallywright.llm.common import col, ship_package, stored
+from tallywright.llm.common import col, kept_in_worker, ship_package, stored
 from tallywright.llm.links import components
 
 WORDS = 5
@@ -39,7 +39,8 @@ FILTER_BITS = range(16, 29)
 # Rows of at most some 40 bytes: the places of classes are sent to all executors up to this many.
 SENT_ROWS = 200_000
 BLOCK_SHINGLES = 4_000_000
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 200_000
+TEXTS = 256
 SHARED = 8
 FEW = 8
 LEAF = 16
@@ -59,6 +60,7 @@ class Shingler:
     """Sorted distinct shingle hashes of a text; word hashes are remembered up to a limit."""
 
     def __init__(self, words: int = WORDS):
+        kept_in_worker("shingles")  # whatever else the worker has kept may go
         self.words = words
         self.memo = _WordHashes()
 
@@ -90,8 +92,11 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts of a batch, some at a time as Python objects."""
+    column = batch.column("text").cast(pa.large_binary())
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
 
 
 _DOCS = "doc_id bigint, tag binary, n bigint, fp binary, part int, counts binary"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import col, ship_package
+from tallywright.llm.common import col, kept_in_worker, ship_package
 
 UNKNOWN = "und"
 TRAINING_ROWS = 20_000
@@ -32,6 +32,7 @@ GONE = 1e-6
 PENALTY = 6.0
 FLOOR = np.float32(-50)
 CHARS = 400_000
+TEXTS = 1024
 
 
 class _Letters:
@@ -97,8 +98,9 @@ def _join(held: list[str], places: list[int]) -> tuple[str, np.ndarray, np.ndarr
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams per language in this task's training texts."""
+    kept_in_worker("langid")  # whatever else the worker has kept may go
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (part.slice(at, TEXTS) for part in batches for at in range(0, len(part), TEXTS)):
         langs = np.array(batch.column("lang").to_pylist(), object)
         texts = batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
@@ -314,7 +316,12 @@ def predict(df: DataFrame, text: str, model: Model, lang_as: str = "lang_pred",
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def guess(texts: pa.Array) -> pa.Array:
-        languages, scores = _classify(Model(*shipped.value), texts.to_pylist())
+        kept_in_worker("langid")  # whatever else the worker has kept may go
+        languages, scores = [], []
+        for at in range(0, len(texts), TEXTS):
+            found = _classify(Model(*shipped.value), texts.slice(at, TEXTS).to_pylist())
+            languages += found[0]
+            scores += found[1]
         return pa.StructArray.from_arrays(
             [pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"]
         )

@@ -118,10 +118,6 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
-
-
 _SCAN = "doc_id bigint, n bigint, fp binary, bands array<bigint>"
 
 
@@ -131,10 +127,10 @@ def _scan(words: int, size: int, rows: int):
         shingler, seen = Shingler(words), set()
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            texts = _texts(batch)
+            texts = batch.column("text").cast(pa.large_binary())
             for begin in range(0, len(texts), 256):
                 sizes, prints, new, sets = [], [], [], []
-                for at, text in enumerate(texts[begin : begin + 256]):
+                for at, text in enumerate(texts.slice(begin, 256).to_pylist()):
                     found = shingler.shingles(text)
                     sizes.append(len(found))
                     prints.append(digest(found) if len(found) else None)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywright.llm.common import col, ship_package
+from tallywright.llm.common import col, kept_in_worker, ship_package
 
 MAGIC = b"TWPFOR1\0"
 BLOCK = 512
@@ -201,17 +201,15 @@ class WordTokens:
             memo[part] = ids + memo[after] if after else ids
 
 
-_tokens: dict[int, WordTokens] = {}
-
 _SEGMENTS = "part int, seq int, part_start bigint, n_tokens bigint, payload binary"
 
 
 def _writer(definition, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(definition.value)
-        if key not in _tokens:
-            _tokens[key] = WordTokens(definition.value)
-        coder = _tokens[key]
+        key, made = hash(definition.value), kept_in_worker("pfor")
+        if key not in made:
+            made[key] = WordTokens(definition.value)
+        coder = made[key]
         part, seq, written, held = TaskContext.get().partitionId(), 0, 0, 0
         docs, ids, end = [], [], array("I", [end_id]).tobytes()
 
