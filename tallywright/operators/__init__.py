@@ -12,9 +12,11 @@ from tallywright.operators.frequency import (
     category_frequency,
     category_share,
     keyword_count,
+    keyword_count_indexed,
     slot_frequency,
     top_groups,
     top_groups_pruned,
+    with_any_phrase,
 )
 from tallywright.operators.reduction import key_count, reduce_to_keys
 from tallywright.operators.summary import numeric_summary, segment_profile, top_rows
@@ -28,6 +30,7 @@ __all__ = [
     "first_match_segment",
     "key_count",
     "keyword_count",
+    "keyword_count_indexed",
     "merged_activity",
     "monthly_volume",
     "numeric_summary",
@@ -41,4 +44,5 @@ __all__ = [
     "top_rows",
     "treatment_comparison",
     "user_activity",
+    "with_any_phrase",
 ]

@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import semantics as S
+from tallywright.operators.reduction import key_count, reduce_to_keys
 
 # Columns go by these names until the end: a key may be called like a result.
 _KEY, _SLOT, _COUNT, _TOTAL, _SHARE, _BUCKET = "_key", "_slot", "_count", "_total", "_share", "_bucket"
 
+# Characters by which phrases are looked up, and how many shorter ones there may be.
+GRAM = 5
+MOST_SHORT = 100
+_PHRASE, _GRAM, _ROW, _TEXT, _SHORT, _LONG = "_phrase", "_gram", "_row", "_text", "_short", "_long"
+
 # Buckets of a pruning round, which are a table of so many rows, and how many of
 # the fullest ones are looked into for a bound.
 PRUNING_BUCKETS = 1 << 16
@@ -43,6 +49,64 @@ def keyword_count(df: DataFrame, text_col: str, phrases: Iterable[str], *, count
     return df.where(S.contains_any(text_col, phrases)).agg(F.count("*").alias(count_as))
 
 
+def with_any_phrase(df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, gram: int = GRAM) -> DataFrame:
+    """The rows whose text holds at least one of many phrases, letter case included; NULL phrases hold nowhere.
+
+    `contains_any` tests every phrase on every row. Here each phrase is known by
+    its first `gram` characters; a text gives out its own runs of so many
+    characters once each, and only phrases that begin with one of them are looked
+    for. The work grows with the length of the texts and with what begins alike,
+    not with the number of phrases. Shorter phrases are tested on every row, so there
+    should be few; an empty phrase is in every text.
+    """
+    tested, found = _phrase_rows(df, text_col, phrases, phrase_col, gram)
+    kept = tested.join(found.withColumn(_LONG, F.lit(1)), _ROW, "left").where(F.col(_SHORT) | F.col(_LONG).isNotNull())
+    return kept.drop(_ROW, _SHORT, _LONG)
+
+
+def _phrase_rows(
+    df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, gram: int
+) -> tuple[DataFrame, DataFrame]:
+    """`df` with a number per row and whether it holds a short phrase, and the numbers of other rows with a long one.
+
+    Runs of characters that begin no phrase are left out by a filter where they
+    arise, so only candidates are shuffled, if the phrases are too many to be broadcast.
+    """
+    listed = phrases.select(F.col(phrase_col).cast("string").alias(_PHRASE)).where(F.col(_PHRASE).isNotNull()).distinct()
+    long = listed.where(F.length(_PHRASE) >= gram)
+    begins = long.select(_PHRASE, F.get(_grams(F.col(_PHRASE), gram), F.lit(0)).alias(_GRAM))
+    short = [row[0] for row in listed.where(F.length(_PHRASE) < gram).limit(MOST_SHORT + 1).collect()]
+    if len(short) > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} phrases are shorter than {gram} characters; give a smaller gram")
+    at_once = S.contains_any(text_col, short) if short else F.lit(False)
+    tested = df.withColumns({_ROW: F.monotonically_increasing_id(), _SHORT: F.coalesce(at_once, F.lit(False))})
+    texts = tested.where(~F.col(_SHORT)).select(_ROW, F.col(text_col).alias(_TEXT))
+    runs = texts.withColumn(_GRAM, F.explode(F.array_distinct(_grams(F.col(_TEXT), gram))))
+    candidates = reduce_to_keys(runs, begins, [_GRAM], key_count(begins, [_GRAM]))
+    found = candidates.join(begins, _GRAM).where(F.col(_TEXT).contains(F.col(_PHRASE))).select(_ROW).distinct()
+    return tested, found
+
+
+def keyword_count_indexed(
+    df: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str, gram: int = GRAM, *, count_as: str = "count"
+) -> DataFrame:
+    """What `keyword_count` gives, for a table of phrases of any number."""
+    tested, found = _phrase_rows(df.select(text_col), text_col, phrases, phrase_col, gram)
+    both = tested.where(_SHORT).select(_ROW).unionAll(found)
+    return both.agg(F.count("*").alias(count_as))
+
+
+def _grams(text: Column, gram: int) -> Column:
+    """All runs of `gram` characters of a text, in order; none of a shorter one."""
+
+    def runs(characters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(characters) - (gram - 1))
+        found = F.transform(starts, lambda at: F.array_join(F.slice(characters, at, F.lit(gram)), ""))
+        return F.when(F.size(characters) >= gram, found).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.split(text, "")), runs)[0]  # the characters are worked out once
+
+
 def category_share(
     df: DataFrame,
     by: str,

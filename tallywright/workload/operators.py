@@ -139,6 +139,13 @@ def category_share_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(op.category_share(table(spark, sf_dir, "lineitem"), "l_suppkey", scale=4, count_as="num"))
 
 
+def keyword_count_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts in which the first two words of any part of one brand stand together."""
+    part = table(spark, sf_dir, "part")
+    phrases = part.where(F.col("p_brand") == "Brand#11").select(F.substring_index("p_name", " ", 2).alias("phrase"))
+    return op.keyword_count_indexed(part, "p_name", phrases, "phrase", count_as="num")
+
+
 # -- H9: segment profiles ---------------------------------------------------
 
 
@@ -550,6 +557,7 @@ QUERIES = {
         freq_blank_key,
         keyword_count,
         keyword_count_text,
+        keyword_count_indexed,
         category_share,
         category_share_literal,
         category_share_text,
@@ -727,6 +735,12 @@ ORACLE = {
     "top_groups": """
         SELECT c_nationkey, COUNT(c_custkey) AS num FROM customer GROUP BY c_nationkey
         ORDER BY num DESC, c_nationkey LIMIT 5""",
+    "keyword_count_indexed": """
+        WITH phrases AS (
+            SELECT DISTINCT array_to_string(list_slice(string_split(p_name, ' '), 1, 2), ' ') AS phrase
+            FROM part WHERE p_brand = 'Brand#11'
+        )
+        SELECT COUNT(*) AS num FROM part WHERE EXISTS (SELECT 1 FROM phrases WHERE contains(p_name, phrase))""",
     "plan_fulfilment_few_planned": _sql_fulfilment(
         "SELECT l_orderkey AS id, l_returnflag FROM lineitem WHERE l_orderkey % 100 = 0",
         "SELECT l_orderkey AS id FROM lineitem",

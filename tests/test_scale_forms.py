@@ -140,3 +140,24 @@ def test_flat_ties_nulls_and_few_groups(spark):
 def test_pruned_keys_called_like_its_own(spark):
     frame = spark.range(30).select((F.col("id") % 4).alias("_bucket"), F.col("id").alias("_own"))
     assert rows(op.top_groups_pruned(frame, "_bucket", "_own", 2, count_as="_count")) == [(0, 8), (1, 8)]
+
+
+# -- many phrases --------------------------------------------------------------
+
+
+def test_many_phrases_as_one_by_one(spark):
+    """Ten thousand phrases, short ones, odd characters, NULL and empty texts."""
+    words = [f"w{i * 7919 % 10_000:04d}" for i in range(10_000)]
+    texts = [f"{words[i]} {words[i + 1]} and {words[i * 3 % 9_999]}" for i in range(0, 3_000, 3)]
+    texts += [None, "", "abc", "x😀ycdef!", "né à voir", "ab", "Abcdefg"]
+    phrases = [f"{words[i]} {words[i + 1]}" for i in range(0, 9_999, 2)] + ["zzz", "😀ycdef", " à voi", "abcdefg", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    table = spark.createDataFrame([(p,) for p in phrases], "p string")
+    expected = [(i, t) for i, t in enumerate(texts) if t is not None and any(p is not None and p in t for p in phrases)]
+    assert sorted(rows(op.with_any_phrase(frame, "t", table, "p"))) == expected
+    assert rows(op.keyword_count_indexed(frame, "t", table, "p")) == [(len(expected),)]
+    assert 300 < len(expected) < 900
+    nothing = table.limit(0)
+    assert rows(op.keyword_count_indexed(frame, "t", nothing, "p")) == [(0,)]
+    with pytest.raises(ValueError, match="shorter"):
+        op.with_any_phrase(frame, "t", spark.range(200).select(F.col("id").cast("string").alias("p")), "p")
