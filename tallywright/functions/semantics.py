@@ -116,12 +116,23 @@ def percent(part: ColumnOrName, total: ColumnOrName | int | Decimal, scale: int
 
 def unscaled(df: DataFrame, col: ColumnOrName) -> tuple[Column, int]:
     """Aggregate: exact sum in units of the last digit, and how many digits that are."""
+    addend, digits = in_units(df, col)
+    return whole_sum(F.sum(addend), digits), digits
+
+
+def in_units(df: DataFrame, col: ColumnOrName) -> tuple[Column, int]:
+    """What to add up for an exact sum, and how many digits it has after the point."""
     kind = data_type(df, col)
     if isinstance(kind, T.IntegralType):
-        return F.sum(as_column(col).cast("decimal(20,0)")).cast(WHOLE), 0
+        return as_column(col).cast("decimal(20,0)"), 0
     if not isinstance(kind, T.DecimalType):
         raise TypeError(f"an exact mean needs integers or decimals, not {kind.simpleString()}; cast to a decimal first")
-    return (F.sum(as_column(col)) * F.lit(Decimal(10**kind.scale))).cast(WHOLE), kind.scale
+    return as_column(col), kind.scale
+
+
+def whole_sum(total: Column, digits: int) -> Column:
+    """A sum of decimals in units of the last digit."""
+    return total.cast(WHOLE) if not digits else (total * F.lit(Decimal(10**digits))).cast(WHOLE)
 
 
 def mean(df: DataFrame, name: str) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions import semantics as S
+from tallywright.functions.exact import FLAGS, PARTS, exact_aggregate, exact_mean, is_binary, merge_bins, sum_by_bins
 from tallywright.operators.reduction import reduce_to_keys
 
 
@@ -31,6 +32,7 @@ def treatment_comparison(
     labels: tuple[str, str] = ("treated", "untreated"),
     *,
     dedup_right: bool = False,
+    exact: bool = False,
     status_as: str = "status",
     count_as: str = "count",
     mean_as: str | None = None,
@@ -44,6 +46,10 @@ def treatment_comparison(
 
     The join is one row to one row per key and keeps the partitioning of the two
     aggregations, so it adds no shuffle to them.
+
+    With `exact`, the mean of a double is the double nearest to the true mean, whatever
+    the order of the rows; units are then summed per key and bin (`functions.exact`),
+    and a key's bins are shuffled once more for the join.
     """
     unit_key, treatment_key = (on, on) if isinstance(on, str) else on
     positive = F.coalesce(F.col(flag_col) > 0, F.lit(False))
@@ -56,17 +62,22 @@ def treatment_comparison(
     else:
         value_sum, digits, number = F.sum(F.col(outcome).cast("double")), None, "double"
 
-    per_key = units.groupBy(F.col(unit_key).alias("key")).agg(
-        F.count("*").alias("units"),
-        F.count(outcome).alias("outcomes"),
-        value_sum.alias("outcome_sum"),
-    )
     treated = (
         treatment.where(F.col(treatment_key).isNotNull())
         .groupBy(F.col(treatment_key).alias("key"))
         .agg(F.count_if(positive).alias("positive"), F.count_if(~positive).alias("other"))
     )
-    as_treated, as_untreated = _rows_per_unit(dedup_right)
+    weights = _rows_per_unit(dedup_right)
+    if exact and is_binary(units, outcome):
+        names = (status_as, count_as, mean_as or f"avg_{outcome}")
+        return _exact_comparison(units, treated, unit_key, outcome, labels, weights, names)
+
+    per_key = units.groupBy(F.col(unit_key).alias("key")).agg(
+        F.count("*").alias("units"),
+        F.count(outcome).alias("outcomes"),
+        value_sum.alias("outcome_sum"),
+    )
+    as_treated, as_untreated = weights
     weighed = per_key.join(treated, "key", "left").select(
         "units",
         "outcomes",
@@ -100,6 +111,44 @@ def treatment_comparison(
     return sums.select(F.inline(F.array_compact(both)))
 
 
+def _exact_comparison(
+    units: DataFrame,
+    treated: DataFrame,
+    unit_key: str,
+    outcome: str,
+    labels: tuple[str, str],
+    weights: tuple[Column, Column],
+    names: tuple[str, str, str],
+) -> DataFrame:
+    """`treatment_comparison` of a double: bins of units per key, weighed by the joined rows, then merged per status."""
+    bins = sum_by_bins(units, {"key": F.col(unit_key)}, {"total": F.col(outcome)}, {"units": ("count", F.lit(1))})
+    joined = bins.join(treated, F.col("k_key") == F.col("key"), "left")
+    each = [F.struct(F.lit(at).alias("status"), weight.cast(S.WHOLE).alias("w")) for at, weight in enumerate(weights)]
+    weighed = joined.select(
+        F.inline(F.array(*each)),
+        "slot",
+        "bin",
+        F.when(F.col("k_key").isNotNull(), F.col("p_units")).otherwise(F.lit(0)).alias("ids"),
+        "n",
+        *PARTS,
+        *FLAGS,
+    ).where(F.col("w") > 0)
+    per_status = weighed.groupBy(F.col("status").alias("k_status"), "slot", "bin").agg(
+        *[
+            F.sum((F.col(part).cast(S.WHOLE) * F.col("w")).cast(S.WHOLE)).alias(name)
+            for part, name in [("ids", "p_ids"), ("n", "n"), *zip(PARTS, PARTS, strict=True)]
+        ],
+        *[F.max(flag).alias(flag) for flag in FLAGS],
+    )
+    merged = merge_bins(per_status, ["status"], ["total"], {"ids": "count"})
+    status_as, count_as, mean_as = names
+    return merged.select(
+        F.when(F.col("status") == 0, labels[0]).otherwise(labels[1]).alias(status_as),
+        F.col("ids").cast(S.WHOLE).alias(count_as),
+        exact_mean(F.col("total")).alias(mean_as),
+    )
+
+
 def _rows_per_unit(dedup_right: bool) -> tuple[Column, Column]:
     """Joined rows, treated and untreated, that one unit row of a key yields."""
     positive, other = F.coalesce("positive", F.lit(0)), F.coalesce("other", F.lit(1))
@@ -117,15 +166,26 @@ def first_match_segment(
     outcome: str,
     predicate: Column | None = None,
     *,
+    exact: bool = False,
     segment_as: str = "segment",
     count_as: str = "count",
     mean_as: str | None = None,
 ) -> DataFrame:
-    """Size and mean outcome per label, each row taking the first flag that is true."""
+    """Size and mean outcome per label, each row taking the first flag that is true.
+
+    With `exact`, the mean of a double is the double nearest to the true mean, whatever
+    the order of the rows, for a second small aggregation.
+    """
+    mean_name = mean_as or f"avg_{outcome}"
+    S.distinct_names([segment_as, count_as, mean_name])
     kept = df if predicate is None else df.where(predicate)
+    if exact and is_binary(df, outcome):
+        label = S.first_match(flags, default)
+        found = exact_aggregate(kept, {"s": label}, {"t": F.col(outcome)}, {"c": ("count", F.col(id_col))})
+        return found.select(F.col("s").alias(segment_as), F.col("c").alias(count_as), exact_mean(F.col("t")).alias(mean_name))
     return kept.groupBy(S.first_match(flags, default).alias(segment_as)).agg(
         F.count(id_col).alias(count_as),
-        S.mean(df, outcome).alias(mean_as or f"avg_{outcome}"),
+        S.mean(df, outcome).alias(mean_name),
     )
 
 

@@ -1,0 +1,153 @@
+"""Means of doubles: the same bits whatever the order of the rows, and the right ones."""
+
+from __future__ import annotations
+
+import math
+import random
+import struct
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallywright import operators as op
+from tallywright.functions.exact import MOST_BINS, exact_aggregate, exact_mean, sum_by_bins
+
+from .conftest import rows
+
+SMALLEST = 5e-324
+
+
+def nearest(value: Fraction) -> float:
+    return float(value) if value else 0.0
+
+
+def rounded(value: Fraction, scale: int = 2) -> float:
+    """Half away from zero; from 2**96 units on, the mean itself."""
+    units = math.floor(abs(value) * 10**scale + Fraction(1, 2))
+    if units >= 2**96:
+        return nearest(value)
+    return nearest(Fraction(units if value > 0 else -units, 10**scale))
+
+
+def any_double(rnd: random.Random) -> float:
+    while True:
+        value = struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(64)))[0]
+        if math.isfinite(value):
+            return value
+
+
+def samples() -> dict[int, list[float]]:
+    rnd = random.Random(8)
+    makers = (
+        lambda: any_double(rnd),
+        lambda: round(rnd.uniform(-1e6, 1e6), 2),
+        lambda: rnd.randint(-50, 50) * SMALLEST,
+        lambda: math.ldexp(rnd.choice((-1.0, 1.0)), rnd.randint(-1074, 1023)),
+        lambda: rnd.choice((0.125, 0.375, -0.125, 1.005, 2.675, 2.5e15 + 0.5, 0.0, -0.0)),
+    )
+    found = {}
+    for at in range(200):
+        make = makers[at % len(makers)]
+        found[at] = [make() for _ in range(rnd.choice((1, 2, 3, 7, 40)))]
+        if at % 3 == 0:  # all but little cancels out
+            found[at] += [-x for x in found[at]] + [rnd.choice((1e-300, SMALLEST, 1.0, 1e300))]
+    return found
+
+
+def test_nearest_doubles_to_the_true_means(spark):
+    groups = samples()
+    data = [(key, x) for key, values in groups.items() for x in values]
+    random.Random(9).shuffle(data)
+    frame = spark.createDataFrame(data, "k int, x double").repartition(5)
+    totals = exact_aggregate(frame, {"k": F.col("k")}, {"x": F.col("x")}, {"n": ("count", F.col("x"))})
+    got = {row["k"]: tuple(row)[1:] for row in totals.select("k", "n", exact_mean(F.col("x")), exact_mean(F.col("x"), 2)).collect()}
+    for key, values in groups.items():
+        mean = sum(map(Fraction, values)) / len(values)
+        assert got[key] == (len(values), nearest(mean), rounded(mean)), values
+
+
+def test_same_bits_under_any_layout(spark, conf):
+    rnd = random.Random(10)
+    values = [rnd.choice((-1, 1)) * 10.0 ** rnd.uniform(-300, 300) for _ in range(3000)] + [1e300, -1e300, 1e-300]
+    expected = nearest(sum(map(Fraction, values)) / len(values))
+    frame = spark.createDataFrame([(x, 0) for x in values], "x double, k int")
+    for codegen in ("true", "false"):
+        conf(codegen__wholeStage=codegen, ansi__enabled=codegen)
+        for parts, order in ((1, "x"), (7, "rand(1)"), (3, "-x")):
+            laid = frame.orderBy(F.expr(order)).repartition(parts)
+            [(_, _, mean)] = rows(op.first_match_segment(laid, [(F.col("k") > 0, "a")], "b", "k", "x", exact=True))
+            assert mean == expected
+
+
+def test_what_is_not_finite_and_what_is_missing(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "inf": [1.0, inf],
+        "-inf": [-inf, -inf, None],
+        "both": [inf, -inf],
+        "nan": [nan, inf],
+        "none": [None, None],
+        "zero": [0.0, -0.0, None],
+        None: [1.5, 1e308, 1e308, 1e308, 1e308],
+    }
+    frame = spark.createDataFrame([(k, x) for k, values in groups.items() for x in values], "k string, x double")
+    got = {row[0]: row[1:] for row in rows(op.segment_profile(frame, ["k"], ["x"]))}
+    assert got["inf"] == (2, inf) and got["-inf"] == (3, -inf) and got["none"] == (2, None)
+    assert got["zero"] == (3, 0.0) and math.copysign(1, got["zero"][1]) == 1
+    assert math.isnan(got["both"][1]) and math.isnan(got["nan"][1])
+    assert got[None] == (5, nearest((4 * Fraction(1e308) + Fraction(1.5)) / 5))
+
+
+def test_summary_beside_other_numbers(spark):
+    frame = spark.sql("SELECT * FROM VALUES (0.125D, 1, 2.50), (NULL, 2, NULL), (0.125D, 4, 0.05) AS t(x, i, m)")
+    [row] = op.numeric_summary(frame, ["x", "i", "m"]).collect()
+    assert row.asDict() == pytest.approx(
+        {"avg_x": 0.13, "min_x": 0.125, "max_x": 0.125, "avg_i": row["avg_i"], "min_i": 1, "max_i": 4}
+        | {"avg_m": row["avg_m"], "min_m": row["min_m"], "max_m": row["max_m"]}
+    )
+    plain = op.numeric_summary(frame.drop("x"), ["i", "m"]).collect()[0].asDict()
+    assert {name: value for name, value in row.asDict().items() if not name.endswith("_x")} == plain
+    [empty] = rows(op.numeric_summary(frame.limit(0), ["x", "i"]))
+    assert empty == (None,) * 6
+
+
+def test_profile_is_sorted_and_named_like_the_plain_one(spark):
+    frame = spark.range(1000).selectExpr("id % 7 AS k", "CAST(id AS DOUBLE) AS x", "CAST(id AS DECIMAL(10,2)) AS m")
+    plain = op.segment_profile(frame, ["k"], ["m"], F.col("m") > 10)
+    exact = op.segment_profile(frame, ["k"], ["x", "m"], F.col("m") > 10)
+    assert exact.columns == ["k", "count", "avg_x", "avg_m"]
+    assert [(k, n, float(m)) for k, n, m in rows(plain)] == [(k, n, x) for k, n, x, _ in rows(exact)]
+    assert rows(plain) == rows(exact.drop("avg_x"))
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+def test_treatment_of_units_weighed_by_their_rows(spark, dedup):
+    rnd = random.Random(11)
+    units = [(rnd.choice((None, *range(20))), rnd.choice((None, any_double(rnd) / 1e3, 0.1))) for _ in range(600)]
+    treatment = [(rnd.choice((None, *range(5, 25))), rnd.choice((None, 0, 1))) for _ in range(200)]
+    expected = {}
+    for key, x in units:
+        flags = [f is not None and f > 0 for k, f in treatment if k == key and key is not None] or [False]
+        for flag in [any(flags)] if dedup else flags:
+            expected.setdefault("treated" if flag else "untreated", []).append((key, x))
+    frame = spark.createDataFrame(units, "id int, x double").repartition(3)
+    compared = op.treatment_comparison(
+        frame, spark.createDataFrame(treatment, "id int, f int"), "id", "f", "x", dedup_right=dedup, exact=True
+    )
+    got = {status: (count, mean) for status, count, mean in rows(compared)}
+    assert got.keys() == expected.keys()
+    for status, joined in expected.items():
+        values = [Fraction(x) for _, x in joined if x is not None]
+        assert got[status] == (sum(k is not None for k, _ in joined), nearest(sum(values) / len(values)))
+
+
+def test_bins_are_few_and_combined_before_the_shuffle(spark):
+    rnd = random.Random(12)
+    frame = spark.createDataFrame([(any_double(rnd),) for _ in range(5000)], "x double")
+    bins = sum_by_bins(frame, {}, {"x": F.col("x")}, {})
+    assert bins.where("bin IS NOT NULL").count() <= MOST_BINS
+    plan = bins._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    [at] = [at for at, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert "HashAggregate" in lines[at + 1] and "Python" not in plan
