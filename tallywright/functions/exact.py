@@ -27,6 +27,8 @@ MOST_BINS = 67
 # Smaller doubles are multiplied up before they are cut, so that no power of two leaves the range.
 SMALL = 2.0**-500
 LIFTED = 19
+# Bin of the largest doubles.
+HIGHEST = 31
 # Digits a mean is worked out to below the sum's own: three for the divisor, three for 53 bits and what follows.
 BELOW = 6
 # Digits above the highest bin that sums can carry into.
@@ -117,16 +119,20 @@ def _cut(rows: DataFrame) -> DataFrame:
     lifted = size < SMALL
     finite = (size > 0) & (size < float("inf"))
     scaled = F.when(finite, F.when(lifted, size * 2.0 ** (DIGIT * LIFTED)).otherwise(size))
-    cut = rows.withColumn("size", scaled).withColumn("at", F.floor(F.log2("size") / DIGIT).cast("int"))
+    cut = rows.withColumn("size", scaled).withColumn(
+        # Near a power of two the logarithm may be one off, which the three parts allow.
+        "at", F.least(F.floor(F.log2("size") / DIGIT).cast("int"), F.lit(HIGHEST))
+    )
+    powers = F.array(*[F.lit(2.0 ** (DIGIT * at)) for at in range(-HIGHEST, HIGHEST + 1)])
 
-    def whole_of(value: Column, at: Column) -> Column:
-        return F.floor(value * _power(-DIGIT * at))
+    def power(digits: Column) -> Column:
+        return F.get(powers, digits + HIGHEST)
 
     # Products with powers of two are exact, and so are these differences: they drop leading bits.
     for part, before, below in (("high", "size", 0), ("middle", "rest_high", 1), ("low", "rest_middle", 2)):
         at = F.col("at") - below
-        cut = cut.withColumn(part, whole_of(F.col(before), at))
-        cut = cut.withColumn(f"rest_{part}", F.col(before) - F.col(part).cast("double") * _power(DIGIT * at))
+        cut = cut.withColumn(part, F.floor(F.col(before) * power(-at)))
+        cut = cut.withColumn(f"rest_{part}", F.col(before) - F.col(part).cast("double") * power(at))
     signed = {part: (F.col(part) * F.when(F.col("x") < 0, -1).otherwise(1)).cast("decimal(18,0)") for part in PARTS}
     return cut.withColumns({"bin": F.col("at") - F.when(lifted, LIFTED).otherwise(0), **signed})
 

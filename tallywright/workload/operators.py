@@ -56,6 +56,17 @@ def sql_cents(col: str) -> str:
     return f"CAST(ROUND({col} * 100) AS BIGINT)"
 
 
+def _sql_mean_1024(cents: str) -> str:
+    """Mean of hundredths over 1024: both numbers are exact as doubles, so the quotient is rounded once."""
+    return f"CAST(SUM({cents}) AS DOUBLE) / CAST(1024 * COUNT({cents}) AS DOUBLE)"
+
+
+def _sql_round_1024(cents: str) -> str:
+    """The same for non-negative ones, rounded half up to two digits."""
+    whole = f"(200 * SUM({cents}) + 1024 * COUNT({cents})) // (2048 * COUNT({cents}))"
+    return f"CAST({whole} AS DOUBLE) / 100"
+
+
 # -- H1: numeric summary ----------------------------------------------------
 
 
@@ -73,6 +84,34 @@ def numeric_summary_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(op.numeric_summary(priced, ["l_extendedprice", "l_quantity"]))
 
 
+def _binary(col: str) -> Column:
+    """Hundredths over 1024: a double that has a binary fraction, and whose exact sum SQL can state."""
+    return F.round(F.col(col) * 100).cast("bigint").cast("double") / 1024
+
+
+def numeric_summary_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of doubles: exact sums, rounded once."""
+    return op.numeric_summary(table(spark, sf_dir, "orders").select(_binary("o_totalprice").alias("price")), ["price"])
+
+
+def segment_profile_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", _binary("l_extendedprice").alias("price"))
+    return op.segment_profile(lines, ["l_returnflag", "l_linestatus"], ["price"], count_as="num")
+
+
+def first_match_segment_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("price", _binary("l_extendedprice"))
+    flags = [(F.col("l_quantity") >= 40, "bulk"), (F.col("l_returnflag") == "R", "returned")]
+    return op.first_match_segment(lines, flags, "plain", "l_orderkey", "price", exact=True, count_as="num")
+
+
+def treatment_comparison_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer").withColumn("balance", _binary("c_acctbal"))
+    orders = table(spark, sf_dir, "orders").withColumn("large", (F.col("o_totalprice") > 200000).cast("int"))
+    on = ("c_custkey", "o_custkey")
+    return plain(op.treatment_comparison(customer, orders, on, "large", "balance", exact=True, count_as="num"))
+
+
 # -- H2 to H6: category frequencies -----------------------------------------
 
 
@@ -548,6 +587,10 @@ QUERIES = {
     for run in (
         numeric_summary,
         numeric_summary_two,
+        numeric_summary_doubles,
+        segment_profile_doubles,
+        first_match_segment_doubles,
+        treatment_comparison_doubles,
         freq_area,
         freq_employer,
         freq_employment,
@@ -686,6 +729,21 @@ ORACLE = {
                CAST(MIN(quantity) AS DOUBLE) / 100 AS min_l_quantity,
                CAST(MAX(quantity) AS DOUBLE) / 100 AS max_l_quantity
         FROM priced""",
+    "numeric_summary_doubles": f"""
+        SELECT {_sql_round_1024(sql_cents('o_totalprice'))} AS avg_price,
+               MIN({sql_cents('o_totalprice')}) / 1024 AS min_price, MAX({sql_cents('o_totalprice')}) / 1024 AS max_price
+        FROM orders""",
+    "segment_profile_doubles": f"""
+        SELECT l_returnflag, l_linestatus, COUNT(*) AS num, {_sql_round_1024(sql_cents('l_extendedprice'))} AS avg_price
+        FROM lineitem GROUP BY ALL""",
+    "first_match_segment_doubles": f"""
+        SELECT CASE WHEN l_quantity >= 40 THEN 'bulk' WHEN l_returnflag = 'R' THEN 'returned' ELSE 'plain' END AS segment,
+               COUNT(l_orderkey) AS num, {_sql_mean_1024(sql_cents('l_extendedprice'))} AS avg_price
+        FROM lineitem GROUP BY 1""",
+    "treatment_comparison_doubles": f"""
+        SELECT CASE WHEN o_totalprice > 200000 THEN 'treated' ELSE 'untreated' END AS status,
+               COUNT(c_custkey) AS num, {_sql_mean_1024(sql_cents('c_acctbal'))} AS avg_balance
+        FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""",
     "freq_area": _sql_frequency("customer", "c_nationkey"),
     "freq_employer": _sql_frequency("part", "p_brand"),
     "freq_employment": _sql_frequency("customer", "c_mktsegment"),

@@ -50,7 +50,10 @@ def read_columns(plan: str) -> list[str]:
 @pytest.mark.parametrize("name", QUERIES)
 def test_plan_stays_distributed(spark, name):
     plan = plan_of(spark, name)
-    assert not [operator for operator in FORBIDDEN if operator in plan]
+    # Lists of bins, at most 67 per key and measure, made of rows that are summed per bin.
+    bins = ("ObjectHashAggregate", "SortAggregate", "collect_list") if name.endswith("_doubles") else ()
+    assert not [operator for operator in FORBIDDEN if operator in plan and operator not in bins]
+    assert not bins or re.search(r"collect_list.*?Exchange hashpartitioning\([^)]*\bbin#.*?HashAggregate", plan, re.S)
     # The one task of a single-partition shuffle may only merge the partial
     # results of an aggregation without keys: one row per task.
     lines = plan.splitlines()
