@@ -7,7 +7,12 @@ keys of the universe; the second the keys that are not listed but pass the
 first; the third the listed keys that pass the second; and so on until no key
 passes wrongly. For every key of the universe the answer is then exact, with no
 join: a key is listed if the first filter it does not pass is an even one.
-Keys are represented by 64-bit hashes.
+
+Each filter is sized by the keys it holds and by the logarithm of how many others
+there are for each of them, so that about as many pass wrongly as it holds. All
+levels then grow with the lists that are given, and hardly with the corpus. Keys
+are represented by 64-bit hashes, dealt anew if a listed and another key of the
+universe have the same one.
 """
 
 from __future__ import annotations
@@ -22,10 +27,8 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import col, hidden, ship_package, stored
 
-BITS_PER_KEY = 10
-PROBES = 6
-MAX_BITS = 1 << 28
-MAX_LEVELS = 40
+BITS_PER_PROBE = 1.5
+LEAST_PROBES = 6
 
 
 def host_of(url: Column) -> Column:
@@ -57,53 +60,55 @@ class Filter:
     """One level: a bitmap of a power of two of bits."""
 
     level: int
+    probes: int
     bits: bytes
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         bitmap = np.frombuffer(self.bits, np.uint64)
         hit = np.ones(len(hashes), bool)
-        for at in _places(hashes, self.level, len(bitmap) * 64):
+        for at in _places(hashes, self.level, self.probes, len(bitmap) * 64):
             hit &= (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
         return hit
 
 
-def _places(hashes: np.ndarray, level: int, size: int):
-    """The bits of each key: another mix of its hash on every level."""
-    x = hashes.astype(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (level + 1)) % (1 << 64))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    first, step = x ^ (x >> np.uint64(32)), (x >> np.uint64(17)) | np.uint64(1)
-    for probe in range(PROBES):
-        yield (first + np.uint64(probe) * step) & np.uint64(size - 1)
+def _places(hashes: np.ndarray, level: int, probes: int, size: int):
+    """The bits of each key: another mix of its hash on every level and for every probe.
+
+    Two mixes and their multiples would not do: in a small bitmap few pairs of them differ.
+    """
+    for probe in range(probes):
+        seed = np.uint64((0x9E3779B97F4A7C15 * ((level << 8) + probe + 1)) % (1 << 64))
+        x = hashes.astype(np.uint64) ^ seed
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield (x ^ (x >> np.uint64(32))) & np.uint64(size - 1)
 
 
-def _bits(level: int, size: int):
+def _bits(level: int, probes: int, size: int):
     def run(batches):
-        """This task's part of the bitmap, as words that are not zero."""
-        bitmap = np.zeros(size // 64, np.uint64)
+        """The bits of each batch, as words that are not zero."""
         for batch in batches:
+            if not batch.num_rows:
+                continue
             hashes = batch.column("h").to_numpy().view(np.uint64)
-            for at in _places(hashes, level, size):
-                np.bitwise_or.at(bitmap, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        words = np.flatnonzero(bitmap)
-        for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array(bitmap[part].view(np.int64))], names=["word", "bits"]
-            )
+            places = np.concatenate(list(_places(hashes, level, probes, size)))
+            places.sort()
+            words, first = np.unique((places >> np.uint64(6)).astype(np.int64), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     return run
 
 
-def _build(keys: DataFrame, count: int, level: int) -> Filter:
-    size = max(64, 1 << (BITS_PER_KEY * count - 1).bit_length())
-    if size > MAX_BITS:
-        raise OverflowError(f"{count} keys need a filter of {size} bits; the bound is {MAX_BITS}")
-    parts = keys.mapInArrow(_bits(level, size), "word bigint, bits bigint")
+def _build(keys: DataFrame, count: int, others: int, level: int) -> Filter:
+    """A filter of `count` keys that about as many of the `others` pass."""
+    probes = max(LEAST_PROBES, (others // count).bit_length())
+    size = max(64, 1 << int(BITS_PER_PROBE * probes * count).bit_length())
+    parts = keys.mapInArrow(_bits(level, probes, size), "word bigint, bits bigint")
     bitmap = np.zeros(size // 64, np.int64)
     table = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # no more rows than words
     bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-    return Filter(level, bitmap.tobytes())
+    return Filter(level, probes, bitmap.tobytes())
 
 
 def _passing(filter_: Filter):
@@ -117,20 +122,20 @@ def _passing(filter_: Filter):
 def build_cascade(universe: DataFrame) -> list[Filter]:
     """Filters that tell the listed keys of `universe` (`h`, `listed`) from all others in it.
 
-    A filter's size follows from the keys it holds, and is bounded by `MAX_BITS`;
-    more listed keys than that raise an OverflowError.
+    No listed key may have the hash of another. A filter has at most 3 bits for each
+    probe and key; the first holds the listed keys, with as many probes as the number
+    of others per listed key has bits, and later ones hold about as many.
     """
     ship_package(universe.sparkSession)
     held, rest = universe.where("listed").select("h"), universe.where("not listed").select("h")
+    count, others = held.count(), rest.count()
     filters: list[Filter] = []
-    for level in range(MAX_LEVELS):
-        count = held.count()
-        if not count:
-            return filters
-        filters.append(_build(held, count, level))
-        rest = stored(rest.mapInArrow(_passing(filters[-1]), "h bigint"), "cascade_level")
-        held, rest = rest, held
-    raise ValueError("a listed and another key have the same hash")
+    while count:
+        filters.append(_build(held, count, others, len(filters)))
+        passing = stored(rest.mapInArrow(_passing(filters[-1]), "h bigint"), "cascade_level")
+        held, rest = passing, held
+        count, others = passing.count(), count
+    return filters
 
 
 def listed(filters: Sequence[Filter], hashes: np.ndarray) -> np.ndarray:
@@ -163,29 +168,40 @@ def judge(
     lists the block. Without a fitting rule `rule` is NULL and the verdict is
     `otherwise`, as for a URL that is NULL or has no `://`. Repeated rows are
     judged alike, an empty table gives no rows, and columns of `df` called like
-    the new ones are replaced. Where more rules occur in the corpus than a filter
-    of `MAX_BITS` holds, keys are looked up by a join.
+    the new ones are replaced. The lists are held by the driver, and the filters
+    made from them are of their order of size.
     """
-    spark = df.sparkSession
-    rules = {"allow": list(allow), "block": list(block)}
+    rules = {"allow": sorted(set(allow)), "block": sorted(set(block))}
     lengths = [len(rule) - rule.index("/") for some in rules.values() for rule in some]
     keys, hashes = hidden("keys"), hidden("hashes")
-    parsed = (
-        df.withColumns({"host": host_of(col(url)), "path": path_of(col(url))})
-        .withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths))
-        .withColumn(hashes, F.transform(F.col(keys), lambda key: F.xxhash64(key)))
+    parsed = df.withColumns({"host": host_of(col(url)), "path": path_of(col(url))}).withColumn(
+        keys, candidate_keys(F.col("host"), F.col("path"), lengths)
     )
-    universe = stored(parsed.select(F.explode(keys).alias("key")).distinct().select("key", F.xxhash64("key").alias("h")), "url_keys")
+    universe = stored(parsed.select(F.explode(keys).alias("key")).distinct(), "url_keys")
     best = hidden("best")
-    try:
-        known = _by_cascade(parsed, universe, rules, keys, hashes, best)
-    except OverflowError:
-        known = _by_join(parsed, rules, keys, best)
+    seed = _seed(universe, sorted({rule for some in rules.values() for rule in some}))
+    hashed = parsed.withColumn(hashes, F.transform(F.col(keys), lambda key: _hash(key, seed)))
+    known = _by_cascade(hashed, universe.withColumn("h", _hash(F.col("key"), seed)), rules, keys, hashes, best)
     hit = F.col(best)
     verdict = F.when(hit.isNull(), otherwise).when(hit["block"], "block").otherwise("allow")
     return known.withColumns({"rule": hit["key"], "verdict": verdict}).drop(best, keys, hashes)
 
 
+def _hash(key: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), key)
+
+
+def _seed(universe: DataFrame, rules: Sequence[str]) -> int:
+    """The first by which no rule's hash is that of another key of the universe; nearly always 0."""
+    seed = 0
+    while True:
+        own = _table(universe, rules).select("rule", _hash(F.col("rule"), seed).alias("h"))
+        other = universe.join(own, (_hash(F.col("key"), seed) == F.col("h")) & (F.col("key") != F.col("rule")))
+        if other.isEmpty():
+            return seed
+        seed += 1
+
+
 def _table(parsed: DataFrame, some: Sequence[str]) -> DataFrame:
     return parsed.sparkSession.createDataFrame([(rule,) for rule in some], "rule string")
 
@@ -207,15 +223,5 @@ def _by_cascade(
     return parsed.withColumns(found).withColumn(best, F.array_max(ranked)).drop(*found)
 
 
-def _by_join(parsed: DataFrame, rules: dict[str, list[str]], keys: str, best: str) -> DataFrame:
-    """The same where the lists are too long for filters of bounded size."""
-    row = hidden("row")
-    numbered = stored(parsed.withColumn(row, F.monotonically_increasing_id()), "url_rows")
-    listed_ = [_table(parsed, some).distinct().withColumn("block", F.lit(name == "block")) for name, some in rules.items()]
-    hits = numbered.select(row, F.explode(keys).alias("rule")).join(listed_[0].unionAll(listed_[1]), "rule")
-    longest = hits.groupBy(row).agg(F.max(_ranked(F.col("rule"), F.col("block"))).alias(best))
-    return numbered.join(longest, row, "left").drop(row)
-
-
 def _ranked(key: Column, block: Column) -> Column:
     return F.struct(F.length(key).alias("n"), key.alias("key"), block.alias("block"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.llm import queries, urls
 
@@ -69,9 +70,9 @@ def test_no_rule_is_met(spark):
     check(urls.judge(frame, "url", ["org/"], ["com/"]).collect(), given, ["org/"], ["com/"])
 
 
-@pytest.mark.parametrize("bits", [urls.MAX_BITS, 64])
-def test_many_rules_need_several_levels_or_a_join(spark, monkeypatch, bits):
-    monkeypatch.setattr(urls, "MAX_BITS", bits)
+@pytest.mark.parametrize("probes", [urls.LEAST_PROBES, 1])
+def test_many_rules_need_several_levels(spark, monkeypatch, probes):
+    monkeypatch.setattr(urls, "LEAST_PROBES", probes)
     rnd = random.Random(3)
     hosts = [f"h{i}.example.{rnd.choice(['com', 'net'])}" for i in range(3000)]
     given = [(i, f"https://{host}/{rnd.choice('abc')}/{i}") for i, host in enumerate(hosts)]
@@ -81,6 +82,34 @@ def test_many_rules_need_several_levels_or_a_join(spark, monkeypatch, bits):
     check(urls.judge(frame, "url", allow, block).collect(), given, allow, block)
 
 
+def test_keys_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With the first two seeds a listed and another key collide."""
+    real, seeds = urls._hash, []
+
+    def crowded(key, seed):
+        seeds.append(seed)
+        return F.length(key).cast("bigint") if seed < 2 else real(key, seed)
+
+    monkeypatch.setattr(urls, "_hash", crowded)
+    given = [(1, "http://example.org/a/"), (2, "http://example.net/a/"), (3, "http://example.org/b/"), (4, None)]
+    frame = spark.createDataFrame(given, "page_id bigint, url string")
+    allow, block = ["example.org/a/", "example.org/a/"], ["example.net/"]
+    check(urls.judge(frame, "url", allow, block).collect(), given, allow, block)
+    assert max(seeds) == 2
+
+
+@pytest.mark.parametrize("others", [1_000, 300_000])
+def test_filters_grow_with_the_list_not_the_universe(spark, others):
+    listed = 20
+    universe = spark.range(others + listed).selectExpr("xxhash64(id) AS h", f"id < {listed} AS listed")
+    cascade = urls.build_cascade(universe)
+    assert all(len(level.bits) * 8 <= 3 * listed * others.bit_length() for level in cascade[:1])
+    assert sum(len(level.bits) for level in cascade) < 400
+    hashes = np.array([row["h"] for row in universe.select("h").collect()])
+    assert urls.listed(cascade, hashes).sum() == listed
+    assert urls.listed(cascade, hashes[:listed]).all()
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("xxhash64(id) AS h", "id % 7 = 0 AS listed")
     cascade = urls.build_cascade(universe)
