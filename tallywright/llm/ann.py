@@ -34,6 +34,8 @@ MOST_SAMPLED = 4096
 SAMPLED_OF = 16
 # Rounding of the rotation, as a part of the query's squared length: copies of a query are never abandoned.
 ROUNDING = 1e-9
+# Rounding of distances, as a part of them, where a list is left out for its radius.
+BOUND = 1e-9
 SEED = 11
 
 
@@ -60,6 +62,7 @@ class Index:
     centroids: np.ndarray
     rotation: np.ndarray
     sizes: np.ndarray
+    radii: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
     sample_lists: np.ndarray
@@ -125,10 +128,11 @@ def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", trai
     path = new_table_path(spark, "vector_index")
     shipped = spark.sparkContext.broadcast((dims, centroids, rotation))
     blocks = ", ".join(f"b{at} binary" for at in range(0, dims, BLOCK_DIMS))
-    rows.mapInArrow(_assign(shipped), f"list int, vec_id bigint, vector binary, {blocks}").write.parquet(path)
-    sizes = np.zeros(len(centroids), np.int64)
-    for row in spark.read.parquet(path).groupBy("list").count().collect():  # one per list
-        sizes[row["list"]] = row["count"]
+    rows.mapInArrow(_assign(shipped), f"list int, far double, vec_id bigint, vector binary, {blocks}").write.parquet(path)
+    sizes, radii = np.zeros(len(centroids), np.int64), np.zeros(len(centroids))
+    per_list = spark.read.parquet(path).groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    for row in per_list.collect():  # one per list
+        sizes[row["list"]], radii[row["list"]] = row["n"], row["radius"]
     # A small part of the table, with the lists as they were written.
     keep = slice(0, min(MOST_SAMPLED, total // SAMPLED_OF))
     kept = spark.createDataFrame([(at,) for at in sorted(set(ids[order][keep].tolist()))], "vec_id bigint")
@@ -136,7 +140,7 @@ def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", trai
     known = known.sort_by([("vec_id", "ascending"), ("list", "ascending")])
     sample_ids, once = np.unique(known.column("vec_id").to_numpy(), return_index=True)
     sample, sample_lists = _stack(known.column("vector"), dims)[once], known.column("list").to_numpy()[once]
-    return Index(path, dims, centroids, rotation, sizes, sample_ids, sample, sample_lists)
+    return Index(path, dims, centroids, rotation, sizes, radii, sample_ids, sample, sample_lists)
 
 
 def _assign(shipped):
@@ -145,12 +149,14 @@ def _assign(shipped):
         for batch in batches:
             vectors = _matrix(batch.column("vector"), dims)
             rotated = vectors @ rotation
+            nearest = _nearest(vectors, centroids, 1)[:, 0]
             columns = [
-                pa.array(_nearest(vectors, centroids, 1)[:, 0], pa.int32()),
+                pa.array(nearest, pa.int32()),
+                pa.array(np.sqrt(((vectors - centroids[nearest]) ** 2).sum(1)), pa.float64()),
                 batch.column("vec_id"),
                 pa.array([row.tobytes() for row in vectors], pa.binary()),
             ]
-            names = ["list", "vec_id", "vector"]
+            names = ["list", "far", "vec_id", "vector"]
             for at in range(0, dims, BLOCK_DIMS):
                 part = np.ascontiguousarray(rotated[:, at : at + BLOCK_DIMS])
                 columns.append(pa.array([row.tobytes() for row in part], pa.binary()))
@@ -179,7 +185,10 @@ def _probe(shipped, k: int, probed: float):
                     within, known = float(far[first[-1]]), others[first]
                 # At least so many lists, enough for k other vectors, and those of the vectors known.
                 enough = int(np.searchsorted(np.cumsum(index.sizes[near]), k + 1)) + 1
-                probes = near[: max(wanted, enough)].tolist()
+                chosen = near[: max(wanted, enough)]
+                # All of a list is farther than k known vectors if its centroid is by more than its radius.
+                apart = np.sqrt(((index.centroids[chosen] - vector) ** 2).sum(1)) - index.radii[chosen]
+                probes = chosen[apart <= within + BOUND * (within + np.sqrt(vector @ vector))].tolist()
                 probes += sorted(set(index.sample_lists[known].tolist()) - set(probes))
                 out += [(at, query, vector.tobytes(), within, index.sample_ids[known].tolist()) for at in probes]
             yield pa.RecordBatch.from_arrays(
@@ -253,36 +262,51 @@ def nearest_in(ids, vectors, blocks, query_id, query, rotated, within, known, k)
     return ids[alive][order], distances[order]
 
 
+def probed_lists(index: Index, queries: DataFrame, k: int, vec_id: str, vector: str, probed: float = PROBED) -> DataFrame:
+    """A row per usable query and list to scan, with a distance within which k vectors, whose ids follow, lie."""
+    wanted = queries.select(col(vec_id).cast("bigint").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
+    wanted = wanted.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), index.dims))
+    schema = "list int, query_id bigint, query binary, within double, known array<bigint>"
+    return wanted.mapInArrow(_probe(queries.sparkSession.sparkContext.broadcast(index), k, probed), schema)
+
+
 def search(index: Index | None, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", probed: float = PROBED) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` of the k nearest found to every usable query, itself left out.
 
     Ties go to the smaller id. The k nearest of the sample give the first threshold,
     within which k vectors are known to lie; all rows come from the scan. Each query
     scans `probed` of the lists, at least `LEAST_PROBED`, more if these hold fewer
-    than k other vectors, and the lists of the vectors known to lie near. Large lists
-    are scanned in parts, by hash of the vector's id, and so are many queries of
-    one list; every part gives k candidates at most, whose best are the result.
+    than k other vectors, and the lists of the vectors known to lie near. Of these,
+    lists all of whose vectors are farther than k known ones, by the triangle
+    inequality, are left out, which loses nothing: most of them where vectors form
+    clusters. Large lists are scanned in parts, by hash of the vector's id, and so are
+    many queries of one list, for which alone its rows are sent more than once; rows
+    of lists without queries are not sent. Every part gives k candidates at most,
+    whose best are the result.
     """
     spark = queries.sparkSession
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     ship_package(spark)
-    shipped = spark.sparkContext.broadcast(index)
-    wanted = queries.select(col(vec_id).cast("bigint").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
-    wanted = wanted.where(F.col("vec_id").isNotNull() & usable(F.col("vector"), index.dims))
-    schema = "list int, query_id bigint, query binary, within double, known array<bigint>"
-    probes = wanted.mapInArrow(_probe(shipped, k, probed), schema)
-    many = wanted.count() * max(probed, min(1.0, LEAST_PROBED / len(index.centroids)))
-    query_parts = max(1, int(many / QUERY_CHUNK / 4))
+    probes = probed_lists(index, queries, k, vec_id, vector, probed)
+    asked = np.zeros(len(index.centroids), np.int64)
+    for row in probes.groupBy("list").count().collect():  # one per list
+        asked[row["list"]] = row["count"]
+
+    def by_list(numbers: np.ndarray) -> Column:
+        return F.get(F.split(F.lit(",".join(map(str, numbers.tolist()))), ","), F.col("list")).cast("int")
 
-    chunk_table = F.split(F.lit(",".join(map(str, index.chunks.tolist()))), ",")
-    chunks = F.get(chunk_table, F.col("list")).cast("int")
+    chunks, parts = by_list(index.chunks), by_list(-(-asked // (4 * QUERY_CHUNK)))
     candidates = (
         spark.read.parquet(index.path)
+        .drop("far")
         .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+        .withColumn("parts", parts)
+        .where("parts > 0")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .drop("parts")
     )
-    dealt = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).withColumn(
+    dealt = probes.withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), chunks - 1))
     )
     key = ["list", "chunk", "part"]

@@ -92,6 +92,41 @@ def test_all_rows_come_from_the_scan(spark, monkeypatch):
     assert ann.search(index, frame.where("vec_id % 100 = 0")).collect() == []
 
 
+def test_clusters_are_scanned_in_small_part_without_loss(spark):
+    """At most a fifth of the vectors, with the lists left out for their radius alone, and more copies of the hot list."""
+    random = np.random.default_rng(9)
+    centers = 10 * random.standard_normal((60, 24))
+    which = np.where(random.random(20_000) < 0.33, 0, random.integers(0, 60, 20_000))
+    vectors = centers[which] + random.standard_normal((20_000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index, wanted = ann.build(frame), frame.where("vec_id % 100 = 0")
+    probes = ann.probed_lists(index, wanted, 10, "vec_id", "embedding", 1.0).select("list").collect()
+    scanned = sum(int(index.sizes[row["list"]]) for row in probes) / 200 / 20_000
+    assert scanned <= 0.2
+    assert recall(found(ann.search(index, wanted)), brute(rows, range(0, 20_000, 100))) >= 0.9
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lists_left_out_lose_nothing(spark, monkeypatch, parts):
+    """All lists probed and no candidate abandoned by the test: what is found is exact, however queries are split."""
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 1000 if parts == 1 else 2)
+    random = np.random.default_rng(10)
+    rows = [(i, (5.0 * (i % 7) + random.standard_normal(8)).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    index = ann.build(frame)
+    probes = ann.probed_lists(index, frame.where("vec_id % 100 = 0"), 10, "vec_id", "embedding", 1.0)
+    near = {}
+    lists = {r["vec_id"]: r["list"] for r in spark.read.parquet(index.path).select("vec_id", "list").collect()}
+    for row in probes.collect():
+        near.setdefault(row["query_id"], set()).add(row["list"])
+    expected = brute(rows, range(0, 3000, 100))
+    for query, best in expected.items():
+        assert {lists[i] for i, _ in best} <= near[query]
+    assert sum(map(len, near.values())) < len(near) * len(index.centroids)
+    assert recall(found(ann.search(index, frame.where("vec_id % 100 = 0"))), expected) >= 0.9
+
+
 def test_fewer_than_ten(spark):
     rows = [(100 * i, [float(i), 1.0]) for i in range(4)]
     frame = spark.createDataFrame(rows, SCHEMA)
