@@ -20,6 +20,7 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import col, kept_in_worker, ship_package
+from tallywright.llm.common import col, kept_in_worker, ship_package, tidied
 
 # Memory of a worker beside the vocabulary itself, in bytes as counted below.
 STATE_BYTES = 40 << 20
@@ -410,8 +411,7 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
     ship_package(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
 
-    @F.arrow_udf("array<int>")
-    def token_ids(texts: pa.Array) -> pa.Array:
+    def coded(texts: pa.Array) -> pa.Array:
         encoder = _coder(Encoder, shipped.value, pattern)
         values, ends = array("i"), array("i", [0])
         # The tables hold no cycles, and looking for some took a third of the time.
@@ -425,6 +425,10 @@ def encode(df: DataFrame, text: str, ranks: bytes, pattern: str, ids_as: str = "
         flat = pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
+    @F.arrow_udf("array<int>")
+    def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(lambda parts: map(coded, parts))(batches)
+
     return df.withColumn(ids_as, token_ids(col(text)))
 
 
@@ -433,8 +437,7 @@ def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> D
     ship_package(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(ranks)
 
-    @F.arrow_udf("string")
-    def text_of(lists: pa.Array) -> pa.Array:
+    def decoded(lists: pa.Array) -> pa.Array:
         decoder = _coder(Decoder, shipped.value)
         values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
         out, ends = bytearray(), array("i", [0])
@@ -443,6 +446,10 @@ def decode(df: DataFrame, ids: str, ranks: bytes, text_as: str = "decoded") -> D
             ends.append(len(out))
         return pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
+    @F.arrow_udf("string")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(lambda parts: map(decoded, parts))(batches)
+
     # An expression between the two functions keeps a decode of what `encode`
     # gives from being planned together with a second run of it.
     return df.withColumn(text_as, text_of(F.coalesce(col(ids), F.array().cast("array<int>"))))

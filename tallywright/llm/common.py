@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,23 @@ def kept_in_worker(owner: str) -> dict:
         if other != owner and kept:
             kept.clear()
             gc.collect()  # a tokenizer and its memory refer to each other
+    pa.default_memory_pool().release_unused()
     return _kept_by.setdefault(owner, {})
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over a task's batches, after which the worker gives back the memory they took.
+
+    Arrow holds on to it, and a worker may wait long for its next task.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 _shipped: set[str] = set()
 
 

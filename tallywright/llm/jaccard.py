@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.classes import SEEN_LIMIT, classes_of, digest, groups_of, short
-from tallywright.llm.common import col, kept_in_worker, ship_package, stored
+from tallywright.llm.common import col, kept_in_worker, ship_package, stored, tidied
 from tallywright.llm.links import components
 
 WORDS = 5
@@ -507,21 +507,21 @@ def groups(
     tags = F.lit(None).cast("binary") if tag is None else col(tag)
     docs = df.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"), tags.alias("tag"))
     texts = docs.select("text")
-    scanned = stored(docs.mapInArrow(_scan(words), _DOCS), "shingle_scan")
+    scanned = stored(docs.mapInArrow(tidied(_scan(words)), _DOCS), "shingle_scan")
     rows = scanned.where("part is null").select("doc_id", "tag", "n", "fp")
 
     # How often the shingles of each hash range occur: a table of fixed size.
     summed = scanned.where("part is not null").select("part", "counts").repartition("part")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for row in summed.mapInArrow(_added, "part int, counts binary").collect():
+    for row in summed.mapInArrow(tidied(_added), "part int, counts binary").collect():
         at = row["part"] * SKETCH_BLOCK
         sketch[at : at + SKETCH_BLOCK] = np.frombuffer(row["counts"], np.uint16)
     counts = spark.sparkContext.broadcast(sketch.tobytes())
 
-    rarest = texts.mapInArrow(_rarest(words, percent, counts), "token bigint, fp bigint, n int")
+    rarest = texts.mapInArrow(tidied(_rarest(words, percent, counts)), "token bigint, fp bigint, n int")
     meetings = rarest.repartition("token").sortWithinPartitions("token", "fp")
     counted = (
-        meetings.mapInArrow(_meetings(percent), "a bigint, b bigint, enough bigint, met bigint")
+        meetings.mapInArrow(tidied(_meetings(percent)), "a bigint, b bigint, enough bigint, met bigint")
         .groupBy("a", "b")
         .agg(F.min("enough").alias("enough"), F.sum("met").alias("met"))
     )
@@ -545,9 +545,9 @@ def groups(
     # Sets are dealt once, to their blocks, where the places are few enough to be
     # sent to all; else they first meet their places.
     places = F.broadcast(placed) if placed.count() <= sent_rows else placed
-    sets = texts.mapInArrow(_sets(words, shipped), "fp bigint, whole_fp binary, shingles binary")
+    sets = texts.mapInArrow(tidied(_sets(words, shipped)), "fp bigint, whole_fp binary, shingles binary")
     dealt = sets.join(places, "fp").repartition("block").sortWithinPartitions("block")
     pairs = stored(
-        dealt.select("block", "whole_fp", "shingles", "side").mapInArrow(_links(percent), "a binary, b binary"), "set_links"
+        dealt.select("block", "whole_fp", "shingles", "side").mapInArrow(tidied(_links(percent)), "a binary, b binary"), "set_links"
     )
     return groups_of(rows, classes, pairs.distinct(), "shingle_groups")

@@ -2,14 +2,17 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import os
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallywright.llm import bpe, queries
+from tallywright.llm.common import tidied
 from tests.llm.helpers import edge_documents, no_documents
 
 RAW = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -92,3 +95,23 @@ def test_query(spark):
 def test_encoder_runs_once_per_text(spark, capsys):
     queries.op1_byte_bpe(spark, SF_DIR).explain()
     assert capsys.readouterr().out.count("token_ids(") == 1
+
+
+def test_arrow_gives_back_what_a_task_took():
+    taken = []
+
+    def run(batches):
+        for size in batches:
+            array = pa.array(range(size), pa.int64()).cast(pa.string())
+            yield len(array)
+            del array
+            taken.append(_resident())
+
+    before = _resident()
+    assert list(tidied(run)(iter([3_000_000]))) == [3_000_000]
+    assert _resident() <= max(taken) and _resident() - before < 40 << 20
+
+
+def _resident() -> int:
+    with open("/proc/self/statm") as file:
+        return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
