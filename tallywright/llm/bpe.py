@@ -9,7 +9,9 @@ those positions agree on it, so the lookahead is bounded by the longest token.
 A state is what has been read since the last emission, with the token emitted
 last; states and transitions are made when first met, and dropped together when
 they take more bytes than a limit, so memory is bounded and one very long piece
-costs time in proportion to its length.
+costs time in proportion to its length. The rest of a short piece that leaves
+the known steps is searched for: tokens from left to right, each of which must
+fit after the one before, from the last emission on.
 """
 
 from __future__ import annotations
@@ -32,13 +34,16 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import col, kept_in_worker, ship_package, tidied
 
 # Memory of a worker beside the vocabulary itself, in bytes as counted below.
-STATE_BYTES = 40 << 20
+STATE_BYTES = 24 << 20
 MEMO_BYTES = 60 << 20
 MEMO_LENGTH = 64
 # Steps after a new one that are not kept.
 UNKEPT = 48
+# Of the pieces that meet an unknown step, one in so many keeps it.
+KEEP = 256
+# Bytes by which the tokens that begin at a position are looked up.
+HEAD = 4
 FITS = 1 << 20
-SPREAD = 0x9E3779B1  # multiplied with a pair, it sets the middle bits by all lower ones
 UNREADABLE = "the vocabulary lacks a byte, or its merges are not in order"
 # What a dictionary's entry, a tuple and a number take, about.
 ENTRY, TUPLE, NUMBER = 80, 56, 32
@@ -78,7 +83,10 @@ class Transducer:
                 self._inner.add(node)
                 node = self._child.setdefault(node << 8 | byte, len(self._child) + 1)
             self._ends[node] = rank
-        self._base = max(self.token, default=0) + 1
+        self._base = max(self.token, default=0) + 1 | 1  # odd, so that the lower bits of a pair depend on both
+        self._longest = max(map(len, ranks), default=0)
+        self._lengths = {rank: len(token) for token, rank in ranks.items()}
+        self._new = 0
         self._parts: dict[int, tuple[int, int] | None] = {}
         # Which tokens fit after which: a table of fixed size, where a later pair takes an earlier one's place.
         self._fits = array("q", [-1]) * FITS
@@ -93,6 +101,7 @@ class Transducer:
         self._next: dict[int, int] = {}
         self._emits: dict[int, tuple[int, ...]] = {}
         self._spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
+        self._heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
         self.held = 0
         self._start = self._id((-1, 0, ()))
 
@@ -124,21 +133,25 @@ class Transducer:
                 at = to
             else:
                 break
-            # One more step is kept. What follows is worked out without keeping it, as most
-            # pieces end soon and rarely come again; what does grows by a step each time.
+            # What follows grows by one kept step for each KEEP pieces that end soon, as most rarely
+            # come again; their rest is found without states. A long one keeps a step now and then.
             state = self._states[at]
+            self._new += 1
+            if last - place < UNKEPT and self._new % KEEP:
+                return out + self._rest(state[0], piece, place - self._pending(state))
             if self.held > 2 * self.state_bytes:  # within one very long piece
                 self._forget()
                 step, emits = self._next.get, self._emits
                 key = self._id(state) << 8 | piece[place]
             agreed, state = self._kept_step(key, state)
             out += agreed
-            begin = min(last, place + 1 + UNKEPT)
-            for place in range(place + 1, begin):
+            place += 1
+            if last - place < UNKEPT:
+                return out + self._rest(state[0], piece, place - self._pending(state))
+            begin = place + UNKEPT
+            for place in range(place, begin):
                 agreed, state = self._step(state, piece[place])
                 out += agreed
-            if begin == last:
-                return out + list(self._to_end(state, piece[last]))
             at = self._id(state)
         key = at << 8 | piece[last]
         to = step(key)
@@ -151,6 +164,74 @@ class Transducer:
             out += self._states[to][-1]
         return out
 
+    def _pending(self, state: tuple) -> int:
+        """Bytes read since the last emission."""
+        return sum([self._lengths[token] for token in state[-1]])
+
+    def _rest(self, left: int, piece: bytes, at: int) -> list[int]:
+        """Tokens from a position where `left` is settled as the token before, to the end of the piece.
+
+        The longest token that fits comes first; where none does, the one before
+        is given up for a shorter one, and no other path ends there.
+        """
+        first, end, dead = left, len(piece), None
+        heads, lengths, fits, base = self._heads.get, self._lengths, self._fits, self._base
+        last = FITS - 1
+        out: list[int] = []
+        tried: list = []
+        while at < end:
+            head = piece[at : at + HEAD]
+            node, found = heads(head) or self._head(head)
+            found = iter(self._longer(node, piece, at + HEAD, found) if node else found)
+            while True:
+                for right in found:
+                    key = left * base + right + base
+                    known = fits[key & last]
+                    if (known & 1 if known >> 1 == key else self._fit(left, right)) and (
+                        dead is None or at + lengths[right] not in dead
+                    ):
+                        break
+                else:
+                    if not out:
+                        raise ValueError(UNREADABLE)
+                    dead = dead or set()
+                    dead.add(at)
+                    at -= lengths[out.pop()]
+                    left, found = out[-1] if out else first, tried.pop()
+                    continue
+                break
+            tried.append(found)
+            out.append(right)
+            at += lengths[right]
+            left = right
+        return out
+
+    def _head(self, head: bytes) -> tuple[int, tuple[int, ...]]:
+        """The tokens that these bytes begin with, the longest first, and the node where longer ones go on, or 0."""
+        found, node = (), 0
+        for byte in head:
+            node = self._child.get(node << 8 | byte, 0)
+            if not node:
+                break
+            token = self._ends.get(node)
+            if token is not None:
+                found = (token, *found)
+        known = self._heads[head] = (node if len(head) == HEAD and node in self._inner else 0, found)
+        self.held += ENTRY + 3 * TUPLE + NUMBER * len(found)
+        return known
+
+    def _longer(self, node: int, piece: bytes, at: int, found: tuple[int, ...]) -> tuple[int, ...]:
+        """The same with those longer ones that go on from `at`."""
+        child, ends = self._child.get, self._ends.get
+        for byte in piece[at : at + self._longest]:
+            node = child(node << 8 | byte)
+            if node is None:
+                break
+            token = ends(node)
+            if token is not None:
+                found = (token, *found)
+        return found
+
     def _to_end(self, state: tuple, byte: int) -> tuple[int, ...]:
         """Tokens from the last emission to the end of this byte: the one last token that fits, and those before it."""
         before, child, ends = state[0], self._child.get, self._ends.get
@@ -221,7 +302,7 @@ class Transducer:
         ranks the one further left comes first.
         """
         key = left * self._base + right + self._base  # from 0, as `left` may be -1
-        place = (key * SPREAD >> 20) & (FITS - 1)
+        place = key & (FITS - 1)
         known = self._fits[place]
         if known >> 1 != key:
             fits = self._reached(right) and (left < 0 or not self._crosses(left, right))

@@ -19,6 +19,7 @@ RAW = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 RANKS = bpe.parse_ranks(RAW)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 ENCODER = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+FRESH = bpe.Transducer(RANKS)
 DECODER = bpe.Decoder(RANKS, step=3)
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -97,6 +98,26 @@ def test_encoder_runs_once_per_text(spark, capsys):
     assert capsys.readouterr().out.count("token_ids(") == 1
 
 
+def test_unknown_steps_are_seldom_kept():
+    """Pieces that are met once must not fill the memory of states, or it is dropped over and over."""
+    fresh, words = bpe.Transducer(RANKS), [f"vé{i * 7919 % 10_000:04d}tionth{i}eleierç" for i in range(2000)]
+    for word in words:
+        assert fresh.encode(word.encode()) == LIBRARY._encode_single_piece(word.encode())
+    assert len(fresh._next) < len(words) / 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(min_size=1, max_size=70) | st.text("ehtlinorsavé'", min_size=1, max_size=60).map(str.encode))
+def test_pieces_without_known_steps(piece):
+    assert bpe.Transducer.encode(FRESH, piece) == LIBRARY._encode_single_piece(piece)
+    assert FRESH._rest(-1, piece, 0) == LIBRARY._encode_single_piece(piece)
+
+
+def test_a_piece_no_token_begins():
+    with pytest.raises(ValueError):
+        bpe.Transducer({b"a": 0, b"b": 1})._rest(-1, b"abc", 0)
+
+
 def test_arrow_gives_back_what_a_task_took():
     taken = []
 
