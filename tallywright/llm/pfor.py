@@ -23,10 +23,12 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ BLOCK = 512
 SHARE = 0.9
 SEGMENT_IDS = 1 << 20
 MEMO_LIMIT = 900_000
+BATCH_BYTES = 4 << 20
 HEAD = struct.Struct("<8sIIQI")
 
 
@@ -125,9 +128,8 @@ def read_segment(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if n else int(x) for x, n in zip(known, null)], lengths, values
 
 
-# `str.split` also cuts at four separators that are no white space to Unicode.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# The pieces the tokenizer makes of printable ASCII in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_characters() -> list[str]:
@@ -141,12 +143,13 @@ BYTE_CHARACTERS = _byte_characters()
 
 
 class WordTokens:
-    """Ids of a text by a tokenizer that never joins what white space parts.
+    """Ids of texts by a tokenizer that never joins what white space parts.
 
-    Texts are cut at white space and each part's ids are remembered, up to a
-    limit; parts not met yet are given to the library together. As the tokenizer
-    lower-cases and takes full stops and commas for pieces of their own, a run of
-    letters is looked up in lower case and without those after it.
+    Texts are cut at ASCII white space, and each different part of a batch is
+    looked up once, among parts whose ids are remembered up to a limit. Of a part
+    not met yet, the pieces are looked up in the same way where they are plain:
+    those of printable ASCII, and a run of letters before ASCII punctuation, in
+    lower case. Other parts are given to the library together.
     """
 
     def __init__(self, definition: str, memo_limit: int = MEMO_LIMIT):
@@ -159,46 +162,70 @@ class WordTokens:
         self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), np.uint32).tolist()
-
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit integers."""
-        parts = [part for part in WHITE.split(text) if part] if SEPARATORS.search(text) else text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            if len(self.memo) > self.memo_limit:
-                self.memo.clear()
-            self._learn(set(parts).difference(self.memo))
-            return b"".join(map(self.memo.__getitem__, parts))
-
-    def _learn(self, parts: set[str]) -> None:
-        memo, split, wanted = self.memo, [], set()
+        return self.encode_all(pa.array([text]))[0].tolist()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other as unsigned 32-bit integers, and where each text's end. NULL is empty."""
+        parts = pc.ascii_split_whitespace(texts.fill_null(""))
+        occurring = parts.flatten().dictionary_encode()
+        different = occurring.dictionary.to_numpy(zero_copy_only=False).tolist()
+        coded = pa.array(self._coded(different), pa.large_binary()).take(occurring.indices)
+        _, offsets, values = coded.buffers()
+        ends = np.frombuffer(offsets, np.int64)[parts.offsets.to_numpy()[1:]] // 4
+        return np.frombuffer(values or b"", np.uint32)[: ends[-1] if len(ends) else 0], ends
+
+    def _coded(self, parts: list[str]) -> list[bytes]:
+        if len(self.memo) > self.memo_limit:
+            self.memo.clear()
+        found = list(map(self.memo.get, parts))
+        new = [part for part, ids in zip(parts, found) if ids is None]
+        if not new:
+            return found
+        self._learn(new)
+        return list(map(self.memo.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        memo, wanted, piece = self.memo, [], self._piece
         for part in parts:
-            word = part.rstrip(".,")
+            word = part.rstrip(punctuation)
             if word.isascii():
-                letters, lower = word.isalpha(), word.lower()
-            else:
-                lower = normalize("NFC", word).lower()
-                # Two capitals whose lower case depends on what is around them, or is two characters.
-                letters = lower.isalpha() and word.isalpha() and "Σ" not in word and "İ" not in word
-            if not letters:
-                wanted.add(part)
+                lower = part.lower()
+                if word.isalpha():
+                    ids = piece(lower[: len(word)])
+                    memo[part] = ids + piece(lower[len(word) :]) if len(word) < len(part) else ids
+                elif part.isprintable() and "<|" not in part:  # which special tokens start with
+                    memo[part] = b"".join(map(piece, PIECES.findall(lower)))
+                else:
+                    wanted.append(part)
                 continue
-            after = part[len(word) :]
-            split.append((part, lower, after))
-            if after and after not in memo:
-                wanted.add(after)
-        new = list(wanted)
-        for part, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            lower = normalize("NFC", word).lower()
+            # Two capitals whose lower case depends on what is around them, or is two characters.
+            if lower.isalpha() and word.isalpha() and "Σ" not in word and "İ" not in word:
+                ids = piece(lower)
+                memo[part] = ids + piece(part[len(word) :]) if len(word) < len(part) else ids
+            else:
+                wanted.append(part)
+        for part, coded in zip(wanted, self.library.encode_batch_fast(wanted, add_special_tokens=False)):
             memo[part] = array("I", coded.ids).tobytes()
-        for part, word, after in split:
-            ids = memo.get(word)
-            if ids is None:
-                # One run of letters is one piece, so only the library's merges are left to do.
-                piece = word if word.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, word.encode()))
-                ids = memo[word] = array("I", [token.id for token in self.merges.tokenize(piece)]).tobytes()
-            memo[part] = ids + memo[after] if after else ids
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece in lower case, for which only the library's merges are left to do."""
+        ids = self.memo.get(piece)
+        if ids is None:
+            seen = piece if piece.isascii() else "".join(map(BYTE_CHARACTERS.__getitem__, piece.encode()))
+            ids = self.memo[piece] = array("I", [token.id for token in self.merges.tokenize(seen)]).tobytes()
+        return ids
+
+
+def _batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    """`texts` in slices of up to about `most` bytes, each of one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield texts.slice(first, last - first)
+        first = last
 
 
 _SEGMENTS = "part int, seq int, part_start bigint, n_tokens bigint, payload binary"
@@ -211,7 +238,7 @@ def _writer(definition, end_id: int, segment_ids: int):
             made[key] = WordTokens(definition.value)
         coder = made[key]
         part, seq, written, held = TaskContext.get().partitionId(), 0, 0, 0
-        docs, ids, end = [], [], array("I", [end_id]).tobytes()
+        docs, ids = [], []
 
         def flush():
             return pa.RecordBatch.from_arrays(
@@ -227,14 +254,17 @@ def _writer(definition, end_id: int, segment_ids: int):
 
         gc.disable()  # nothing here holds cycles, and looking for some takes long
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                coded = np.frombuffer(coder.encode_bytes(text.as_py() or "") + end, np.uint32)
-                docs.append(doc_id)
-                ids.append(coded)
-                held += len(coded)
-                if held >= segment_ids:
-                    yield flush()
-                    seq, written, held, docs, ids = seq + 1, written + held, 0, [], []
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for texts in _batches_of(batch.column("text")):
+                values, ends = coder.encode_all(texts)
+                values = np.insert(values, ends, end_id)
+                for coded in np.split(values, ends[:-1] + np.arange(1, len(ends))):
+                    docs.append(next(doc_ids))
+                    ids.append(coded)
+                    held += len(coded)
+                    if held >= segment_ids:
+                        yield flush()
+                        seq, written, held, docs, ids = seq + 1, written + held, 0, [], []
         if docs:
             yield flush()
         gc.enable()

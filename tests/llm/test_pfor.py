@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,63 @@ def test_parts_give_what_the_whole_text_gives(text):
     assert WORDS.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+PLAIN = "Word*** the... (sic) it's I'LL don't x@y.com a-b 3.14 50% !'s ''d _a_ \"q\" |--| <|x|> été!! Ñu?".split()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=12) | st.text("aZ9's.,-_<|>=é̸ß\x7f\xa0", max_size=12) | st.sampled_from(PLAIN))
+def test_new_parts_give_what_the_library_gives(part):
+    part = part.encode("utf-8", "ignore").decode()
+    WORDS.memo.clear()
+    assert WORDS.encode(part) == LIBRARY.encode(part, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("most", [1, 9, 1 << 20])
+def test_texts_together_give_what_each_gives(kind, most):
+    texts = ["x", None, "", " ", "The cat, the\xa0cat", None, " a  b ", "\u3000", "Σας été", "", "out"]
+    slices = list(pfor._batches_of(pa.array(texts, kind).slice(1, 9), most))
+    assert pa.concat_arrays(slices).to_pylist() == texts[1:10]
+    found = []
+    for own in slices:
+        ids, ends = WORDS.encode_all(own)
+        found += [part.tolist() for part in np.split(ids, ends[:-1])]
+    assert found == [LIBRARY.encode(text or "", add_special_tokens=False).ids for text in texts[1:10]]
+
+
+def test_different_parts_are_looked_up_once_a_batch():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    coder = pfor.WordTokens(DEFINITION)
+    coder.memo = Counting()
+    ids, ends = coder.encode_all(pa.array(["so many words, so many times"] * 500))
+    assert len(ends) == 500 and len(ids) == 500 * len(coder.encode("so many words, so many times"))
+    assert coder.memo.asked < 50
+
+
+def test_plain_parts_are_not_given_to_the_whole_library():
+    class Library:
+        asked = []
+
+        def encode_batch_fast(self, parts, add_special_tokens):
+            self.asked += parts
+            return LIBRARY.encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    coder = pfor.WordTokens(DEFINITION)
+    coder.library = Library()
+    assert coder.encode(" ".join(PLAIN)) == LIBRARY.encode(" ".join(PLAIN), add_special_tokens=False).ids
+    assert coder.library.asked == ["<|x|>"]
+
+
 def check(rows, docs):
     start = 0
     by_start = sorted(rows, key=lambda row: row["start"])
