@@ -2,11 +2,16 @@
 
 Texts become sets of 64-bit shingle hashes; equal sets form one class. Two sets
 as similar as asked for share some of their rarest shingles: with all shingles
-in one global order, the first `n - need + SHARED` of each must have `SHARED` in
+in one global order, the first `n - need + shared` of each must have `shared` in
 common, where `need` is the smallest overlap a set of n can be linked with. Where
-few classes have a shingle among their rarest, their pairs are counted; pairs
-that meet often enough, and all classes that share a shingle many have, are put
-into one block. Blocks leave out no link and hold little else.
+few classes have a shingle among their rarest, their pairs are counted, and pairs
+that meet in half of `shared` or more are put into one block. Pairs that do not
+must share the other half among shingles of many classes, so both sets have that
+many of these. Such sets are looked at again, by these shingles and among
+themselves, where fewer classes have them; and what is left after some levels is
+put together by each shingle. So a shingle taken for rare that is not, as counts
+by hash tell less and less the more shingles there are, puts no texts together.
+Blocks leave out no link and hold little else.
 
 Within a block the classes are the leaves of a signature tree. A node holds the
 OR of their shingle bitmaps, the range of their sizes, and the most shingles
@@ -19,6 +24,7 @@ classes are linked already; leaves that remain are compared exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.classes import SEEN_LIMIT, classes_of, digest, groups_of, short
-from tallywright.llm.common import col, kept_in_worker, ship_package, stored, tidied
+from tallywright.llm.common import col, forget, kept_in_worker, new_table_path, release, ship_package, stored, stored_at, tidied
 from tallywright.llm.links import components
 
 WORDS = 5
@@ -41,8 +47,9 @@ SENT_ROWS = 200_000
 BLOCK_SHINGLES = 4_000_000
 MEMO_LIMIT = 200_000
 TEXTS = 256
-SHARED = 8
+SHARED = 16
 FEW = 8
+LEVELS = 3
 LEAF = 16
 FANOUT = 4
 
@@ -102,16 +109,16 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
 _DOCS = "doc_id bigint, tag binary, n bigint, fp binary, part int, counts binary"
 
 
-def _scan(words: int):
+def _scan(words: int, sketch_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size and identity per row, and at last this task's counts of shingles by hash."""
         shingler = Shingler(words)
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << sketch_bits, np.uint32)
         for batch in batches:
             sizes, prints = [], []
             for text in _texts(batch):
                 found = shingler.shingles(text)
-                np.add.at(counts, (found >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (found >> _U(64 - sketch_bits)).astype(np.int64), 1)
                 sizes.append(len(found))
                 prints.append(digest(found) if len(found) else None)
             none = pa.nulls(len(sizes))
@@ -152,15 +159,32 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def shared(n, percent: int = PERCENT):
-    """How many of their rarest shingles a set of n and any it is linked with have in common."""
-    return np.minimum(SHARED, -(-percent * n // 100))
+def shared(n, percent: int = PERCENT, level: int = 0):
+    """How many of their rarest shingles a set of n and any larger one it is linked with have in common, at least.
+
+    From level to level: how many of those that many classes have, if `enough` of the others are not shared.
+    """
+    least = np.minimum(np.maximum(SHARED, n // SHARED), -(-percent * n // 100))
+    for _ in range(level):
+        least = least // 2 + 1
+    return least
+
+
+def enough(n, percent: int = PERCENT, level: int = 0):
+    """In how many shingles of few classes two sets, the smaller of n, have to meet; it is half of those shared."""
+    return (shared(n, percent, level) + 1) // 2
+
+
+def common(n, percent: int = PERCENT, level: int = 0):
+    """A set of n with fewer shingles of many classes has `enough` others in common with all it is linked with."""
+    return shared(-(-percent * n // 100), percent, level + 1)  # as the smallest set it can be linked with asks for
 
 
 def _rarest(words: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rarest shingles of each set, about once per task and set."""
         shingler, counts, seen = Shingler(words), np.frombuffer(sketch.value, np.uint16), set()
+        shift = _U(65 - len(counts).bit_length())
         for batch in batches:
             tokens, owners, sizes = [], [], []
             for text in _texts(batch):
@@ -171,7 +195,7 @@ def _rarest(words: int, percent: int, sketch):
                 if len(seen) >= SEEN_LIMIT:
                     seen.clear()
                 seen.add(fp)
-                order = np.argsort(counts[(found >> _U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                order = np.argsort(counts[(found >> shift).astype(np.int64)], kind="stable")
                 first = found[order[: n - need(n, percent) + int(shared(n, percent))]]
                 tokens.append(first.view(np.int64))
                 owners.append(np.full(len(first), fp, np.int64))
@@ -184,9 +208,12 @@ def _rarest(words: int, percent: int, sketch):
     return run
 
 
-def _meetings(percent: int):
+_MET = "token bigint, a bigint, b bigint, n bigint, least bigint"
+
+
+def _meetings(percent: int, level: int):
     def pairs(owners: np.ndarray, sizes: np.ndarray, begins: np.ndarray, lengths: np.ndarray):
-        """Pairs of similar size within runs of few, and of each with the first of its run in longer ones."""
+        """Pairs of similar size within runs of few: both owners, and how often they have to meet."""
         out = []
         for length in range(2, FEW + 1):
             at = begins[lengths == length]
@@ -194,52 +221,74 @@ def _meetings(percent: int):
                 for j in range(i + 1, length):
                     n, m = sizes[at + i], sizes[at + j]
                     near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                    enough = shared(np.minimum(n, m)[near], percent)
-                    out.append((owners[at + i][near], owners[at + j][near], enough, np.ones(near.sum(), np.int64)))
-        for begin, length in zip(begins[lengths > FEW], lengths[lengths > FEW]):
-            rest = owners[begin + 1 : begin + length]
-            out.append(stars(owners[begin], rest))
+                    out.append((owners[at + i][near], owners[at + j][near], enough(np.minimum(n, m)[near], percent, level)))
         return out
 
-    def stars(first: int, rest: np.ndarray):
-        return np.full(len(rest), first), rest, np.ones(len(rest), np.int64), np.full(len(rest), SHARED)
+    def batch_of(few: list, many: list) -> pa.RecordBatch:
+        a, b, least = (np.concatenate(part) for part in zip(*few)) if few else [np.empty(0, np.int64)] * 3
+        token, owner, n = (np.concatenate(part) for part in zip(*many)) if many else [np.empty(0, np.int64)] * 3
+        no_pair, no_run = pa.nulls(len(token), pa.int64()), pa.nulls(len(a), pa.int64())
+        columns = [(no_run, token), (a, owner), (b, no_pair), (no_run, n), (least, common(n, percent, level))]
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(part, pa.int64()) for part in both]) for both in columns],
+            names=["token", "a", "b", "n", "least"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token and owner. The last run of a batch waits for the next; a long one leaves its first."""
-        waiting = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
-        long_token, long_first = None, None
+        """Rows come sorted by token and owner. Pairs of short runs, and the owners of long ones.
+
+        The last run of a batch waits for the next, unless it is long already.
+        """
+        waiting = [np.empty(0, np.int64)] * 3
+        long_token, last_owner = None, None
         for batch in (*batches, None):
             if batch is None:
                 tokens, owners, sizes = waiting
             else:
                 own = [batch.column(name).to_numpy().astype(np.int64) for name in ("token", "fp", "n")]
                 tokens, owners, sizes = (np.concatenate(both) for both in zip(waiting, own))
-            out = []
+            few, many = [], []
             if len(tokens):
-                repeated = np.r_[False, (tokens[1:] == tokens[:-1]) & (owners[1:] == owners[:-1])]
+                repeated = np.r_[
+                    tokens[0] == long_token and owners[0] == last_owner, (tokens[1:] == tokens[:-1]) & (owners[1:] == owners[:-1])
+                ]
                 tokens, owners, sizes = tokens[~repeated], owners[~repeated], sizes[~repeated]
-                if long_token is not None:
-                    same = tokens == long_token
-                    out.append(stars(long_first, owners[same & (owners != long_first)]))
-                    tokens, owners, sizes = tokens[~same], owners[~same], sizes[~same]
-                    if len(tokens):
-                        long_token = None
             if len(tokens):
                 begins = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
                 lengths = np.diff(np.r_[begins, len(tokens)])
-                end = len(tokens) if batch is None else begins[-1]
-                whole = begins < end
-                if len(tokens) - end > FEW:
-                    long_token, long_first = tokens[-1], owners[end]
-                    out.append(stars(long_first, owners[end + 1 :]))
-                    tokens = tokens[:end]
-                out += pairs(owners, sizes, begins[whole], lengths[whole])
-                waiting = [tokens[end:], owners[end : len(tokens)], sizes[end : len(tokens)]]
+                long = (lengths > FEW) | (tokens[begins] == long_token)
+                whole = np.ones(len(begins), bool)
+                whole[-1] = batch is None or long[-1]
+                end = len(tokens) if whole[-1] else begins[-1]
+                if long.any():
+                    of_long = np.repeat(long, lengths)
+                    many.append((tokens[of_long], owners[of_long], sizes[of_long]))
+                if long[-1]:
+                    long_token, last_owner = tokens[-1], owners[-1]
+                few = pairs(owners, sizes, begins[whole & ~long], lengths[whole & ~long])
+                waiting = [tokens[end:], owners[end:], sizes[end:]]
             else:
                 waiting = [tokens, owners, sizes]
-            if out:
-                columns = [np.concatenate(part).astype(np.int64) for part in zip(*out)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "enough", "met"])
+            if few or many:
+                yield batch_of(few, many)
+
+    return run
+
+
+def _stars(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token and size: links owners with the first of their run, which ends where sizes are too far apart."""
+        token, size, first = None, 0, 0
+        for batch in batches:
+            tokens, owners, sizes = (batch.column(name).to_numpy() for name in ("token", "fp", "n"))
+            if not len(tokens):
+                continue
+            before = np.r_[size, sizes[:-1]]
+            begins = np.r_[tokens[0] != token, tokens[1:] != tokens[:-1]] | (100 * before < percent * sizes)
+            firsts = np.r_[first, owners[begins]][np.cumsum(begins)]
+            token, size, first = tokens[-1], sizes[-1], firsts[-1]
+            other = owners != firsts
+            yield pa.RecordBatch.from_arrays([pa.array(firsts[other]), pa.array(owners[other])], names=["a", "b"])
 
     return run
 
@@ -471,6 +520,7 @@ def near_duplicates(
     percent: int = PERCENT,
     shingles_per_block: int = BLOCK_SHINGLES,
     sent_rows: int = SENT_ROWS,
+    sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` for every row of `df`.
 
@@ -481,7 +531,7 @@ def near_duplicates(
     names a component that has an id. Repeated rows each give a row. An empty
     table gives no rows. Sets are told apart by a 128-bit digest.
     """
-    found = groups(df, doc_id, text, None, words, percent, shingles_per_block, sent_rows)
+    found = groups(df, doc_id, text, None, words, percent, shingles_per_block, sent_rows, sketch_bits)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -494,6 +544,7 @@ def groups(
     percent: int = PERCENT,
     shingles_per_block: int = BLOCK_SHINGLES,
     sent_rows: int = SENT_ROWS,
+    sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """The same with all that is known: `doc_id`, `tag`, `n`, `fp`, `component_id`, `root`, `first` for every row.
 
@@ -507,25 +558,37 @@ def groups(
     tags = F.lit(None).cast("binary") if tag is None else col(tag)
     docs = df.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"), tags.alias("tag"))
     texts = docs.select("text")
-    scanned = stored(docs.mapInArrow(tidied(_scan(words)), _DOCS), "shingle_scan")
+    scanned = stored(docs.mapInArrow(tidied(_scan(words, sketch_bits)), _DOCS), "shingle_scan")
     rows = scanned.where("part is null").select("doc_id", "tag", "n", "fp")
 
     # How often the shingles of each hash range occur: a table of fixed size.
     summed = scanned.where("part is not null").select("part", "counts").repartition("part")
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
+    sketch = np.zeros(1 << sketch_bits, np.uint16)
     for row in summed.mapInArrow(tidied(_added), "part int, counts binary").collect():
         at = row["part"] * SKETCH_BLOCK
         sketch[at : at + SKETCH_BLOCK] = np.frombuffer(row["counts"], np.uint16)
     counts = spark.sparkContext.broadcast(sketch.tobytes())
 
-    rarest = texts.mapInArrow(tidied(_rarest(words, percent, counts)), "token bigint, fp bigint, n int")
-    meetings = rarest.repartition("token").sortWithinPartitions("token", "fp")
-    counted = (
-        meetings.mapInArrow(tidied(_meetings(percent)), "a bigint, b bigint, enough bigint, met bigint")
-        .groupBy("a", "b")
-        .agg(F.min("enough").alias("enough"), F.sum("met").alias("met"))
-    )
-    blocks = components(counted.where("met >= enough").select("a", "b"))
+    # The meetings of all sets, then of those with many common shingles in these
+    # alone, and so on; sets of which that is still true are linked by each of them.
+    met_rows = texts.mapInArrow(tidied(_rarest(words, percent, counts)), "token bigint, fp bigint, n int")
+    links, paths = [], []
+    for level in range(LEVELS):
+        dealt = met_rows.repartition("token").sortWithinPartitions("token", "fp")
+        paths.append(new_table_path(spark, "shingle_meetings"))
+        met = stored_at(dealt.mapInArrow(tidied(_meetings(percent, level)), _MET), paths[-1])
+        release(spark)
+        pairs = met.where("token is null").groupBy("a", "b").agg(F.min("least").alias("least"), F.count("*").alias("met"))
+        links.append(pairs.where("met >= least").select("a", "b"))
+        many = met.where("token is not null").select("token", F.col("a").alias("fp"), F.col("n").cast("int"), "least")
+        commons = many.groupBy("fp").agg(F.min("least").alias("least"), F.count("*").alias("met")).where("met >= least")
+        met_rows = many.drop("least").join(commons, "fp", "left_semi")
+    runs = met_rows.repartition("token").sortWithinPartitions("token", "n", "fp")
+    links.append(runs.select("token", "fp", "n").mapInArrow(tidied(_stars(percent)), "a bigint, b bigint"))
+    blocks = components(reduce(DataFrame.unionAll, links))
+    for path in paths:
+        forget(spark, path)
+    release(spark)
 
     classes = classes_of(rows, "shingle_classes")
     # By the first half of their identity; two classes that share it share a place.
@@ -550,4 +613,5 @@ def groups(
     pairs = stored(
         dealt.select("block", "whole_fp", "shingles", "side").mapInArrow(tidied(_links(percent)), "a binary, b binary"), "set_links"
     )
+    release(spark)
     return groups_of(rows, classes, pairs.distinct(), "shingle_groups")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallywright.llm import jaccard, queries
@@ -84,6 +86,74 @@ def test_tree_finds_every_link(seed):
     assert len(set(groups.values())) == len(groups)
 
 
+def test_blocks_stay_small_when_counts_tell_nothing(spark, monkeypatch):
+    """With hardly any counters, words that a fifth of the texts have are taken for rare ones, but put no block together."""
+    rnd = random.Random(5)
+    pool = [f"often{i}" for i in range(30)]
+    docs = [(i, " ".join([f"own{i}x{k}" for k in range(94)] + rnd.sample(pool, 6))) for i in range(120)]
+    docs += [(1000 + i, docs[i][1].replace("x7 ", "y ")) for i in range(10)]
+    docs += [(2000 + i, " ".join(f"common{k}" for k in range(60) if k != i)) for i in range(25)]
+    blocks, placed = jaccard._blocks, []
+    monkeypatch.setattr(jaccard, "_blocks", lambda members, *a: placed.append(members.count()) or blocks(members, *a))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    result = jaccard.near_duplicates(frame, words=1, shingles_per_block=500, sketch_bits=2)
+    assert found(result) == helpers.near_duplicates(docs, 1)
+    assert 45 <= placed[0] <= 60  # the 45 texts that have near copies
+
+
+def meetings(rows, size, level=0):
+    """What `_meetings` makes of rows of token, owner and size that come in batches of `size`."""
+    columns = [pa.array(part, kind) for part, kind in zip(zip(*sorted(rows)), (pa.int64(), pa.int64(), pa.int32()))]
+    table = pa.table(columns, names=["token", "fp", "n"])
+    found = pa.Table.from_batches(jaccard._meetings(75, level)(iter(table.to_batches(size)))).to_pylist()
+    return (
+        sorted((r["a"], r["b"], r["least"]) for r in found if r["token"] is None),
+        sorted((r["token"], r["a"], r["n"], r["least"]) for r in found if r["token"] is not None),
+    )
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_meetings_however_rows_come(size):
+    """Short runs give pairs of similar size, long ones their owners once each, wherever batches end."""
+    rnd = random.Random(size)
+    sizes = {owner: rnd.randint(1, 400) for owner in range(40)}
+    runs = {token: rnd.sample(sorted(sizes), rnd.choice([1, 2, 5, jaccard.FEW, jaccard.FEW + 1, 30])) for token in range(60)}
+    rows = [(token, owner, sizes[owner]) for token, owners in runs.items() for owner in owners for _ in range(rnd.choice([1, 1, 3]))]
+    pairs, many = meetings(rows, size)
+    near = [
+        sorted((a, b)) + [int(jaccard.enough(min(sizes[a], sizes[b])))]
+        for owners in runs.values()
+        if len(owners) <= jaccard.FEW
+        for a, b in itertools.combinations(owners, 2)
+        if 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b])
+    ]
+    assert pairs == sorted(map(tuple, near))
+    expected = [(t, o, sizes[o], int(jaccard.common(sizes[o]))) for t, owners in runs.items() if len(owners) > jaccard.FEW for o in owners]
+    assert many == sorted(expected)
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90, 100])
+@pytest.mark.parametrize("level", range(jaccard.LEVELS))
+def test_limits_leave_out_no_link(percent, level):
+    """If one of two sets has fewer common shingles than `common`, `enough` of those shared are of few classes."""
+    n = np.arange(1, 3000)
+    smallest = -(-percent * n // 100)
+    for m in (smallest, (smallest + n) // 2, n):  # the sizes of the other set
+        both = jaccard.shared(m, percent, level)
+        assert (both - (jaccard.common(n, percent, level) - 1) >= jaccard.enough(m, percent, level)).all()
+        assert (both - (jaccard.common(m, percent, level) - 1) >= jaccard.enough(m, percent, level)).all()
+        assert (both - jaccard.enough(m, percent, level) + 1 >= jaccard.shared(m, percent, level + 1)).all()
+    assert (jaccard.shared(n, percent, level) >= 1).all() and (jaccard.shared(n, percent, level) <= smallest).all()
+
+
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_stars_end_where_sizes_are_too_far_apart(size):
+    rows = [(1, 30, 10), (1, 31, 12), (1, 32, 16), (1, 33, 22), (2, 33, 22), (2, 34, 23), (3, 35, 5)]
+    table = pa.table(list(zip(*[(t, n, o) for t, o, n in rows])), names=["token", "n", "fp"])
+    found = [r for batch in jaccard._stars(75)(iter(table.to_batches(size))) for r in batch.to_pylist()]
+    assert [(r["a"], r["b"]) for r in found] == [(30, 31), (30, 32), (33, 34)]
+
+
 def test_odd_table(spark):
     frame = helpers.edge_documents(spark, extra=True)
     rows = jaccard.near_duplicates(frame).collect()
