@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, jaccard, langid, mixing, quality
-from tallywright.llm.common import col, hidden, stored, word_count
+from tallywright.llm.common import col, hidden, release, stored, word_count
 
 LEAST_SCORE = 0.5
 
@@ -56,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         .select(F.col("least.tag").alias(tag), "least.rows")
     )
     chosen = stored(chosen, "near_duplicates_chosen")
+    release(docs.sparkSession)  # before whole documents are dealt
     copies = found.select(F.col("tag").alias(tag)).distinct().join(chosen, tag, "left_anti")
     kept = tagged.join(copies, tag, "left_anti")
     repeated = chosen.where("rows > 1").select(tag)

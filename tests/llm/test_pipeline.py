@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter, defaultdict
+from functools import partial
 
 import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from tallywright.llm import bpe, mixing, queries
-from tallywright.llm.common import stored
+from tallywright.llm import bpe, jaccard, mixing, queries
+from tallywright.llm.common import release, stored
 from tests.llm import helpers
 from tests.llm.test_mixing import targets
 
@@ -111,3 +113,32 @@ def test_repeated_ids_change_no_other_group(spark):
     plain = Counter(range(0, 40, 4))
     assert kept(rows) == plain
     assert kept(rows + more) == plain + Counter([39, None])
+
+
+def test_common_passages_put_no_documents_together(spark, monkeypatch):
+    """Where counts of shingles tell nothing, only documents with near copies are compared whole; the same ones stay."""
+    groups, blocks, placed = jaccard.groups, jaccard._blocks, []
+    monkeypatch.setattr(jaccard, "groups", partial(groups, sketch_bits=2))
+    monkeypatch.setattr(jaccard, "_blocks", lambda members, *a: placed.append(members.count()) or blocks(members, *a))
+    passages = [" ".join(f"p{p}w{k}" for k in range(10)) for p in range(2)]
+    texts = [" ".join(f"own{i}x{k}" for k in range(50)) + f" {passages[i % 2]} " + " ".join(f"own{i}y{k}" for k in range(50)) for i in range(80)]
+    texts += [text.replace("x7 ", "z ") for text in texts[:10]]
+    docs = spark.createDataFrame([(i, text, "en", "s", 1) for i, text in enumerate(texts)], helpers.DOCUMENTS).repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF_DIR)
+    expected = helpers.near_duplicates(list(enumerate(texts)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({component for _, component in expected.values()})
+    assert placed == [20]
+
+
+def test_released_shuffles_leave_the_disk(spark):
+    """Files of a shuffle go once nothing refers to it."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    frame = spark.range(1000).repartition(7)
+    frame.collect()
+    held = tracker.shuffleStatuses().size()
+    del frame
+    release(spark)
+    until = time.monotonic() + 20
+    while tracker.shuffleStatuses().size() >= held and time.monotonic() < until:
+        time.sleep(0.2)
+    assert tracker.shuffleStatuses().size() < held
