@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -31,19 +32,27 @@ def kept_in_worker(owner: str) -> dict:
         if other != owner and kept:
             kept.clear()
             gc.collect()  # a tokenizer and its memory refer to each other
-    pa.default_memory_pool().release_unused()
+    give_back()
     return _kept_by.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library hold on to, but nothing uses, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run` over a task's batches, after which the worker gives back the memory they took.
 
-    Arrow holds on to it, and a worker may wait long for its next task.
+    It may wait long for its next task.
     """
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return whole
 

@@ -47,6 +47,7 @@ SENT_ROWS = 200_000
 BLOCK_SHINGLES = 4_000_000
 MEMO_LIMIT = 200_000
 TEXTS = 256
+SENT_SHINGLES = 1 << 17
 SHARED = 16
 FEW = 8
 LEVELS = 3
@@ -185,8 +186,8 @@ def _rarest(words: int, percent: int, sketch):
         """The rarest shingles of each set, about once per task and set."""
         shingler, counts, seen = Shingler(words), np.frombuffer(sketch.value, np.uint16), set()
         shift = _U(65 - len(counts).bit_length())
+        tokens, owners, sizes, held = [], [], [], 0
         for batch in batches:
-            tokens, owners, sizes = [], [], []
             for text in _texts(batch):
                 found = shingler.shingles(text)
                 n = len(found)
@@ -200,14 +201,20 @@ def _rarest(words: int, percent: int, sketch):
                 tokens.append(first.view(np.int64))
                 owners.append(np.full(len(first), fp, np.int64))
                 sizes.append(np.full(len(first), n, np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part)) for part in (tokens, owners, sizes)], names=["token", "fp", "n"]
-                )
+                held += len(first)
+                if held >= SENT_SHINGLES:
+                    yield _rarest_batch(tokens, owners, sizes)
+                    tokens, owners, sizes, held = [], [], [], 0
+        if tokens:
+            yield _rarest_batch(tokens, owners, sizes)
 
     return run
 
 
+def _rarest_batch(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in columns], names=["token", "fp", "n"])
+
+
 _MET = "token bigint, a bigint, b bigint, n bigint, least bigint"
 
 
